@@ -571,8 +571,8 @@ def _mean_pool(spark, sf_dir):
 @query(
     "l2_normalize",
     """
-WITH scaled AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE * label) AS v FROM embeddings),
-normed AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS n FROM scaled)
+WITH scaled AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * label) AS v FROM embeddings),
+normed AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM scaled)
 SELECT vec_id, pos, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS value
 FROM (SELECT vec_id, n, unnest(v) AS x, unnest(range(len(v)))::INTEGER AS pos FROM normed)""",
 )
@@ -614,49 +614,45 @@ def _search_sql(hits: str, k: int) -> str:
   SELECT from_qn AS near, to_kind AS fk, to_qn AS fq, rel_type FROM kg_edges
   UNION ALL SELECT to_qn, from_kind, from_qn, rel_type FROM kg_edges
 ), widened AS (
-  SELECT query_id, fk AS kind, fq AS qualified_name, 0.5 * max(score) AS vector_score
+  SELECT query_id, fk AS kind, fq AS qualified_name, 0.5::DOUBLE * max(score) AS vector_score
   FROM matches m JOIN adj ON near = m.qualified_name
   WHERE NOT EXISTS (SELECT 1 FROM matches o WHERE o.query_id = m.query_id AND o.qualified_name = fq)
   GROUP BY ALL
 ), scored AS (
   SELECT query_id, name, qualified_name, kind, score AS vector_score, 0 AS graph_distance, 'Vector' AS source,
-         round(0.7 * score + 0.3, 6) AS relevance FROM matches
+         0.7::DOUBLE * score + 0.3::DOUBLE AS relevance FROM matches
   UNION ALL
-  SELECT query_id, n.name, w.qualified_name, w.kind, vector_score, 1, 'GraphExpansion', round(0.7 * vector_score + 0.15, 6)
+  SELECT query_id, n.name, w.qualified_name, w.kind, vector_score, 1, 'GraphExpansion', 0.7::DOUBLE * vector_score + 0.15::DOUBLE
   FROM widened w JOIN kg_nodes n ON n.qualified_name = w.qualified_name AND n.kind = w.kind
 )"""
 
 
 _RESULT_SQL = """
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, qualified_name)::INTEGER AS rank, name,
-       qualified_name, kind, round(vector_score, 6) AS vector_score, graph_distance, relevance, source
+       qualified_name, kind, vector_score, graph_distance, relevance, source
 FROM scored QUALIFY rank <= {k}"""
 
 _VECTOR_HITS = f"WITH {KG_SQL}, {CENTROID_SQL}, {_hits_sql(True)}"
 
 
-def _rounded(df):
-    return df.withColumn("vector_score", F.round("vector_score", 6))
-
-
 @query("hybrid_search", _search_sql(_VECTOR_HITS, 10) + _RESULT_SQL.format(k=10))
 def _hybrid_search(spark, sf_dir):
-    return _rounded(hybrid.search(tables.kg(spark, sf_dir), label_centroids(spark, sf_dir), 10).results)
+    return hybrid.search(tables.kg(spark, sf_dir), label_centroids(spark, sf_dir), 10).results
 
 
 @query("hybrid_search_deep", _search_sql(_VECTOR_HITS, 2000) + _RESULT_SQL.format(k=2000))
 def _hybrid_search_deep(spark, sf_dir):
-    return _rounded(hybrid.search(tables.kg(spark, sf_dir), label_centroids(spark, sf_dir), 2000).results)
+    return hybrid.search(tables.kg(spark, sf_dir), label_centroids(spark, sf_dir), 2000).results
 
 
 @query(
     "hybrid_expansion",
-    _search_sql(_VECTOR_HITS, 10) + " SELECT query_id, qualified_name, kind, round(vector_score, 6) AS vector_score FROM widened",
+    _search_sql(_VECTOR_HITS, 10) + " SELECT query_id, qualified_name, kind, vector_score FROM widened",
 )
 def _hybrid_expansion(spark, sf_dir):
     graph = tables.kg(spark, sf_dir)
     matches = hybrid.first_matches(graph, label_centroids(spark, sf_dir), 10)
-    return _rounded(hybrid.expansions(graph, matches, 1000))
+    return hybrid.expansions(graph, matches, 1000)
 
 
 @query(
@@ -682,7 +678,7 @@ def _hybrid_fallback(spark, sf_dir):
     asked = tables.table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("query_id"), F.col("n_name").alias("text"), zeros(64).alias("vector")
     )
-    return _rounded(hybrid.search(tables.kg(spark, sf_dir), asked, 50).results)
+    return hybrid.search(tables.kg(spark, sf_dir), asked, 50).results
 
 
 @query(
@@ -727,7 +723,7 @@ hits AS (
 )
 def _explain_similar(spark, sf_dir):
     nations = tables.table(spark, sf_dir, "nation").select(tables.key_of("nation", "n_nationkey").alias("qualified_name"))
-    return _rounded(hybrid.explain(tables.kg(spark, sf_dir), nations).similar)
+    return hybrid.explain(tables.kg(spark, sf_dir), nations).similar
 
 
 # ---- presentation groupings and output ---------------------------------------

@@ -38,7 +38,7 @@ class SearchResult:
 
 
 def relevance(vector_score, distance):
-    return F.round(VECTOR_WEIGHT * vector_score + GRAPH_WEIGHT / (1 + distance), 6)
+    return VECTOR_WEIGHT * vector_score + GRAPH_WEIGHT / (1 + distance)
 
 
 def first_matches(graph: KnowledgeGraph, queries: DataFrame, k: int) -> DataFrame:
