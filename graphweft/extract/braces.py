@@ -26,6 +26,14 @@ class Rule:
     # Pattern whose group 1 names the parent of what stands inside, if that is
     # not the declaration itself.
     base: str | None = None
+    # How the name is written; ``{line}`` is the line the declaration starts on.
+    name: str = "{name}"
+
+
+def _written(option: Column, line: Column) -> Column:
+    """The name as its rule writes it."""
+    with_name = F.replace(option["written"], F.lit("{name}"), option["name"])
+    return F.when(option["written"] == "", option["name"]).otherwise(F.replace(with_name, F.lit("{line}"), line.cast("string")))
 
 
 def _classify(head: Column, rules: list[Rule]) -> Column:
@@ -40,7 +48,8 @@ def _classify(head: Column, rules: list[Rule]) -> Column:
             F.lit(rule.scope).alias("scope"),
             F.lit(rule.block).alias("block"),
             F.lit(rule.bare).alias("bare"),
-            (F.regexp_extract(head, rule.base, 1) if rule.base else name).alias("base"),
+            F.lit(rule.name if rule.name != "{name}" else "").alias("written"),
+            (F.regexp_extract(head, rule.base, 1) if rule.base else F.lit(None).cast("string")).alias("base"),
         )
 
     return F.filter(F.array(*[option(r) for r in rules]), lambda o: o["name"] != "")
@@ -94,7 +103,8 @@ def scan(
     def step(s: Column, e: Column) -> Column:
         def decide(top: Column) -> Column:
             fits = F.filter(e["options"], lambda o: F.array_contains(o["inside"], top["scope"]))
-            return let(F.get(fits, 0), lambda d: apply(top, d))
+            line = s["line"] + e["lead_lines"]
+            return let(F.get(fits, 0), lambda d: let(d.withField("name", _written(d, line)), lambda named: apply(top, named)))
 
         def apply(top: Column, d: Column) -> Column:
             start, first_line = s["pos"] + e["lead"], s["line"] + e["lead_lines"]
@@ -107,7 +117,7 @@ def scan(
                 F.when(starts, d["kind"]).otherwise("").alias("kind"),
                 F.when(starts, d["name"]).otherwise("").alias("name"),
                 top["base"].alias("parent"),
-                F.when(starts, qualified(top["base"], d["base"])).otherwise(top["base"]).alias("base"),
+                F.when(starts, qualified(top["base"], F.coalesce(d["base"], d["name"]))).otherwise(top["base"]).alias("base"),
                 start.alias("pos"),
                 (after - 1).alias("body"),
                 first_line.alias("line"),

@@ -19,6 +19,9 @@ DECLARATION = (
 )
 
 
+STATEMENT_KINDS = ("Constant", "Static", "Variable", "TypeAlias", "Typedef", "Import")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once inside an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -95,7 +98,14 @@ def declarations(files: DataFrame, found: Column, masked: Column | None = None)
     scanned = files.select("path", "source", *([masked.alias("masked")] if masked is not None else [F.col("source").alias("masked")]))
     scanned = scanned.withColumn("found", found)
 
-    def with_text(d: Column) -> Column:
+    # A statement that ends in a block still owns the semicolon behind it.
+    statements = F.array(*[F.lit(k) for k in STATEMENT_KINDS])
+
+    def with_text(found: Column) -> Column:
+        owns = F.array_contains(statements, found["kind"]) & (F.substring(F.col("masked"), found["stop"] + 1, F.lit(1)) == ";")
+        return let(found.withField("stop", found["stop"] + F.when(owns, 1).otherwise(0)), slices)
+
+    def slices(d: Column) -> Column:
         return F.struct(
             d["kind"].alias("kind"),
             d["name"].alias("name"),
