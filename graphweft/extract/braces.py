@@ -102,7 +102,11 @@ def scan(
 
     def step(s: Column, e: Column) -> Column:
         def decide(top: Column) -> Column:
-            fits = F.filter(e["options"], lambda o: F.array_contains(o["inside"], top["scope"]))
+            ends = F.when(e["delim"] == "{", "block").otherwise("bare")
+            fits = F.filter(
+                e["options"],
+                lambda o: F.array_contains(o["inside"], top["scope"]) & F.when(ends == "block", o["block"]).otherwise(o["bare"]),
+            )
             line = s["line"] + e["lead_lines"]
             return let(F.get(fits, 0), lambda d: let(d.withField("name", _written(d, line)), lambda named: apply(top, named)))
 
@@ -111,7 +115,7 @@ def scan(
             after, after_line = s["pos"] + e["size"], s["line"] + e["lines"]
             opens, closes = e["delim"] == "{", e["delim"] == "}"
             named = d.isNotNull()
-            starts = named & d["block"]
+            starts = named
             pushed = F.struct(
                 F.when(starts, d["scope"]).when(e["through"], top["scope"]).otherwise("opaque").alias("scope"),
                 F.when(starts, d["kind"]).otherwise("").alias("kind"),
@@ -154,7 +158,7 @@ def scan(
                 .otherwise(s["stack"])
             )
             out = F.concat(
-                F.when(named & d["bare"] & ~opens, F.array(bare)).otherwise(none),
+                F.when(named & ~opens, F.array(bare)).otherwise(none),
                 F.when(closes & (top["kind"] != ""), F.array(closed)).otherwise(none),
             )
             state = F.struct(after.cast("int").alias("pos"), after_line.cast("int").alias("line"), stack.alias("stack"))

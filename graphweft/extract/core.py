@@ -19,7 +19,8 @@ DECLARATION = (
 )
 
 
-STATEMENT_KINDS = ("Constant", "Static", "Variable", "TypeAlias", "Typedef", "Import")
+# How a statement goes on behind its block, per kind: the semicolon is its own.
+TAILS = {kind: "^;" for kind in ("Constant", "Static", "Variable", "TypeAlias", "Import")}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,19 +92,22 @@ def flat(text: Column) -> Column:
     return F.aggregate(tokens, F.struct(F.lit(0).alias("d"), F.lit("").alias("t")), step, lambda acc: acc["t"])
 
 
-def declarations(files: DataFrame, found: Column, masked: Column | None = None) -> DataFrame:
+def declarations(
+    files: DataFrame, found: Column, masked: Column | None = None, tails: dict[str, str] | None = None
+) -> DataFrame:
     """One row per declaration of a file with its own slices of the text:
     ``source_text``, ``masked_text`` and ``lead_text``. The slices are taken
     inside the array, so that the file's text is not copied to every row."""
     scanned = files.select("path", "source", *([masked.alias("masked")] if masked is not None else [F.col("source").alias("masked")]))
     scanned = scanned.withColumn("found", found)
 
-    # A statement that ends in a block still owns the semicolon behind it.
-    statements = F.array(*[F.lit(k) for k in STATEMENT_KINDS])
-
     def with_text(found: Column) -> Column:
-        owns = F.array_contains(statements, found["kind"]) & (F.substring(F.col("masked"), found["stop"] + 1, F.lit(1)) == ";")
-        return let(found.withField("stop", found["stop"] + F.when(owns, 1).otherwise(0)), slices)
+        ends_in_block = found["body"] >= 0
+        rest = F.substring(F.col("masked"), found["stop"] + 1, F.length("masked"))
+        tail = F.lit(0)
+        for kind, pattern in {**TAILS, **(tails or {})}.items():
+            tail = F.when(ends_in_block & (found["kind"] == kind), F.length(F.regexp_extract(rest, pattern, 0))).otherwise(tail)
+        return let(found.withField("stop", found["stop"] + tail), slices)
 
     def slices(d: Column) -> Column:
         return F.struct(

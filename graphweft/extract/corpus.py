@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.extract import css, html, rust
+from graphweft.extract import cfamily, css, html, python, rust, script
 from graphweft.operators.assembly import merge_entities, merge_relationships
 from graphweft.sources.files import file_entities, route
 
-EXTRACTORS = {("rust",): rust.extract, ("html",): html.extract, ("css",): css.extract}
+EXTRACTORS = {
+    ("rust",): rust.extract,
+    ("c", "cpp"): cfamily.extract,
+    ("python",): python.extract,
+    ("javascript", "typescript", "tsx"): script.extract,
+    ("html",): html.extract,
+    ("css",): css.extract,
+}
 
 
 def extract(files: DataFrame, languages: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:

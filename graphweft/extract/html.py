@@ -37,7 +37,7 @@ def _elements(source: Column, path: Column, significant: tuple[str, ...], refere
 
     def event(piece: Column, index: Column) -> Column:
         opened = F.regexp_extract(piece, r"^([A-Za-z][\w:-]*)", 1)
-        tag_text = F.regexp_extract(piece, r"""(?s)^(?:[^>"']|"[^"]*"|'[^']*')*""", 0)
+        tag_text = F.regexp_extract(piece, r"""(?s)^(?:[^>"']++|"[^"]*+"|'[^']*+')*+""", 0)
         kept = opened.isin(*significant)
         target = F.coalesce(attribute(tag_text, "src"), F.when(opened != "script", attribute(tag_text, "href")))
         return F.struct(
