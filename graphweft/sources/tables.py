@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,3 +141,141 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.col("html").alias("source"),
     )
+
+
+# Source files that tables are rendered into, one file per row. ``{column}``
+# stands for a value of the row. The templates hold no single quotes and no
+# backslashes, so that one SQL expression serves every engine.
+RUST_FILE = """use crate::brand::{{Brand, Size}};
+
+/// {p_name}
+/// size {p_size}
+pub struct Part{p_partkey} {{
+    size: Size{p_size},
+    pub price: f64,
+}}
+
+impl Priced for Part{p_partkey} {{
+    fn price(&self) -> f64 {{
+        scale({p_size});
+        self.base.round()
+    }}
+}}
+
+pub(crate) async fn load_{p_partkey}(id: u64) -> u64 {{
+    store::read("}} not a block {{", id) // no_call(1)
+}}
+
+enum Kind {{ {p_type}, Other }}
+mod inner {{
+    trait Sized{p_size}: Base {{ fn size(&self) -> u32 {{ {p_size} }} }}
+    const LIMIT: u32 = {p_size};
+}}
+"""
+CPP_FILE = """#include <vector>
+#include "nation_{s_nationkey}.hpp"
+#define SUPPLIER {s_suppkey}
+/* int hidden() {{ }} */
+namespace n{s_nationkey} {{
+class Supplier{s_suppkey} : public Base, private ns::Other {{
+ public:
+  double balance() const {{ return round({s_acctbal}); }}
+ private:
+  int nation;
+}};
+enum class State {{ Active, Closed = {s_nationkey} }};
+}}
+static const int KEY = {s_suppkey};
+int lookup_{s_suppkey}(int key) {{
+    return table.find(key);
+}}
+"""
+PYTHON_FILE = '''"""Customer {c_custkey}.
+
+def hidden(): pass
+"""
+import os
+from nation_{c_nationkey} import Nation, Region as R
+
+SEGMENT = "{c_mktsegment}"
+
+
+class Customer{c_custkey}(Base, pkg.Mixin):
+    key = {c_custkey}
+
+    def __init__(self, name: str):
+        self.name = clean(name)
+
+    @cached
+    async def _balance(self, at=(1, 2)) -> float:
+        """Balance of {c_name}."""
+        return self.load({c_custkey})
+
+
+def main():
+    # no_call(1)
+    run(Customer{c_custkey}("a (b"))
+'''
+SCRIPT_FILE = """import {{ Base }} from "./nation_{c_nationkey}.js";
+export default class Customer{c_custkey} extends Base {{
+  segment = "{c_mktsegment}";
+  constructor(id) {{
+    super(id);
+    this.init({c_custkey});
+  }}
+  static async load(id) {{
+    return await fetch(id);
+  }}
+}}
+const double_{c_custkey} = (a, b) => a + plus(b);
+async function main(x) {{
+  run(x); // skip(x)
+}}
+let counter = {c_nationkey};
+"""
+TYPESCRIPT_FILE = """export interface Nation{n_nationkey} extends Region{n_regionkey} {{
+  name: string;
+  size(): number;
+}}
+type Key = number | string;
+enum Zone {{ A{n_nationkey}, B }}
+function area(x: number): number {{
+  return calc(x);
+}}
+"""
+CSS_FILE = """@import "base_{s_nationkey}.css";
+@import url("theme.css");
+/* .hidden {{ }} */
+.supplier-{s_suppkey}, #nation-{s_nationkey} {{ color: red; }}
+@media (max-width: {s_suppkey}px) {{
+  .narrow {{ margin: 0; }}
+}}
+@keyframes spin{s_nationkey} {{ from {{ top: 0; }} to {{ top: 1px; }} }}
+"""
+# Table, path and text of each kind of file.
+CODE_FILES = {
+    "rust": ("part", "src/part_{p_partkey}.rs", RUST_FILE),
+    "cpp": ("supplier", "lib/supplier_{s_suppkey}.cpp", CPP_FILE),
+    "python": ("customer", "app/customer_{c_custkey}.py", PYTHON_FILE),
+    "javascript": ("customer", "web/customer_{c_custkey}.js", SCRIPT_FILE),
+    "typescript": ("nation", "web/nation_{n_nationkey}.ts", TYPESCRIPT_FILE),
+    "css": ("supplier", "web/supplier_{s_suppkey}.css", CSS_FILE),
+}
+
+
+def template_sql(template: str) -> str:
+    """A template as a SQL ``concat`` over the columns it names."""
+    parts = []
+    for literal, column, _, _ in string.Formatter().parse(template):
+        for i, line in enumerate(literal.split("\n")):
+            parts += (["chr(10)"] if i else []) + ([f"'{line}'"] if line else [])
+        if column:
+            parts.append(column)
+    return f"concat({', '.join(parts)})"
+
+
+def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """(path, source): one generated source file per row of the language's table."""
+    name, path, text = CODE_FILES[language]
+    rows = table(spark, sf_dir, name)
+    return rows.select(F.expr(template_sql(path)).alias("path"), F.expr(template_sql(text)).alias("source"))
