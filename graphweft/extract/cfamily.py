@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.extract import core
 from graphweft.extract.braces import Rule, scan
+from graphweft.functions.text import qualified
 
 # Directives are hidden from the scan and read line by line.
 HIDDEN = (
@@ -84,49 +85,53 @@ def directives(files: DataFrame) -> DataFrame:
         "line_start",
         F.trim("text").alias("source_text"),
         F.regexp_extract("text", r"^\s*#\s*define\s+(\w+)", 1).alias("name"),
+        F.col("line_start").alias("line_end"),
+        F.concat_ws("::", "path", F.regexp_extract("text", r"^\s*#\s*define\s+(\w+)", 1)).alias("qualified_name"),
         F.regexp_extract("text", r'^\s*#\s*include\s*("[^"]*"|<[^>]*>)', 1).alias("target"),
     )
 
 
-def _extract(files: DataFrame, cpp: bool) -> tuple[list[DataFrame], list[DataFrame]]:
-    rows = declarations(files, cpp)
-    signature = F.when(
-        F.col("kind").isin("Function", "Method"), F.trim(F.regexp_replace(F.substring(F.col("source_text"), F.lit(1), F.col("body_at")), r"^\s+|\s+$", ""))
+def _declaration_facts(files: DataFrame, cpp: bool) -> DataFrame:
+    rows = core.with_body(declarations(files, cpp))
+    kind, qn, body = F.col("kind"), F.col("qualified_name"), F.col("body")
+    head = F.regexp_replace(F.substring(F.col("source_text"), F.lit(1), F.col("body_at")), r"^\s+|\s+$", "")
+    function = kind.isin("Function", "Method")
+    bodied = F.col("body_at").isNotNull()
+    holder = bodied & kind.isin("Struct", "Union", "Class")
+
+    bases = F.split(F.regexp_extract("head", r"(?s)^[^:]*:(?!:)\s*(.*)$", 1), ",")
+    base = r"^\s*(?:(?:public|private|protected|virtual)\s+)*((?:\w+::)*\w+)\s*$"
+    member = r"^\s*(?:(?:public|private|protected)\s*:\s*)*((?:const\s+|static\s+|mutable\s+|volatile\s+)*)([\w:<>,\s]*?[\w>])\s+(\w+)\s*$"
+    fields = F.filter(
+        F.transform(
+            F.split(core.flat(body), "[;}]"),
+            lambda m: F.struct(F.regexp_extract(m, member, 2).alias("type"), F.regexp_extract(m, member, 3).alias("name")),
+        ),
+        lambda f: f["name"] != "",
     )
-    lines = directives(files)
-    macros = lines.where("name <> ''").select(
-        "*", F.lit("Preprocessor").alias("kind"), F.col("line_start").alias("line_end"), F.concat_ws("::", "module_path", "name").alias("qualified_name")
+    variants = core.named(F.split(core.flat(body), ","), r"^\s*(\w+)")
+    return core.facts(
+        rows,
+        F.array(core.entity(signature=F.when(function, head))),
+        [
+            F.array(core.contains()),
+            core.edges(holder, core.named(bases, base), lambda b: core.edge("EXTENDS", qn, b)),
+            core.edges(holder, fields, lambda f: core.edge("HAS_FIELD", qn, f["type"], field_name=f["name"], field_type=f["type"])),
+            core.edges(bodied & (kind == "Enum"), variants, lambda v: core.edge("HAS_VARIANT", qn, qualified(qn, v), variant_name=v)),
+            core.calls(bodied & function, CALL, KEYWORDS),
+        ],
     )
-    bodied = core.with_body(rows)
-    holders = bodied.where("kind IN ('Struct', 'Union', 'Class')")
 
-    bases = F.regexp_extract("head", r"(?s)^[^:]*:(?!:)\s*(.*)$", 1)
-    extends = holders.select("qualified_name", F.explode(F.split(bases, ",")).alias("b")).select(
-        "qualified_name", F.regexp_extract("b", r"^\s*(?:(?:public|private|protected|virtual)\s+)*((?:\w+::)*\w+)\s*$", 1).alias("b")
-    )
-    member = r"^\s*(?:(?:public|private|protected)\s*:\s*)*((?:const\s+|static\s+|mutable\s+|volatile\s+)*)([\w:<>,\s]*?[\w>])\s+(\w+)\s*$"
-    fields = holders.select("qualified_name", F.explode(F.split(core.flat(F.col("body")), "[;}]")).alias("m")).select(
-        "qualified_name", F.regexp_extract("m", member, 2).alias("t"), F.regexp_extract("m", member, 3).alias("n")
+
+def _directive_facts(files: DataFrame) -> DataFrame:
+    macro, include = F.col("name") != "", F.col("target") != ""
+    import_edge = core.edge("IMPORTS", F.col("module_path"), F.col("target"), line=F.col("line_start"))
+    return core.facts(
+        directives(files),
+        core.only(macro, F.array(core.entity(kind=F.lit("Preprocessor"))), core.ENTITIES),
+        [core.only(macro, F.array(core.contains()), core.EDGES), core.only(include, F.array(import_edge), core.EDGES)],
     )
-    fields = fields.where("n <> ''")
-    variants = bodied.where("kind = 'Enum'").select("qualified_name", F.explode(F.split(core.flat(F.col("body")), ",")).alias("v"))
-    variants = variants.select("qualified_name", F.regexp_extract("v", r"^\s*(\w+)", 1).alias("v")).where("v <> ''")
-    relationships = [
-        core.contains(rows),
-        core.contains(macros),
-        core.edges(lines.where("target <> ''"), "IMPORTS", "module_path", "target", line=F.col("line_start")),
-        core.edges(extends.where("b <> ''"), "EXTENDS", "qualified_name", "b"),
-        core.edges(fields, "HAS_FIELD", "qualified_name", "t", field_name=F.col("n"), field_type=F.col("t")),
-        core.edges(variants, "HAS_VARIANT", "qualified_name", F.concat_ws("::", "qualified_name", "v"), variant_name=F.col("v")),
-        core.calls(bodied.where("kind IN ('Function', 'Method')"), CALL, KEYWORDS),
-    ]
-    return [core.entities(rows, signature=signature), core.entities(macros)], relationships
 
 
-def extract(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    found, relationships = [], []
-    for language, cpp in (("c", False), ("cpp", True)):
-        parts = _extract(files.where(F.col("language") == language), cpp)
-        found += parts[0]
-        relationships += parts[1]
-    return found, relationships
+def facts(files: DataFrame, cpp: bool) -> DataFrame:
+    return _declaration_facts(files, cpp).unionByName(_directive_facts(files))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweft.functions.text import content_hash, qualified
-from graphweft.schema import ENTITY_SCHEMA, RELATIONSHIP_SCHEMA, conform
+from graphweft.schema import ENTITY_SCHEMA, RELATIONSHIP_SCHEMA
 
 # What a scan finds: a declaration with character offsets into its file.
 # ``body`` is the offset of the opening brace or -1, ``stop`` is one past the
@@ -129,54 +130,73 @@ def declarations(
     ).drop("path")
 
 
-def entities(rows: DataFrame, **values: Column) -> DataFrame:
-    defaults = {
-        "visibility": F.lit("pub"),
-        "source_hash": content_hash(F.col("source_text")),
-        "is_async": F.lit(False),
-        "embedding": F.lit(None),
-    }
-    return conform(rows, ENTITY_SCHEMA, **{**defaults, **values})
-
+def with_body(rows: DataFrame) -> DataFrame:
+    """Add ``head`` (masked text before the block), ``body`` (the block without
+    its braces) and the line the body starts on; null without a block."""
+    at = F.col("body_at")
+    head = F.substring(F.col("masked_text"), F.lit(1), at)
+    return rows.select(
+        "*",
+        head.alias("head"),
+        F.substring(F.col("masked_text"), at + 2, F.length("masked_text") - at - 2).alias("body"),
+        (F.col("line_start") + newlines(head)).alias("body_line"),
+    )
 
-def edges(rows: DataFrame, rel_type: str, from_qn: str | Column, to_qn: str | Column, **values: Column) -> DataFrame:
-    def col(c):
-        return F.col(c) if isinstance(c, str) else c
 
-    fixed = {f.name: F.lit(None) for f in RELATIONSHIP_SCHEMA.fields}
-    return conform(
-        rows, RELATIONSHIP_SCHEMA, **{**fixed, "from_qn": col(from_qn), "to_qn": col(to_qn), "rel_type": F.lit(rel_type), **values}
+def _struct(schema: T.StructType, values: dict[str, Column | None]) -> Column:
+    fields = [values.get(f.name, None) for f in schema.fields]
+    return F.struct(
+        *[(F.lit(None) if v is None else v).cast(f.dataType).alias(f.name) for f, v in zip(schema.fields, fields)]
     )
 
 
-def contains(rows: DataFrame) -> DataFrame:
-    return edges(rows, "CONTAINS", "module_path", "qualified_name")
+def entity(**values: Column) -> Column:
+    """An entity as a struct. Fields that are not given come from the
+    declaration row the expression stands on."""
+    row = {c: F.col(c) for c in ("qualified_name", "name", "kind", "file_path", "module_path", "line_start", "line_end", "source_text")}
+    text = values.get("source_text", row["source_text"])
+    fixed = {"visibility": F.lit("pub"), "is_async": F.lit(False), "source_hash": content_hash(text)}
+    return _struct(ENTITY_SCHEMA, {**row, **fixed, **values})
 
 
-def calls(functions: DataFrame, pattern: str, keywords: tuple[str, ...], callee: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One CALLS edge per call site in the bodies of ``functions`` (which carry
-    ``body`` and the line ``body_line`` it starts on). Group 1 of ``pattern`` is
-    the callee."""
-    lines = F.transform(
-        F.split("body", "\n"),
-        lambda text, i: F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-            lambda name: F.struct((F.col("body_line") + i).cast("int").alias("line"), name.alias("callee")),
-        ),
-    )
-    sites = functions.select("qualified_name", F.inline(F.flatten(lines))).where(
-        (F.col("callee") != "") & ~F.col("callee").isin(*keywords)
-    )
-    target = callee(F.col("callee")) if callee else F.col("callee")
-    return edges(sites, "CALLS", "qualified_name", target, line=F.col("line"))
+def edge(rel_type: str, from_qn: Column, to_qn: Column, **values: Column) -> Column:
+    return _struct(RELATIONSHIP_SCHEMA, {"from_qn": from_qn, "to_qn": to_qn, "rel_type": F.lit(rel_type), **values})
 
 
-def with_body(rows: DataFrame) -> DataFrame:
-    """Rows that have a body, with ``head`` (text before it), ``body`` and the
-    line the body starts on."""
-    shaped = rows.where("body_at IS NOT NULL").withColumn("head", F.substring(F.col("masked_text"), F.lit(1), F.col("body_at")))
-    return shaped.select(
-        "*",
-        F.substring(F.col("masked_text"), F.col("body_at") + 2, F.length("masked_text") - F.col("body_at") - 2).alias("body"),
-        (F.col("line_start") + newlines(F.col("head"))).alias("body_line"),
-    )
+ENTITIES = ENTITY_SCHEMA.simpleString()
+EDGES = RELATIONSHIP_SCHEMA.simpleString()
+
+
+def contains() -> Column:
+    return edge("CONTAINS", F.col("module_path"), F.col("qualified_name"))
+
+
+def only(condition: Column, array: Column, element_type: str) -> Column:
+    """The array where the condition holds, else an empty one."""
+    return F.when(condition, array).otherwise(empty(element_type))
+
+
+def edges(condition: Column, values: Column, make: Callable[[Column], Column]) -> Column:
+    """One edge per element of an array, on rows that meet the condition."""
+    return only(condition, F.transform(values, make), EDGES)
+
+
+def named(parts: Column, pattern: str, group: int = 1) -> Column:
+    """What ``pattern`` finds in each text of an array, where it finds something."""
+    return F.filter(F.transform(parts, lambda p: F.regexp_extract(p, pattern, group)), lambda n: n != "")
+
+
+def calls(condition: Column, pattern: str, keywords: tuple[str, ...], body: str = "body", line: str = "body_line") -> Column:
+    """CALLS edges of the call sites in a body, one per site. Group 1 of
+    ``pattern`` is the callee."""
+
+    def sites(text: Column, offset: Column) -> Column:
+        names = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: (n != "") & ~n.isin(*keywords))
+        return F.transform(names, lambda n: edge("CALLS", F.col("qualified_name"), n, line=F.col(line) + offset))
+
+    return only(condition, F.flatten(F.transform(F.split(body, "\n"), sites)), EDGES)
+
+
+def facts(rows: DataFrame, entities: Column, relationships: list[Column]) -> DataFrame:
+    """What a declaration row contributes: (entities, edges), both arrays."""
+    return rows.select(entities.alias("entities"), F.concat(*relationships).alias("edges"))

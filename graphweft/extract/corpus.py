@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.extract import cfamily, css, html, python, rust, script
-from graphweft.operators.assembly import merge_entities, merge_relationships
+from graphweft.extract import cfamily, core, css, html, python, rust, script
+from graphweft.operators.assembly import merge_entities
+from graphweft.session import Scratch
 from graphweft.sources.files import file_entities, route
 
+# Which languages an extractor reads. An extractor turns (path, source) rows
+# into rows of (entities, edges).
 EXTRACTORS = {
-    ("rust",): rust.extract,
-    ("c", "cpp"): cfamily.extract,
-    ("python",): python.extract,
-    ("javascript", "typescript", "tsx"): script.extract,
-    ("html",): html.extract,
-    ("css",): css.extract,
+    ("rust",): rust.facts,
+    ("c",): partial(cfamily.facts, cpp=False),
+    ("cpp",): partial(cfamily.facts, cpp=True),
+    ("python",): python.facts,
+    ("javascript", "typescript", "tsx"): script.facts,
+    ("html",): html.facts,
+    ("css",): css.facts,
 }
 
 
+def facts(files: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """(entities, edges) rows of all routed files, File entities included."""
+    routed = route(files)
+    whole = file_entities(routed)
+    parts = [
+        whole.select(F.array(F.struct(*whole.columns).cast(core.ENTITIES)).alias("entities"), core.empty(core.EDGES).alias("edges"))
+    ]
+    for names, extractor in EXTRACTORS.items():
+        if languages is None or set(names) & set(languages):
+            parts.append(extractor(routed.where(F.col("language").isin(*names))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def extract(files: DataFrame, languages: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities, relationships) of all routed files of (path, source).
 
-    Entities with one qualified name collapse to the last in the file; the
-    relationships are a bag. ``languages`` limits the extractors that run.
+    Each file is scanned once: what it holds is written to the scratch folder,
+    and both tables are read from there. Entities with one qualified name
+    collapse to the last in the file; the relationships are a bag. ``languages``
+    limits the extractors that run.
     """
-    routed = route(files)
-    parts, bags = [file_entities(routed)], []
-    for names, extractor in EXTRACTORS.items():
-        if languages is not None and not set(names) & set(languages):
-            continue
-        found, relationships = extractor(routed.where(F.col("language").isin(*names)))
-        parts += found
-        bags += relationships
-    return merge_entities(parts), merge_relationships(bags)
+    found = Scratch(files.sparkSession).write(facts(files, languages), "facts")
+    entities = merge_entities([found.select(F.inline("entities"))])
+    return entities, found.select(F.inline("edges"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.extract import core
@@ -29,41 +29,39 @@ def declarations(files: DataFrame) -> DataFrame:
     return core.declarations(files, found, masked)
 
 
-def extract(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def facts(files: DataFrame) -> DataFrame:
     rows = declarations(files)
-    rules = rows.where("kind <> 'Import'").withColumn("at", F.col("kind")).withColumn("kind", F.lit("CssRule"))
+    kind, name, qn = F.col("kind"), F.col("name"), F.col("qualified_name")
+    imported = kind == "Import"
+    parts = F.split(name, r",(?![^(\[]*[)\]])")
 
-    parts = F.split("name", r",(?![^(\[]*[)\]])")
-    selectors = (
-        rules.where("at = 'CssRule'")
-        .select("file_path", F.col("qualified_name").alias("module_path"), F.col("name").alias("whole"), "line_start", F.posexplode(parts).alias("i", "part"))
-        .select(
-            "file_path",
-            "module_path",
-            "whole",
-            F.trim(F.regexp_replace("part", r"^\s+|\s+$", "")).alias("name"),
-            # Lines before the selector inside the rule's text.
-            (
-                F.col("line_start")
-                + core.newlines(F.array_join(F.slice(F.split("whole", r",(?![^(\[]*[)\]])"), F.lit(1), F.col("i")), ","))
-                + core.newlines(F.regexp_extract("part", r"^\s*", 0))
-            ).alias("line_start"),
+    def selector(part: Column, i: Column) -> Column:
+        text = F.regexp_replace(part, r"^\s+|\s+$", "")
+        # Lines before the selector inside the rule.
+        before = core.newlines(F.array_join(F.slice(parts, F.lit(1), i), ",")) + core.newlines(F.regexp_extract(part, r"^\s*", 0))
+        first = F.col("line_start") + before
+        return core.entity(
+            kind=F.lit("CssSelector"),
+            name=text,
+            module_path=qn,
+            qualified_name=qualified(qn, text),
+            source_text=text,
+            line_start=first,
+            line_end=first + core.newlines(text),
         )
-        .where("name <> '' AND name <> whole")
-    )
-    selectors = selectors.select(
-        "*",
-        F.lit("CssSelector").alias("kind"),
-        qualified(F.col("module_path"), F.col("name")).alias("qualified_name"),
-        F.col("name").alias("source_text"),
-        (F.col("line_start") + core.newlines(F.col("name"))).alias("line_end"),
-    )
-    statement = rows.where("kind = 'Import'")
+
+    listed = F.filter(F.transform(parts, selector), lambda e: (e["name"] != "") & (e["name"] != name))
+    selectors = core.only(kind == "CssRule", listed, core.ENTITIES)
     target = F.regexp_extract("source_text", r"""(?s)^@import\s+(url\([^)]*\)|"[^"]*"|'[^']*')""", 1)
     bare = F.regexp_replace(F.regexp_replace(target, r"^url\((.*)\)$", "$1"), r"""^["' ]+|["' ]+$""", "")
-    imports = statement.select("module_path", "line_start", bare.alias("to")).where("to <> ''")
-    return [core.entities(rules), core.entities(selectors)], [
-        core.contains(rules),
-        core.contains(selectors),
-        core.edges(imports, "IMPORTS", "module_path", "to", line=F.col("line_start")),
-    ]
+    import_edge = core.edge("IMPORTS", F.col("module_path"), bare, line=F.col("line_start"))
+    rows = rows.withColumn("selectors", selectors)
+    return core.facts(
+        rows,
+        core.only(~imported, F.concat(F.array(core.entity(kind=F.lit("CssRule"))), F.col("selectors")), core.ENTITIES),
+        [
+            core.only(~imported, F.array(core.contains()), core.EDGES),
+            core.edges(F.lit(True), F.col("selectors"), lambda e: core.edge("CONTAINS", e["module_path"], e["qualified_name"])),
+            core.only(imported & (bare != ""), F.array(import_edge), core.EDGES),
+        ],
+    )

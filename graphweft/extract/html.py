@@ -147,10 +147,15 @@ def elements(
     return rows.withColumn("kind", F.lit("HtmlElement")).withColumn("qualified_name", qualified(F.col("module_path"), F.col("name")))
 
 
+def _reference() -> Column:
+    return core.edge("IMPORTS", F.col("qualified_name"), F.col("ref"), line=F.col("line_start"))
+
+
 def references(rows: DataFrame) -> DataFrame:
-    return core.edges(rows.where("ref IS NOT NULL"), "IMPORTS", "qualified_name", "ref", line=F.col("line_start"))
+    """IMPORTS edges of the elements that reference something."""
+    return rows.where("ref IS NOT NULL").select(_reference().alias("e")).select("e.*")
 
 
-def extract(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    rows = elements(files)
-    return [core.entities(rows)], [core.contains(rows), references(rows)]
+def facts(files: DataFrame) -> DataFrame:
+    referenced = core.only(F.col("ref").isNotNull(), F.array(_reference()), core.EDGES)
+    return core.facts(elements(files), F.array(core.entity()), [F.array(core.contains()), referenced])

@@ -158,38 +158,40 @@ def declarations(files: DataFrame) -> DataFrame:
     return core.declarations(files, _scan(F.col("source"), F.col("masked"), F.col("path")), masked)
 
 
-def extract(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def facts(files: DataFrame) -> DataFrame:
     rows = declarations(files)
-    name = F.col("name")
-    items = rows.where("kind <> 'Import'")
-    function = F.col("kind").isin("Function", "Method", "Constructor")
-    # A heading ends with the first colon that ends its line.
+    kind, name, qn = F.col("kind"), F.col("name"), F.col("qualified_name")
+    imported = kind == "Import"
+    function = kind.isin("Function", "Method", "Constructor")
+    # A heading ends with the first colon that ends its line; a block on the
+    # heading's own line has none, then it ends behind the parameter list.
     heading = F.length(F.regexp_extract("masked_text", r"(?s)^.*?:[ \t]*(?=\n|$)", 0))
-    items = items.withColumn("_h", F.when(function | (F.col("kind") == "Class"), heading))
-    # A block on the heading's own line has no such colon.
-    one_line = F.length(F.regexp_extract("masked_text", r"(?s)^[^(:]*(?:\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))?[^:]*:", 0))
-    items = items.withColumn("_h", F.when(F.col("_h") == 0, one_line).otherwise(F.col("_h")))
-    head = F.expr("left(source_text, _h)")
-    body = F.expr("substring(source_text, _h + 1)")
-
-    params = F.regexp_extract(head, r"(?s)^(?:async\s+)?def\s+\w+\s*(\(.*\))\s*(?:->.*)?:\s*$", 1)
-    returned = F.regexp_extract(head, r"(?s)\)\s*->\s*(.*?)\s*:\s*$", 1)
-    signature = F.when(
-        function, F.concat(F.lit("def "), name, params, F.when(returned != "", F.concat(F.lit(" -> "), returned)).otherwise(""))
+    listed = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+    one_line = F.length(F.regexp_extract("masked_text", rf"(?s)^[^(:]*(?:{listed})?[^:]*:", 0))
+    rows = rows.withColumn("_h", F.when(function | (kind == "Class"), F.when(heading > 0, heading).otherwise(one_line)))
+    rows = rows.select(
+        "*",
+        F.expr("left(source_text, _h)").alias("head"),
+        F.expr("left(masked_text, _h)").alias("masked_head"),
+        F.expr("substring(masked_text, _h + 1)").alias("body"),
+        (F.col("line_start") + core.newlines(F.expr("left(masked_text, _h)"))).alias("body_line"),
     )
+
+    params = F.regexp_extract("head", r"(?s)^(?:async\s+)?def\s+\w+\s*(\(.*\))\s*(?:->.*)?:\s*$", 1)
+    returned = F.regexp_extract("head", r"(?s)\)\s*->\s*(.*?)\s*:\s*$", 1)
+    typed = F.when(returned != "", F.concat(F.lit(" -> "), returned)).otherwise("")
     text = r"""[rRuUbBfF]{0,2}(?:\"{3}(?:(?!\"{3}).)*+\"{3}|'{3}(?:(?!'{3}).)*+'{3}|"[^"\n]*"|'[^'\n]*')"""
-    doc = F.regexp_extract(body, rf"(?s)^(?:\s*#[^\n]*\n)*\s*({text})\s*(?:\n|$)", 1)
+    doc = F.regexp_extract(F.expr("substring(source_text, _h + 1)"), rf"(?s)^(?:\s*#[^\n]*\n)*\s*({text})\s*(?:\n|$)", 1)
     visibility = (
         F.when(~function, "pub")
         .when(name.startswith("__") & ~name.endswith("__"), "private")
         .when(name.startswith("_"), "pub(crate)")
         .otherwise("pub")
     )
-    constant = (F.col("kind") == "Variable") & name.rlike(r"^[\p{Lu}_]+$")
-    found = core.entities(
-        items,
-        kind=F.when(constant, "Constant").otherwise(F.col("kind")),
-        signature=signature,
+    constant = (kind == "Variable") & name.rlike(r"^[\p{Lu}_]+$")
+    found = core.entity(
+        kind=F.when(constant, "Constant").otherwise(kind),
+        signature=F.when(function, F.concat(F.lit("def "), name, params, typed)),
         doc_comment=F.when(function & (doc != ""), doc),
         visibility=visibility,
         is_async=function & F.col("source_text").startswith("async "),
@@ -197,29 +199,21 @@ def extract(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
 
     statement = F.regexp_replace(F.regexp_replace("masked_text", r"[()\\]", " "), r"\s+", " ")
     plain = F.regexp_extract(statement, r"^import (.*?)\s*$", 1)
-    origin = F.regexp_extract(statement, r"^from (\S+) import ", 1)
+    origin = F.regexp_extract(statement, r"^from ([^.\s]\S*) import ", 1)
     names = F.regexp_extract(statement, r"^from \S+ import (.*?)\s*$", 1)
-    listed = F.concat(
-        F.when(origin.rlike(r"^[^.]"), F.array(origin)).otherwise(core.empty("string")), F.split(F.concat_ws(",", F.nullif(plain, F.lit("")), F.nullif(names, F.lit(""))), ",")
+    targets = core.named(
+        F.concat(F.array(origin), F.split(plain, ","), F.split(names, ",")), r"^\s*([\w.]+)(?:\s+as\s+\w+)?\s*$"
     )
-    imports = rows.where("kind = 'Import'").select("module_path", "line_start", F.explode(listed).alias("n"))
-    imports = imports.select("module_path", "line_start", F.regexp_extract("n", r"^\s*([\w.]+)(?:\s+as\s+\w+)?\s*$", 1).alias("n"))
-
-    inside = F.regexp_extract(F.expr("left(masked_text, _h)"), r"(?s)^class\s+\w+\s*\((.*)\)\s*:", 1)
-    extends = items.where("kind = 'Class'").select("qualified_name", F.explode(F.split(core.flat(inside), ",")).alias("b"))
-    extends = extends.select("qualified_name", F.regexp_extract("b", rf"^\s*({_WORD}(?:\.{_WORD})*)\s*$", 1).alias("b")).where("b <> ''")
-
-    decorated = items.where(function).select("qualified_name", F.explode("notes").alias("d"))
-    bodied = items.where(function).select(
-        "qualified_name",
-        F.expr("substring(masked_text, _h + 1)").alias("body"),
-        (F.col("line_start") + core.newlines(F.expr("left(masked_text, _h)"))).alias("body_line"),
+    inside = F.regexp_extract("masked_head", r"(?s)^class\s+\w+\s*\((.*)\)\s*:", 1)
+    bases = core.named(F.split(core.flat(inside), ","), rf"^\s*({_WORD}(?:\.{_WORD})*)\s*$")
+    return core.facts(
+        rows,
+        core.only(~imported, F.array(found), core.ENTITIES),
+        [
+            core.only(~imported, F.array(core.contains()), core.EDGES),
+            core.edges(imported, targets, lambda t: core.edge("IMPORTS", F.col("module_path"), t, line=F.col("line_start"))),
+            core.edges(kind == "Class", bases, lambda b: core.edge("EXTENDS", qn, b)),
+            core.edges(function, F.col("notes"), lambda d: core.edge("USES_TYPE", qn, d)),
+            core.calls(function, CALL, KEYWORDS),
+        ],
     )
-    relationships = [
-        core.contains(items),
-        core.edges(imports.where("n <> ''"), "IMPORTS", "module_path", "n", line=F.col("line_start")),
-        core.edges(extends, "EXTENDS", "qualified_name", "b"),
-        core.edges(decorated, "USES_TYPE", "qualified_name", "d"),
-        core.calls(bodied, CALL, KEYWORDS),
-    ]
-    return [found], relationships

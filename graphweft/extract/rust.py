@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweft.extract import core
 from graphweft.extract.braces import Rule, scan
+from graphweft.functions.text import qualified
 
 # Comments (nested block comments are not followed), strings and characters.
 HIDDEN = (
@@ -99,42 +100,45 @@ def declarations(files: DataFrame) -> DataFrame:
     )
 
 
-def extract(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    rows = declarations(files)
-    items = rows.where("kind <> 'Import'")
+def facts(files: DataFrame) -> DataFrame:
+    rows = core.with_body(declarations(files))
+    kind, qn = F.col("kind"), F.col("qualified_name")
+    imported = kind == "Import"
     signature_words = F.regexp_extract(F.col("signature"), r"^(.*?)\bfn\b", 1)
-    found = core.entities(
-        items,
+    found = core.entity(
         visibility=_visibility(F.col("source_text")),
         doc_comment=_doc(F.col("lead_text")),
+        signature=F.col("signature"),
         is_async=F.coalesce(signature_words.rlike(r"\basync\b"), F.lit(False)),
     )
-    bodied = core.with_body(items)
     path = F.trim(F.regexp_replace(F.regexp_replace("source_text", r"^(?:use )+", ""), r";+$", ""))
-    imports = core.edges(rows.where("kind = 'Import'"), "IMPORTS", "module_path", path, line=F.col("line_start"))
-
-    fields = bodied.where("kind = 'Struct'").select("qualified_name", F.explode(F.split(F.regexp_replace("body", r"#\[[^\]]*\]", ""), ",")).alias("f"))
-    field = r"^\s*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:\s*([A-Za-z_]\w*)\s*$"
-    fields = fields.select("qualified_name", F.regexp_extract("f", field, 1).alias("n"), F.regexp_extract("f", field, 2).alias("t"))
-    fields = fields.where((F.col("n") != "") & ~F.col("t").isin(*PRIMITIVES))
-
-    variants = bodied.where("kind = 'Enum'").select(
-        "qualified_name", F.explode(F.split(core.flat(F.regexp_replace("body", r"#\[[^\]]*\]", "")), ",")).alias("v")
+    import_edge = core.edge("IMPORTS", F.col("module_path"), path, line=F.col("line_start"))
+
+    members = F.regexp_replace("body", r"#\[[^\]]*\]", "")
+    pattern = r"^\s*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:\s*([A-Za-z_]\w*)\s*$"
+    fields = F.filter(
+        F.transform(
+            F.split(members, ","),
+            lambda f: F.struct(F.regexp_extract(f, pattern, 1).alias("name"), F.regexp_extract(f, pattern, 2).alias("type")),
+        ),
+        lambda f: (f["name"] != "") & ~f["type"].isin(*PRIMITIVES),
+    )
+    variants = core.named(F.split(core.flat(members), ","), r"^\s*(\w+)")
+    bounds = F.split(F.regexp_extract("head", r"(?s)^[^:]*:\s*(.*?)\s*(?:where\b.*)?$", 1), r"\s*\+\s*")
+    bodied = F.col("body_at").isNotNull()
+    implements = (kind == "Impl") & F.col("trait").isNotNull()
+    return core.facts(
+        rows,
+        core.only(~imported, F.array(found), core.ENTITIES),
+        [
+            F.when(imported, F.array(import_edge)).otherwise(F.array(core.contains())),
+            core.edges(
+                bodied & (kind == "Struct"), fields, lambda f: core.edge("HAS_FIELD", qn, f["type"], field_name=f["name"], field_type=f["type"])
+            ),
+            core.edges(bodied & (kind == "Enum"), variants, lambda v: core.edge("HAS_VARIANT", qn, qualified(qn, v), variant_name=v)),
+            core.edges(bodied & (kind == "Trait"), core.named(bounds, r"^([A-Za-z_]\w*)$"), lambda b: core.edge("EXTENDS", qn, b)),
+            core.only(kind == "Impl", F.array(core.edge("IMPL_FOR", qn, F.col("type"))), core.EDGES),
+            core.only(implements, F.array(core.edge("IMPLEMENTS", qn, F.col("trait"))), core.EDGES),
+            core.calls(bodied & kind.isin("Function", "Method"), CALL, KEYWORDS),
+        ],
     )
-    variants = variants.select("qualified_name", F.regexp_extract("v", r"^\s*(\w+)", 1).alias("v")).where("v <> ''")
-
-    bounds = F.regexp_extract("head", r"(?s)^[^:]*:\s*(.*?)\s*(?:where\b.*)?$", 1)
-    traits = bodied.where("kind = 'Trait'").select("qualified_name", F.explode(F.split(bounds, r"\s*\+\s*")).alias("b"))
-    traits = traits.where(F.col("b").rlike(r"^[A-Za-z_]\w*$"))
-    impls = items.where("kind = 'Impl'")
-    relationships = [
-        core.contains(items),
-        imports,
-        core.edges(fields, "HAS_FIELD", "qualified_name", "t", field_name=F.col("n"), field_type=F.col("t")),
-        core.edges(variants, "HAS_VARIANT", "qualified_name", F.concat_ws("::", "qualified_name", "v"), variant_name=F.col("v")),
-        core.edges(traits, "EXTENDS", "qualified_name", "b"),
-        core.edges(impls, "IMPL_FOR", "qualified_name", "type"),
-        core.edges(impls.where("trait IS NOT NULL"), "IMPLEMENTS", "qualified_name", "trait"),
-        core.calls(bodied.where("kind IN ('Function', 'Method')"), CALL, KEYWORDS),
-    ]
-    return [found], relationships

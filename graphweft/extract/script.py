@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.extract import core
 from graphweft.extract.braces import Rule, scan
+from graphweft.functions.text import qualified
 
 HIDDEN = (
     r'/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'" r"|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
@@ -62,7 +63,6 @@ def _rows(files: DataFrame) -> DataFrame:
     return (
         rows.withColumn("declared", declared)
         .withColumn("_k", F.when(declared, keyword).otherwise(0))
-        .withColumn("statement", F.col("masked_text"))
         .withColumn("source_text", F.when(declared, trimmed).otherwise(F.regexp_replace("source_text", r";+$", "")))
         .withColumn("masked_text", F.expr("substring(masked_text, _k + 1)"))
         .withColumn("body_at", F.col("body_at") - F.col("_k"))
@@ -70,84 +70,77 @@ def _rows(files: DataFrame) -> DataFrame:
     )
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """Method and property signatures of interfaces, one per row."""
-    bodied = core.with_body(rows).where("kind = 'Interface'")
+def _members() -> Column:
+    """Method and property signatures of an interface as entities."""
     # Line breaks inside brackets go with the brackets, so a member is a part.
     parts = F.split(core.flat(F.col("body")), r"(?<=[;,\n])")
-    at = F.transform(
-        parts,
-        lambda part, i: F.struct(
-            part.alias("text"),
-            (F.col("body_line") + core.newlines(F.array_join(F.slice(parts, F.lit(1), i), "")) + core.newlines(F.regexp_extract(part, r"^\s*", 0))).alias("line_start"),
-        ),
-    )
-    found = bodied.select("file_path", F.col("qualified_name").alias("module_path"), F.inline(at))
-    name = r"^\s*(?:readonly\s+)?([A-Za-z_$][\w$]*)\s*\??\s*"
-    found = found.withColumn("name", F.regexp_extract("text", name + r"(?=[(<:])", 1)).where("name <> ''")
-    return found.select(
-        "file_path",
-        "module_path",
-        "name",
-        F.regexp_replace("text", r"^\s+|[\s;,]+$", "").alias("source_text"),
-        F.when(F.col("text").rlike(name + r"[(<]"), "Method").otherwise("Property").alias("kind"),
-        F.col("line_start").cast("int").alias("line_start"),
-        F.col("line_start").cast("int").alias("line_end"),
-        F.concat_ws("::", "module_path", "name").alias("qualified_name"),
-    )
+    pattern = r"^\s*(?:readonly\s+)?([A-Za-z_$][\w$]*)\s*\??\s*"
+    qn = F.col("qualified_name")
+
+    def member(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, pattern + r"(?=[(<:])", 1)
+        before = core.newlines(F.array_join(F.slice(parts, F.lit(1), i), "")) + core.newlines(F.regexp_extract(part, r"^\s*", 0))
+        return core.entity(
+            kind=F.when(part.rlike(pattern + r"[(<]"), "Method").otherwise("Property"),
+            name=name,
+            module_path=qn,
+            qualified_name=qualified(qn, name),
+            source_text=F.regexp_replace(part, r"^\s+|[\s;,]+$", ""),
+            line_start=F.col("body_line") + before,
+            line_end=F.col("body_line") + before,
+        )
 
+    found = F.filter(F.transform(parts, member), lambda e: e["name"] != "")
+    return core.only(F.col("body_at").isNotNull() & (F.col("kind") == "Interface"), found, core.ENTITIES)
 
-def extract(files: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    rows = _rows(files)
-    items = rows.where("kind <> 'Import'")
-    members = _members(items)
-    text = F.col("source_text")
-    function = F.col("kind") == "Function"
-    method = F.col("kind").isin("Method", "Constructor")
-    params = F.regexp_extract(text, r"(?s)^[^(]*?(\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))", 1)
-    returned = F.regexp_extract(text, r"(?s)^[^(]*?\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)\s*:\s*([^={]+?)\s*\{", 1)
+
+def facts(files: DataFrame) -> DataFrame:
+    rows = core.with_body(_rows(files)).withColumn("members", _members())
+    kind, name, qn, text = F.col("kind"), F.col("name"), F.col("qualified_name"), F.col("source_text")
+    imported = kind == "Import"
+    function = kind == "Function"
+    method = kind.isin("Method", "Constructor")
     arrow = F.col("declared") & function
+    listed = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+    params = F.regexp_extract(text, rf"(?s)^[^(]*?({listed})", 1)
+    returned = F.regexp_extract(text, rf"(?s)^[^(]*?{listed}\s*:\s*([^={{]+?)\s*\{{", 1)
     bare_arrow = F.regexp_extract(text, r"=\s*(?:async\s+)?([A-Za-z_$][\w$]*)\s*=>", 1)
+    typed = F.when(returned != "", F.concat(F.lit(": "), returned)).otherwise("")
     signature = (
-        F.when(arrow & (bare_arrow == ""), F.concat(F.lit("const "), "name", F.lit(" = "), params))
-        .when(function & ~F.col("declared"), F.concat(F.lit("function "), "name", params, F.when(returned != "", F.concat(F.lit(": "), returned)).otherwise("")))
-        .when(method, F.concat("name", params))
+        F.when(arrow & (bare_arrow == ""), F.concat(F.lit("const "), name, F.lit(" = "), params))
+        .when(function & ~F.col("declared"), F.concat(F.lit("function "), name, params, typed))
+        .when(method, F.concat(name, params))
     )
     is_async = (
         (arrow & text.rlike(r"^[^=]*=\s*async\s"))
         | (function & ~F.col("declared") & text.startswith("async "))
         | (method & F.contains(text, F.lit("async ")))
     )
-    visibility = F.when((F.col("kind") == "Method") & F.col("name").startswith("#"), "private").otherwise("pub")
-    found = core.entities(items, signature=signature, is_async=is_async, visibility=visibility)
+    visibility = F.when((kind == "Method") & name.startswith("#"), "private").otherwise("pub")
+    found = F.array(core.entity(signature=signature, is_async=is_async, visibility=visibility))
 
     module = F.regexp_extract(text, r"""(?s)^import\b.*?["']([^"']*)["']\s*(?:with\b.*)?;?\s*$""", 1)
-    imports = rows.where("kind = 'Import'").select("module_path", "line_start", module.alias("m")).where("m <> ''")
-    bodied = core.with_body(items)
+    import_edge = core.edge("IMPORTS", F.col("module_path"), module, line=F.col("line_start"))
+    bodied = F.col("body_at").isNotNull()
     # Only plain scripts name the base class directly under the class heading.
     base = F.regexp_extract("head", r"^class\s+[\w$]+\s+extends\s+([A-Za-z_$][\w$]*)\s*$", 1)
-    classes = bodied.where("kind = 'Class' AND plain").select("qualified_name", base.alias("b"))
-    bases = F.regexp_extract("head", r"(?s)\sextends\s+(.*)$", 1)
-    interfaces = bodied.where("kind = 'Interface'").select("qualified_name", F.explode(F.split(bases, r"\s*,\s*")).alias("b"))
-    interfaces = interfaces.select("qualified_name", F.trim(F.regexp_replace("b", r"^\s+|\s+$", "")).alias("b"))
-    interfaces = interfaces.where(F.col("b").rlike(r"^[A-Za-z_$][\w$]*$"))
-    variants = bodied.where("kind = 'Enum'").select("qualified_name", F.explode(F.split(core.flat(F.col("body")), ",")).alias("v"))
-    variants = variants.select("qualified_name", F.regexp_extract("v", r"^\s*([A-Za-z_$][\w$]*)", 1).alias("v")).where("v <> ''")
+    bases = F.split(F.regexp_extract("head", r"(?s)\sextends\s+(.*)$", 1), ",")
+    variants = core.named(F.split(core.flat(F.col("body")), ","), r"^\s*([A-Za-z_$][\w$]*)")
     # An arrow without a block calls from its expression.
     expression = F.regexp_extract("masked_text", r"(?s)^[^=]*=\s*(?:async\s+)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]*)?=>(?!\s*\{)(.*)$", 1)
-    short = items.where(function & F.col("body_at").isNull()).select(
-        "qualified_name",
-        expression.alias("body"),
-        (F.col("line_start") + core.newlines(F.col("masked_text")) - core.newlines(expression)).alias("body_line"),
+    rows = rows.withColumn("_body", F.coalesce("body", expression)).withColumn(
+        "_line", F.coalesce("body_line", F.col("line_start") + core.newlines(F.col("masked_text")) - core.newlines(expression))
+    )
+    return core.facts(
+        rows,
+        core.only(~imported, F.concat(found, F.col("members")), core.ENTITIES),
+        [
+            core.only(~imported, F.array(core.contains()), core.EDGES),
+            core.edges(F.lit(True), F.col("members"), lambda e: core.edge("CONTAINS", e["module_path"], e["qualified_name"])),
+            core.only(imported & (module != ""), F.array(import_edge), core.EDGES),
+            core.only(bodied & (kind == "Class") & F.col("plain") & (base != ""), F.array(core.edge("EXTENDS", qn, base)), core.EDGES),
+            core.edges(bodied & (kind == "Interface"), core.named(bases, r"^\s*([A-Za-z_$][\w$]*)\s*$"), lambda b: core.edge("EXTENDS", qn, b)),
+            core.edges(bodied & (kind == "Enum"), variants, lambda v: core.edge("HAS_VARIANT", qn, qualified(qn, v), variant_name=v)),
+            core.calls(function | method, CALL, KEYWORDS, "_body", "_line"),
+        ],
     )
-    callers = bodied.where(function | method).select("qualified_name", "body", "body_line").unionByName(short)
-    relationships = [
-        core.contains(items),
-        core.contains(members),
-        core.edges(imports, "IMPORTS", "module_path", "m", line=F.col("line_start")),
-        core.edges(classes.where("b <> ''"), "EXTENDS", "qualified_name", "b"),
-        core.edges(interfaces, "EXTENDS", "qualified_name", "b"),
-        core.edges(variants, "HAS_VARIANT", "qualified_name", F.concat_ws("::", "qualified_name", "v"), variant_name=F.col("v")),
-        core.calls(callers, CALL, KEYWORDS),
-    ]
-    return [found, core.entities(members)], relationships

@@ -64,12 +64,12 @@ def _register(language: str, entities: list[tuple], edges: list[tuple]) -> None:
 
     @query(f"declaration_scan_{language}", _entities_sql(language, entities))
     def _entities(spark, sf_dir) -> DataFrame:
-        found, _ = corpus.extract(tables.code_files(spark, sf_dir, language))
+        found, _ = corpus.extract(tables.code_files(spark, sf_dir, language), (language,))
         return found.select(*ENTITY_FIELDS)
 
     @query(f"relationships_{language}", _edges_sql(language, contained + edges))
     def _edges(spark, sf_dir) -> DataFrame:
-        _, bag = corpus.extract(tables.code_files(spark, sf_dir, language))
+        _, bag = corpus.extract(tables.code_files(spark, sf_dir, language), (language,))
         return bag.select(*EDGE_FIELDS)
 
 

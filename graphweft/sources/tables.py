@@ -136,8 +136,15 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that each stand for much work, over all cores. Only a table with
+    fewer splits than cores is moved; a large one has splits enough."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.col("html").alias("source"),
     )
@@ -277,5 +284,5 @@ def template_sql(template: str) -> str:
 def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     """(path, source): one generated source file per row of the language's table."""
     name, path, text = CODE_FILES[language]
-    rows = table(spark, sf_dir, name)
+    rows = spread(table(spark, sf_dir, name))
     return rows.select(F.expr(template_sql(path)).alias("path"), F.expr(template_sql(text)).alias("source"))
