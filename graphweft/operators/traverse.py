@@ -84,6 +84,9 @@ def neighbors(graph: KnowledgeGraph, targets: DataFrame, depth: int = 1, directi
     )
 
 
+_GAP = "\u0001"
+
+
 def _node(qn: str, kind: str) -> Column:
     # Sorts by qualified name first; no name holds the separator.
     return F.concat(F.col(qn), F.lit("\u0000"), F.col(kind))
@@ -105,17 +108,25 @@ def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_
     spark = graph.entities.sparkSession
     scratch = Scratch(spark)
     edges = incidences(graph.relationships, "both")
-    adjacency = scratch.write(edges.select(_node("near_qn", "near_kind").alias("near"), _node("far_qn", "far_kind").alias("far")), "adjacency")
+    adjacency = scratch.write(
+        edges.select(_node("near_qn", "near_kind").alias("near"), _node("far_qn", "far_kind").alias("far")), "adjacency"
+    )
+    pairs, wanted = scratch.write_counted(pairs.select("pair_id", "from_qn", "to_qn"), "pairs")
     nodes = graph.entities.select("qualified_name", _node("qualified_name", "kind").alias("node"))
+    # A path is kept as one string of nodes; the separators sort below any name,
+    # so strings compare as the node sequences do.
+    gap = F.lit(_GAP)
 
-    def level_zero(end: str) -> DataFrame:
+    def level_zero(end: str) -> dict:
         start = pairs.select("pair_id", F.col(end).alias("qualified_name")).join(nodes, "qualified_name")
-        return scratch.write(start.select("pair_id", "node", F.array("node").alias("path")), f"start_{end}")
+        opened, size = scratch.write_counted(start.select("pair_id", "node", F.col("node").alias("path")), f"start_{end}")
+        return {"open": opened, "before": None, "size": size}
 
     def extend(side: dict, forward: bool) -> DataFrame:
-        path = F.array_append("path", F.col("far")) if forward else F.array_prepend("path", F.col("far"))
+        path = F.concat("path", gap, "far") if forward else F.concat("far", gap, "path")
         step = (
-            side["open"].join(adjacency, F.col("node") == F.col("near"))
+            side["open"]
+            .join(adjacency, F.col("node") == F.col("near"))
             .select("pair_id", F.col("far").alias("node"), path.alias("path"))
             .groupBy("pair_id", "node")
             .agg(F.min("path").alias("path"))
@@ -126,45 +137,40 @@ def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_
                 step = step.join(seen.select("pair_id", "node"), ["pair_id", "node"], "left_anti")
         return step
 
-    sides = {}
-    for forward, end in ((True, "from_qn"), (False, "to_qn")):
-        opened = level_zero(end)
-        sides[forward] = {"open": opened, "before": None, "size": opened.count()}
-
-    def meet(hops: int) -> DataFrame:
-        ahead = sides[True]["open"].select("pair_id", "node", "path")
-        behind = sides[False]["open"].select("pair_id", "node", F.col("path").alias("rest"))
-        whole = F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))
-        return (
-            ahead.join(behind, ["pair_id", "node"])
-            .groupBy("pair_id")
-            .agg(F.min(whole).alias("path"))
-            .select("pair_id", F.lit(hops).alias("hops"), "path")
-        )
+    def meet(hops: int) -> tuple[DataFrame, int]:
+        ahead = sides[True]["open"]
+        behind = sides[False]["open"].withColumnRenamed("path", "rest")
+        # Both paths hold the node they meet at.
+        whole = F.concat("path", F.expr("substring(rest, length(node) + 1)"))
+        best = ahead.join(behind, ["pair_id", "node"]).groupBy("pair_id").agg(F.min(whole).alias("path"))
+        return scratch.write_counted(best.select("pair_id", F.lit(hops).alias("hops"), "path"), "met")
 
-    met = [scratch.write(meet(0), "met")]
-    finished = met[0].count()
-    hops = 0
+    sides = {True: level_zero("from_qn"), False: level_zero("to_qn")}
+    met, finished, hops = [], 0, 0
     while True:
-        if finished:
-            for side in sides.values():
-                side["open"] = scratch.write(side["open"].join(met[-1].select("pair_id"), "pair_id", "left_anti"), "open")
-                side["size"] = side["open"].count()
-        if hops == max_hops or not sides[True]["size"] or not sides[False]["size"]:
+        part, size = meet(hops)
+        met.append(part)
+        finished += size
+        if finished == wanted or hops == max_hops:
             break
+        if size:
+            for side in sides.values():
+                side["open"], side["size"] = scratch.write_counted(
+                    side["open"].join(part.select("pair_id"), "pair_id", "left_anti"), "open"
+                )
         hops += 1
         forward = sides[True]["size"] <= sides[False]["size"]
         side = sides[forward]
-        following = scratch.write(extend(side, forward), f"hop{hops}")
-        side.update(before=side["open"], open=following, size=following.count())
-        met.append(scratch.write(meet(hops), "met"))
-        finished = met[-1].count()
+        following, size = scratch.write_counted(extend(side, forward), f"hop{hops}")
+        side.update(before=side["open"], open=following, size=size)
+        if not size:
+            break
 
     found = met[0]
     for part in met[1:]:
         found = found.unionByName(part)
     as_struct = F.transform(
-        "path",
+        F.split("path", _GAP),
         lambda n: F.struct(
             F.substring_index(n, "\u0000", 1).alias("qualified_name"), F.substring_index(n, "\u0000", -1).alias("kind")
         ),

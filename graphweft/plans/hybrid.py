@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from graphweft.functions.vectors import is_nonzero
 from graphweft.operators.lookup import get_entity, name_search
 from graphweft.operators.traverse import incidences
-from graphweft.operators.vector import topk_overall, vector_topk
+from graphweft.operators.vector import QUERIES_IN_PLAN, topk_overall, vector_topk
 from graphweft.schema import (
     DEFAULT_TOP_K,
     DEPENDENCY_EDGE_TYPES,
@@ -21,10 +22,10 @@ from graphweft.schema import (
     VECTOR_WEIGHT,
     KnowledgeGraph,
 )
-from graphweft.session import Scratch
+from graphweft.session import Scratch, rows_within
 
-# A match table holds at most k rows per query, so its size is known before the
-# job runs. Up to this many rows it is broadcast to the edges.
+# A match table holds at most k rows per query and is counted when written. Up to
+# this many rows it is broadcast to the edges, beyond that it is joined.
 BROADCAST_ROWS = 100_000
 
 
@@ -41,14 +42,21 @@ def relevance(vector_score, distance):
     return VECTOR_WEIGHT * vector_score + GRAPH_WEIGHT / (1 + distance)
 
 
-def first_matches(graph: KnowledgeGraph, queries: DataFrame, k: int) -> DataFrame:
+def first_matches(graph: KnowledgeGraph, queries, k: int) -> DataFrame:
     """Direct matches, at most ``k`` per query: by vector where the query has a
-    usable one, by name otherwise. Columns: query_id, name, qualified_name, kind,
+    usable one, by name otherwise. ``queries`` is a DataFrame or a list of
+    (query_id, text, vector). Columns: query_id, name, qualified_name, kind,
     score, rank."""
-    usable = is_nonzero(F.col("vector"))
-    by_vector = vector_topk(graph.entities, queries.where(usable).select("query_id", "vector"), k, SEARCHABLE_KINDS)
-    by_name = name_search(graph.entities, queries.where(~usable).select("query_id", "text"), k)
-    return topk_overall(by_vector.unionByName(by_name), k)
+    if isinstance(queries, DataFrame):
+        usable = is_nonzero(F.col("vector"))
+        by_vector = queries.where(usable).select("query_id", "vector")
+        by_name = queries.where(~usable).select("query_id", "text")
+    else:
+        by_vector = [(q, v) for q, _, v in queries if v is not None and any(v)]
+        by_name = [(q, t) for q, t, v in queries if v is None or not any(v)]
+    hits = [vector_topk(graph.entities, by_vector, k, SEARCHABLE_KINDS)] if by_vector else []
+    hits += [name_search(graph.entities, by_name, k)] if by_name or not hits else []
+    return topk_overall(reduce(DataFrame.unionByName, hits), k)
 
 
 def _hinted(matches: DataFrame, rows: int) -> DataFrame:
@@ -76,17 +84,20 @@ def expansions(graph: KnowledgeGraph, matches: DataFrame, rows: int) -> DataFram
     return fresh.select("query_id", "qualified_name", "kind", (F.col("score") * EXPANSION_DECAY).alias("vector_score"))
 
 
-def search(
-    graph: KnowledgeGraph, queries: DataFrame, k: int = DEFAULT_TOP_K, query_count: int | None = None
-) -> SearchResult:
+def search(graph: KnowledgeGraph, queries: DataFrame, k: int = DEFAULT_TOP_K) -> SearchResult:
     """Hybrid search for every query of (query_id, text, vector).
 
-    The matches of the first step are written to the scratch folder: they are
-    few, and four later steps read them.
+    The queries are evaluated once. The matches of the first step are written to
+    the scratch folder: they are few, and all later steps read them.
     """
     scratch = Scratch(graph.entities.sparkSession)
-    matches = scratch.write(first_matches(graph, queries, k), "matches")
-    rows = k * (queries.count() if query_count is None else query_count)
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text", "vector")
+    few = rows_within(asked, QUERIES_IN_PLAN)
+    if few is None:
+        asked = scratch.write(asked, "queries")
+    matches, rows = scratch.write_counted(
+        first_matches(graph, asked if few is None else [tuple(r) for r in few], k), "matches"
+    )
 
     # An entity matched under two kinds counts once, with its lower match.
     direct = matches.groupBy("query_id", "qualified_name").agg(F.max_by(F.struct("name", "kind", "score"), "rank").alias("m"))
@@ -113,7 +124,7 @@ def search(
     cut = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # Names are joined after the cut: at most k rows per query need one.
     names = graph.entities.select("kind", "qualified_name", F.col("name").alias("_name"))
-    results = names.join(_hinted(cut, rows), ["kind", "qualified_name"], "right").select(
+    results = names.join(_hinted(cut, k * max(rows, 1)), ["kind", "qualified_name"], "right").select(
         "query_id",
         "rank",
         F.coalesce("name", "_name").alias("name"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings every plan here relies on: adaptive coalescing, and splitting
 # of skewed join partitions even where that costs one more exchange.
@@ -70,13 +71,18 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/graphweft/{uuid.uuid4().hex}"
-        self._paths: list[str] = []
+        self._tables = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{len(self._paths):03d}_{name}"
-        df.write.parquet(path)
-        self._paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.write_counted(df, name)[0]
+
+    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The written table and its number of rows, counted while writing."""
+        path = f"{self.base}/{self._tables:03d}_{name}"
+        self._tables += 1
+        rows = Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), rows.get["n"]
 
 
 def rows_within(df: DataFrame, limit: int) -> list | None:
