@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +113,7 @@ def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_
     adjacency = scratch.write(
         edges.select(_node("near_qn", "near_kind").alias("near"), _node("far_qn", "far_kind").alias("far")), "adjacency"
     )
-    pairs, wanted = scratch.write_counted(pairs.select("pair_id", "from_qn", "to_qn"), "pairs")
+    pairs, wanted, _ = scratch.write_counted(pairs.select("pair_id", "from_qn", "to_qn"), "pairs")
     nodes = graph.entities.select("qualified_name", _node("qualified_name", "kind").alias("node"))
     # A path is kept as one string of nodes; the separators sort below any name,
     # so strings compare as the node sequences do.
@@ -119,7 +121,7 @@ def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_
 
     def level_zero(end: str) -> dict:
         start = pairs.select("pair_id", F.col(end).alias("qualified_name")).join(nodes, "qualified_name")
-        opened, size = scratch.write_counted(start.select("pair_id", "node", F.col("node").alias("path")), f"start_{end}")
+        opened, size, _ = scratch.write_counted(start.select("pair_id", "node", F.col("node").alias("path")), f"start_{end}")
         return {"open": opened, "before": None, "size": size}
 
     def extend(side: dict, forward: bool) -> DataFrame:
@@ -137,45 +139,46 @@ def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_
                 step = step.join(seen.select("pair_id", "node"), ["pair_id", "node"], "left_anti")
         return step
 
-    def meet(hops: int) -> tuple[DataFrame, int]:
-        ahead = sides[True]["open"]
-        behind = sides[False]["open"].withColumnRenamed("path", "rest")
-        # Both paths hold the node they meet at.
-        whole = F.concat("path", F.expr("substring(rest, length(node) + 1)"))
-        best = ahead.join(behind, ["pair_id", "node"]).groupBy("pair_id").agg(F.min(whole).alias("path"))
-        return scratch.write_counted(best.select("pair_id", F.lit(hops).alias("hops"), "path"), "met")
+    def meeting(level: DataFrame, other: DataFrame, forward: bool) -> DataFrame:
+        """Add ``whole``: the path through a node that the other side has reached."""
+        ahead, behind = ("path", "rest") if forward else ("rest", "path")
+        whole = F.concat(ahead, F.expr(f"substring({behind}, length(node) + 1)"))
+        rest = other.select("pair_id", "node", F.col("path").alias("rest"))
+        return level.join(rest, ["pair_id", "node"], "left").select("pair_id", "node", "path", whole.alias("whole"))
 
     sides = {True: level_zero("from_qn"), False: level_zero("to_qn")}
-    met, finished, hops = [], 0, 0
+    found, finished, hops, forward = [], 0, 0, True
+    level = sides[True]["open"]
     while True:
-        part, size = meet(hops)
-        met.append(part)
-        finished += size
-        if finished == wanted or hops == max_hops:
+        other = sides[not forward]
+        level, size, meetings = scratch.write_counted(meeting(level, other["open"], forward), f"level{hops}", "whole")
+        if hops:
+            sides[forward]["before"] = sides[forward]["open"]
+        sides[forward].update(open=level.drop("whole"), size=size)
+        if meetings:
+            best = level.where("whole IS NOT NULL").groupBy("pair_id").agg(F.min("whole").alias("path"))
+            part, size, _ = scratch.write_counted(best.select("pair_id", F.lit(hops).alias("hops"), "path"), "met")
+            found.append(part)
+            finished += size
+        if finished == wanted or hops == max_hops or not all(side["size"] for side in sides.values()):
             break
-        if size:
+        if meetings:
             for side in sides.values():
-                side["open"], side["size"] = scratch.write_counted(
-                    side["open"].join(part.select("pair_id"), "pair_id", "left_anti"), "open"
-                )
+                rest = side["open"].join(part.select("pair_id"), "pair_id", "left_anti")
+                side["open"], side["size"], _ = scratch.write_counted(rest, "open")
         hops += 1
         forward = sides[True]["size"] <= sides[False]["size"]
-        side = sides[forward]
-        following, size = scratch.write_counted(extend(side, forward), f"hop{hops}")
-        side.update(before=side["open"], open=following, size=size)
-        if not size:
-            break
+        level = extend(sides[forward], forward)
 
-    found = met[0]
-    for part in met[1:]:
-        found = found.unionByName(part)
+    if not found:
+        return spark.createDataFrame([], "pair_id long, hops int, path array<struct<qualified_name:string,kind:string>>")
     as_struct = F.transform(
         F.split("path", _GAP),
         lambda n: F.struct(
             F.substring_index(n, "\u0000", 1).alias("qualified_name"), F.substring_index(n, "\u0000", -1).alias("kind")
         ),
     )
-    return found.select("pair_id", "hops", as_struct.alias("path"))
+    return reduce(DataFrame.unionByName, found).select("pair_id", "hops", as_struct.alias("path"))
 
 
 def path_nodes(graph: KnowledgeGraph, paths: DataFrame) -> DataFrame:

@@ -93,9 +93,10 @@ def search(graph: KnowledgeGraph, queries: DataFrame, k: int = DEFAULT_TOP_K) ->
     scratch = Scratch(graph.entities.sparkSession)
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text", "vector")
     few = rows_within(asked, QUERIES_IN_PLAN)
+    count = len(few or ())
     if few is None:
-        asked = scratch.write(asked, "queries")
-    matches, rows = scratch.write_counted(
+        asked, count, _ = scratch.write_counted(asked, "queries")
+    matches, rows, _ = scratch.write_counted(
         first_matches(graph, asked if few is None else [tuple(r) for r in few], k), "matches"
     )
 
@@ -124,7 +125,7 @@ def search(graph: KnowledgeGraph, queries: DataFrame, k: int = DEFAULT_TOP_K) ->
     cut = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # Names are joined after the cut: at most k rows per query need one.
     names = graph.entities.select("kind", "qualified_name", F.col("name").alias("_name"))
-    results = names.join(_hinted(cut, k * max(rows, 1)), ["kind", "qualified_name"], "right").select(
+    results = names.join(_hinted(cut, k * count), ["kind", "qualified_name"], "right").select(
         "query_id",
         "rank",
         F.coalesce("name", "_name").alias("name"),

@@ -76,13 +76,15 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return self.write_counted(df, name)[0]
 
-    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """The written table and its number of rows, counted while writing."""
+    def write_counted(self, df: DataFrame, name: str, of: str | None = None) -> tuple[DataFrame, int, int]:
+        """The written table, its number of rows, and how many of them have a
+        value in the column ``of``; both are counted while writing."""
         path = f"{self.base}/{self._tables:03d}_{name}"
         self._tables += 1
-        rows = Observation()
-        df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), rows.get["n"]
+        seen = Observation()
+        counts = [F.count(F.lit(1)).alias("rows"), F.count(F.col(of) if of else F.lit(1)).alias("values")]
+        df.observe(seen, *counts).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["rows"], seen.get["values"]
 
 
 def rows_within(df: DataFrame, limit: int) -> list | None:
