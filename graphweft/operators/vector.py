@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions.vectors import is_nonzero, l2_normalize
@@ -54,6 +54,11 @@ def _candidates(unit: np.ndarray, kinds: np.ndarray, queries: np.ndarray, k: int
     return row, col, scores[row, col]
 
 
+def _plain(rows: pd.DataFrame) -> pd.DataFrame:
+    # Concatenated Arrow strings come in chunks, which a record batch cannot hold.
+    return rows.astype({"name": object, "qualified_name": object, "kind": object})
+
+
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = rows.sort_values(["score", "qualified_name"], ascending=[False, True], kind="stable")
     return ordered.groupby(["query_id", "kind"], sort=False).head(k)
@@ -83,7 +88,7 @@ def _topk_in_tasks(query_ids: list[int], queries: np.ndarray, k: int):
                 kept = [_best(pd.concat(kept), k)]
         if kept:
             table = _best(pd.concat(kept), k)[["query_id", "name", "qualified_name", "kind", "score"]]
-            yield pa.RecordBatch.from_pandas(table, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(_plain(table), preserve_index=False)
 
     return run
 
@@ -126,6 +131,10 @@ def _rank_per_kind(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
 def _blocked_topk(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Every query block meets every entity block in one group of bounded size.
     Blocks are cut by hashes of unique keys, so none of them is hot."""
@@ -134,24 +143,24 @@ def _blocked_topk(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     left = entities.select(
         "*",
         F.pmod(F.xxhash64("qualified_name", "kind"), F.lit(entity_blocks)).alias("eb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("bigint").alias("qb"),
+        F.explode(_numbers(query_blocks)).alias("qb"),
     )
     right = queries.select(
         "*",
         F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(entity_blocks - 1))).cast("bigint").alias("eb"),
+        F.explode(_numbers(entity_blocks)).alias("eb"),
     )
 
     def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "name", "qualified_name", "kind", "score"]
         if rows.empty or asked.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype({"query_id": "int64", "score": "float64"})
+            return _plain(pd.DataFrame({c: [] for c in columns}).astype({"query_id": "int64", "score": "float64"}))
         usable = rows[rows["embedding"].map(lambda v: bool(np.any(v)))].reset_index(drop=True)
         row, col, scores = _candidates(
             _matrix(usable["embedding"]), usable["kind"].to_numpy(), _matrix(asked["vector"]), k
         )
         picked = usable.iloc[row][["name", "qualified_name", "kind"]].reset_index(drop=True)
-        return _best(picked.assign(query_id=asked["query_id"].to_numpy()[col], score=scores), k)[columns]
+        return _plain(_best(picked.assign(query_id=asked["query_id"].to_numpy()[col], score=scores), k)[columns])
 
     return left.groupBy("qb", "eb").cogroup(right.groupBy("qb", "eb")).applyInPandas(score, _OUT)
 
