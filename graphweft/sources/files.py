@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.functions.text import content_hash, line_count
 from graphweft.schema import DEFAULT_EXCLUDES, ENTITY_SCHEMA, conform, extensions_dimension
+from graphweft.session import Scratch
 
 
 def glob_regex(pattern: str) -> str:
@@ -42,19 +48,68 @@ def is_listed(path: Column, excludes: tuple[str, ...] | list[str]) -> Column:
     return listed
 
 
+_LISTED = "path string, is_dir boolean"
+
+
+def _lister(root: str):
+    """Lists directories given by their path below ``root``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for directory in batch["path"]:
+                below = f"{base}/{directory}" if directory else base
+                found = source.get_file_info(fs.FileSelector(below))
+                found = [(f.path[len(base) :].lstrip("/"), f.type == fs.FileType.Directory) for f in found]
+                yield pd.DataFrame(found, columns=["path", "is_dir"]).astype({"path": object, "is_dir": bool})
+
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, excludes: tuple[str, ...] | list[str] = DEFAULT_EXCLUDES) -> DataFrame:
+    """(path) of every listed file below ``root``, one job per directory level.
+
+    Spark's own file sources pass over empty files and names that begin with an
+    underscore, both of which count here, so directories are listed by tasks. An
+    excluded directory is never entered.
+    """
+    scratch = Scratch(spark)
+    level = spark.createDataFrame([("",)], "path string")
+    files = []
+    while True:
+        found = level.mapInPandas(_lister(root), _LISTED).where(is_listed(F.col("path"), excludes))
+        found, _, directories = scratch.write_counted(
+            found.withColumn("dir", F.when(F.col("is_dir"), 1)), "listing", "dir"
+        )
+        files.append(found.where(~F.col("is_dir")).select("path"))
+        if not directories:
+            return reduce(DataFrame.unionByName, files)
+        # Few and small rows, each of them a directory to list.
+        level = found.where("is_dir").select("path").repartition(spark.sparkContext.defaultParallelism)
+
+
+def _reader(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path in batch.column("path"):
+                try:
+                    with source.open_input_stream(f"{base}/{path}") as stream:
+                        text = stream.read().decode("utf-8")
+                except (OSError, UnicodeDecodeError):
+                    continue
+                yield pa.RecordBatch.from_pydict({"path": [path.as_py()], "source": [text]})
+
+    return run
+
+
 def read_tree(spark: SparkSession, root: str, excludes: tuple[str, ...] | list[str] = DEFAULT_EXCLUDES) -> DataFrame:
-    """(path, source) of every listed file below ``root`` that is valid UTF-8;
-    other files are skipped. Paths are relative to the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # The scan reports full URIs; whatever the scheme, the root's path ends the prefix.
-    bare = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/") + "/"
-    path = F.substring_index(F.col("path"), bare, -1)
-    return (
-        files.select(path.alias("path"), "content")
-        .where(is_listed(F.col("path"), excludes))
-        .select("path", F.col("content").cast("string").alias("source"))
-        .where(F.is_valid_utf8("source"))
-    )
+    """(path, source) of every listed file below ``root`` that can be read as
+    UTF-8; other files are skipped. Paths are relative to the root. One file is
+    held in a task at a time."""
+    # The paths are few bytes each; spreading them spreads the reading.
+    paths = list_tree(spark, root, excludes).repartition("path")
+    return paths.mapInArrow(_reader(root), "path string, source string")
 
 
 def file_name(path: Column) -> Column:
