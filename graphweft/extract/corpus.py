@@ -38,14 +38,17 @@ def facts(files: DataFrame, languages: tuple[str, ...] | None = None) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def extract(files: DataFrame, languages: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+def extract(
+    files: DataFrame, languages: tuple[str, ...] | None = None, with_text: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(entities, relationships) of all routed files of (path, source).
 
     Each file is scanned once: what it holds is written to the scratch folder,
     and both tables are read from there. Entities with one qualified name
     collapse to the last in the file; the relationships are a bag. ``languages``
-    limits the extractors that run.
+    limits the extractors that run. Without ``with_text`` the entities' texts end
+    with the scan, so that only narrow rows are merged.
     """
     found = Scratch(files.sparkSession).write(facts(files, languages), "facts")
-    entities = merge_entities([found.select(F.inline("entities"))])
-    return entities, found.select(F.inline("edges"))
+    entities = found.select(F.inline("entities"))
+    return merge_entities([entities if with_text else entities.drop("source_text")]), found.select(F.inline("edges"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.schema import kinds_dimension
+from graphweft.session import seek
 
 # Texts matched in one pass over the entities; longer lists take further passes.
 TEXTS_PER_PASS = 256
@@ -16,9 +17,9 @@ TEXTS_PER_PASS = 256
 def get_entity(entities: DataFrame, keys: DataFrame) -> DataFrame:
     """First entity of any kind per requested qualified name, with score 1.0.
     ``keys`` holds a ``qualified_name`` column."""
-    found = entities.select("qualified_name", "kind", "name").join(
-        keys.select("qualified_name").distinct(), "qualified_name", "left_semi"
-    )
+    wanted = keys.select("qualified_name")
+    candidates = seek(entities.select("qualified_name", "kind", "name"), ["qualified_name"], wanted)
+    found = candidates.join(wanted, "qualified_name", "left_semi")
     return found.groupBy("qualified_name").agg(F.min(F.struct("kind", "name")).alias("first")).select(
         F.col("first.name").alias("name"), "qualified_name", F.col("first.kind").alias("kind"), F.lit(1.0).alias("score")
     )

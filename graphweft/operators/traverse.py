@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.schema import MAX_PATH_HOPS, KnowledgeGraph
-from graphweft.session import Scratch
+from graphweft.session import Scratch, seek
 
 DIRECTIONS = ("in", "out", "both")
 
@@ -48,8 +48,10 @@ def neighbors(graph: KnowledgeGraph, targets: DataFrame, depth: int = 1, directi
     """
     direction = direction if direction in DIRECTIONS else "both"
     steps = incidences(graph.relationships, direction)
-    wanted = targets.select(F.col("qualified_name").alias("target")).distinct()
-    trails = steps.join(wanted.withColumnRenamed("target", "near_qn"), "near_qn", "left_semi").select(
+    wanted = targets.select(F.col("qualified_name").alias("near_qn"))
+    ends = {"in": ["to_qn"], "out": ["from_qn"], "both": ["from_qn", "to_qn"]}[direction]
+    first = incidences(seek(graph.relationships, ends, wanted), direction)
+    trails = first.join(wanted, "near_qn", "left_semi").select(
         F.col("near_qn").alias("target"),
         F.col("far_kind").alias("kind"),
         F.col("far_qn").alias("qualified_name"),

@@ -48,11 +48,12 @@ def resolve(relationships: DataFrame, entities: DataFrame) -> DataFrame:
 
     Repeated edges collapse first, inside the map tasks, so that a name called
     from everywhere does not reach the joins once per call site. The kept
-    properties are those of the greatest line, missing lines last.
+    properties are those of the greatest line, missing lines last. ``entities``
+    holds one row per (kind, qualified_name), as a stored graph does.
     """
     last = F.max(F.struct(*STORED_EDGE_PROPERTIES)).alias("_last")
     unique = relationships.groupBy("from_qn", "to_qn", "rel_type").agg(last)
-    keys = entities.select(*NODE_KEY).distinct()
+    keys = entities.select(*NODE_KEY)
     sources = keys.toDF("from_kind", "from_qn")
     targets = keys.toDF("to_kind", "to_qn")
     return (

@@ -64,7 +64,7 @@ def _register(language: str, entities: list[tuple], edges: list[tuple]) -> None:
 
     @query(f"declaration_scan_{language}", _entities_sql(language, entities))
     def _entities(spark, sf_dir) -> DataFrame:
-        found, _ = corpus.extract(tables.code_files(spark, sf_dir, language), (language,))
+        found, _ = corpus.extract(tables.code_files(spark, sf_dir, language), (language,), with_text=False)
         return found.select(*ENTITY_FIELDS)
 
     @query(f"relationships_{language}", _edges_sql(language, contained + edges))
@@ -309,9 +309,7 @@ def _corpus_merge(spark, sf_dir):
     files = tables.page_files(spark, sf_dir)
     for language in ("rust", "cpp"):
         files = files.unionByName(tables.code_files(spark, sf_dir, language))
-    routed = route(files)
-    entities = merge_entities([file_entities(routed)])
-    language = routed.select(F.col("path").alias("qualified_name"), "language")
-    return entities.join(language, "qualified_name").select(
+    entities = merge_entities([file_entities(route(files))])
+    return route(entities.withColumnRenamed("file_path", "path")).select(
         "qualified_name", "language", F.when(F.col("language") == "html", F.col("source_hash")).alias("source_hash")
     )

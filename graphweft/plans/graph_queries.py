@@ -82,9 +82,10 @@ FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3'""",
 def _file_entities(spark, sf_dir):
     files = tables.document_files(spark, sf_dir).where(is_listed(F.col("path"), ["src3/**"]))
     known = spark.createDataFrame(list(DOCUMENT_EXTENSIONS.items()), "ext string, language string")
-    routed = route(files, known)
-    entities = file_entities(routed).select("qualified_name", "name", "kind", "line_start", "line_end", "source_hash")
-    return entities.join(routed.select(F.col("path").alias("qualified_name"), "language"), "qualified_name")
+    entities = file_entities(route(files, known)).select(
+        F.col("qualified_name").alias("path"), "qualified_name", "name", "kind", "line_start", "line_end", "source_hash"
+    )
+    return route(entities, known).drop("path")
 
 
 @query(
@@ -463,16 +464,18 @@ def _graph_stats(spark, sf_dir):
 
 
 PAIRS_SQL = """
-pairs AS (SELECT a.r_regionkey * 100 + b.r_regionkey AS pair_id, 'region::' || a.r_regionkey AS from_qn,
-                 'region::' || b.r_regionkey AS to_qn
-          FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey)"""
-
-
-def region_pairs(spark, sf_dir):
-    left = tables.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("a"))
-    right = tables.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("b"))
-    return left.join(right, F.col("a") < F.col("b")).select(
-        (F.col("a") * 100 + F.col("b")).alias("pair_id"), tables.key_of("region", "a").alias("from_qn"), tables.key_of("region", "b").alias("to_qn")
+pairs AS (SELECT a.r_regionkey::BIGINT AS pair_id, 'region::' || a.r_regionkey AS from_qn, 'region::' || b.r_regionkey AS to_qn
+          FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1)"""
+
+
+def successive_pairs(spark, sf_dir, name, key):
+    """Every row of a table paired with the one that has the next key."""
+    left = tables.table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("pair_id"))
+    right = left.select((F.col("pair_id") - 1).alias("pair_id"))
+    return left.join(right, "pair_id").select(
+        "pair_id",
+        tables.key_of(name, "pair_id").alias("from_qn"),
+        F.concat(F.lit(f"{name}::"), (F.col("pair_id") + 1).cast("string")).alias("to_qn"),
     )
 
 
@@ -496,29 +499,22 @@ FROM walk JOIN kg_nodes ON qualified_name = node""",
 )
 def _shortest_path(spark, sf_dir):
     graph = tables.kg(spark, sf_dir)
-    return traverse.path_nodes(graph, traverse.shortest_paths(graph, region_pairs(spark, sf_dir)))
+    return traverse.path_nodes(graph, traverse.shortest_paths(graph, successive_pairs(spark, sf_dir, "region", "r_regionkey")))
 
 
 @query(
     "path_hops",
-    f"""WITH RECURSIVE {KG_SQL}, {PAIRS_SQL},
+    f"""WITH RECURSIVE {KG_SQL},
 adj AS MATERIALIZED (SELECT DISTINCT from_qn AS near, to_qn AS far FROM kg_edges UNION SELECT to_qn, from_qn FROM kg_edges),
 reach AS (
-  SELECT 'customer::' || c_custkey AS node, 0 AS hops FROM customer WHERE c_custkey IN (SELECT max(c_custkey) FROM customer)
-  UNION SELECT far, hops + 1 FROM reach JOIN adj ON near = node WHERE hops < 6
+  SELECT s_suppkey AS pair_id, 'supplier::' || s_suppkey AS node, 0 AS hops FROM supplier
+  UNION SELECT pair_id, far, hops + 1 FROM reach JOIN adj ON near = node WHERE hops < 4
 )
-SELECT n_nationkey::BIGINT AS pair_id, min(hops)::INTEGER AS hops
-FROM nation JOIN reach ON node = 'nation::' || n_nationkey GROUP BY ALL""",
+SELECT s_suppkey - 1 AS pair_id, min(hops)::INTEGER AS hops
+FROM supplier JOIN reach ON pair_id = s_suppkey - 1 AND node = 'supplier::' || s_suppkey GROUP BY ALL""",
 )
 def _path_hops(spark, sf_dir):
-    last = tables.table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("c"))
-    nation = tables.table(spark, sf_dir, "nation")
-    pairs = nation.join(F.broadcast(last)).select(
-        F.col("n_nationkey").cast("bigint").alias("pair_id"),
-        tables.key_of("customer", "c").alias("from_qn"),
-        tables.key_of("nation", "n_nationkey").alias("to_qn"),
-    )
-    paths = traverse.shortest_paths(tables.kg(spark, sf_dir), pairs)
+    paths = traverse.shortest_paths(tables.kg(spark, sf_dir), successive_pairs(spark, sf_dir, "supplier", "s_suppkey"))
     return paths.select("pair_id", (F.size("path") - 1).alias("hops"))
 
 

@@ -18,7 +18,8 @@ def index_files(
 ) -> KnowledgeGraph:
     """Extract (path, source) files, embed their entities when a provider is
     named, upsert both tables and drop what no file holds any more."""
-    entities, relationships = extract(files)
+    # Texts are only read for embeddings; the stored graph has none.
+    entities, relationships = extract(files, with_text=provider is not None)
     if provider is not None:
         entities = embed_entities(entities, provider, dimension)
     return store.apply(entities, relationships, source_hashes(entities))

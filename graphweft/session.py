@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Runtime settings every plan here relies on: adaptive coalescing, and splitting
@@ -92,3 +93,18 @@ def rows_within(df: DataFrame, limit: int) -> list | None:
     Reads no more than ``limit + 1`` rows to the driver."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+# Keys that are looked up by value rather than by a join.
+SEEK_KEYS = 200
+
+
+def seek(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
+    """Narrow ``df`` to rows that may hold one of a few ``keys`` (one column) in
+    one of ``columns``. The values reach the scan as a filter, so files sorted by
+    them are skipped. With more keys ``df`` stays whole and the join does it."""
+    rows = rows_within(keys, SEEK_KEYS)
+    if rows is None:
+        return df
+    values = [r[0] for r in rows]
+    return df.where(reduce(Column.__or__, [F.col(c).isin(*values) for c in columns]))
