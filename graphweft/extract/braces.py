@@ -37,14 +37,13 @@ def _written(option: Column, line: Column) -> Column:
 
 
 def _classify(head: Column, rules: list[Rule]) -> Column:
-    """First rule that gives a name, as a struct; null when none does."""
+    """The rules that give a name, as structs, in order."""
 
     def option(rule: Rule) -> Column:
         name = F.regexp_extract(head, rule.pattern, 1)
         return F.struct(
             F.lit(rule.kind).alias("kind"),
             name.alias("name"),
-            F.array(*[F.lit(s) for s in rule.inside]).alias("inside"),
             F.lit(rule.scope).alias("scope"),
             F.lit(rule.block).alias("block"),
             F.lit(rule.bare).alias("bare"),
@@ -81,8 +80,7 @@ def scan(
                 delim.alias("delim"),
                 F.length(before).alias("lead"),
                 newlines(before).alias("lead_lines"),
-                h.rlike(transparent).alias("through"),
-                _classify(h, rules).alias("options"),
+                h.alias("head"),
             ),
         )
 
@@ -102,11 +100,12 @@ def scan(
 
     def step(s: Column, e: Column) -> Column:
         def decide(top: Column) -> Column:
-            ends = F.when(e["delim"] == "{", "block").otherwise("bare")
-            fits = F.filter(
-                e["options"],
-                lambda o: F.array_contains(o["inside"], top["scope"]) & F.when(ends == "block", o["block"]).otherwise(o["bare"]),
-            )
+            # Only the rules of the scope are tried, and none inside a body.
+            options = F.lit(None)
+            for scope in sorted({name for rule in rules for name in rule.inside}):
+                tried = _classify(e["head"], [rule for rule in rules if scope in rule.inside])
+                options = F.when(top["scope"] == scope, tried).otherwise(options)
+            fits = F.filter(options, lambda o: F.when(e["delim"] == "{", o["block"]).otherwise(o["bare"]))
             line = s["line"] + e["lead_lines"]
             return let(F.get(fits, 0), lambda d: let(d.withField("name", _written(d, line)), lambda named: apply(top, named)))
 
@@ -117,7 +116,7 @@ def scan(
             named = d.isNotNull()
             starts = named
             pushed = F.struct(
-                F.when(starts, d["scope"]).when(e["through"], top["scope"]).otherwise("opaque").alias("scope"),
+                F.when(starts, d["scope"]).when((top["scope"] != "opaque") & e["head"].rlike(transparent), top["scope"]).otherwise("opaque").alias("scope"),
                 F.when(starts, d["kind"]).otherwise("").alias("kind"),
                 F.when(starts, d["name"]).otherwise("").alias("name"),
                 top["base"].alias("parent"),

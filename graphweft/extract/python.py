@@ -44,17 +44,10 @@ def _scan(source: Column, masked: Column, path: Column) -> Column:
     def event(line: Column, raw: Column) -> Column:
         code = F.regexp_replace(line, r"\s+$", "")
         depth = F.length(F.regexp_replace(code, r"[^(\[{]", "")) - F.length(F.regexp_replace(code, r"[^)\]}]", ""))
-        option = [
-            (F.regexp_extract(code, _DEF, 1), "Function"),
-            (F.regexp_extract(code, _CLASS, 1), "Class"),
-            (F.regexp_extract(code, _IMPORT, 1), "Import"),
-            (F.when(F.regexp_extract(code, _ASSIGN, 1).isin(*KEYWORDS), "").otherwise(F.regexp_extract(code, _ASSIGN, 1)), "Variable"),
-        ]
-        named = F.filter(F.array(*[F.struct(n.alias("name"), F.lit(k).alias("kind")) for n, k in option]), lambda o: o["name"] != "")
         decorator = F.regexp_extract(raw, r"^\s*@\s*(.*?)\s*(?:#.*)?$", 1)
         return F.struct(
             F.length(line).alias("size"),
-            F.length(code).alias("code"),
+            code.alias("code"),
             # A docstring line is blank once masked, yet belongs to its block.
             (F.trim(F.regexp_replace(raw, r"^\s*#.*$", "")) == "").alias("blank"),
             F.length(F.regexp_extract(raw, r"^[ \t]*", 0)).alias("indent"),
@@ -64,11 +57,22 @@ def _scan(source: Column, masked: Column, path: Column) -> Column:
             F.when(code.rlike(r"^\s*@"), decorator).alias("decorator"),
             # Inside a string that spans lines the masked line shows nothing.
             (code == "").alias("hidden"),
-            F.try_element_at(named, F.lit(1)).alias("d"),
         )
 
     events = F.transform(F.arrays_zip(lines.alias("l"), raw_lines.alias("r")), lambda z: event(z["l"], z["r"]))
 
+    def statement(code: Column) -> Column:
+        """What a line declares: struct<name, kind>, null for nothing."""
+        assigned = F.regexp_extract(code, _ASSIGN, 1)
+        option = [
+            (F.regexp_extract(code, _DEF, 1), "Function"),
+            (F.regexp_extract(code, _CLASS, 1), "Class"),
+            (F.regexp_extract(code, _IMPORT, 1), "Import"),
+            (F.when(assigned.isin(*KEYWORDS), "").otherwise(assigned), "Variable"),
+        ]
+        named = F.array(*[F.struct(n.alias("name"), F.lit(k).alias("kind")) for n, k in option])
+        return F.try_element_at(F.filter(named, lambda o: o["name"] != ""), F.lit(1))
+
     def ended(block: Column, stop: Column, line: Column) -> Column:
         return F.struct(
             block["kind"].alias("kind"),
@@ -92,13 +96,17 @@ def _scan(source: Column, masked: Column, path: Column) -> Column:
         def apply(open_: Column) -> Column:
             top = F.try_element_at(open_, F.lit(-1))
             scope = F.coalesce(top["scope"], F.lit("items"))
+            # Nothing is declared inside a function.
+            declared = F.when(starts & (scope == "items"), statement(e["code"]))
+            return core.let(declared, lambda d: advance(open_, top, d))
+
+        def advance(open_: Column, top: Column, d: Column) -> Column:
             base = F.coalesce(top["base"], s["path"])
-            kind = e["d"]["kind"]
-            named = starts & (scope == "items") & e["d"].isNotNull()
+            kind, named = d["kind"], d.isNotNull()
             pos = s["pos"] + e["indent"]
             method = kind == "Function"
             written = (
-                F.when(method & (e["d"]["name"] == "__init__"), "Constructor")
+                F.when(method & (d["name"] == "__init__"), "Constructor")
                 .when(method & (base != s["path"]), "Method")
                 .otherwise(kind)
             )
@@ -106,9 +114,9 @@ def _scan(source: Column, masked: Column, path: Column) -> Column:
                 e["indent"].alias("indent"),
                 F.when(kind == "Class", "items").otherwise("opaque").alias("scope"),
                 written.alias("kind"),
-                e["d"]["name"].alias("name"),
+                d["name"].alias("name"),
                 base.alias("parent"),
-                qualified(base, e["d"]["name"]).alias("base"),
+                qualified(base, d["name"]).alias("base"),
                 pos.alias("pos"),
                 s["line"].alias("line"),
                 F.when(method, s["notes"]).otherwise(core.empty("string")).alias("notes"),

@@ -177,25 +177,50 @@ _register(
     ],
 )
 
-_N = "Nation{n_nationkey}"
 _register(
     "typescript",
     [
-        ("Interface", _N, "", "pub", 1, 4, None, None, False, _lines("typescript", 1, 4, len("export "))),
-        ("Property", f"{_N}::name", _N, "pub", 2, 2, None, None, False, "name: string"),
-        ("Method", f"{_N}::size", _N, "pub", 3, 3, None, None, False, "size(): number"),
+        ("Interface", _C, "", "pub", 1, 4, None, None, False, _lines("typescript", 1, 4, len("export "))),
+        ("Property", f"{_C}::name", _C, "pub", 2, 2, None, None, False, "name: string"),
+        ("Method", f"{_C}::size", _C, "pub", 3, 3, None, None, False, "size(): number"),
         ("TypeAlias", "Key", "", "pub", 5, 5, None, None, False, _lines("typescript", 5, 5, 0, 1)),
         ("Enum", "Zone", "", "pub", 6, 6, None, None, False, _lines("typescript", 6, 6)),
         ("Function", "area", "", "pub", 7, 9, None, "function area(x: number): number", False, _lines("typescript", 7, 9)),
     ],
     [
-        (_N, "Region{n_regionkey}", "EXTENDS"),
-        ("Zone", "::Zone::A{n_nationkey}", "HAS_VARIANT", None, None, None, "A{n_nationkey}"),
+        (_C, "Nation{c_nationkey}", "EXTENDS"),
+        ("Zone", "::Zone::A{c_nationkey}", "HAS_VARIANT", None, None, None, "A{c_nationkey}"),
         ("Zone", "::Zone::B", "HAS_VARIANT", None, None, None, "B"),
         ("area", "calc", "CALLS", 8),
     ],
 )
 
+_register(
+    "c",
+    [
+        ("Preprocessor", "NATION", "", "pub", 2, 2, None, None, False, _lines("c", 2, 2)),
+        ("Struct", "supplier_{s_suppkey}", "", "pub", 4, 4, None, None, False, _lines("c", 4, 4, 0, 1)),
+        ("Union", "cell", "", "pub", 5, 5, None, None, False, _lines("c", 5, 5, 0, 1)),
+        ("Enum", "zone", "", "pub", 6, 6, None, None, False, _lines("c", 6, 6, 0, 1)),
+        ("Typedef", "key_{s_suppkey}", "", "pub", 7, 7, None, None, False, _lines("c", 7, 7)),
+        ("Variable", "count_{s_suppkey}", "", "pub", 8, 8, None, None, False, _lines("c", 8, 8)),
+        ("Function", "total", "", "pub", 9, 9, None, None, False, _lines("c", 9, 9)),
+        ("Function", "total_{s_suppkey}", "", "pub", 10, 13, None, "int total_{s_suppkey}(int a)", False, _lines("c", 10, 13)),
+    ],
+    [
+        ("", "<stdio.h>", "IMPORTS", 1),
+        ("supplier_{s_suppkey}", "int", "HAS_FIELD", None, "key", "int"),
+        ("supplier_{s_suppkey}", "double", "HAS_FIELD", None, "balance", "double"),
+        ("cell", "int", "HAS_FIELD", None, "whole", "int"),
+        ("cell", "float", "HAS_FIELD", None, "part", "float"),
+        ("zone", "::zone::NORTH", "HAS_VARIANT", None, None, None, "NORTH"),
+        ("zone", "::zone::SOUTH", "HAS_VARIANT", None, None, None, "SOUTH"),
+        ("total_{s_suppkey}", "printf", "CALLS", 11),
+        ("total_{s_suppkey}", "add", "CALLS", 12),
+        ("total_{s_suppkey}", "table->size", "CALLS", 12),
+    ],
+)
+
 _S = ".supplier-{s_suppkey}, #nation-{s_nationkey}"
 _register(
     "css",
@@ -214,6 +239,33 @@ _register(
 )
 
 
+def _style_sheets(spark, sf_dir):
+    return corpus.extract(tables.code_files(spark, sf_dir, "css"), ("css",), with_text=False)
+
+
+@query(
+    "css_imports",
+    """
+SELECT 'web/supplier_' || s_suppkey || '.css' AS from_qn, 'base_' || s_nationkey || '.css' AS to_qn, 1 AS line FROM supplier
+UNION ALL SELECT 'web/supplier_' || s_suppkey || '.css', 'theme.css', 2 FROM supplier""",
+)
+def _css_imports(spark, sf_dir):
+    return _style_sheets(spark, sf_dir)[1].where("rel_type = 'IMPORTS'").select("from_qn", "to_qn", "line")
+
+
+@query(
+    "css_media",
+    """
+SELECT 'web/supplier_' || s_suppkey || '.css' || q AS qualified_name, n AS name, a AS line_start, b AS line_end
+FROM supplier, (VALUES ('::@media@L5', '@media@L5', 5, 7), ('::@media@L5::.narrow', '.narrow', 6, 6)) v(q, n, a, b)
+UNION ALL SELECT 'web/supplier_' || s_suppkey || '.css::@keyframes spin' || s_nationkey, '@keyframes spin' || s_nationkey, 8, 8 FROM supplier""",
+)
+def _css_media(spark, sf_dir):
+    entities = _style_sheets(spark, sf_dir)[0]
+    nested = F.col("qualified_name").contains("::@media@L") | F.col("name").startswith("@keyframes")
+    return entities.where(nested).select("qualified_name", "name", "line_start", "line_end")
+
+
 # ---- pages -------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.functions import text
-from graphweft.functions.vectors import l2_normalize, zeros
+from graphweft.functions.vectors import is_nonzero, l2_normalize, norm, zeros
 from graphweft.operators import assembly, embed, lookup, traverse, upsert, vector
 from graphweft.plans import hybrid
 from graphweft.plans.registry import query
@@ -451,6 +451,11 @@ def _name_search_batch(spark, sf_dir):
     return lookup.name_search(tables.kg_entities(spark, sf_dir), asked, 10)
 
 
+@query("scan_kind", f"WITH {KG_SQL} SELECT qualified_name, name FROM kg_nodes WHERE kind = 'Struct'")
+def _scan_kind(spark, sf_dir):
+    return lookup.scan_kind(tables.kg_entities(spark, sf_dir), "Struct").select("qualified_name", "name")
+
+
 @query(
     "graph_stats",
     f"""WITH {KG_SQL}, known AS (SELECT unnest(['File','Module','Function','Method','Constant','Static','Variable','TypeAlias',
@@ -589,6 +594,23 @@ def _zero_vectors(spark, sf_dir):
     return embedded.select("doc_id", F.size("embedding").alias("dimensions"), total.alias("total"))
 
 
+@query("text_vectorize_shape", "SELECT doc_id, 256 AS dimensions, 1.0::DOUBLE AS length FROM documents")
+def _text_vectorize_shape(spark, sf_dir):
+    """Dimension and Euclidean length of every document's vector."""
+    return _text_vectorize(spark, sf_dir).select(
+        "doc_id", F.size("embedding").alias("dimensions"), F.round(norm(F.col("embedding")), 4).alias("length")
+    )
+
+
+@query(
+    "vector_usable",
+    "SELECT vec_id, label <> 0 AS usable FROM embeddings",
+)
+def _vector_usable(spark, sf_dir):
+    scaled = F.transform("embedding", lambda x: x * F.col("label"))
+    return tables.table(spark, sf_dir, "embeddings").select("vec_id", is_nonzero(scaled).alias("usable"))
+
+
 @query("text_vectorize")
 def _text_vectorize(spark, sf_dir):
     return embed.embed(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "hashing", 256).select("doc_id", "embedding")
@@ -771,3 +793,22 @@ def _qname_split(spark, sf_dir):
 @query("results_json")
 def _results_json(spark, sf_dir):
     return json_out.search_json(hybrid.search(tables.kg(spark, sf_dir), label_centroids(spark, sf_dir), 10))
+
+
+@query(
+    "results_json_fields",
+    f"""{_search_sql(_VECTOR_HITS, 10)}, listed AS (
+  SELECT query_id, near AS qualified_name, count(*) AS n FROM (SELECT DISTINCT query_id, qualified_name AS near FROM matches)
+  JOIN adj USING (near) GROUP BY ALL
+)
+SELECT r.query_id, rank, r.qualified_name, r.kind, r.source, coalesce(n, 0) AS related
+FROM ({_RESULT_SQL.format(k=10)}) r LEFT JOIN listed l ON l.query_id = r.query_id AND l.qualified_name = r.qualified_name""",
+)
+def _results_json_fields(spark, sf_dir):
+    """The JSON documents read back: one row per result, its lists counted."""
+    schema = "qualified_name string, kind string, source string, related array<struct<qualified_name:string>>"
+    parsed = _results_json(spark, sf_dir).select("query_id", "rank", F.from_json("json", schema).alias("d"))
+    size = F.coalesce(F.size("d.related"), F.lit(0))
+    return parsed.groupBy("query_id", "rank", "d.qualified_name", "d.kind", "d.source").agg(
+        F.sum(F.greatest(size, F.lit(0))).alias("related")
+    )

@@ -218,6 +218,20 @@ int lookup_{s_suppkey}(int key) {{
     return table.find(key);
 }}
 """
+C_FILE = """#include <stdio.h>
+#define NATION {s_nationkey}
+// int hidden(void);
+struct supplier_{s_suppkey} {{ int key; double balance; }};
+union cell {{ int whole; float part; }};
+enum zone {{ NORTH = {s_nationkey}, SOUTH }};
+typedef unsigned long key_{s_suppkey};
+int count_{s_suppkey};
+int total(int a);
+int total_{s_suppkey}(int a) {{
+    printf("{{ %d", a);
+    return add(a, table->size(a));
+}}
+"""
 PYTHON_FILE = '''"""Customer {c_custkey}.
 
 def hidden(): pass
@@ -261,12 +275,12 @@ async function main(x) {{
 }}
 let counter = {c_nationkey};
 """
-TYPESCRIPT_FILE = """export interface Nation{n_nationkey} extends Region{n_regionkey} {{
+TYPESCRIPT_FILE = """export interface Customer{c_custkey} extends Nation{c_nationkey} {{
   name: string;
   size(): number;
 }}
 type Key = number | string;
-enum Zone {{ A{n_nationkey}, B }}
+enum Zone {{ A{c_nationkey}, B }}
 function area(x: number): number {{
   return calc(x);
 }}
@@ -283,10 +297,11 @@ CSS_FILE = """@import "base_{s_nationkey}.css";
 # Table, path and text of each kind of file.
 CODE_FILES = {
     "rust": ("part", "src/part_{p_partkey}.rs", RUST_FILE),
+    "c": ("supplier", "lib/supplier_{s_suppkey}.c", C_FILE),
     "cpp": ("supplier", "lib/supplier_{s_suppkey}.cpp", CPP_FILE),
     "python": ("customer", "app/customer_{c_custkey}.py", PYTHON_FILE),
     "javascript": ("customer", "web/customer_{c_custkey}.js", SCRIPT_FILE),
-    "typescript": ("nation", "web/nation_{n_nationkey}.ts", TYPESCRIPT_FILE),
+    "typescript": ("customer", "web/customer_{c_custkey}.ts", TYPESCRIPT_FILE),
     "css": ("supplier", "web/supplier_{s_suppkey}.css", CSS_FILE),
 }
 
