@@ -10,7 +10,7 @@ from graphweft.functions.vectors import is_nonzero, l2_normalize, norm, zeros
 from graphweft.operators import assembly, embed, lookup, traverse, upsert, vector
 from graphweft.plans import hybrid
 from graphweft.plans.registry import query
-from graphweft.schema import KnowledgeGraph
+from graphweft.schema import KnowledgeGraph, literal_table
 from graphweft.sources import json_out, tables
 from graphweft.sources.files import file_entities, is_listed, route
 
@@ -81,7 +81,7 @@ FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3'""",
 )
 def _file_entities(spark, sf_dir):
     files = tables.document_files(spark, sf_dir).where(is_listed(F.col("path"), ["src3/**"]))
-    known = spark.createDataFrame(list(DOCUMENT_EXTENSIONS.items()), "ext string, language string")
+    known = literal_table(spark, "ext, language", list(DOCUMENT_EXTENSIONS.items()))
     entities = file_entities(route(files, known)).select(
         F.col("qualified_name").alias("path"), "qualified_name", "name", "kind", "line_start", "line_end", "source_hash"
     )

@@ -124,9 +124,10 @@ def search(graph: KnowledgeGraph, queries: DataFrame, k: int = DEFAULT_TOP_K) ->
     scored = direct.unionByName(widened).withColumn("relevance", relevance(F.col("vector_score"), F.col("graph_distance")))
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "qualified_name")
     cut = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    # Names are joined after the cut: at most k rows per query need one.
+    # Names are joined after the cut: at most k rows per query need one, and they
+    # go to the entities rather than the entities to them.
     names = graph.entities.select("kind", "qualified_name", F.col("name").alias("_name"))
-    results = names.join(_hinted(cut, k * count), ["kind", "qualified_name"], "right").select(
+    results = names.join(_hinted(cut, k * count), ["kind", "qualified_name"]).select(
         "query_id",
         "rank",
         F.coalesce("name", "_name").alias("name"),

@@ -140,17 +140,27 @@ class KnowledgeGraph:
     relationships: DataFrame
 
 
+def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A small fixed table as literals of the plan, which no job has to read."""
+
+    def text(value) -> str:
+        return f"'{value}'" if isinstance(value, str) else str(value).upper()
+
+    listed = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
+
+
 def kinds_dimension(spark: SparkSession) -> DataFrame:
     """The 26 kinds as a table: (kind, family, vector_indexed, searchable)."""
     rows = [
         (kind, family, kind in VECTOR_INDEXED_KINDS, kind in SEARCHABLE_KINDS)
         for kind, family in KIND_FAMILY.items()
     ]
-    return spark.createDataFrame(rows, "kind string, family string, vector_indexed boolean, searchable boolean")
+    return literal_table(spark, "kind, family, vector_indexed, searchable", rows)
 
 
 def extensions_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EXTENSION_LANGUAGE.items()), "ext string, language string")
+    return literal_table(spark, "ext, language", list(EXTENSION_LANGUAGE.items()))
 
 
 def conform(df: DataFrame, schema: T.StructType, **values: Column) -> DataFrame:

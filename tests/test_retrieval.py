@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from graphweft.operators import embed, vector
+from graphweft.operators import embed, traverse, vector
 from graphweft.plans import hybrid
 from graphweft.schema import SEARCHABLE_KINDS, KnowledgeGraph
 from graphweft.sources import json_out
@@ -208,3 +208,20 @@ def test_explain(spark):
         ("m::gone", "dependents", "m", "in"),
     ]
     assert {(r.target, r.qualified_name) for r in context.similar.where("source = 'Vector'").collect()} == {("m::f", "m::f")}
+
+
+def test_empty_inputs_end(spark, nodes):
+    graph = KnowledgeGraph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges_of(nodes), EDGE))
+    schema = "query_id long, text string, vector array<double>"
+    assert hybrid.search(graph, spark.createDataFrame([], schema), 5).results.count() == 0
+    nothing = hybrid.search(graph, spark.createDataFrame([(1, "no such name", None)], schema), 5)
+    assert nothing.results.count() == 0 and nothing.related.count() == 0
+    empty = KnowledgeGraph(graph.entities.limit(0), graph.relationships.limit(0))
+    assert hybrid.search(empty, spark.createDataFrame([(1, "n", [1.0] * 8)], schema), 5).results.count() == 0
+    asked = "pair_id long, from_qn string, to_qn string"
+    assert traverse.shortest_paths(graph, spark.createDataFrame([], asked)).count() == 0
+    assert traverse.shortest_paths(graph, spark.createDataFrame([(1, "absent", "n001")], asked)).count() == 0
+    assert traverse.shortest_paths(empty, spark.createDataFrame([(1, "n000", "n001")], asked)).count() == 0
+    none = spark.createDataFrame([], "qualified_name string")
+    assert traverse.neighbors(graph, none, 2, "both").count() == 0
+    assert hybrid.explain(graph, none).heads.count() == 0
