@@ -67,7 +67,7 @@ def declarations(files: DataFrame, cpp: bool) -> DataFrame:
     found = scan(F.col("masked"), F.col("path"), rules(cpp), LEAD, transparent=r'^extern\s+"?\s*"?$')
     rows = core.declarations(files, found, masked, {"Typedef": "^[^;{}]*;"})
     # A typedef goes by its last word, unless that word is a parameter list.
-    alias = F.regexp_extract(core.flat(F.col("masked_text")), r"(?s)([A-Za-z_]\w*)\s*(?:\[\]\s*)*;\s*$", 1)
+    alias = F.regexp_extract(core.flat(F.col("masked_text")), r"(?s)([A-Za-z_]\w*)\s*(?:\[\s*\]\s*)*;\s*$", 1)
     constant = (F.col("kind") == "Variable") & F.contains(F.col("source_text"), F.lit("const "))
     rows = rows.withColumn("name", F.when(F.col("kind") == "Typedef", alias).otherwise(F.col("name")))
     rows = rows.withColumn("kind", F.when(constant, "Constant").otherwise(F.col("kind"))).where("name <> ''")

@@ -80,7 +80,8 @@ def cut(text: Column, start: Column, stop: Column) -> Column:
 
 
 def flat(text: Column) -> Column:
-    """The text without what stands inside brackets; the brackets stay."""
+    """The text with what stands inside brackets blanked; the brackets, all line
+    breaks and all offsets stay."""
     tokens = F.regexp_extract_all(text, F.lit(r"(?s)[(){}\[\]]|[^(){}\[\]]+"), F.lit(0))
 
     def step(acc: Column, token: Column) -> Column:
@@ -88,7 +89,7 @@ def flat(text: Column) -> Column:
         closes = token.isin(")", "}", "]")
         depth = acc["d"] + F.when(opens, 1).when(closes, -1).otherwise(0)
         shown = ((acc["d"] == 0) & ~closes) | (closes & (depth <= 0))
-        return F.struct(F.greatest(depth, F.lit(0)).alias("d"), F.when(shown, F.concat(acc["t"], token)).otherwise(acc["t"]).alias("t"))
+        return F.struct(F.greatest(depth, F.lit(0)).alias("d"), F.concat(acc["t"], F.when(shown, token).otherwise(F.regexp_replace(token, r"[^\n]", " "))).alias("t"))
 
     return F.aggregate(tokens, F.struct(F.lit(0).alias("d"), F.lit("").alias("t")), step, lambda acc: acc["t"])
 

@@ -21,6 +21,8 @@ _NOT = r"(?!(?:if|for|while|switch|catch|return|function|else|do|new|await|typeo
 _ID = r"[A-Za-z_$][\w$]*"
 _TYPE = r"(?::[^=;{}]*)?"
 _ARROW = rf"=\s*(?:async\s+)?(?:(?:\([^{{}}]*?\)|{_ID})\s*(?::[^=;{{}}]*)?=>|function\b)"
+# A comma that begins a further declarator of the same statement.
+_NEXT = r",(?=\s*[A-Za-z_$][\w$]*\s*(?:[:=,;!]|$))"
 _MODS = r"(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set|declare)\s+)*"
 
 RULES = [
@@ -47,7 +49,9 @@ CALL = r"(?<!new )(?<![\w$.#])(?!new\s)([A-Za-z_$][\w$]*(?:\??\.#?[A-Za-z_$][\w$
 def declarations(files: DataFrame) -> DataFrame:
     masked = core.mask(F.col("source"), HIDDEN, KEPT)
     found = scan(F.col("masked"), F.col("path"), RULES, LEAD, boundary=BOUNDARY, transparent="(?s)^.*$")
-    return core.declarations(files, found, masked, {"Import": r"^[^\n;]*;?"})
+    # A declarator with a block may be followed by others of its statement.
+    more = {kind: r"^(?:,\s*[^;{}\n]*)?;?" for kind in ("Function", "Constant", "Variable")}
+    return core.declarations(files, found, masked, {"Import": r"^[^\n;]*;?", **more})
 
 
 def _rows(files: DataFrame) -> DataFrame:
@@ -56,23 +60,49 @@ def _rows(files: DataFrame) -> DataFrame:
     scripts = F.regexp_extract("file_path", r"\.([^.]*)$", 1).isin("js", "mjs", "cjs", "jsx")
     rows = declarations(files).withColumn("plain", scripts)
     rows = rows.where("NOT (plain AND kind IN ('Interface', 'TypeAlias', 'Enum'))")
-    declared = F.col("source_text").rlike(r"^(?:const|let|var)\s") & F.col("kind").isin("Function", "Constant", "Variable")
-    # Node text of a variable is its declarator.
-    keyword = F.length(F.regexp_extract("source_text", r"^(?:const|let|var)\s+", 0))
-    trimmed = F.regexp_replace(F.expr("substring(source_text, _k + 1)"), r";+$", "")
+    keyword = F.regexp_extract("source_text", r"^(?:const|let|var)\s+", 0)
+    declared = (keyword != "") & F.col("kind").isin("Function", "Constant", "Variable")
+    rows = rows.withColumn("declared", declared).withColumn("_k", F.when(declared, F.length(keyword)).otherwise(0))
+    # Node text of a variable is its declarator, and a statement may hold several.
+    rest = F.expr("substring(masked_text, _k + 1)")
+    parts = F.when(F.col("declared"), F.split(core.flat(rest), _NEXT)).otherwise(F.array(rest))
+    rows = rows.withColumn("_parts", parts)
+    start = lambda i: F.length(F.array_join(F.slice("_parts", F.lit(1), i), ",")) + F.when(i > 0, 1).otherwise(0)
+    spans = F.transform("_parts", lambda part, i: F.struct(i.alias("_i"), (start(i) + F.col("_k")).alias("_from"), F.length(part).alias("_size")))
+    rows = rows.select("*", F.inline(spans)).withColumn("_part", F.expr("substring(masked_text, _from + 1, _size)"))
+    blank = F.regexp_extract("_part", r"^\s*", 0)
+    first = F.col("_i") == 0
+    arrow = F.col("_part").rlike(rf"(?s)^\s*{_ID}\s*{_TYPE}{_ARROW}")
+    plain_kind = F.when(keyword.startswith("const"), "Constant").otherwise("Variable")
+    block = F.when(first, F.col("body_at") - F.col("_from")).when(F.instr("_part", "{") > 0, F.instr("_part", "{") - 1)
+    begins = F.col("_from") + F.length(blank)
+    text = F.regexp_replace(F.expr("substring(source_text, _begins + 1, _size - _blank)"), r"[;\s]+$", "")
     return (
-        rows.withColumn("declared", declared)
-        .withColumn("_k", F.when(declared, keyword).otherwise(0))
-        .withColumn("source_text", F.when(declared, trimmed).otherwise(F.regexp_replace("source_text", r";+$", "")))
-        .withColumn("masked_text", F.expr("substring(masked_text, _k + 1)"))
-        .withColumn("body_at", F.col("body_at") - F.col("_k"))
-        .drop("_k")
+        rows.withColumn("_begins", begins)
+        .withColumn("_blank", F.length(blank))
+        .select(
+            "file_path",
+            "module_path",
+            "notes",
+            "lead_text",
+            "plain",
+            "declared",
+            F.when(F.col("declared"), F.regexp_extract("_part", rf"^\s*({_ID})", 1)).otherwise(F.col("name")).alias("name"),
+            F.when(first, F.col("kind")).when(arrow, "Function").otherwise(plain_kind).alias("kind"),
+            (F.col("line_start") + core.newlines(F.expr("substring(masked_text, 1, _begins)"))).alias("line_start"),
+            F.when(
+                F.col("declared"), F.col("line_start") + core.newlines(F.expr("substring(masked_text, 1, _from + _size)"))
+            ).otherwise(F.col("line_end")).alias("line_end"),
+            text.alias("source_text"),
+            F.expr("substring(_part, _blank + 1)").alias("masked_text"),
+            F.when((block >= 0) & (block < F.col("_size")), block - F.col("_blank")).alias("body_at"),
+        )
+        .withColumn("qualified_name", qualified(F.col("module_path"), F.col("name")))
     )
 
 
 def _members() -> Column:
     """Method and property signatures of an interface as entities."""
-    # Line breaks inside brackets go with the brackets, so a member is a part.
     parts = F.split(core.flat(F.col("body")), r"(?<=[;,\n])")
     pattern = r"^\s*(?:readonly\s+)?([A-Za-z_$][\w$]*)\s*\??\s*"
     qn = F.col("qualified_name")

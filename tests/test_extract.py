@@ -93,6 +93,8 @@ var old = function (q) { return q; };
 export const K = { a: 1, b: 2 };
 if (x) { const inner = 1; }
 const { d } = K;
+var one = f(1, 2), two = [3, 4],
+  three = (a, b) => { go(a); }, four;
 ''',
     "d.ts": '''interface Shape extends Base, Other { area(): number; name: string; cb: (a: number) => void }
 export interface Two { readonly x?: number }
@@ -302,9 +304,19 @@ def test_js_kinds(graph):
         "old": "Function",
         "K": "Constant",
         "inner": "Constant",
+        "one": "Variable",
+        "two": "Variable",
+        "three": "Function",
+        "four": "Variable",
     }
 
 
+def test_js_declarators(graph):
+    texts = {n: (graph[0][f"c.js::{n}"].source_text, graph[0][f"c.js::{n}"].line_start) for n in ("one", "two", "three", "four")}
+    assert texts == {"one": ("one = f(1, 2)", 19), "two": ("two = [3, 4]", 19), "three": ("three = (a, b) => { go(a); }", 20), "four": ("four", 20)}
+    assert targets(graph, "CALLS", "c.js::three") == ["go"]
+
+
 def test_js_details(graph):
     assert graph[0]["c.js::go"].is_async and graph[0]["c.js::run"].is_async and graph[0]["c.js::App::load"].is_async
     assert graph[0]["c.js::App::#hid"].visibility == "private"
