@@ -13,7 +13,6 @@ text is encoded whole where it lies; nothing is shuffled.
 from __future__ import annotations
 
 import base64
-
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from graphweft.llm.pretokens import Memory, blocks, numbered
 
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     ranks, tokens = vocabulary(path)
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
-    schema = docs.schema.add("ids", "array<int>")
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
     return docs.mapInArrow(_encoding(ranks, tokens, pattern), schema)
 
 
@@ -186,4 +186,4 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     for token, rank in ranks.items():
         table[rank] = token
     coded = coded.drop("decoded")
-    return coded.mapInArrow(_decoding(table), coded.schema.add("decoded", "binary"))
+    return coded.mapInArrow(_decoding(table), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))

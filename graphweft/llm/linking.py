@@ -30,6 +30,8 @@ from graphweft.session import Scratch
 
 #: Members of a cell that one task compares with one another; a larger cell is dealt over pairs of blocks.
 BLOCK = 1024
+#: Sets that one task compares with a copy of the same head.
+HEAD_ROWS = 2048
 #: Dimensions of a point: groups that the members of a set are hashed to.
 GROUPS = 128
 #: Entries of a leaf of the packed tree.
@@ -86,15 +88,36 @@ def _search(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return search
 
 
-def _verified(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _overlaps(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _from_heads(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted so that a head's set stands before those compared with it; one set is held."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, None
+        for batch in batches:
+            a, b = [], []
+            for uid, own, items in zip(batch["uid"].to_pylist(), batch["head"].to_pylist(), batch["items"], strict=True):
+                items = np.frombuffer(items.as_buffer(), np.uint64)
+                if uid == own:
+                    head, held = own, items.copy()
+                elif own == head and _overlaps(held, items, num, den):
+                    a.append(own)
+                    b.append(uid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return verify
+
+
+def _pairs(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["xs"], batch["ys"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sides = ((np.frombuffer(x.as_buffer(), np.uint64) for x in batch[c]) for c in ("xs", "ys"))
+            keep = pa.array([_overlaps(x, y, num, den) for x, y in zip(*sides, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(keep)
 
     return verify
 
@@ -102,43 +125,50 @@ def _verified(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def link(cells: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
     """(id, component) of the sets that are linked with another.
 
-    cells: (cell, uid) longs, a row for each cell of each set. fetch: from a
-    table of uids to (uid, items), the members of each as sorted 64-bit hashes.
-    Sets x and y are linked when den * |x and y| >= num * |x or y|.
+    cells: (cell, uid) longs, a row for each cell of each set. fetch: adds to a
+    table with a column uid the column items, the set's members as sorted 64-bit
+    hashes; repeated rows do no harm. Sets x and y are linked when
+    den * |x and y| >= num * |x or y|.
     """
-    crowd = cells.groupBy("cell").agg(F.min("uid").alias("pivot"), F.max("uid").alias("other")).where("pivot <> other")
-    met = scratch.write(cells.join(crowd.drop("other"), "cell"), "met")
-    sets = fetch(met.select("uid").distinct())
-    sets = scratch.write(sets.mapInArrow(_with_points, "uid long, n long, point binary, items binary"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = sets.select("uid", "items")
-        both = (
-            pairs.join(side.toDF("a", "xs"), "a").join(side.toDF("b", "ys"), "b").select("a", "b", "xs", "ys")
-        )
-        return both.mapInArrow(_verified(num, den), "a long, b long")
-
-    first = met.groupBy("uid").agg(F.min("pivot").alias("pivot")).where("uid <> pivot")
-    first = first.select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
-    links = scratch.write(verified(first), "links")
+    crowd = cells.groupBy("cell").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = scratch.write(cells.join(crowd.drop("size"), "cell"), "met")
+
+    # One comparison a set, with the smallest pivot of its cells; a pivot of many is copied to several tasks.
+    first = scratch.write(met.groupBy("uid").agg(F.min("pivot").alias("head")), "first")
+    heads = first.where("uid <> head").groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HEAD_ROWS).alias("salts"))
+    heads = scratch.write(heads, "heads")
+    salted = first.where("uid <> head").join(heads, "head").withColumn("salt", F.pmod(F.xxhash64("uid"), "salts"))
+    own = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("uid", F.col("head"))
+    columns = ["uid", "head", "salt"]
+    sets = scratch.write(fetch(salted.select(columns).unionByName(own.select(columns))), "sets")
+    dealt = sets.repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("uid") != F.col("head"))
+    links = scratch.write(dealt.select("uid", "head", "items").mapInArrow(_from_heads(num, den), "a long, b long"), "links")
     parts = scratch.write(components(links, scratch), "parts")
 
+    # Cells that still hold several components.
     seen = met.select("cell", "uid").join(parts.toDF("uid", "part"), "uid", "left")
     seen = scratch.write(seen.select("cell", "uid", F.coalesce("part", "uid").alias("part")), "seen")
     open_ = seen.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size"))
     open_ = open_.where("lo <> hi").select("cell", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    left = scratch.write(seen.join(open_, "cell"), "open")
-    salted = left.withColumn("mine", F.pmod(F.xxhash64("uid"), "blocks")).withColumn(
-        "with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    )
+    left, rows, _ = scratch.write_counted(seen.join(open_, "cell"), "open")
+    if not rows:
+        return parts.toDF("id", "component")
+    sets = sets.join(left.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.any_value("items").alias("items"))
+    sets = scratch.write(sets.mapInArrow(_with_points, "uid long, n long, point binary, items binary"), "points")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    salted = left.withColumn("mine", F.pmod(F.xxhash64("uid"), "blocks")).withColumn("with", blocks)
     salted = salted.select(
         "cell", "uid", "part", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"),
         (F.col("mine") <= F.col("with")).alias("left"), (F.col("mine") >= F.col("with")).alias("right"),
     ).join(sets.select("uid", "n", "point"), "uid")
     pairs = salted.groupBy("cell", "i", "j").applyInPandas(_search(num, den), "a long, b long").distinct()
-    pairs = scratch.write(pairs, "pairs")
-    more = scratch.write(verified(pairs), "links")
-    return components(links.unionByName(more), scratch)
+    pairs, rows, _ = scratch.write_counted(pairs, "pairs")
+    if not rows:
+        return parts.toDF("id", "component")
+    side = sets.select("uid", "items")
+    both = pairs.join(side.toDF("a", "xs"), "a").join(side.toDF("b", "ys"), "b").select("a", "b", "xs", "ys")
+    more = scratch.write(both.mapInArrow(_pairs(num, den), "a long, b long"), "links")
+    return components(links.unionByName(more), scratch).toDF("id", "component")
 
 
 def _with_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,7 +85,7 @@ def _features(k: int, num: int, den: int):
                 for i in range(len(words.ranges) - 1):
                     items = np.unique(shingles(words.of(i), k))
                     sizes.append(len(items))
-                    keys.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                    keys.append(_key(items.tobytes()) if len(items) else None)
                     cells.append(set_cells(items, num, den).view(np.int64))
                 ids = batch["doc_id"].slice(at, len(sizes))
                 yield pa.RecordBatch.from_arrays(
@@ -97,16 +97,26 @@ def _features(k: int, num: int, den: int):
 
 
 def _items(k: int):
+    """Sets of texts that stand beside the key of the set that is wanted of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in each_text(batch["text"]):
-                sets = [np.unique(shingles(words.of(i), k)).tobytes() for i in range(len(words.ranges) - 1)]
-                keys = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["set_key", "items"])
+            names = [n for n in batch.schema.names if n not in ("text", "set_key")]
+            for at, _, words in each_text(batch["text"]):
+                n = len(words.ranges) - 1
+                sets = [np.unique(shingles(words.of(i), k)).tobytes() for i in range(n)]
+                wanted = batch["set_key"].slice(at, n).to_pylist()
+                right = pa.array([w == _key(x) for w, x in zip(wanted, sets, strict=True)], pa.bool_())
+                rest = [batch[c].slice(at, n) for c in names]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(sets, pa.binary())], [*names, "items"]).filter(right)
 
     return run
 
 
+def _key(items: bytes) -> bytes:
+    return hashlib.blake2b(items, digest_size=16).digest()
+
+
 def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id long, text string; others are
     ignored): doc_id, n_shingles, component_id.
@@ -129,14 +139,11 @@ def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     cells = texts.join(kinds.select("uid"), "uid", "left_semi").select(F.explode("cells").alias("cell"), "uid")
 
     def fetch(uids: DataFrame) -> DataFrame:
-        wanted = scratch.write(texts.select("uid", "doc_id", "set_key").join(uids, "uid", "left_semi"), "wanted")
-        ids = wanted.select("doc_id").distinct()
-        found = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-        found = found.mapInArrow(_items(k), "set_key binary, items binary")
-        found = found.join(wanted.select("uid", "set_key"), "set_key").select("uid", "items")
-        return found.dropDuplicates(["uid"])
-
-    parts = scratch.write(link(cells, fetch, num, den, scratch).toDF("uid", "part"), "parts")
+        wanted = uids.join(texts.select("uid", F.col("doc_id").alias("of"), "set_key"), "uid")
+        found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["of"])).drop("doc_id", "of")
+        return found.mapInArrow(_items(k), "uid long, head long, salt long, items binary")
+
+    parts = link(cells, fetch, num, den, scratch).toDF("uid", "part")
     whole = kinds.join(parts, "uid", "left").select("set_key", "least", F.coalesce("part", "uid").alias("part"))
     least = whole.groupBy("part").agg(F.min("least").alias("component_id"))
     named = whole.join(least, "part").select("set_key", "component_id")
