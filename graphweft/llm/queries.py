@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm import byte_bpe, ngram_join, token_counts
+from graphweft.llm import byte_bpe, ngram_join, token_counts, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +61,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op1_embedding_dedup", sql="""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+best AS (SELECT a, min(b) AS least FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(best.least, vec_id)) AS component_id,
+  least(vec_id, coalesce(best.least, vec_id)) = vec_id AS kept
+FROM embeddings e LEFT JOIN best ON best.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
