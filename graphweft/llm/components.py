@@ -1,8 +1,9 @@
 """Connected components of an edge table, by contraction.
 
-In each round every node joins the neighbour (or itself) that is smallest in an
-order drawn anew for the round, and the graph is contracted. A round removes a
-constant share of the nodes in expectation, paths and stars included, so
+In each round every node joins the neighbour (or itself) that is smallest in the
+order of the round, and the graph is contracted. Even rounds go by id, which
+ends stars around their smallest id at once; odd rounds go by an order drawn anew
+and remove a constant share of the nodes in expectation, paths included, so
 logarithmically many rounds do. Minima combine in the map tasks, so a hub sends
 one row per task. Every round is a written table: a lost executor repeats one.
 """
@@ -21,9 +22,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges, left, _ = scratch.write_counted(edges.where("a <> b").select("a", "b").distinct(), "edges")
     steps: list[DataFrame] = []
     while left:
-        turn = F.lit(len(steps))
+        turn = len(steps)
         both = edges.union(edges.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(c, turn).alias("o"), F.col(c).alias("id"))
+        order = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn % 2 else F.col(c)).alias("o"), F.col(c).alias("id"))
         step = both.groupBy("a").agg(F.least(F.min(order("b")), order("a"))["id"].alias("m"))
         step = scratch.write(step, "step")
         steps.append(step)

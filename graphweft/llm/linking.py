@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,15 +74,59 @@ def bounded_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, num:
     return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
-def _search(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        points = np.stack([np.frombuffer(p, np.uint16) for p in group["point"]]).astype(np.int32)
-        ids, left, right = group["uid"].to_numpy(), group["left"].to_numpy(), group["right"].to_numpy()
-        found = bounded_pairs(points, group["n"].to_numpy(), group["part"].to_numpy(), num, den)
-        if len(found) and not (left & right).all():  # two blocks: pairs across them only
-            found = found[left[found[:, 0]] != left[found[:, 1]]]
-        a, b = ids[found].min(1), ids[found].max(1)
-        return pd.DataFrame({"a": a, "b": b})
+def _small_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, starts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The same for many small groups at once; ``starts`` ends with the number of rows."""
+    lengths = np.diff(starts)
+    found = []
+    for step in range(1, int(lengths.max(initial=0))):  # each row with the one ``step`` places on
+        i = np.concatenate([np.arange(s, s + n - step) for s, n in zip(starts[:-1][lengths > step], lengths[lengths > step], strict=True)])
+        j = i + step
+        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        fits = (parts[i] != parts[j]) & (den * low >= num * high)
+        i, j = i[fits], j[fits]
+        fits = np.minimum(points[i], points[j]).sum(1, dtype=np.int64) >= least_overlap(sizes[i] + sizes[j], num, den)
+        found.append(np.stack([i[fits], j[fits]], 1))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
+def _search(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by cell and block pair; a group, at most two blocks, is kept until it is whole."""
+
+    def found(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        uid, n, part = (table[c].to_numpy() for c in ("uid", "n", "part"))
+        left, right = (table[c].to_numpy() for c in ("left", "right"))
+        lengths = np.diff(starts)
+        out = []
+        small = np.flatnonzero(lengths <= LEAF)
+        if len(small):
+            rows = np.concatenate([np.arange(starts[g], starts[g + 1]) for g in small])
+            ends = np.concatenate(([0], np.cumsum(lengths[small])))
+            out.append(rows[_small_pairs(points[rows], n[rows], part[rows], ends, num, den)])
+        for g in np.flatnonzero(lengths > LEAF):
+            own = slice(starts[g], starts[g + 1])
+            pairs = bounded_pairs(points[own].astype(np.int32), n[own], part[own], num, den) + starts[g]
+            if not (left[own] & right[own]).all():  # two blocks: pairs across them only
+                pairs = pairs[left[pairs[:, 0]] != left[pairs[:, 1]]]
+            out.append(pairs)
+        pairs = uid[np.concatenate(out).reshape(-1, 2)] if out else np.empty((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs, 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if kept is None else pa.concat_tables([kept, table])
+            keys = np.stack([table[c].to_numpy() for c in ("cell", "i", "j")], 1)
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))) if len(keys) else np.empty(0, np.int64)
+            if not len(starts):
+                continue
+            kept = table.slice(starts[-1]).combine_chunks()
+            if len(starts) > 1:
+                yield found(table.slice(0, starts[-1]), starts)
+        if kept is not None:
+            yield found(kept, np.array([0, kept.num_rows]))
 
     return search
 
@@ -161,7 +204,8 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, de
         "cell", "uid", "part", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"),
         (F.col("mine") <= F.col("with")).alias("left"), (F.col("mine") >= F.col("with")).alias("right"),
     ).join(sets.select("uid", "n", "point"), "uid")
-    pairs = salted.groupBy("cell", "i", "j").applyInPandas(_search(num, den), "a long, b long").distinct()
+    dealt = salted.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    pairs = dealt.mapInArrow(_search(num, den), "a long, b long").distinct()
     pairs, rows, _ = scratch.write_counted(pairs, "pairs")
     if not rows:
         return parts.toDF("id", "component")
