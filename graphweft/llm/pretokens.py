@@ -13,9 +13,9 @@ import regex
 from graphweft.llm.words import slices
 
 #: Text of one block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Pre-tokens whose result is carried on to the next block of a task; this changes no result.
-KEPT = 1_000_000
+KEPT = 300_000
 #: Texts whose bytes stay at or below this lead byte hold code points under NARROW only.
 NARROW, NARROW_BYTE = 0x240, 0xC8
 

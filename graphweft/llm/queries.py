@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm import byte_bpe, ngram_join, token_counts, vector_dedup
+from graphweft.llm import byte_bpe, mixing, ngram_join, quality_rules, token_counts, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,32 @@ FROM embeddings e LEFT JOIN best ON best.a = e.vec_id LEFT JOIN n ON n.a = e.vec
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op3_quality_rules", sql=r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+b AS (SELECT doc_id, text, l, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM f),
+win AS (SELECT doc_id, unnest(g) AS g, unnest(range(0, len(g))) AS p FROM b),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cover AS (SELECT doc_id, CAST(sum(least(5, coalesce(nxt - p, 5))) AS BIGINT) AS n FROM
+  (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM rep) GROUP BY doc_id),
+base AS (SELECT b.*, coalesce(c.n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(c.n, 0) > 20 * n_words AS base_failed
+  FROM b LEFT JOIN cover c USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * len(l)
+    OR 10 * len(list_filter(l, lambda x: regexp_matches(x, '^\s*[•‣\-*]\s'))) > 9 * len(l)
+    OR 10 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 3 * len(l)
+    OR contains(lower(text), 'lorem ipsum')) AS kept
+FROM base
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op10_source_mix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
