@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm import byte_bpe, mixing, ngram_join, quality_rules, token_counts, vector_dedup
+from graphweft.llm import byte_bpe, mixing, ngram_join, quality_rules, substring_dedup, token_counts, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,3 +106,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -48,6 +48,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
         """data: UTF-8 bytes; offsets: where each text begins, and the end of the last."""
+        self.offsets = offsets
         n = len(data)
         solid = ~_SPACE[data]
         first, last = np.ones(n, bool), np.ones(n, bool)
