@@ -9,15 +9,18 @@ candidates are ranked again by the exact cosine.
 Both cuts are lossless, so every link is found:
 
 - a list is probed unless the query is farther from its centre than the list's
-  largest residual and the radius sqrt(2 - 2 * cosine) together;
+  largest residual and the radius sqrt(2 - 2 * cosine) together, or farther than the
+  radius from the plane beyond which a vector would be nearer to that centre
+  than to the query's own;
 - a code is a candidate unless its table distance exceeds the radius by more than
   the vector's stored coding error.
 
 Quantisers are fitted on a sample of at most ``SAMPLE`` vectors, chosen by hash;
 every vector is indexed. Equal vectors of one label are one entry with a count.
-Lists and their queries meet in blocks of ``BLOCK`` by ``BLOCK`` rows, so a list
-with a third of all vectors is dealt over many tasks; a task returns counts and
-the edges of a spanning forest, never pairs.
+Small lists of one label share a block of about ``BLOCK`` members and a large list
+has several; a query goes to each block it probes once, in blocks of its own. So
+a list with a third of all vectors is dealt over many tasks; a task returns
+counts and the edges of a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.llm.components import components
@@ -86,6 +89,12 @@ class Quantiser:
         near = np.concatenate([w[codes[:, i]] for i, w in enumerate(self.words)], 1)
         return at, codes.astype(np.uint8), np.linalg.norm(rest - near, axis=1), np.linalg.norm(rest, axis=1)
 
+    def beside(self, d2: np.ndarray, radius: float) -> np.ndarray:
+        """Lists whose side of the plane halfway to the query's own centre is within ``radius``, by squared distances to the centres."""
+        own = d2.argmin(1)
+        apart = np.sqrt(np.maximum((self.lists[own] ** 2).sum(1)[:, None] + (self.lists**2).sum(1) - 2 * self.lists[own] @ self.lists.T, 0))
+        return d2 - d2.min(1, keepdims=True) <= 2 * radius * apart + 1e-6
+
     def distances(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to the coded members of one list, by table lookup."""
         rest = q - self.lists[at]
@@ -113,22 +122,27 @@ def _coded(quantiser: Quantiser):
     return run
 
 
+def _probed(quantiser: Quantiser, x: np.ndarray, reach: np.ndarray, radius: float) -> np.ndarray:
+    """Which lists may hold a partner of each query."""
+    d2 = (x**2).sum(1)[:, None] + (quantiser.lists**2).sum(1) - 2 * x @ quantiser.lists.T
+    return (np.sqrt(np.maximum(d2, 0)) <= radius + reach + 1e-6) & quantiser.beside(d2, radius)
+
+
 def _probes(quantiser: Quantiser, reach: np.ndarray, radius: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in part["unit"]])
-                d2 = (x**2).sum(1)[:, None] + (quantiser.lists**2).sum(1) - 2 * x @ quantiser.lists.T
-                i, to = np.nonzero(np.sqrt(np.maximum(d2, 0)) <= radius + reach + 1e-6)
-                picked = part.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(to)], [*part.schema.names, "list"])
+                i, to = np.nonzero(_probed(quantiser, x, reach, radius))
+                i = pa.array(i)
+                yield pa.RecordBatch.from_arrays([part["uid"].take(i), part["label"].take(i), pa.array(to)], ["uid", "label", "list"])
 
     return run
 
 
-def _compared(quantiser: Quantiser, least: float, radius: float):
-    def run(key: tuple, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+def _compared(quantiser: Quantiser, reach: np.ndarray, least: float, radius: float):
+    def run(_key: tuple, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or members.empty:
             return pd.DataFrame({"uid": [], "links": [], "near": []})
         q, m = _matrix(queries["unit"]), _matrix(members["unit"])
@@ -139,10 +153,21 @@ def _compared(quantiser: Quantiser, least: float, radius: float):
         # the tree of each id seen here: queries and members by their place among all ids
         known, place = np.unique(np.concatenate([ids, others]), return_inverse=True)
         mine, theirs, tree = place[: len(ids)], place[len(ids) :], np.arange(len(known))
+        lists = members["list"].to_numpy()
+        present = np.unique(lists)
         for at in range(0, len(q), 256):
-            near = np.sqrt(quantiser.distances(q[at : at + 256], int(key[1]), codes)) <= radius + error + 1e-6
-            near &= ids[at : at + 256, None] != others
-            i, j = np.nonzero(near)
+            own = q[at : at + 256]
+            asked = _probed(quantiser, own, reach, radius)
+            i, j = [], []
+            for number in present:
+                ask, held = np.flatnonzero(asked[:, number]), np.flatnonzero(lists == number)
+                near = np.sqrt(quantiser.distances(own[ask], number, codes[held])) <= radius + error[held] + 1e-6
+                x, y = np.nonzero(near & (ids[ask + at, None] != others[held]))
+                i.append(ask[x])
+                j.append(held[y])
+            i, j = np.concatenate(i), np.concatenate(j)
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
             exact = np.zeros(len(i), bool)
             for x in range(0, len(i), 65536):  # the exact cosine of the candidates
                 exact[x : x + 65536] = np.einsum("ij,ij->i", q[i[x : x + 65536] + at], m[j[x : x + 65536]]) >= least
@@ -237,21 +262,25 @@ def _linked(entries: DataFrame, dim: int, least: float, scratch: Scratch) -> Dat
     far = np.full(len(quantiser.lists), -np.inf)
     for r in members.groupBy("list").agg(F.max("reach")).collect():  # one number a list
         far[r[0]] = r[1]
-    queries = units.mapInArrow(_probes(quantiser, far, radius), "uid long, label string, times long, unit binary, list long")
-    queries = scratch.write(queries.drop("times"), "queries")
-
-    key = ["label", "list"]
-    blocks = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"))
-    blocks = blocks.join(queries.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("q")), key)
-    blocks = scratch.write(blocks, "blocks")
+    # Small lists of a label share a block of members, a large one has several; a query goes to a block once.
+    held = members.groupBy("label", "list").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("list")) - F.col("n")
+    held = held.withColumn("first", F.floor(before / BLOCK)).withColumn("salts", F.ceil(F.col("n") / BLOCK)).drop("n")
+    held = scratch.write(held, "held")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    members = members.join(blocks, key).withColumn("mb", F.pmod(F.xxhash64("uid"), "m")).withColumn("qb", upto("q"))
-    queries = queries.join(blocks, key).withColumn("qb", F.pmod(F.xxhash64("uid"), "q")).withColumn("mb", upto("m"))
-    both_keys = ["label", "list", "qb", "mb", "uid", "unit"]
-    members = members.select(*both_keys, "times", "codes", "error").toDF(*both_keys, "times", "codes", "error")
+    asked = units.mapInArrow(_probes(quantiser, far, radius), "uid long, label string, list long").join(held, ["label", "list"])
+    asked = asked.withColumn("salt", upto("salts")).select("uid", (F.col("first") + F.col("salt")).alias("mb")).distinct()
+    queries = scratch.write(asked.join(units.select("uid", "label", "unit"), "uid"), "queries")
+    counts = queries.groupBy("label", "mb").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("q"))
+    counts = scratch.write(counts, "counts")
+    members = members.join(held, ["label", "list"]).withColumn("mb", F.col("first") + F.pmod(F.xxhash64("uid"), "salts"))
+    members = members.join(counts, ["label", "mb"]).withColumn("qb", upto("q"))
+    queries = queries.join(counts, ["label", "mb"]).withColumn("qb", F.pmod(F.xxhash64("uid"), "q"))
+    both_keys = ["label", "qb", "mb", "uid", "unit"]
+    members = members.select(*both_keys, "list", "times", "codes", "error").toDF(*both_keys, "list", "times", "codes", "error")
     queries = queries.select(*both_keys).toDF(*both_keys)
-    both = queries.groupBy("label", "list", "qb", "mb").cogroup(members.groupBy("label", "list", "qb", "mb"))
-    return both.applyInPandas(_compared(quantiser, least, radius), "uid long, links long, near long")
+    both = queries.groupBy("label", "qb", "mb").cogroup(members.groupBy("label", "qb", "mb"))
+    return both.applyInPandas(_compared(quantiser, far, least, radius), "uid long, links long, near long")
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
