@@ -31,15 +31,28 @@ from graphweft.session import Scratch
 BLOCK = 1024
 #: Sets that one task compares with a copy of the same head.
 HEAD_ROWS = 2048
-#: Dimensions of a point: groups that the members of a set are hashed to.
-GROUPS = 128
+#: Coordinates of a point at least.
+LEAST_GROUPS = 64
+#: Sets that a list of ids may name to have it sent to the texts; above, texts and list are shuffled.
+BROADCAST_ROWS = 250_000
 #: Entries of a leaf of the packed tree.
 LEAF = 32
 
 
-def point(items: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many members of a set fall into each group."""
-    return np.bincount((mix(items ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+def point(items: np.ndarray) -> np.ndarray:
+    """How many members of a set fall into each group, as bytes. There are half as
+    many groups as members or more, a power of two, so that sets of any size are
+    told apart alike. Should a count not fit, all are 255, which bounds nothing."""
+    groups = max(LEAST_GROUPS, 1 << max(0, len(items) // 2 - 1).bit_length())
+    at = (mix(items ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(groups - 1)).astype(np.int64)
+    counts = np.bincount(at, minlength=groups)
+    return np.full(groups, 255, np.uint8) if counts.max(initial=0) > 255 else counts.astype(np.uint8)
+
+
+def folded(points: list[bytes], groups: int) -> np.ndarray:
+    """Points of as many coordinates or more, brought to ``groups`` by adding up."""
+    rows = (np.frombuffer(p, np.uint8) for p in points)
+    return np.stack([p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.uint16) for p in rows]).astype(np.uint16)
 
 
 def least_overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -61,12 +74,12 @@ def bounded_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, num:
     least, most = sizes[starts], np.maximum.reduceat(sizes, starts)
     found = []
     for x, at in enumerate(starts):
-        bound = np.minimum(tops[x], tops[x:]).sum(1)
+        bound = np.minimum(tops[x], tops[x:]).sum(1, dtype=np.int64)
         reach = (bound >= least_overlap(least[x] + least[x:], num, den)) & (den * most[x] >= num * least[x:])
         mine = slice(at, at + LEAF)
         for y in np.flatnonzero(reach) + x:
             other = slice(starts[y], starts[y] + LEAF)
-            overlap = np.minimum(points[mine, None], points[None, other]).sum(2)
+            overlap = np.minimum(points[mine, None], points[None, other]).sum(2, dtype=np.int64)
             fits = overlap >= least_overlap(sizes[mine, None] + sizes[None, other], num, den)
             fits &= parts[mine, None] != parts[None, other]
             i, j = np.nonzero(np.triu(fits, 1) if x == y else fits)
@@ -93,19 +106,22 @@ def _search(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     """Rows come sorted by cell and block pair; a group, at most two blocks, is kept until it is whole."""
 
     def found(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        points = table["point"].to_pylist()
         uid, n, part = (table[c].to_numpy() for c in ("uid", "n", "part"))
         left, right = (table[c].to_numpy() for c in ("left", "right"))
         lengths = np.diff(starts)
+        # all points of a group have the coordinates of its smallest
+        groups = np.minimum.reduceat(np.array([len(p) for p in points]), starts[:-1])
         out = []
-        small = np.flatnonzero(lengths <= LEAF)
-        if len(small):
-            rows = np.concatenate([np.arange(starts[g], starts[g + 1]) for g in small])
-            ends = np.concatenate(([0], np.cumsum(lengths[small])))
-            out.append(rows[_small_pairs(points[rows], n[rows], part[rows], ends, num, den)])
+        for size in np.unique(groups):
+            small = np.flatnonzero((lengths <= LEAF) & (groups == size))
+            if len(small):
+                rows = np.concatenate([np.arange(starts[g], starts[g + 1]) for g in small])
+                ends = np.concatenate(([0], np.cumsum(lengths[small])))
+                out.append(rows[_small_pairs(folded([points[r] for r in rows], size), n[rows], part[rows], ends, num, den)])
         for g in np.flatnonzero(lengths > LEAF):
             own = slice(starts[g], starts[g + 1])
-            pairs = bounded_pairs(points[own].astype(np.int32), n[own], part[own], num, den) + starts[g]
+            pairs = bounded_pairs(folded(points[own], groups[g]), n[own], part[own], num, den) + starts[g]
             if not (left[own] & right[own]).all():  # two blocks: pairs across them only
                 pairs = pairs[left[pairs[:, 0]] != left[pairs[:, 1]]]
             out.append(pairs)
@@ -165,12 +181,13 @@ def _pairs(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return verify
 
 
-def link(cells: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
+def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
     """(id, component) of the sets that are linked with another.
 
     cells: (cell, uid) longs, a row for each cell of each set. fetch: adds to a
-    table with a column uid the column items, the set's members as sorted 64-bit
-    hashes; repeated rows do no harm. Sets x and y are linked when
+    table with columns uid, head and salt the column items, the set's members as
+    sorted 64-bit hashes; repeated rows do no harm; its second argument says that
+    the table has at most ``BROADCAST_ROWS`` rows, by count. Sets x and y are linked when
     den * |x and y| >= num * |x or y|.
     """
     crowd = cells.groupBy("cell").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -183,7 +200,8 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, de
     salted = first.where("uid <> head").join(heads, "head").withColumn("salt", F.pmod(F.xxhash64("uid"), "salts"))
     own = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("uid", F.col("head"))
     columns = ["uid", "head", "salt"]
-    sets = scratch.write(fetch(salted.select(columns).unionByName(own.select(columns))), "sets")
+    roles, rows, _ = scratch.write_counted(salted.select(columns).unionByName(own.select(columns)), "roles")
+    sets = scratch.write(fetch(roles, rows <= BROADCAST_ROWS), "sets")
     dealt = sets.repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("uid") != F.col("head"))
     links = scratch.write(dealt.select("uid", "head", "items").mapInArrow(_from_heads(num, den), "a long, b long"), "links")
     parts = scratch.write(components(links, scratch), "parts")
@@ -196,28 +214,28 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, de
     left, rows, _ = scratch.write_counted(seen.join(open_, "cell"), "open")
     if not rows:
         return parts.toDF("id", "component")
-    sets = sets.join(left.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.any_value("items").alias("items"))
-    sets = scratch.write(sets.mapInArrow(_with_points, "uid long, n long, point binary, items binary"), "points")
+    points = sets.select("uid", "items").mapInArrow(_points, "uid long, n long, point binary")
+    points = scratch.write(points.dropDuplicates(["uid"]), "points")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     salted = left.withColumn("mine", F.pmod(F.xxhash64("uid"), "blocks")).withColumn("with", blocks)
     salted = salted.select(
         "cell", "uid", "part", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"),
         (F.col("mine") <= F.col("with")).alias("left"), (F.col("mine") >= F.col("with")).alias("right"),
-    ).join(sets.select("uid", "n", "point"), "uid")
+    ).join(points, "uid")
     dealt = salted.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     pairs = dealt.mapInArrow(_search(num, den), "a long, b long").distinct()
     pairs, rows, _ = scratch.write_counted(pairs, "pairs")
     if not rows:
         return parts.toDF("id", "component")
-    side = sets.select("uid", "items")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    side = scratch.write(sets.select("uid", "items").join(asked, "uid", "left_semi").dropDuplicates(["uid"]), "side")
     both = pairs.join(side.toDF("a", "xs"), "a").join(side.toDF("b", "ys"), "b").select("a", "b", "xs", "ys")
     more = scratch.write(both.mapInArrow(_pairs(num, den), "a long, b long"), "links")
     return components(links.unionByName(more), scratch).toDF("id", "component")
 
 
-def _with_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["items"]]
-        points = [point(x).clip(max=65535).astype(np.uint16).tobytes() for x in rows]
-        sizes = pa.array([len(x) for x in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["uid"], sizes, pa.array(points, pa.binary()), batch["items"]], ["uid", "n", "point", "items"])
+        points = pa.array([point(x).tobytes() for x in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["uid"], pa.array([len(x) for x in rows], pa.int64()), points], ["uid", "n", "point"])

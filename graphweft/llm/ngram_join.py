@@ -138,9 +138,9 @@ def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     kinds = scratch.write(kinds.agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "kinds")
     cells = texts.join(kinds.select("uid"), "uid", "left_semi").select(F.explode("cells").alias("cell"), "uid")
 
-    def fetch(uids: DataFrame) -> DataFrame:
+    def fetch(uids: DataFrame, few: bool) -> DataFrame:
         wanted = uids.join(texts.select("uid", F.col("doc_id").alias("of"), "set_key"), "uid")
-        found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["of"])).drop("doc_id", "of")
+        found = docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["of"])).drop("doc_id", "of")
         return found.mapInArrow(_items(k), "uid long, head long, salt long, items binary")
 
     parts = link(cells, fetch, num, den, scratch).toDF("uid", "part")

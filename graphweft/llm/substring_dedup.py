@@ -187,10 +187,10 @@ def _clusters(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
     kinds = scratch.write(kinds, "kinds")
     cells = lines.join(kinds.select("uid"), "uid", "left_semi").select(F.explode("cells").alias("cell"), "uid")
 
-    def fetch(uids: DataFrame) -> DataFrame:
+    def fetch(uids: DataFrame, few: bool) -> DataFrame:
         wanted = uids.join(lines.select("uid", "doc", "begin", "end"), "uid")
         wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("uid", "head", "salt", "begin", "end")).alias("wanted"))
-        found = docs.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc")
+        found = docs.select("doc", "text").join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc")
         return found.select("text", "wanted").mapInArrow(_sets, "uid long, head long, salt long, items binary")
 
     parts = link(cells, fetch, num, den, scratch).toDF("uid", "part")
