@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm import byte_bpe, language_id, mixing, ngram_join, quality_rules, substring_dedup, token_counts, vector_dedup
+from graphweft.llm import byte_bpe, language_id, lm_scoring, mixing, ngram_join, quality_rules, substring_dedup, token_counts, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,3 +118,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
     found = language_id.identify(language_id.with_pages(docs, pages))
     return found.select("doc_id", F.col("found").alias("lang"), F.round("posterior", 6).alias("posterior"), "declared_ok", F.col("accepted").alias("kept"))
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lm_scoring.score(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
