@@ -61,11 +61,12 @@ def _point(t: Column) -> Column:
     return part(part(high * F.lit(_GOLDEN_STRIDE)) + part(low * F.lit(_GOLDEN)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_TIMES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_TIMES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, targets, pieces) of a mix of ``docs`` (doc_id long, text,
     source; others are ignored).
 
-    documents: row, doc_id, source, size (words of the text); targets: source,
+    documents: row, doc_id, source, size (words of the text) and the columns of
+    docs named in ``carry``; targets: source,
     source_size, weight, target; pieces: slot, source, row, turn, begin, end: words
     begin to end (0-based, end excluded) of a document fill a slot, for the turn-th
     time through its source. A slot may hold pieces of several documents, in the order of
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_T
     """
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *carry)
     rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, times)
     aims = scratch.write(aims.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("long")), "targets")

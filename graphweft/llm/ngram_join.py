@@ -87,10 +87,10 @@ def _features(k: int, num: int, den: int):
                     sizes.append(len(items))
                     keys.append(_key(items.tobytes()) if len(items) else None)
                     cells.append(set_cells(items, num, den).view(np.int64))
-                ids = batch["doc_id"].slice(at, len(sizes))
+                ids, marks = batch["doc_id"].slice(at, len(sizes)), batch["mark"].slice(at, len(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_key", "cells"],
+                    [ids, marks, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))],
+                    ["doc_id", "mark", "n_shingles", "set_key", "cells"],
                 )
 
     return run
@@ -119,7 +119,8 @@ def _key(items: bytes) -> bytes:
 
 def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id long, text string; others are
-    ignored): doc_id, n_shingles, component_id.
+    ignored): doc_id, n_shingles, component_id, mark (xxhash64 of the text) and
+    group (a number of the component within this result, null without shingles).
 
     Texts are linked when den * |x and y| >= num * |x or y| over their distinct
     k-word shingles; component_id is the smallest doc_id reachable by links.
@@ -132,7 +133,7 @@ def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = docs.mapInArrow(_features(k, num, den), "doc_id long, n_shingles long, set_key binary, cells array<long>")
+    made = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_features(k, num, den), "doc_id long, mark long, n_shingles long, set_key binary, cells array<long>")
     texts = scratch.write(made.withColumn("uid", F.monotonically_increasing_id()), "texts")
     kinds = texts.where("set_key is not null").groupBy("set_key")
     kinds = scratch.write(kinds.agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "kinds")
@@ -146,8 +147,7 @@ def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     parts = link(cells, fetch, num, den, scratch).toDF("uid", "part")
     whole = kinds.join(parts, "uid", "left").select("set_key", "least", F.coalesce("part", "uid").alias("part"))
     least = whole.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = whole.join(least, "part").select("set_key", "component_id")
-    out = texts.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select(
-        "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = whole.join(least, "part").select("set_key", "component_id", "part")
+    out = texts.select("doc_id", "mark", "n_shingles", "set_key").join(named, "set_key", "left")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "mark", F.col("part").alias("group"))

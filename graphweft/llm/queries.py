@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm import byte_bpe, language_id, lm_scoring, mixing, ngram_join, quality_rules, substring_dedup, token_counts, vector_dedup
+from graphweft.llm import (
+    byte_bpe,
+    language_id,
+    lm_scoring,
+    mixing,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    vector_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +56,8 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
 FROM sets
 """)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = ngram_join.similar_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op7_byte_bpe")
@@ -124,3 +136,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return lm_scoring.score(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def grades(labels: DataFrame) -> DataFrame:
+    """Grades of the rated texts: 0 poor, 1 good but toxic, 2 good and clean."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return labels.where("quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality_classifier.graded(docs, grades(labels))
