@@ -105,11 +105,16 @@ def markup_language(html: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")))
 
 
+#: Columns made on the way; those of these names in the input are replaced.
+_OWN = "scores n_trigrams evidence first domain prior total top found posterior declared_ok accepted".split()
+
+
 def identify(rows: DataFrame) -> DataFrame:
     """``rows`` with columns found, posterior, declared_ok and accepted added.
 
     rows: text, known (a language to learn from, or null), declared, address and
-    host, all strings that may be null, and any other columns, which stay. found
+    host, all strings that may be null, and any other columns, which stay unless
+    they have a name of ``_OWN``. found
     is the language of highest posterior, ties to the smaller name; accepted says
     that the text has letters and the posterior is ``LEAST`` or more; declared_ok
     whether declared is null or found.
@@ -120,6 +125,7 @@ def identify(rows: DataFrame) -> DataFrame:
     rows stay; no rows give none.
     """
     scratch = Scratch(rows.sparkSession)
+    rows = rows.drop(*_OWN)
     rows = rows.withColumns({c: F.col(c).cast("string") for c in ("text", "known", "declared", "address", "host")})
     learnt = rows.where("known is not null and text is not null").select("text", "known")
     counts = learnt.mapInArrow(_counted, "known string, feature long, n long").groupBy("known", "feature").agg(F.sum("n").alias("n"))
@@ -168,7 +174,7 @@ def identify(rows: DataFrame) -> DataFrame:
     out = out.withColumn("total", F.zip_with("evidence", "prior", lambda e, p: e + F.log(p)))
     out = out.withColumn("top", F.array_max("total"))
     best = (F.array_position("total", F.col("top")) - 1).cast("int")
-    posterior = 1 / total(F.transform("total", lambda x: F.exp(x - F.col("top"))))
+    posterior = F.try_divide(F.lit(1.0), total(F.transform("total", lambda x: F.exp(x - F.col("top")))))
     out = out.withColumns({"found": F.get(names, best), "posterior": posterior})
     accepted = F.coalesce((F.col("n_trigrams") > 0) & (F.col("posterior") >= LEAST), F.lit(False))
     out = out.withColumns({"accepted": accepted, "declared_ok": F.coalesce(F.col("declared") == F.col("found"), F.lit(True))})

@@ -48,8 +48,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = M
     total = F.sum("source_size").over(Window.partitionBy())
     # what each unit of weight gets if exactly the sources before this one are full
     level = (total - F.coalesce(F.sum(limit).over(before), F.lit(0))) / F.sum("weight").over(after)
-    fits = weighed.withColumn("level", level).withColumn("fits", limit >= F.col("level") * F.col("weight"))
-    level = F.min_by("level", F.when(F.col("fits"), limit / F.col("weight"))).over(Window.partitionBy())
+    fits = weighed.withColumn("level", level).withColumn("at", F.row_number().over(order))
+    fits = fits.withColumn("fits", limit >= F.col("level") * F.col("weight"))
+    level = F.min_by("level", F.when(F.col("fits"), F.col("at"))).over(Window.partitionBy())
     out = fits.withColumn("level", level)
     return out.select("source", "source_size", "weight", F.least(limit.cast("double"), F.col("level") * F.col("weight")).alias("target"))
 

@@ -2,9 +2,11 @@
 
 For grades 0 .. K the chance of grade k or more is sigmoid(w . x - t_k) with one
 weight vector for all grades and thresholds t_1 <= .. <= t_K. x holds the hashed
-words of a text, each once, and bins of a few shares over the whole text. Weights and
-thresholds are fitted on at most ``SAMPLE`` rated texts, chosen by hash of the
-id; every text is then scored where it lies.
+words of a text (runs of letters and digits), each once, and bins of a few
+shares over the whole text. Weights and thresholds are fitted on at most
+``SAMPLE`` rated texts, chosen by hash of the id; words in fewer than
+``LEAST_TEXTS`` of them weigh nothing, so that no text is learnt by heart. Every
+text is then scored where it lies.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.words import Words, each_text
+from graphweft.llm.words import Words, slices
 
 #: Rated texts that the model is fitted on, at most.
 SAMPLE = 10_000
@@ -25,8 +27,14 @@ SAMPLE = 10_000
 BUCKETS = 1 << 18
 BINS = 16
 SHARES = 4
+LEAST_TEXTS = 5
 SIZE = BUCKETS + SHARES * BINS
-EPOCHS, BATCH, RATE, DECAY = 12, 32, 0.1, 1e-4
+EPOCHS, BATCH, RATE = 10, 32, 1.0
+#: Pull of a weight to zero: a word must explain more than this to weigh anything (FTRL-proximal).
+LASSO, RIDGE = 15.0, 1.0
+
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def _features(data: np.ndarray, words: Words, i: int) -> np.ndarray:
@@ -45,10 +53,6 @@ def _features(data: np.ndarray, words: Words, i: int) -> np.ndarray:
     return np.concatenate([np.unique((kinds >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), bins]).astype(np.int32)
 
 
-def _scale(n: int) -> float:
-    return 1.0 / np.sqrt(n)
-
-
 @dataclass
 class CumulativeLink:
     weights: np.ndarray
@@ -61,16 +65,19 @@ class CumulativeLink:
 
     def tails(self, features: list[np.ndarray]) -> np.ndarray:
         """Chance of grade k or more, k = 1 .. K, for each text."""
-        z = np.array([self.weights[f].sum() * _scale(len(f)) for f in features])
+        z = np.array([self.weights[f].sum() for f in features])
         return 1 / (1 + np.exp(np.clip(self.thresholds - z[:, None], -60, 60)))
 
     @classmethod
     def fit(cls, features: list[np.ndarray], grades: np.ndarray, seed: int = 3) -> CumulativeLink:
         top = int(grades.max())
+        texts = np.bincount(np.concatenate(features), minlength=SIZE)
+        features = [f[(texts[f] >= LEAST_TEXTS) | (f >= BUCKETS)] for f in features]
         share = np.array([(grades >= k).mean() for k in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
         start = -np.log(share / (1 - share))
         model = cls(np.zeros(SIZE), float(start[0]), np.log(np.maximum(np.diff(start), 0.1)))
-        rng, squares, bound = np.random.default_rng(seed), np.full(SIZE, 1e-6), np.full(top, 1e-6)
+        rng, bound = np.random.default_rng(seed), np.full(top, 1e-6)
+        pull, squares = np.zeros(SIZE), np.zeros(SIZE)
         for _ in range(EPOCHS):
             order = rng.permutation(len(features))
             for at in range(0, len(order), BATCH):
@@ -87,10 +94,12 @@ class CumulativeLink:
                 np.add.at(d_t, np.minimum(y, top - 1), np.where(y < top, -upper / chance, 0))
                 flat = np.concatenate(rows)
                 touched, place = np.unique(flat, return_inverse=True)
-                each = np.repeat(d_z * [_scale(len(r)) for r in rows], [len(r) for r in rows])
-                grad = np.bincount(place, each) / len(y) + DECAY * model.weights[touched]
-                squares[touched] += grad**2
-                model.weights[touched] -= RATE * grad / np.sqrt(squares[touched])
+                each = np.repeat(d_z, [len(r) for r in rows])
+                grad, old = np.bincount(place, each), squares[touched]
+                squares[touched] = new = old + grad**2
+                pull[touched] += grad - (np.sqrt(new) - np.sqrt(old)) / RATE * model.weights[touched]
+                z = pull[touched]
+                model.weights[touched] = np.where(np.abs(z) > LASSO, (np.sign(z) * LASSO - z) / ((1 + np.sqrt(new)) / RATE + RIDGE), 0.0)
                 # a threshold is the first one and all distances below it
                 grad = np.concatenate(([d_t.sum()], [d_t[k:].sum() * np.exp(model.steps[k - 1]) for k in range(1, top)])) / len(y)
                 bound += grad**2
@@ -101,8 +110,8 @@ class CumulativeLink:
 
 def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, data, words in each_text(batch["text"]):
-            n = len(words.offsets) - 1
+        for at, data, offsets in slices(batch["text"]):
+            words, n = Words(data, offsets, space=_BETWEEN), len(offsets) - 1
             rows = pa.array([_features(data, words, i).tobytes() for i in range(n)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), batch["grade"].slice(at, n), rows], ["doc_id", "grade", "features"])
 
@@ -110,7 +119,8 @@ def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(model: CumulativeLink | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, words in each_text(batch["text"]):
+            for at, data, offsets in slices(batch["text"]):
+                words = Words(data, offsets, space=_BETWEEN)
                 n = len(words.offsets) - 1
                 grade = tail = pa.nulls(n, pa.float64())
                 if model is not None:

@@ -12,8 +12,8 @@ pieces of a repeated passage are equal wherever it stands. They are matched
 exactly, and neighbouring repeated pieces join to spans of ``LEAST_WORDS`` words
 or more.
 
-One member of each cluster stays: the paragraph of the smallest document, the
-pieces of the document that is smallest by hash. The spans of the others go.
+One member of each cluster stays, that of the smallest document, for paragraphs
+and pieces alike: whatever goes is kept, itself or nearly, by a smaller document.
 """
 
 from __future__ import annotations
@@ -153,8 +153,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = words.hashes[np.repeat(first, n) + place] * _powers(int(n.max()))[place]
             piece = mix(np.add.reduceat(hashes, np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64)
             span = (words.starts[first] - offsets[owner]) << 32 | (words.ends[stop - 1] - offsets[owner])
-            columns = [pa.array(piece), batch["doc"].take(pa.array(owner + at)), pa.array(seq << 20 | np.minimum(n, (1 << 20) - 1)), pa.array(span)]
-            yield pa.RecordBatch.from_arrays(columns, ["piece", "doc", "seq", "span"])
+            pick = pa.array(owner + at)
+            columns = [pa.array(piece), batch["doc_id"].take(pick), batch["doc"].take(pick), pa.array(seq << 20 | np.minimum(n, (1 << 20) - 1)), pa.array(span)]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "doc_id", "doc", "seq", "span"])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -163,18 +164,19 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, begin, end, n_words, cluster, removed) of spans of repeated pieces."""
-    pieces = docs.select("doc", "text").mapInArrow(_pieces, "piece long, doc long, seq long, span long")
+    """(doc, doc_id, begin, end, n_words, cluster, removed) of spans of repeated pieces."""
+    pieces = docs.mapInArrow(_pieces, "piece long, doc_id long, doc long, seq long, span long")
     pieces = scratch.write(pieces, "pieces")
-    shared = pieces.groupBy("piece").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).where("owner <> other")
-    found = pieces.join(shared.select("piece", "owner"), "piece").select(
-        "doc", F.expr("shiftright(seq, 20)").alias("seq"), F.expr("seq & 1048575").alias("n_words"), "owner",
+    at = F.struct("doc_id", "doc")
+    shared = pieces.groupBy("piece").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least <> most")
+    found = pieces.join(shared.select("piece", F.col("least.doc").alias("owner")), "piece").select(
+        "doc", "doc_id", F.expr("shiftright(seq, 20)").alias("seq"), F.expr("seq & 1048575").alias("n_words"), "owner",
         F.expr("shiftright(span, 32)").alias("begin"), F.expr("span & 4294967295").alias("end"),
     ).withColumn("removed", F.col("doc") != F.col("owner")).distinct()
-    inside = Window.partitionBy("doc", "removed").orderBy("seq")
-    runs = found.withColumn("run", F.col("seq") - F.row_number().over(inside)).groupBy("doc", "removed", "run")
+    inside = Window.partitionBy("doc", "doc_id", "removed").orderBy("seq")
+    runs = found.withColumn("run", F.col("seq") - F.row_number().over(inside)).groupBy("doc", "doc_id", "removed", "run")
     runs = runs.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("owner").alias("cluster"))
-    return runs.where(F.col("n_words") >= LEAST_WORDS).select("doc", "begin", "end", "n_words", "cluster", "removed")
+    return runs.where(F.col("n_words") >= LEAST_WORDS).select("doc", "doc_id", "begin", "end", "n_words", "cluster", "removed")
 
 
 def _clusters(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -219,7 +221,7 @@ def repeated_spans(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
 
 def _spans(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     lines = _clusters(docs, num, den, scratch).distinct()
-    runs = _passages(docs, scratch).join(docs.select("doc", "doc_id").distinct(), "doc")
+    runs = _passages(docs, scratch)
     columns = ["doc", "doc_id", "kind", "begin", "end", "n_words", "cluster", "removed"]
     lines = lines.withColumn("kind", F.lit("paragraph")).select(columns)
     return lines.unionByName(runs.withColumn("kind", F.lit("passage")).select(columns))
@@ -228,7 +230,7 @@ def _spans(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the spans that stand beside them; a line left empty goes as a whole."""
     for batch in batches:
-        out = []
+        out, gone = [], []
         for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
             if text is not None and spans:
                 raw, at, parts = text.encode(), 0, []
@@ -240,8 +242,9 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = b"".join(parts).decode()
                 text = "\n".join(x for x in kept.split("\n") if x.strip(" \t\n\x0b\x0c\r"))
             out.append(text)
+            gone.append(bool(spans) and text == "")
         rest = [c for c in batch.schema.names if c not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(out, pa.string())], [*rest, "text"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(out, pa.string()), pa.array(gone, pa.bool_())], [*rest, "text", "gone"])
 
 
 def without_repeats(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -258,6 +261,6 @@ def without_repeats(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     held = docs.withColumn("\u0000doc", key).toDF(*own, "doc").join(spans, "doc", "left").drop("doc")
     held = held.withColumnRenamed(text, "text")
     order = [c for c in own if c != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name in order) + ", text string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name in order) + ", text string, gone boolean"
     cut = held.mapInArrow(_without, schema)
-    return cut.where("text is null or text <> ''").select(*(F.col("text" if j == i else own[j]).alias(names[j]) for j in range(len(names))))
+    return cut.where("not gone").select(*(F.col("text" if j == i else own[j]).alias(names[j]) for j in range(len(names))))

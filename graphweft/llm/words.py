@@ -46,11 +46,12 @@ def _powers(n: int) -> np.ndarray:
 class Words:
     """The words of some texts: hash, byte span, and the range of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        """data: UTF-8 bytes; offsets: where each text begins, and the end of the last."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
+        """data: UTF-8 bytes; offsets: where each text begins, and the end of the
+        last; space: which bytes stand between words."""
         self.offsets = offsets
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = ~space[data]
         first, last = np.ones(n, bool), np.ones(n, bool)
         first[1:], last[:-1] = ~solid[:-1], ~solid[1:]
         first[offsets[offsets < n]] = True
