@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphweft.extract.core import DECLARATION, empty, fold, let, newlines
+from graphweft.extract.core import DECLARATION, empty, fold, let, newlines, squeezed
 from graphweft.functions.text import qualified
 
 
@@ -80,7 +80,7 @@ def scan(
                 delim.alias("delim"),
                 F.length(before).alias("lead"),
                 newlines(before).alias("lead_lines"),
-                h.alias("head"),
+                squeezed(h).alias("head"),
             ),
         )
 

@@ -14,9 +14,9 @@ HIDDEN = (
     r'/\*.*?\*/|//[^\n]*|(?<![^\n])[ \t]*#(?:[^\n\\]++|\\.)*+|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'(?:\\[^'\n]*+|[^'\\\n])'"
 )
 KEPT = r"""[^/"'\n#]++|\n(?![ \t]*#)"""
-LEAD = r"^(?:\s|(?:public|private|protected)\s*:(?!:)|template\s*<[^{};]*?>(?=\s))*"
+LEAD = r"^(?:\s++|(?:public|private|protected)\s*+:(?!:)|template\s*+<[^{};]*?>(?=\s))*+"
 _NOT = r"(?!(?:if|for|while|switch|else|do|return|catch|goto|case|typedef|using|namespace|new|delete|throw)\b)"
-_TAIL = r"(?:const|noexcept|override|final|->[^{}]*|:[^{}]*|\s)*$"
+_TAIL = r"(?:const|noexcept|override|final|->[^{}]*+|:[^{}]*+|\s++)*+$"
 _RETURN = r"[\w:<>,&*~\s\[\]]*?"
 
 # A function that returns a plain type goes by its name; one that returns a
@@ -64,6 +64,8 @@ CALL = r"(?<![\w.>:~])([A-Za-z_]\w*(?:(?:\.|->|::)~?[A-Za-z_]\w*)*)\s*\("
 
 def declarations(files: DataFrame, cpp: bool) -> DataFrame:
     masked = core.mask(F.col("source"), HIDDEN, KEPT)
+    for word in ("public", "private", "protected"):  # any number of labels may stand before a member
+        masked = F.regexp_replace(masked, rf"\b{word}:(?!:)", " " * (len(word) + 1))
     found = scan(F.col("masked"), F.col("path"), rules(cpp), LEAD, transparent=r'^extern\s+"?\s*"?$')
     rows = core.declarations(files, found, masked, {"Typedef": "^[^;{}]*;"})
     # A typedef goes by its last word, unless that word is a parameter list.
@@ -104,7 +106,7 @@ def _declaration_facts(files: DataFrame, cpp: bool) -> DataFrame:
     member = r"^\s*(?:(?:public|private|protected)\s*:\s*)*((?:const\s+|static\s+|mutable\s+|volatile\s+)*)([\w:<>,\s]*?[\w>])\s+(\w+)\s*$"
     fields = F.filter(
         F.transform(
-            F.split(core.flat(body), "[;}]"),
+            F.split(core.squeezed(core.flat(body)), "[;}]"),
             lambda m: F.struct(F.regexp_extract(m, member, 2).alias("type"), F.regexp_extract(m, member, 3).alias("name")),
         ),
         lambda f: f["name"] != "",

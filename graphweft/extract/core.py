@@ -75,6 +75,12 @@ def mask(text: Column, hidden: str, kept: str) -> Column:
     return F.array_join(blank, "")
 
 
+def squeezed(text: Column) -> Column:
+    """The text with long runs of blanks, as hidden comments leave them, as one
+    blank: patterns that try every length of a run would be quadratic in it."""
+    return F.regexp_replace(text, r"\s{64,}+", " ")
+
+
 def cut(text: Column, start: Column, stop: Column) -> Column:
     return F.substring(text, start + 1, stop - start)
 
@@ -84,14 +90,37 @@ def flat(text: Column) -> Column:
     breaks and all offsets stay."""
     tokens = F.regexp_extract_all(text, F.lit(r"(?s)[(){}\[\]]|[^(){}\[\]]+"), F.lit(0))
 
-    def step(acc: Column, token: Column) -> Column:
+    def step(before: Column, token: Column) -> Column:
         opens = token.isin("(", "{", "[")
         closes = token.isin(")", "}", "]")
-        depth = acc["d"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        shown = ((acc["d"] == 0) & ~closes) | (closes & (depth <= 0))
-        return F.struct(F.greatest(depth, F.lit(0)).alias("d"), F.concat(acc["t"], F.when(shown, token).otherwise(F.regexp_replace(token, r"[^\n]", " "))).alias("t"))
+        depth = before + F.when(opens, 1).when(closes, -1).otherwise(0)
+        shown = ((before == 0) & ~closes) | (closes & (depth <= 0))
+        out = F.when(shown, token).otherwise(F.regexp_replace(token, r"[^\n]", " "))
+        return F.struct(F.greatest(depth, F.lit(0)).alias("s"), F.array(out).alias("out"))
+
+    return F.array_join(fold(tokens, F.lit(0), step, "string")["out"], "")
+
+
+def list_start(text: str) -> Column:
+    """How many characters stand before the first parenthesis of a column."""
+    return F.length(F.regexp_extract(text, r"^[^(]*+", 0))
+
+
+def list_end(text: str) -> Column:
+    """How many characters a column has up to the end of its first list in
+    parentheses, however deep; 0 if there is none or it does not end."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[()]|[^()]++"), F.lit(0))
+
+    def step(acc: Column, token: Column) -> Column:
+        at = acc["at"] + F.length(token)
+        ends = (token == ")") & (acc["d"] == 1) & (acc["end"] == 0)
+        depth = acc["d"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        return F.struct(
+            F.greatest(depth, F.lit(0)).alias("d"), at.alias("at"), F.when(ends, at).otherwise(acc["end"]).alias("end")
+        )
 
-    return F.aggregate(tokens, F.struct(F.lit(0).alias("d"), F.lit("").alias("t")), step, lambda acc: acc["t"])
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    return F.aggregate(tokens, start, step, lambda acc: acc["end"])
 
 
 def declarations(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame
@@ -25,30 +26,42 @@ EXTRACTORS = {
 }
 
 
-def facts(files: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
-    """(entities, edges) rows of all routed files, File entities included."""
+def facts(
+    files: DataFrame,
+    languages: tuple[str, ...] | None = None,
+    read: Callable[[DataFrame], DataFrame] = lambda files: files,
+) -> DataFrame:
+    """(entities, edges) rows of all routed files, File entities included.
+
+    ``read`` adds the column source to paths. Paths are routed first, so a file is
+    only opened for its own language and for its File entity.
+    """
     routed = route(files)
-    whole = file_entities(routed)
+    whole = file_entities(read(routed))
     parts = [
         whole.select(F.array(F.struct(*whole.columns).cast(core.ENTITIES)).alias("entities"), core.empty(core.EDGES).alias("edges"))
     ]
     for names, extractor in EXTRACTORS.items():
         if languages is None or set(names) & set(languages):
-            parts.append(extractor(routed.where(F.col("language").isin(*names))))
+            parts.append(extractor(read(routed.where(F.col("language").isin(*names)))))
     return reduce(DataFrame.unionByName, parts)
 
 
 def extract(
-    files: DataFrame, languages: tuple[str, ...] | None = None, with_text: bool = True
+    files: DataFrame,
+    languages: tuple[str, ...] | None = None,
+    with_text: bool = True,
+    read: Callable[[DataFrame], DataFrame] = lambda files: files,
 ) -> tuple[DataFrame, DataFrame]:
     """(entities, relationships) of all routed files of (path, source).
 
     Each file is scanned once: what it holds is written to the scratch folder,
     and both tables are read from there. Entities with one qualified name
     collapse to the last in the file; the relationships are a bag. ``languages``
-    limits the extractors that run. Without ``with_text`` the entities' texts end
+    limits the extractors that run. ``files`` may hold paths only if ``read`` adds
+    their source. Without ``with_text`` the entities' texts end
     with the scan, so that only narrow rows are merged.
     """
-    found = Scratch(files.sparkSession).write(facts(files, languages), "facts")
+    found = Scratch(files.sparkSession).write(facts(files, languages, read), "facts")
     entities = found.select(F.inline("entities"))
     return merge_entities([entities if with_text else entities.drop("source_text")]), found.select(F.inline("edges"))

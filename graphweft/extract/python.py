@@ -174,8 +174,9 @@ def facts(files: DataFrame) -> DataFrame:
     # A heading ends with the first colon that ends its line; a block on the
     # heading's own line has none, then it ends behind the parameter list.
     heading = F.length(F.regexp_extract("masked_text", r"(?s)^.*?:[ \t]*(?=\n|$)", 0))
-    listed = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
-    one_line = F.length(F.regexp_extract("masked_text", rf"(?s)^[^(:]*(?:{listed})?[^:]*:", 0))
+    rows = rows.withColumn("_to", F.when(F.col("masked_text").rlike(r"^[^(:]*\("), core.list_end("masked_text")).otherwise(0))
+    behind = F.length(F.regexp_extract(F.expr("substring(masked_text, _to + 1)"), r"(?s)^[^:]*:", 0))
+    one_line = F.when(behind > 0, F.col("_to") + behind).otherwise(0)
     rows = rows.withColumn("_h", F.when(function | (kind == "Class"), F.when(heading > 0, heading).otherwise(one_line)))
     rows = rows.select(
         "*",
@@ -189,7 +190,7 @@ def facts(files: DataFrame) -> DataFrame:
     returned = F.regexp_extract("head", r"(?s)\)\s*->\s*(.*?)\s*:\s*$", 1)
     typed = F.when(returned != "", F.concat(F.lit(" -> "), returned)).otherwise("")
     text = r"""[rRuUbBfF]{0,2}(?:\"{3}(?:(?!\"{3}).)*+\"{3}|'{3}(?:(?!'{3}).)*+'{3}|"[^"\n]*"|'[^'\n]*')"""
-    doc = F.regexp_extract(F.expr("substring(source_text, _h + 1)"), rf"(?s)^(?:\s*#[^\n]*\n)*\s*({text})\s*(?:\n|$)", 1)
+    doc = F.regexp_extract(F.expr("substring(source_text, _h + 1)"), rf"(?s)^(?:\s*+#[^\n]*+\n)*+\s*+({text})\s*(?:\n|$)", 1)
     visibility = (
         F.when(~function, "pub")
         .when(name.startswith("__") & ~name.endswith("__"), "private")

@@ -14,14 +14,16 @@ HIDDEN = (
     r'/\*.*?\*/|//[^\n]*|\br"[^"]*+"|\br#+".*?"#+|"[^"\\]*+(?:\\.[^"\\]*+)*+"|' r"'(?:\\[^'\n]*+|[^'\\\n])'"
 )
 KEPT = r"""[^/"'r]++|r(?![#"])"""
-LEAD = r"^(?:\s|#!?\[[^\]]*\])*"
+# Possessive throughout: a group of alternatives under a plain star is matched by
+# recursion, and a long comment would overflow the stack.
+LEAD = r"^(?:\s++|#!?\[[^\]]*+\])*+"
 VIS = r"(?:pub(?:\s*\([^)]*\))?\s+)?"
 
 _TYPE = r"([A-Za-z_]\w*)"
 _FOR = rf"^(?:unsafe\s+)?impl(?:\s*<[^{{}}]*?>)?\s+!?[\w:<>,'&\s]+?\s+for\s+{_TYPE}\s*(?:where\b[^{{}}]*)?$"
 _OWN = rf"^(?:unsafe\s+)?impl(?:\s*<[^{{}}]*?>)?\s+{_TYPE}\s*(?:where\b[^{{}}]*)?$"
 
-_FN = rf"^{VIS}(?:(?:default|const|async|unsafe|extern)\s+)*fn\s+(\w+)"
+_FN = rf"^{VIS}(?:(?:default|const|async|unsafe|extern)\s++)*+fn\s+(\w+)"
 
 RULES = [
     Rule("Import", rf"^{VIS}(use)\s", bare=True),

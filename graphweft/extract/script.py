@@ -13,10 +13,10 @@ HIDDEN = (
     r'/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'" r"|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 )
 KEPT = r"""[^/"'`]++"""
-LEAD = r"^\s*(?:@[\w.]+(?:\([^)]*\))?\s*)*(?:export\s+(?:default\s+)?)?(?:declare\s+)?"
+LEAD = r"^\s*+(?:@[\w.]++(?:\([^)]*+\))?+\s*+)*+(?:export\s++(?:default\s++)?)?(?:declare\s++)?"
 # A newline ends a statement when the line could end one and the next line
-# starts with a word.
-BOUNDARY = r"(?<=[{};])|(?<=\n)(?<=[\w)\]}'\"` ][ \t]{0,120}\n)(?=[ \t]*[A-Za-z_$#@])"
+# starts with a word. A blank at its end may be a hidden string or comment.
+BOUNDARY = r"(?<=[{};])|(?<=\n)(?<=[\w)\]}'\"` \t]\n)(?=[ \t]*[A-Za-z_$#@])"
 _NOT = r"(?!(?:if|for|while|switch|catch|return|function|else|do|new|await|typeof|super)\b)"
 _ID = r"[A-Za-z_$][\w$]*"
 _TYPE = r"(?::[^=;{}]*)?"
@@ -131,9 +131,10 @@ def facts(files: DataFrame) -> DataFrame:
     function = kind == "Function"
     method = kind.isin("Method", "Constructor")
     arrow = F.col("declared") & function
-    listed = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
-    params = F.regexp_extract(text, rf"(?s)^[^(]*?({listed})", 1)
-    returned = F.regexp_extract(text, rf"(?s)^[^(]*?{listed}\s*:\s*([^={{]+?)\s*\{{", 1)
+    rows = rows.withColumns({"_from": core.list_start("masked_text"), "_to": core.list_end("masked_text")})
+    params = core.cut(text, F.col("_from"), F.col("_to"))
+    returned = F.regexp_extract(F.expr("substring(source_text, _to + 1)"), r"(?s)^\s*:\s*([^={]+?)\s*\{", 1)
+    returned = F.when(F.col("_to") > 0, returned).otherwise("")
     bare_arrow = F.regexp_extract(text, r"=\s*(?:async\s+)?([A-Za-z_$][\w$]*)\s*=>", 1)
     typed = F.when(returned != "", F.concat(F.lit(": "), returned)).otherwise("")
     signature = (

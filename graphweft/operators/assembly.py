@@ -21,10 +21,11 @@ def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def merge_entities(parts: list[DataFrame], order: list[Column] | None = None) -> DataFrame:
     """Union of entity tables in which a later part replaces an earlier one with
-    the same qualified name. ``order`` ranks rows inside one part."""
+    the same qualified name. ``order`` ranks rows inside one part; without it
+    the last by line, then kind, end and hash, so that no tie is left open."""
     tagged = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
     union = reduce(DataFrame.unionByName, tagged)
-    rank = [F.col("_part"), *(order or [F.col("line_start"), F.col("kind")])]
+    rank = [F.col("_part"), *(order or [F.col("line_start"), F.col("kind"), *(F.col(c) for c in ("line_end", "source_hash") if c in union.columns)])]
     return last_wins(union, ["qualified_name"], rank).drop("_part")
 
 

@@ -11,6 +11,7 @@ from graphweft.operators import assembly, embed, lookup, traverse, upsert, vecto
 from graphweft.plans import hybrid
 from graphweft.plans.registry import query
 from graphweft.schema import KnowledgeGraph, literal_table
+from graphweft.session import Scratch
 from graphweft.sources import json_out, tables
 from graphweft.sources.files import file_entities, is_listed, route
 
@@ -670,7 +671,8 @@ def _hybrid_search_deep(spark, sf_dir):
 def _hybrid_expansion(spark, sf_dir):
     graph = tables.kg(spark, sf_dir)
     matches = hybrid.first_matches(graph, label_centroids(spark, sf_dir), 10)
-    return hybrid.expansions(graph, matches, 1000)
+    matches, rows, _ = Scratch(spark).write_counted(matches, "matches")
+    return hybrid.expansions(graph, matches, rows)
 
 
 @query(

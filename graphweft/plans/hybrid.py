@@ -222,9 +222,9 @@ def explain(graph: KnowledgeGraph, targets: DataFrame, embedder=None) -> Explana
     """Full context of every target. ``embedder`` turns (query_id, text) into
     (query_id, text, vector); without one the similar list comes from names.
     ``similar`` carries the target as ``target``."""
-    keyed = targets.select("qualified_name").distinct().select(
-        F.xxhash64("qualified_name").alias("query_id"), F.col("qualified_name").alias("text")
-    )
+    named = targets.select(F.col("qualified_name").alias("text")).distinct()
+    # Numbers are unique once written; a hash of the name would not be.
+    keyed = Scratch(targets.sparkSession).write(named.select(F.monotonically_increasing_id().alias("query_id"), "text"), "targets")
     asked = embedder(keyed) if embedder else keyed.withColumn("vector", F.lit(None).cast("array<double>"))
     hits = search(graph, asked, SIMILAR_TOP_K).results
     similar = hits.join(keyed.withColumnRenamed("text", "target"), "query_id").drop("query_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from graphweft.extract import extract
@@ -9,17 +12,22 @@ from graphweft.operators.assembly import source_hashes
 from graphweft.operators.embed import embed_entities
 from graphweft.operators.upsert import duplicate_keys
 from graphweft.schema import DEFAULT_DIMENSION, DEFAULT_EXCLUDES, KnowledgeGraph
-from graphweft.sources.files import read_tree
+from graphweft.sources.files import list_tree, read_files
 from graphweft.sources.store import GraphStore
 
 
 def index_files(
-    store: GraphStore, files: DataFrame, provider: str | None = None, dimension: int = DEFAULT_DIMENSION
+    store: GraphStore,
+    files: DataFrame,
+    provider: str | None = None,
+    dimension: int = DEFAULT_DIMENSION,
+    read: Callable[[DataFrame], DataFrame] = lambda files: files,
 ) -> KnowledgeGraph:
     """Extract (path, source) files, embed their entities when a provider is
-    named, upsert both tables and drop what no file holds any more."""
+    named, upsert both tables and drop what no file holds any more. ``files`` may
+    hold paths only if ``read`` adds their source."""
     # Texts are only read for embeddings; the stored graph has none.
-    entities, relationships = extract(files, with_text=provider is not None)
+    entities, relationships = extract(files, with_text=provider is not None, read=read)
     if provider is not None:
         entities = embed_entities(entities, provider, dimension)
     return store.apply(entities, relationships, source_hashes(entities))
@@ -33,7 +41,8 @@ def index_tree(
     dimension: int = DEFAULT_DIMENSION,
     excludes: tuple[str, ...] | list[str] = DEFAULT_EXCLUDES,
 ) -> KnowledgeGraph:
-    return index_files(GraphStore(spark, store_root), read_tree(spark, root, excludes), provider, dimension)
+    paths = list_tree(spark, root, excludes)
+    return index_files(GraphStore(spark, store_root), paths, provider, dimension, partial(read_files, root=root))
 
 
 def assert_contracts(graph: KnowledgeGraph) -> None:

@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # As many keys as are looked up by value (SEEK_KEYS) reach the row groups one by one.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
     # Rows may hold whole texts: small batches keep the memory of Python workers bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -55,11 +56,13 @@ def _lister(root: str):
     """Lists directories given by their path below ``root``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, base = fs.FileSystem.from_uri(root)
+        source, base = _opened(root)
         for batch in batches:
             for directory in batch["path"]:
                 below = f"{base}/{directory}" if directory else base
                 found = source.get_file_info(fs.FileSelector(below))
+                if isinstance(source, fs.LocalFileSystem):  # links are not followed
+                    found = [f for f in found if not os.path.islink(f.path)]
                 found = [(f.path[len(base) :].lstrip("/"), f.type == fs.FileType.Directory) for f in found]
                 yield pd.DataFrame(found, columns=["path", "is_dir"]).astype({"path": object, "is_dir": bool})
 
@@ -90,7 +93,7 @@ def list_tree(spark: SparkSession, root: str, excludes: tuple[str, ...] | list[s
 
 def _reader(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, base = fs.FileSystem.from_uri(root)
+        source, base = _opened(root)
         for batch in batches:
             for path in batch.column("path"):
                 try:
@@ -107,9 +110,21 @@ def read_tree(spark: SparkSession, root: str, excludes: tuple[str, ...] | list[s
     """(path, source) of every listed file below ``root`` that can be read as
     UTF-8; other files are skipped. Paths are relative to the root. One file is
     held in a task at a time."""
+    return read_files(list_tree(spark, root, excludes), root)
+
+
+def read_files(paths: DataFrame, root: str) -> DataFrame:
+    """(path, source) of the files at these paths below ``root``."""
     # The paths are few bytes each; spreading them spreads the reading.
-    paths = list_tree(spark, root, excludes).repartition("path")
-    return paths.mapInArrow(_reader(root), "path string, source string")
+    return paths.select("path").repartition("path").mapInArrow(_reader(root), "path string, source string")
+
+
+def _opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a root and its path there. A root without a scheme is a
+    local path; the Hadoop names of an object store go by its own."""
+    if "://" not in root:
+        root = os.path.abspath(root)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", root))
 
 
 def file_name(path: Column) -> Column:
