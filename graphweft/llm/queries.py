@@ -115,7 +115,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-@query("op10_source_mix")
+@query("op10_source_mix", sql=rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight
+  FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER k AS nth, (SELECT sum(size) FROM d) AS total,
+  CAST((SELECT sum(size) FROM d) - coalesce(sum(3 * source_size) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / sum(weight) OVER (k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW k AS (ORDER BY 3 * source_size / weight, source IS NULL, source)),
+t AS (SELECT source, source_size, CAST(total AS DOUBLE) AS total, least(3.0 * source_size,
+  weight * (SELECT arg_min(level, nth) FROM o WHERE 3 * source_size >= level * weight)) AS target FROM o),
+r AS (SELECT source, coalesce(lag(hi) OVER k, 0.0) AS lo, CASE WHEN lead(hi) OVER k IS NULL THEN 2.0 ELSE hi END AS hi FROM (
+  SELECT source, sum(target) OVER (ORDER BY source IS NULL, source) / total AS hi FROM t WHERE target > 0) WINDOW k AS (ORDER BY source IS NULL, source)),
+b AS (SELECT CAST(greatest(1, least({mixing.BLOCK_WORDS}, sum(size) // {mixing.LEAST_SLOTS})) AS BIGINT) AS block, CAST(sum(size) AS BIGINT) AS total FROM d),
+n AS (SELECT unnest(range((SELECT (total + block - 1) // block FROM b))) AS slot),
+p AS (SELECT slot, floor(slot / 1048576) * {mixing._GOLDEN_STRIDE!r}::DOUBLE AS x, (slot % 1048576) * {mixing._GOLDEN!r}::DOUBLE AS y FROM n),
+u AS (SELECT slot, x - floor(x) + (y - floor(y)) AS z FROM p),
+c AS (SELECT r.source, count(*) * (SELECT block FROM b) AS words FROM u JOIN r ON z - floor(z) >= lo AND z - floor(z) < hi GROUP BY r.source),
+f AS (SELECT doc_id, source, size, CASE WHEN size > 0 THEN sum(size) OVER (PARTITION BY source, size > 0 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size
+  ROWS UNBOUNDED PRECEDING) - size END AS start FROM d)
+SELECT f.doc_id, f.size, t.source_size, t.target, CAST(coalesce((SELECT sum(greatest(0, least(f.size, c.words - k * t.source_size - f.start)))
+  FROM range(3) AS g(k)), 0) AS BIGINT) AS taken
+FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON f.source IS NOT DISTINCT FROM c.source
+""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
