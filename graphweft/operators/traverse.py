@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.schema import MAX_PATH_HOPS, KnowledgeGraph
-from graphweft.session import Scratch, seek
+from graphweft.session import Scratch, seek_edges
 
 DIRECTIONS = ("in", "out", "both")
 
@@ -50,7 +50,7 @@ def neighbors(graph: KnowledgeGraph, targets: DataFrame, depth: int = 1, directi
     steps = incidences(graph.relationships, direction)
     wanted = targets.select(F.col("qualified_name").alias("near_qn"))
     ends = {"in": ["to_qn"], "out": ["from_qn"], "both": ["from_qn", "to_qn"]}[direction]
-    first = incidences(seek(graph.relationships, ends, wanted), direction)
+    first = incidences(seek_edges(graph.relationships, graph.incoming, ends, wanted), direction)
     trails = first.join(wanted, "near_qn", "left_semi").select(
         F.col("near_qn").alias("target"),
         F.col("far_kind").alias("kind"),

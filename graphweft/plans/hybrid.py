@@ -22,7 +22,7 @@ from graphweft.schema import (
     VECTOR_WEIGHT,
     KnowledgeGraph,
 )
-from graphweft.session import Scratch, rows_within, seek
+from graphweft.session import Scratch, rows_within, seek_edges
 
 # A match table holds at most k rows per query and is counted when written. Up to
 # this many rows it is broadcast to the edges, beyond that it is joined.
@@ -66,7 +66,7 @@ def _hinted(matches: DataFrame, rows: int) -> DataFrame:
 def incident_rows(graph: KnowledgeGraph, matches: DataFrame, rows: int) -> DataFrame:
     """Edges of the matches seen from the match, both directions in one scan."""
     near = matches.select("query_id", F.col("qualified_name").alias("near_qn"), "score")
-    edges = seek(graph.relationships, ["from_qn", "to_qn"], near.select("near_qn"))
+    edges = seek_edges(graph.relationships, graph.incoming, ["from_qn", "to_qn"], near.select("near_qn"))
     return incidences(edges, "both").join(_hinted(near, rows), "near_qn").select(
         "query_id", F.col("near_qn").alias("match_qn"), "score", "far_kind", "far_qn", "rel_type"
     )
@@ -166,7 +166,7 @@ def explain_edges(graph: KnowledgeGraph, targets: DataFrame) -> DataFrame:
     direction)."""
     wanted = targets.select(F.col("qualified_name").alias("target"))
     dependency = F.col("rel_type").isin(*DEPENDENCY_EDGE_TYPES)
-    edges = seek(graph.relationships, ["from_qn", "to_qn"], wanted).where((F.col("rel_type") == "CALLS") | dependency)
+    edges = seek_edges(graph.relationships, graph.incoming, ["from_qn", "to_qn"], wanted).where((F.col("rel_type") == "CALLS") | dependency)
 
     def side(target: str, far: str, direction: str, calls: str, depends: str):
         return F.struct(

@@ -134,10 +134,12 @@ DEFAULT_DIMENSION = 768
 @dataclass(frozen=True)
 class KnowledgeGraph:
     """A graph at rest: ``entities`` keyed by (kind, qualified_name) and
-    ``relationships`` whose endpoints carry their kinds (see ``upsert.resolve``)."""
+    ``relationships`` whose endpoints carry their kinds (see ``upsert.resolve``).
+    ``incoming`` holds the same relationships sorted by their target, if stored."""
 
     entities: DataFrame
     relationships: DataFrame
+    incoming: DataFrame | None = None
 
 
 def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:

@@ -113,3 +113,19 @@ def seek(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
         return df
     values = [r[0] for r in rows]
     return df.where(reduce(Column.__or__, [F.col(c).isin(*values) for c in columns]))
+
+
+def seek_edges(edges: DataFrame, incoming: DataFrame | None, ends: list[str], keys: DataFrame) -> DataFrame:
+    """The same for edges with one of the ends ``ends`` in ``keys``. ``incoming``
+    are the same edges sorted by ``to_qn``: each end is looked up where the files
+    are sorted by it. With more keys than are looked up, all edges."""
+    rows = rows_within(keys, SEEK_KEYS) if incoming is not None else None
+    if incoming is None or rows is None:
+        return seek(edges, ends, keys) if incoming is None else edges
+    values = [r[0] for r in rows]
+    if ends == ["from_qn"]:
+        return edges.where(F.col("from_qn").isin(*values))
+    into = incoming.where(F.col("to_qn").isin(*values))
+    if ends == ["to_qn"]:
+        return into
+    return edges.where(F.col("from_qn").isin(*values)).unionByName(into.where(~F.coalesce(F.col("from_qn").isin(*values), F.lit(False))))

@@ -19,7 +19,8 @@ class GraphStore:
     """Reads the newest complete version and writes the next one beside it.
 
     ``v=<n>/entities`` is partitioned by kind and ``v=<n>/relationships`` by
-    type, so a scan of one label or type reads only its files. A version counts
+    type, so a scan of one label or type reads only its files. ``v=<n>/incoming``
+    has the relationships once more, sorted by their target. A version counts
     once both tables carry their success marker; readers never see a partial one.
     """
 
@@ -47,8 +48,18 @@ class GraphStore:
         return KnowledgeGraph(
             self.spark.read.parquet(f"{base}/entities").select(*STORED_ENTITY_COLUMNS),
             self.spark.read.parquet(f"{base}/relationships").select(*upsert.EDGE_COLUMNS),
+            self.spark.read.parquet(f"{base}/incoming").select(*upsert.EDGE_COLUMNS) if self._exists(f"{base}/incoming") else None,
         )
 
+    def _exists(self, path: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _write_edges(self, edges: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+        """Both orders; the one by source comes last and completes the version."""
+        incoming = self._write(edges, version, "incoming", ["rel_type", "to_qn", "from_qn"])
+        return self._write(incoming, version, "relationships", ["rel_type", "from_qn", "to_qn"]), incoming
+
     def _write(self, df: DataFrame, version: int, name: str, order: list[str]) -> DataFrame:
         """Range-partitioned and sorted by ``order``, in folders by its first
         column: every file covers a narrow range of names, so lookups skip the
@@ -64,7 +75,7 @@ class GraphStore:
         relationships completes a version."""
         version = (self.current_version() or 0) + 1
         self._write(graph.entities.select(*STORED_ENTITY_COLUMNS), version, "entities", ["kind", "qualified_name"])
-        self._write(graph.relationships.select(*upsert.EDGE_COLUMNS), version, "relationships", ["rel_type", "from_qn", "to_qn"])
+        self._write_edges(graph.relationships.select(*upsert.EDGE_COLUMNS), version)
         return version
 
     def scan_kind(self, kind: str) -> DataFrame:
@@ -82,4 +93,4 @@ class GraphStore:
         nodes = self._write(nodes, version, "entities", ["kind", "qualified_name"])
         live = upsert.keep_attached(stored.relationships, nodes)
         edges = upsert.upsert_relationships(live, relationships, nodes)
-        return KnowledgeGraph(nodes, self._write(edges, version, "relationships", ["rel_type", "from_qn", "to_qn"]))
+        return KnowledgeGraph(nodes, *self._write_edges(edges, version))

@@ -97,3 +97,37 @@ def test_index_reindex_and_query(spark, tmp_path):
 def test_empty_store_loads(spark, tmp_path):
     graph = GraphStore(spark, str(tmp_path / "none")).load()
     assert graph.entities.count() == 0 and graph.relationships.count() == 0
+
+
+def test_both_ends_are_looked_up_where_files_are_sorted_by_them(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphweft.operators import traverse, upsert
+    from graphweft.schema import KnowledgeGraph
+    from graphweft.session import seek_edges
+    from graphweft.sources.store import STORED_ENTITY_COLUMNS, GraphStore
+
+    store = GraphStore(spark, str(tmp_path))
+    empty = store.load()
+    edges = spark.range(400).select(
+        F.lit("Function").alias("from_kind"), F.format_string("f%03d", F.col("id")).alias("from_qn"),
+        F.lit("Function").alias("to_kind"), F.format_string("f%03d", (F.col("id") * 7) % 400).alias("to_qn"), F.lit("CALLS").alias("rel_type"),
+    )
+    rest = [c for c in upsert.EDGE_COLUMNS if c not in edges.columns]
+    edges = edges.select("*", *(F.lit(None).cast(empty.relationships.schema[c].dataType).alias(c) for c in rest)).select(*upsert.EDGE_COLUMNS)
+    named = {"qualified_name": F.lit("f000"), "name": F.lit("f000"), "kind": F.lit("Function")}
+    fields = empty.entities.select(*STORED_ENTITY_COLUMNS).schema
+    entity = spark.range(1).select(*(named.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    store.save(KnowledgeGraph(entity, edges))
+    graph = store.load()
+    assert sorted(map(tuple, graph.incoming.select("from_qn", "to_qn").collect())) == sorted(map(tuple, edges.select("from_qn", "to_qn").collect()))
+    keys = spark.createDataFrame([("f007",), ("f000",)], "qualified_name string")
+    for ends in (["from_qn"], ["to_qn"], ["from_qn", "to_qn"]):
+        got = sorted(map(tuple, seek_edges(graph.relationships, graph.incoming, ends, keys).select("from_qn", "to_qn").collect()))
+        want = [(r["from_qn"], r["to_qn"]) for r in edges.collect() if any(r[e] in ("f007", "f000") for e in ends)]
+        assert got == sorted(want)
+    assert all("/incoming/" in f for f in seek_edges(graph.relationships, graph.incoming, ["to_qn"], keys).inputFiles())
+    for direction in ("in", "out", "both"):
+        plain = KnowledgeGraph(graph.entities, graph.relationships)
+        one, other = (sorted(map(str, traverse.neighbors(g, keys, 1, direction).collect())) for g in (graph, plain))
+        assert one == other
