@@ -3,7 +3,8 @@
 A candidate method puts sets into cells so that similar sets meet in at least
 one. Here the pairs that meet are verified, without emitting the pairs of a cell:
 
-1. Each set is compared with the smallest member of its cells (one pair a set).
+1. Each set is compared with the smallest member of its cells (one pair a set),
+   then in further rounds with a member of another component of a cell of its.
    In a group of copies this already joins nearly all.
 2. Cells whose members are still in more than one component are searched in
    blocks of at most ``BLOCK`` members by a packed R-tree over group counts.
@@ -29,6 +30,8 @@ from graphweft.session import Scratch
 
 #: Members of a cell that one task compares with one another; a larger cell is dealt over pairs of blocks.
 BLOCK = 1024
+#: Rounds of one comparison a set before cells are searched.
+STARS = 3
 #: Sets that one task compares with a copy of the same head.
 HEAD_ROWS = 2048
 #: Coordinates of a point at least.
@@ -193,29 +196,48 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: i
     crowd = cells.groupBy("cell").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = scratch.write(cells.join(crowd.drop("size"), "cell"), "met")
 
-    # One comparison a set, with the smallest pivot of its cells; a pivot of many is copied to several tasks.
-    first = scratch.write(met.groupBy("uid").agg(F.min("pivot").alias("head")), "first")
-    heads = first.where("uid <> head").groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HEAD_ROWS).alias("salts"))
-    heads = scratch.write(heads, "heads")
-    salted = first.where("uid <> head").join(heads, "head").withColumn("salt", F.pmod(F.xxhash64("uid"), "salts"))
-    own = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("uid", F.col("head"))
-    columns = ["uid", "head", "salt"]
-    roles, rows, _ = scratch.write_counted(salted.select(columns).unionByName(own.select(columns)), "roles")
-    sets = scratch.write(fetch(roles, rows <= BROADCAST_ROWS), "sets")
-    dealt = sets.repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("uid") != F.col("head"))
-    links = scratch.write(dealt.select("uid", "head", "items").mapInArrow(_from_heads(num, den), "a long, b long"), "links")
-    parts = scratch.write(components(links, scratch), "parts")
-
-    # Cells that still hold several components.
-    seen = met.select("cell", "uid").join(parts.toDF("uid", "part"), "uid", "left")
-    seen = scratch.write(seen.select("cell", "uid", F.coalesce("part", "uid").alias("part")), "seen")
-    open_ = seen.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size"))
-    open_ = open_.where("lo <> hi").select("cell", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    left, rows, _ = scratch.write_counted(seen.join(open_, "cell"), "open")
+    def fetched(roles: DataFrame) -> DataFrame:
+        roles, rows, _ = scratch.write_counted(roles.select("uid", "head", "salt"), "roles")
+        return fetch(roles, rows <= BROADCAST_ROWS)
+
+    def star(asked: DataFrame) -> DataFrame:
+        """Links found by comparing each set with one head; a head of many is copied to several tasks."""
+        asked = scratch.write(asked.where("uid <> head"), "asked")
+        heads = scratch.write(asked.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HEAD_ROWS).alias("salts")), "heads")
+        members = asked.join(heads, "head").withColumn("salt", F.pmod(F.xxhash64("uid"), "salts"))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+        own = heads.withColumn("salt", copies).withColumn("uid", F.col("head"))
+        columns = ["uid", "head", "salt"]
+        dealt = fetched(members.select(columns).unionByName(own.select(columns))).repartition("head", "salt")
+        dealt = dealt.sortWithinPartitions("head", "salt", F.col("uid") != F.col("head")).select("uid", "head", "items")
+        return scratch.write(dealt.mapInArrow(_from_heads(num, den), "a long, b long"), "links")
+
+    links = star(met.groupBy("uid").agg(F.min("pivot").alias("head")))
+    for turn in range(STARS):
+        parts = scratch.write(components(links, scratch), "parts")
+        seen = met.select("cell", "uid").join(parts.toDF("uid", "part"), "uid", "left")
+        seen = scratch.write(seen.select("cell", "uid", F.coalesce("part", "uid").alias("part")), "seen")
+        # cells that still hold several components
+        open_ = seen.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size"))
+        open_ = open_.where("lo <> hi").select("cell", "lo", "hi", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+        left, rows, _ = scratch.write_counted(seen.join(open_, "cell"), "open")
+        if not rows or turn == STARS - 1:
+            break
+        # again one comparison a set, with a head of the cell's last component, or its first for those in it
+        ends = left.groupBy("cell").agg(
+            F.min_by("uid", F.struct("part", F.xxhash64("uid", F.lit(turn)))).alias("first"),
+            F.max_by("uid", F.struct("part", F.xxhash64("uid", F.lit(turn)))).alias("last"),
+        )
+        asked = left.join(ends, "cell").withColumn("head", F.when(F.col("part") == F.col("hi"), F.col("first")).otherwise(F.col("last")))
+        links = links.unionByName(star(asked.groupBy("uid").agg(F.min("head").alias("head"))))
+    parts = parts.toDF("id", "component")
     if not rows:
-        return parts.toDF("id", "component")
-    points = sets.select("uid", "items").mapInArrow(_points, "uid long, n long, point binary")
-    points = scratch.write(points.dropDuplicates(["uid"]), "points")
+        return parts
+
+    alone = lambda uids: uids.select("uid", F.col("uid").alias("head"), F.lit(0).cast("long").alias("salt"))
+    points = fetched(alone(left.select("uid").distinct())).select("uid", "items")
+    points = points.mapInArrow(_points, "uid long, n long, point binary").dropDuplicates(["uid"])
+    points = scratch.write(points, "points")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     salted = left.withColumn("mine", F.pmod(F.xxhash64("uid"), "blocks")).withColumn("with", blocks)
     salted = salted.select(
@@ -226,9 +248,9 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: i
     pairs = dealt.mapInArrow(_search(num, den), "a long, b long").distinct()
     pairs, rows, _ = scratch.write_counted(pairs, "pairs")
     if not rows:
-        return parts.toDF("id", "component")
+        return parts
     asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    side = scratch.write(sets.select("uid", "items").join(asked, "uid", "left_semi").dropDuplicates(["uid"]), "side")
+    side = scratch.write(fetched(alone(asked)).select("uid", "items").dropDuplicates(["uid"]), "side")
     both = pairs.join(side.toDF("a", "xs"), "a").join(side.toDF("b", "ys"), "b").select("a", "b", "xs", "ys")
     more = scratch.write(both.mapInArrow(_pairs(num, den), "a long, b long"), "links")
     return components(links.unionByName(more), scratch).toDF("id", "component")

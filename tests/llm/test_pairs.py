@@ -146,3 +146,16 @@ def test_repeated_spans(docs_of):
 def test_bands_reach_the_recall():
     bands, rows = substring_dedup.tuned_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.RECALL and bands * rows <= substring_dedup.MOST_HASHES
+
+
+def test_a_set_that_heads_no_star_is_still_compared(spark):
+    rng = np.random.default_rng(1)
+    u = np.unique(rng.integers(0, 2**62, 100).astype(np.uint64))
+    v, w = u.copy(), np.unique(rng.integers(0, 2**62, 100).astype(np.uint64))
+    v[3] += np.uint64(1)
+    sets = {5: u, 7: np.sort(v), 1: w}
+    cells = spark.createDataFrame([(10, 5), (10, 7), (20, 1), (20, 7)], "cell long, uid long")
+    held = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "uid long, items binary")
+    fetch = lambda uids, few: uids.join(held, "uid").select("uid", "head", "salt", "items")
+    got = {r["id"]: r["component"] for r in linking.link(cells, fetch, 90, 100, Scratch(spark)).collect()}
+    assert got[5] == got[7] and got.get(1, 1) != got[5]
