@@ -14,7 +14,7 @@ by boxes and points with the bound, then verified exactly (``linking``).
 
 A range that is empty in both points says nothing and would gather unlike
 texts; a text with an empty range takes part in a further grouping, drawn
-anew, instead (``FAMILIES`` of them). A pair is lost only if all ranges it
+anew, instead (``FAMILIES`` of them; one is enough for ``MANY_RANGES``). A pair is lost only if all ranges it
 agrees in are empty in each grouping: under 10^-8 for the shortest texts.
 
 Texts with equal sets are one class from the start and never compared.
@@ -39,6 +39,8 @@ CLASS_RATIO = 1.4
 #: Coordinates in a range of the point.
 RANGE = 64
 FAMILIES = 4
+#: With so many ranges a pair agrees in ten or more, and not all of them are empty.
+MANY_RANGES = 64
 
 
 def _classes(limit: int) -> np.ndarray:
@@ -72,7 +74,7 @@ def set_cells(items: np.ndarray, num: int, den: int) -> np.ndarray:
             filled = np.bincount(at, minlength=ranges) > 0
             key = (np.uint64(c) << np.uint64(40)) + (np.arange(ranges, dtype=np.uint64) << np.uint64(4)) + np.uint64(family)
             out.append(mix(counts ^ mix(key))[filled])
-            if filled.all():
+            if filled.all() or ranges >= MANY_RANGES:
                 break
     return np.concatenate(out)
 
