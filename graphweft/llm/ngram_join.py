@@ -38,7 +38,7 @@ from graphweft.session import Scratch
 CLASS_RATIO = 1.4
 #: Coordinates in a range of the point.
 RANGE = 64
-FAMILIES = 4
+FAMILIES = 7
 #: With so many ranges a pair agrees in ten or more, and not all of them are empty.
 MANY_RANGES = 64
 
@@ -51,6 +51,12 @@ def _classes(limit: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _differences(most: int, num: int, den: int) -> int:
+    """The largest |x| + |y| - 2 * overlap of two linked sets of at most ``most``
+    members. It rises from every other total to the next, so the last two are asked."""
+    return max(0, *(total - 2 * -(-num * total // (num + den)) for total in (2 * most - 1, 2 * most)))
+
+
 def set_cells(items: np.ndarray, num: int, den: int) -> np.ndarray:
     """The cells of one set of distinct 64-bit hashes."""
     n = len(items)
@@ -63,8 +69,7 @@ def set_cells(items: np.ndarray, num: int, den: int) -> np.ndarray:
         if c > own and den * n < num * bounds[c]:
             break
         most = int(bounds[c + 1]) - 1
-        # |x| + |y| - 2 * overlap for two sets of the class, and one range more than that
-        ranges = 2 * most - 2 * -(-num * 2 * most // (num + den)) + 1
+        ranges = _differences(most, num, den) + 1
         for family in range(FAMILIES):
             place = mix(items + np.uint64(0x2545F4914F6CDD1D * (family + 1) % 2**64))
             at = ((place >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)

@@ -7,6 +7,7 @@ import pytest
 
 from graphweft.llm import linking, ngram_join, substring_dedup, vector_dedup
 from graphweft.llm.components import components
+from graphweft.llm.words import shingles
 from graphweft.session import Scratch
 from tests.llm import brute
 
@@ -56,6 +57,29 @@ def test_ngram_join(docs_of, k, num):
     assert {x: sorted(map(str, y)) for x, y in got.items()} == {x: sorted(map(str, y)) for x, y in want.items()}
 
 
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_one_word_more_shares_a_cell(k, num):
+    rng = np.random.default_rng(k)
+    for n in range(3, 121):
+        words = rng.integers(0, 2**63, n + 2, dtype=np.uint64)
+        whole = words[1:-1]
+        own = np.unique(shingles(whole, k))
+        for other in (words[1:], words[:-1], words):
+            more = np.unique(shingles(other, k))
+            both = len(np.intersect1d(own, more))
+            if 100 * both >= num * (len(own) + len(more) - both):
+                assert np.intersect1d(ngram_join.set_cells(own, num, 100), ngram_join.set_cells(more, num, 100)).size, (n, len(other))
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_more_ranges_than_differences(num):
+    for most in range(1, 2000):
+        n = np.arange(max(1, -(-num * most // 100)), most + 1)
+        for total in (n + most, 2 * n):
+            need = linking.least_overlap(total, num, 100)
+            assert ngram_join._differences(most, num, 100) >= (total - 2 * need).max()
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert ngram_join.similar_texts(docs_of().limit(0)).count() == 0
 
