@@ -11,13 +11,16 @@ scored by gathers and batched products.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 
 #: Ids a prediction sees at most, and targets of a window; a target sees WINDOW - STRIDE + 1 ids at least, where so many precede it.
 WINDOW, STRIDE = 24, 12
 WIDTH, CLASSES = 16, 48
+#: Weights that belong to no id.
+DENSE = ("query", "key", "value", "out", "bias", "near")
 
 
 def classes_of(counts: np.ndarray, n: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
@@ -119,50 +122,107 @@ class Scorer:
         return out
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each index below ``n``; every index occurs."""
+    order = np.argsort(at, kind="stable")
+    return np.add.reduceat(rows[order], np.searchsorted(at[order], np.arange(n)), axis=0)
+
+
+class Fit:
+    """A model under training by Adam. A batch changes the embeddings of the ids it
+    sees, and all other weights. ``windows`` counts the windows learnt, ``met`` the
+    batches that saw an id; they weigh this model where several are averaged."""
+
+    def __init__(self, model: Model, batch: int = 256, rate: float = 0.01, seed: int = 5):
+        self.model = replace(model, **{n: getattr(model, n).copy() for n in ("embed", *DENSE)})
+        self.batch, self.rate, self.rng = batch, np.float32(rate), np.random.default_rng(seed)
+        self.moment = {n: (np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))) for n in ("embed", *DENSE)}
+        self.met, self.steps, self.windows = np.zeros(len(model.embed), np.int64), 0, 0
+
+    def learn(self, before: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Once over texts that lie one after the other, in an order by chance."""
+        sees, seen, targets = windows(sizes)
+        order = self.rng.permutation(len(sees))
+        for a in range(0, len(order), self.batch):
+            pick = order[a : a + self.batch]
+            self._step(before[sees[pick]], ids[sees[pick][:, WINDOW - STRIDE :]], seen[pick], targets[pick])
+
+    def _step(self, x: np.ndarray, wanted: np.ndarray, seen: np.ndarray, goal: np.ndarray) -> None:
+        model = self.model
+        own, x = np.unique(x, return_inverse=True)
+        x = x.reshape(seen.shape)
+        small = replace(model, embed=model.embed[own])
+        tables = small.tables()
+        asked, weight, mixed, logits = _forward(tables, model.mask(), model.out, x, seen)
+        share = np.exp(logits)
+        share /= share.sum(2, keepdims=True)
+        group = model.group[wanted][..., None]
+        np.put_along_axis(share, group, np.take_along_axis(share, group, 2) - 1, 2)
+        share *= goal[..., None] / np.float32(max(1, goal.sum()))
+        flat = share.reshape(-1, share.shape[2]).astype(np.float32, copy=False)
+        d_mixed = (flat @ model.out.T).reshape(mixed.shape)
+        d_weight = np.matmul(d_mixed, tables[2][x].transpose(0, 2, 1))
+        d_score = weight * (d_weight - (weight * d_weight).sum(2, keepdims=True))
+        d_q = np.matmul(d_score, tables[1][x]) / np.float32(np.sqrt(WIDTH))
+        d_k, d_v = np.matmul(d_score.transpose(0, 2, 1), tables[0][asked]), np.matmul(weight.transpose(0, 2, 1), d_mixed)
+        # by id; an id that is never asked for gets nothing from the last columns
+        by_seen = _summed(np.concatenate([d_k, d_v], 2).reshape(-1, 2 * WIDTH), x.ravel(), len(own))
+        met, asked_at = np.unique(asked, return_inverse=True)
+        by_asked = np.zeros((len(own), WIDTH + flat.shape[1]), np.float32)
+        by_asked[met] = _summed(np.concatenate([d_q.reshape(-1, WIDTH), flat], 1), asked_at.ravel(), len(met))
+        d_k, d_v, d_q, d_own = by_seen[:, :WIDTH], by_seen[:, WIDTH:], by_asked[:, :WIDTH], by_asked[:, WIDTH:]
+        e = small.embed
+        back = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None]
+        grad = {
+            "query": e.T @ d_q, "key": e.T @ d_k, "value": e.T @ d_v,
+            "out": e.T @ d_own + mixed.reshape(-1, WIDTH).T @ flat, "bias": flat.sum(0),
+            "near": np.bincount(np.maximum(back, 0).ravel(), np.where(back >= 0, d_score.sum(0), 0).ravel(), WINDOW).astype(np.float32),
+        }
+        d_e = d_k @ model.key.T + d_v @ model.value.T + d_q @ model.query.T + d_own @ model.out.T
+        self.steps += 1
+        self.windows += len(x)
+        self.met[own] += 1
+        for n in DENSE:
+            m, s = self.moment[n]
+            setattr(model, n, getattr(model, n) - self._move(m, s, grad[n], self.steps))
+        m, s = self.moment["embed"]
+        mine, squares = m[own], s[own]
+        model.embed[own] -= self._move(mine, squares, d_e, self.met[own, None])
+        m[own], s[own] = mine, squares
+
+    def _move(self, m: np.ndarray, s: np.ndarray, grad: np.ndarray, steps: int | np.ndarray) -> np.ndarray:
+        m += (grad - m) * np.float32(0.1)
+        s += (grad**2 - s) * np.float32(0.01)
+        return (self.rate * (m / (1 - 0.9**steps) / (np.sqrt(s / (1 - 0.99**steps)) + 1e-8))).astype(np.float32)
+
+
 def train(counts: np.ndarray, before: np.ndarray, ids: np.ndarray, sizes: np.ndarray, epochs: int = 2, batch: int = 256, rate: float = 0.01, seed: int = 5) -> Model:
-    """A model fitted by Adam to texts that lie one after the other."""
-    model, rng = Model.start(counts, seed), np.random.default_rng(seed)
-    if len(ids) == 0:
-        return model
-    names = ["embed", "query", "key", "value", "out", "bias", "near"]
-    moment = {n: (np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))) for n in names}
-    sees, seen, targets = windows(sizes)
-    steps = 0
-    back = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None]
-    for _ in range(epochs):
-        order = rng.permutation(len(sees))
-        for a in range(0, len(order), batch):
-            pick = order[a : a + batch]
-            at, goal = sees[pick], targets[pick]
-            x = before[at]
-            tables = model.tables()
-            asked, weight, mixed, logits = _forward(tables, model.mask(), model.out, x, seen[pick])
-            share = np.exp(logits)
-            share /= share.sum(2, keepdims=True)
-            np.put_along_axis(share, (g := model.group[ids[at[:, WINDOW - STRIDE :]]])[..., None], np.take_along_axis(share, g[..., None], 2) - 1, 2)
-            d = (share * goal[..., None] / max(1, goal.sum())).astype(np.float32)
-            flat = d.reshape(-1, d.shape[2])
-            k, v = tables[1][x], tables[2][x]
-            q = tables[0][asked]
-            d_mixed = (flat @ model.out.T).reshape(mixed.shape)
-            d_value = np.matmul(weight.transpose(0, 2, 1), d_mixed)
-            d_weight = np.matmul(d_mixed, v.transpose(0, 2, 1))
-            d_score = weight * (d_weight - (weight * d_weight).sum(2, keepdims=True))
-            d_q, d_k = np.matmul(d_score, k) / np.float32(np.sqrt(WIDTH)), np.matmul(d_score.transpose(0, 2, 1), q)
-            e, own = model.embed[x].reshape(-1, WIDTH), model.embed[asked].reshape(-1, WIDTH)
-            d_q, d_k, d_value = d_q.reshape(-1, WIDTH), d_k.reshape(-1, WIDTH), d_value.reshape(-1, WIDTH)
-            grad = {
-                "query": own.T @ d_q, "key": e.T @ d_k, "value": e.T @ d_value,
-                "out": (own + mixed.reshape(-1, WIDTH)).T @ flat, "bias": flat.sum(0),
-                "near": np.bincount(np.maximum(back, 0).ravel(), np.where(back >= 0, d_score.sum(0), 0).ravel(), WINDOW),
-                "embed": np.zeros_like(model.embed),
-            }
-            np.add.at(grad["embed"], x.ravel(), d_k @ model.key.T + d_value @ model.value.T)
-            np.add.at(grad["embed"], asked.ravel(), d_q @ model.query.T + flat @ model.out.T)
-            steps += 1
-            for n in names:
-                m, s = moment[n]
-                m += (grad[n] - m) * np.float32(0.1)
-                s += (grad[n] ** 2 - s) * np.float32(0.01)
-                setattr(model, n, getattr(model, n) - np.float32(rate) * (m / (1 - 0.9**steps) / (np.sqrt(s / (1 - 0.99**steps)) + 1e-8)).astype(np.float32))
-    return model
+    """A model fitted to texts that lie one after the other, in one place."""
+    fit = Fit(Model.start(counts, seed), batch, rate, seed)
+    for _ in range(epochs if len(ids) else 0):
+        fit.learn(before, ids, sizes)
+    return fit.model
+
+
+def packed(fit: Fit, rows: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(chunk, places, weights, values) of a model: embeddings met, by ``rows`` ids, and
+    then all other weights as one chunk."""
+    for a in range(0, len(fit.met), rows):
+        at = np.flatnonzero(fit.met[a : a + rows])
+        if len(at):
+            yield a // rows, at.tobytes(), fit.met[a + at].astype(np.float64).tobytes(), fit.model.embed[a + at].tobytes()
+    if fit.windows:
+        rest = np.concatenate([getattr(fit.model, n).ravel() for n in DENSE])
+        yield -1, np.arange(1).tobytes(), np.array([fit.windows], np.float64).tobytes(), rest.tobytes()
+
+
+def averaged(model: Model, chunks: Iterable[tuple[int, bytes, bytes, bytes]], rows: int) -> Model:
+    """``model`` with the weights of the chunks; what is in none stays."""
+    new = {n: getattr(model, n).copy() for n in ("embed", *DENSE)}
+    for chunk, at, _, values in chunks:
+        if chunk >= 0:
+            new["embed"][np.frombuffer(at, np.int64) + chunk * rows] = np.frombuffer(values, np.float32).reshape(-1, WIDTH)
+            continue
+        parts = np.split(np.frombuffer(values, np.float32), np.cumsum([new[n].size for n in DENSE])[:-1])
+        new |= {n: x.reshape(new[n].shape).copy() for n, x in zip(DENSE, parts, strict=True)}
+    return replace(model, **new)

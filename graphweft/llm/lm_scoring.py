@@ -5,8 +5,11 @@ A text is its words (A-Z lowered) and one end. Two models score it:
 - base: an add-one unigram model of words;
 - the self-attention model (``attention``) over subword ids of the words, each
   with the blank before it, from a public rank file. Its class shares come from
-  the counts of all ids in all texts learnt from; its weights are fitted on a
-  sample of at most ``SAMPLE_TEXTS`` of them, by hash, up to ``SAMPLE_IDS`` ids each.
+  the counts of all ids in all texts learnt from; its weights are fitted to all
+  windows of all of these texts, ``PASSES`` times. In a pass each task goes on
+  from the same weights over the texts it holds, and the weights are averaged by
+  shuffle: an embedding by the batches that saw its id, the others by windows.
+  They therefore depend a little on how the texts lie in files.
 
 Words are counted in the tasks, by slices, and then by shuffle. The ``FREQUENT``
 most frequent words go out with the tasks with counts and ids; of a text, only
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.attention import Model, Scorer, train
+from graphweft.llm.attention import Fit, Model, Scorer, averaged, packed
 from graphweft.llm.words import _LOWER, Words, slices
 from graphweft.session import Scratch
 
 FREQUENT = 100_000
-SAMPLE_TEXTS, SAMPLE_IDS = 2_000, 400
+PASSES = 2
+#: Ids whose embeddings are averaged as one row.
+CHUNK_IDS = 1024
 FOLDS, HELD_OUT = 7, 2
 COUNT_SLICE = 8 << 20
 _END_WORD = np.int64(np.uint64(0xE0D0E0D0E0D0E0D1).view(np.int64))
@@ -127,18 +132,45 @@ def _encoded_words(ranks: bytes, pattern: str):
     return run
 
 
-def _sampled(table: Subwords):
+_CHUNK = "chunk int, at binary, weight binary, value binary"
+
+
+def _chunks(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["chunk", "at", "weight", "value"])
+
+
+def _fitted(table: Subwords, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = Fit(model)
         for batch in batches:
             for _, data, offsets in slices(batch["text"]):
                 ids, sizes, _, _ = table.of(data, Words(data, offsets))
-                first = np.cumsum(sizes) - sizes
-                parts = [ids[a : a + min(n, SAMPLE_IDS)].tobytes() for a, n in zip(first, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["ids"])
+                fit.learn(_before(ids, sizes, table.end), ids, sizes)
+        for row in packed(fit, CHUNK_IDS):
+            yield _chunks([row])
 
     return run
 
 
+def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of weighted means for each chunk; a task holds all rows of its chunks."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            at, weight = np.frombuffer(row["at"], np.int64), np.frombuffer(row["weight"], np.float64)
+            value = np.frombuffer(row["value"], np.float32).reshape(len(at), -1)
+            if row["chunk"] not in sums:
+                n = CHUNK_IDS if row["chunk"] >= 0 else 1
+                sums[row["chunk"]] = np.zeros(n), np.zeros((n, value.shape[1]))
+            total, held = sums[row["chunk"]]
+            total[at] += weight
+            held[at] += value * weight[:, None]
+    for chunk, (total, held) in sums.items():
+        at = np.flatnonzero(total)
+        yield _chunks([(chunk, at.tobytes(), total[at].tobytes(), (held[at] / total[at, None]).astype(np.float32).tobytes())])
+
+
 def _scored(table: Subwords, scorer: Scorer, end_count: int):
     weight = np.log10(table.counts + 1.0)
 
@@ -194,13 +226,11 @@ def score(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     table = Subwords(top["hash"].to_numpy(), top["n"].to_numpy(), ids, ranks, pattern, size)
 
     learnt = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != HELD_OUT)
-    sample = learnt.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_TEXTS).select("text")
-    taken = sample.mapInArrow(_sampled(table), "ids binary").toArrow()["ids"]
-    parts = sorted(x.as_buffer().to_pybytes() for x in taken)
-    parts = [np.frombuffer(p, np.int32) for p in parts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    model: Model = train(counts, _before(flat, sizes, size) if len(flat) else flat, flat, sizes)
+    model = Model.start(counts)
+    for _ in range(PASSES):
+        fitted = learnt.select("text").mapInArrow(_fitted(table, model), _CHUNK)
+        means = fitted.repartition("chunk").mapInArrow(_averages, _CHUNK)
+        model = averaged(model, (tuple(r.values()) for r in means.toArrow().to_pylist()), CHUNK_IDS)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_ids long, rare array<long>"
     made = docs.mapInArrow(_scored(table, Scorer(model), ends), schema).withColumn("row", F.monotonically_increasing_id())

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,34 @@ def test_lm_scoring(docs_of, odd):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     assert lm_scoring.score(docs_of(*rows).limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_lm_learns_from_all_texts_to_their_end(docs_of, monkeypatch):
+    seen = collections.Counter()
+    table = lm_scoring.Subwords(*(np.empty(0, np.int64),) * 2, [], open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN, 50_500)
+    monkeypatch.setattr(attention.Fit, "_step", lambda self, x, wanted, real, goal: seen.update(wanted[goal].tolist()))
+    texts = ["the " * 3000 + "zebra", *(["a short one"] * 2500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    model = attention.Model.start(np.ones(50_501, np.int64))
+    assert list(lm_scoring._fitted(table, model)([batch])) == []
+    zebra, the = (table.encoded([w])[0].tolist() for w in ("zebra", "the"))
+    assert all(seen[i] == 1 for i in zebra) and all(seen[i] == 3000 for i in the) and seen[50_500] == len(texts)
+
+
+def test_averaged_weights():
+    model = attention.Model.start(np.ones(50, np.int64))
+    rng, rows, want = np.random.default_rng(4), [], []
+    for n in (3, 40):
+        fit = attention.Fit(model, batch=8)
+        ids = rng.integers(0, n + 9, 30 * n)
+        fit.learn(np.append(49, ids[:-1]), ids, np.full(n, 30))
+        rows += attention.packed(fit, lm_scoring.CHUNK_IDS)
+        want.append(fit)
+    means = [tuple(r.values()) for b in lm_scoring._averages([lm_scoring._chunks(rows)]) for r in b.to_pylist()]
+    got = attention.averaged(model, means, lm_scoring.CHUNK_IDS)
+    a, b = want
+    met = np.stack([a.met, b.met]).astype(float)
+    for i in range(50):
+        each = (a.model.embed[i], b.model.embed[i])
+        assert np.allclose(got.embed[i], np.average(each, 0, met[:, i]) if met[:, i].any() else model.embed[i], atol=1e-6)
+    assert np.allclose(got.out, np.average([a.model.out, b.model.out], 0, [a.windows, b.windows]), atol=1e-6)
