@@ -6,14 +6,15 @@ that share a band are joined, verified by exact Jaccard similarity and clustered
 by connected components (``linking``). Equal paragraphs are one from the start.
 
 A passage that was put inside longer lines makes no paragraph of its own. So the
-words of a text, lines aside, are also cut into pieces at places that only the
-words around decide (minima of a hash over ``REACH`` words to either side); the
-pieces of a repeated passage are equal wherever it stands. They are matched
-exactly, and neighbouring repeated pieces join to spans of ``LEAST_WORDS`` words
-or more.
+words of a text, lines aside, also have anchors: of every ``SPREAD`` runs of
+``ANCHOR`` words in a row, the one of the least hash. A repeated passage of 30
+words or more holds the same anchor wherever it stands. From an anchor that is
+also in a smaller document, the match is followed word by word to both sides, to
+the next anchor by a hash of the words between and else by the words themselves;
+runs of ``LEAST_WORDS`` words or more are passages.
 
 One member of each cluster stays, that of the smallest document, for paragraphs
-and pieces alike: whatever goes is kept, itself or nearly, by a smaller document.
+and passages alike: whatever goes is kept, itself or nearly, by a smaller document.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.llm.linking import link
@@ -36,7 +37,11 @@ SHINGLE = 5
 #: A pair at the threshold shares a band with this probability at least.
 RECALL = 0.99
 MOST_HASHES = 48
-REACH = 5
+#: Words of an anchor, and how many runs of so many words in a row have one anchor at least: a
+#: repeated passage of ANCHOR + SPREAD - 1 words or more holds one that is the same in each copy.
+ANCHOR, SPREAD = 10, 21
+#: Words to either side of an anchor that are compared; the next anchor is not further away.
+CONTEXT = 24
 
 
 def tuned_bands(least: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -117,45 +122,120 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["uid", "head", "salt", "items"])
 
 
-def _cut_places(hashes: np.ndarray) -> np.ndarray:
-    """First words of the pieces of a text."""
-    n = len(hashes)
-    rank = mix(hashes)
-    rank[1:] = mix(hashes[1:] * np.uint64(0x9E3779B97F4A7C15) + hashes[:-1])
-    padded = np.full(n + 2 * REACH, np.iinfo(np.uint64).max)
-    padded[REACH : REACH + n] = rank
-    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1)
-    cut = rank <= around.min(1)
-    cut[0] = True
-    return np.flatnonzero(cut)
+def _anchor_places(hashes: np.ndarray) -> np.ndarray:
+    """First words of the anchors of a text: of every SPREAD runs of ANCHOR words in a row, the one of the least rank."""
+    rank = mix(shingles(hashes, ANCHOR))
+    if len(rank) <= SPREAD:
+        return np.array([rank.argmin()])
+    at = np.lib.stride_tricks.sliding_window_view(rank, SPREAD).argmin(1)
+    return np.unique(at + np.arange(len(at)))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_hashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each run of words, which may be empty."""
+    n = stop - first
+    ends = np.cumsum(n)
+    place = np.arange(n.sum()) - np.repeat(ends - n, n)
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(hashes[np.repeat(first, n) + place] * _powers(int(n.max()))[place], out=sums[1:])
+    return mix(sums[ends] - sums[ends - n] + n.astype(np.uint64))
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of each text. ``at``: first word, words since the anchor before began (or
+    the text) and words until the next one ends (or the text); ``gap``: hashes of both runs."""
     for batch in batches:
         for at, _, words in each_text(batch["text"]):
-            offsets = words.offsets
-            owner, first, seq = [], [], []
-            for i in range(len(offsets) - 1):
+            owner, first, before, after = [], [], [], []
+            for i in range(len(words.ranges) - 1):
                 own = words.of(i)
                 if len(own) >= LEAST_WORDS:
-                    cuts = _cut_places(own)
-                    first.append(cuts + words.ranges[i])
-                    owner.append(np.full(len(cuts), i))
-                    seq.append(np.arange(len(cuts)))
+                    places = _anchor_places(own) + words.ranges[i]
+                    first.append(places)
+                    before.append(np.append(words.ranges[i], places[:-1]))
+                    after.append(np.append(places[1:] + ANCHOR, words.ranges[i + 1]))
+                    owner.append(np.full(len(places), i))
             if not first:
                 continue
-            first, owner, seq = np.concatenate(first), np.concatenate(owner), np.concatenate(seq)
-            stop = np.append(first[1:], 0)
-            last = np.append(owner[1:] != owner[:-1], True)
-            stop[last] = words.ranges[owner[last] + 1]
-            n = stop - first
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hashes = words.hashes[np.repeat(first, n) + place] * _powers(int(n.max()))[place]
-            piece = mix(np.add.reduceat(hashes, np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64)
-            span = (words.starts[first] - offsets[owner]) << 32 | (words.ends[stop - 1] - offsets[owner])
+            owner, first, before, after = (np.concatenate(x).astype(np.int64) for x in (owner, first, before, after))
+            anchor = mix(_run_hashes(words.hashes, first, first + ANCHOR)).view(np.int64)
+            left, right = _run_hashes(words.hashes, before, first), _run_hashes(words.hashes, first + ANCHOR, after)
+            gap = ((left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))).view(np.int64)
+            place = (first - words.ranges[owner]) << 16 | (first - before) << 8 | (after - first - ANCHOR)
             pick = pa.array(owner + at)
-            columns = [pa.array(piece), batch["doc_id"].take(pick), batch["doc"].take(pick), pa.array(seq << 20 | np.minimum(n, (1 << 20) - 1)), pa.array(span)]
-            yield pa.RecordBatch.from_arrays(columns, ["piece", "doc_id", "doc", "seq", "span"])
+            columns = [pa.array(anchor), batch["doc_id"].take(pick), batch["doc"].take(pick), pa.array(place), pa.array(gap)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "doc", "at", "gap"])
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the anchors that stand wanted beside a text: where their run begins and ends
+    if it is that of ``at``; where an end is open, the words there and their bytes, outwards."""
+    for batch in batches:
+        for at, _, words in each_text(batch["text"]):
+            for i, wanted in enumerate(batch["wanted"].slice(at, len(words.ranges) - 1).to_pylist()):
+                low, high = words.ranges[i], words.ranges[i + 1]
+                rows = []
+                for w in wanted:
+                    a, l, r = low + (w["owner_at"] >> 16), w["owner_at"] >> 8 & 255, w["owner_at"] & 255
+                    z = a + ANCHOR
+                    inner, outer = slice(max(low, a - CONTEXT), a), slice(z, min(high, z + CONTEXT))
+                    begins = words.starts[inner.start : a + 1][::-1] - words.offsets[i]
+                    ends = words.ends[z - 1 : outer.stop] - words.offsets[i]
+                    left = words.hashes[inner][::-1].tobytes() + begins.astype(np.int64).tobytes() if w["left_open"] else None
+                    right = words.hashes[outer].tobytes() + ends.astype(np.int64).tobytes() if w["right_open"] else None
+                    rows.append((w["owner_at"], words.starts[a - l] - words.offsets[i], words.ends[z + r - 1] - words.offsets[i], left, right))
+                columns = list(zip(*rows, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                owner = pa.array([batch["owner"][at + i].as_py()] * len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([owner, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["owner", "owner_at", "owner_begin", "owner_end", "left", "right"])
+
+
+def _reach(own: np.ndarray, side: bytes) -> tuple[int, int]:
+    """(equal words, the byte where they end) of own words and a side of ``_around``, both outwards."""
+    both = np.frombuffer(side, np.uint64)
+    n = len(both) // 2
+    m = min(n, len(own))
+    equal = own[:m] == both[:m]
+    k = m if equal.all() else int(equal.argmin())
+    return k, int(both[n:].view(np.int64)[k])
+
+
+_SPANS = "doc long, doc_id long, begin long, end long, n_words long, cluster long, removed boolean"
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal words around shared anchors, in the copy and in the text that keeps them."""
+    for batch in batches:
+        for at, _, words in each_text(batch["text"]):
+            rows = []
+            for i, wanted in enumerate(batch["wanted"].slice(at, len(words.ranges) - 1).to_pylist()):
+                doc, doc_id = batch["doc"][at + i].as_py(), batch["doc_id"][at + i].as_py()
+                low, high = int(words.ranges[i]), int(words.ranges[i + 1])
+                runs = []
+                for w in wanted:
+                    a, l, r = low + (w["at"] >> 16), w["at"] >> 8 & 255, w["at"] & 255
+                    begin, end = w["owner_begin"], w["owner_end"]
+                    if w["left_open"]:
+                        l, begin = _reach(words.hashes[max(low, a - CONTEXT) : a][::-1], w["left"])
+                    if w["right_open"]:
+                        r, end = _reach(words.hashes[a + ANCHOR : min(high, a + ANCHOR + CONTEXT)], w["right"])
+                    shift = (w["owner_at"] >> 16) - (w["at"] >> 16)
+                    runs.append((w["owner"], shift, a - l, a + ANCHOR + r, begin, end, w["owner_id"]))
+                whole = []
+                for run in sorted(runs, key=lambda x: x[:4]):
+                    if whole and whole[-1][:2] == list(run[:2]) and run[2] <= whole[-1][3]:
+                        if run[3] > whole[-1][3]:
+                            whole[-1][3], whole[-1][5] = run[3], run[5]
+                    else:
+                        whole.append(list(run))
+                for owner, _, a, z, begin, end, owner_id in whole:
+                    if z - a >= LEAST_WORDS:
+                        rows.append((doc, doc_id, int(words.starts[a] - words.offsets[i]), int(words.ends[z - 1] - words.offsets[i]), z - a, owner, True))
+                        rows.append((owner, owner_id, begin, end, z - a, owner, False))
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = (*[pa.int64()] * 6, pa.bool_())
+            names = ["doc", "doc_id", "begin", "end", "n_words", "cluster", "removed"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -164,19 +244,29 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, doc_id, begin, end, n_words, cluster, removed) of spans of repeated pieces."""
-    pieces = docs.mapInArrow(_pieces, "piece long, doc_id long, doc long, seq long, span long")
-    pieces = scratch.write(pieces, "pieces")
-    at = F.struct("doc_id", "doc")
-    shared = pieces.groupBy("piece").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least <> most")
-    found = pieces.join(shared.select("piece", F.col("least.doc").alias("owner")), "piece").select(
-        "doc", "doc_id", F.expr("shiftright(seq, 20)").alias("seq"), F.expr("seq & 1048575").alias("n_words"), "owner",
-        F.expr("shiftright(span, 32)").alias("begin"), F.expr("span & 4294967295").alias("end"),
-    ).withColumn("removed", F.col("doc") != F.col("owner")).distinct()
-    inside = Window.partitionBy("doc", "doc_id", "removed").orderBy("seq")
-    runs = found.withColumn("run", F.col("seq") - F.row_number().over(inside)).groupBy("doc", "doc_id", "removed", "run")
-    runs = runs.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("owner").alias("cluster"))
-    return runs.where(F.col("n_words") >= LEAST_WORDS).select("doc", "doc_id", "begin", "end", "n_words", "cluster", "removed")
+    """(doc, doc_id, begin, end, n_words, cluster, removed) of runs of words that a smaller document has too."""
+    anchors = docs.mapInArrow(_anchors, "anchor long, doc_id long, doc long, at long, gap long")
+    anchors = scratch.write(anchors, "anchors")
+    first, last = F.min(F.struct("doc_id", "doc", "at", "gap")), F.max(F.struct("doc_id", "doc"))
+    shared = anchors.groupBy("anchor").agg(first.alias("first"), last.alias("last")).where("first.doc <> last.doc")
+    found = anchors.join(shared.select("anchor", "first"), "anchor").where("doc <> first.doc").select(
+        "doc", "at", F.col("first.doc").alias("owner"), F.col("first.doc_id").alias("owner_id"), F.col("first.at").alias("owner_at"),
+        F.expr("shiftright(gap, 32) <> shiftright(first.gap, 32)").alias("left_open"),
+        F.expr("(gap & 4294967295) <> (first.gap & 4294967295)").alias("right_open"),
+    ).distinct()
+    found = scratch.write(found, "found")
+    owners = found.groupBy("owner", "owner_at").agg(F.max("left_open").alias("left_open"), F.max("right_open").alias("right_open"))
+    owners = owners.groupBy("owner").agg(F.collect_list(F.struct("owner_at", "left_open", "right_open")).alias("wanted"))
+    texts = docs.select("doc", "doc_id", "text")
+    sides = texts.select(F.col("doc").alias("owner"), "text").join(owners.hint("shuffle_hash"), "owner")
+    sides = sides.mapInArrow(_around, "owner long, owner_at long, owner_begin long, owner_end long, left binary, right binary")
+    # rows equal in id and text give their sides once
+    sides = scratch.write(sides, "sides").dropDuplicates(["owner", "owner_at"])
+    left, right = F.when(F.col("left_open"), F.col("left")), F.when(F.col("right_open"), F.col("right"))
+    beside = found.join(sides, ["owner", "owner_at"]).withColumn("left", left).withColumn("right", right)
+    wanted = F.collect_list(F.struct(*(c for c in beside.columns if c != "doc")))
+    beside = beside.groupBy("doc").agg(wanted.alias("wanted"))
+    return texts.join(beside.hint("shuffle_hash"), "doc").mapInArrow(_extended, _SPANS).distinct()
 
 
 def _clusters(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -209,8 +299,8 @@ def repeated_spans(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
 
     begin and end are byte offsets in the UTF-8 text. kind "paragraph": a line with
     a like of Jaccard similarity num / den or more over five-word shingles, itself
-    included; cluster names the component. kind "passage": a run of pieces found in
-    another document too. removed is false for the one that stays.
+    included; cluster names the component. kind "passage": a run of words that the document
+    ``cluster`` has too. removed is false for the one that stays.
 
     Null, empty and short texts have no spans. Rows equal in id and text are one
     document and its spans are given once; null ids are kept. No rows give no rows.

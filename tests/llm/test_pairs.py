@@ -167,6 +167,22 @@ def test_repeated_spans(docs_of):
     assert substring_dedup.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_passages_are_found_from_their_first_word_to_their_last(docs_of):
+    rng = random.Random(31)
+    rows, planted = [], {}
+    for j in range(60):
+        passage = _text(rng, 30 + j)
+        for copy in range(2):
+            head, tail = _text(rng, rng.randrange(40)), _text(rng, rng.randrange(40))
+            planted[doc_id := 2 * j + copy] = passage
+            rows.append((doc_id, f"{head} {passage} {tail}".strip()))
+    spans = {}
+    for r in substring_dedup.repeated_spans(docs_of(*rows)).where("kind = 'passage'").collect():
+        span = rows[r["doc_id"]][1].encode()[r["begin"] : r["end"]].decode()
+        spans.setdefault(r["doc_id"], []).append((span, r["removed"]))
+    assert spans == {d: [(p, d % 2 == 1)] for d, p in planted.items()}
+
+
 def test_bands_reach_the_recall():
     bands, rows = substring_dedup.tuned_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.RECALL and bands * rows <= substring_dedup.MOST_HASHES
