@@ -1,7 +1,7 @@
 """Substring de-duplication by paragraph MinHash banding.
 
-Paragraphs are lines of ``LEAST_WORDS`` words or more. Their five-word shingles
-get MinHash values in bands tuned for high recall at the threshold; paragraphs
+Paragraphs are lines of ``LONG_LINE`` words or more, and runs of shorter lines up
+to a blank line or a long one, of five words or more. Their five-word shingles get MinHash values in bands tuned for high recall at the threshold; paragraphs
 that share a band are joined, verified by exact Jaccard similarity and clustered
 by connected components (``linking``). Equal paragraphs are one from the start.
 
@@ -32,7 +32,10 @@ from graphweft.llm.linking import link
 from graphweft.llm.words import Words, _powers, each_text, mix, shingles
 from graphweft.session import Scratch
 
+#: Words of a passage at least.
 LEAST_WORDS = 20
+#: A line of so many words is a paragraph of its own.
+LONG_LINE = 20
 SHINGLE = 5
 #: A pair at the threshold shares a band with this probability at least.
 RECALL = 0.99
@@ -55,12 +58,20 @@ def tuned_bands(least: float, recall: float = RECALL, most: int = MOST_HASHES) -
     return best
 
 
-def _lines(data: np.ndarray, words: Words, i: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, number of words) of the lines of a text that have words."""
+def _blocks(data: np.ndarray, words: Words, i: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number of words) of the paragraphs of a text: long lines, and runs
+    of short lines up to a line without words or a long one."""
     lo, hi = words.ranges[i], words.ranges[i + 1]
+    if lo == hi:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     breaks = np.flatnonzero(data[offsets[i] : offsets[i + 1]] == 0x0A) + offsets[i]
-    cuts = np.unique(np.concatenate(([lo], np.searchsorted(words.starts[lo:hi], breaks) + lo, [hi])))
-    return cuts[:-1], np.diff(cuts)
+    at, times = np.unique(np.searchsorted(words.starts[lo:hi], breaks) + lo, return_counts=True)
+    inside = (at > lo) & (at < hi)
+    cuts = np.append(lo, at[inside])
+    short = np.diff(np.append(cuts, hi)) < LONG_LINE
+    joined = short[1:] & short[:-1] & (times[inside] == 1)
+    first = cuts[np.append(True, ~joined)]
+    return first, np.diff(np.append(first, hi))
 
 
 def _paragraphs(bands: int, rows: int):
@@ -74,8 +85,8 @@ def _paragraphs(bands: int, rows: int):
                 offsets = words.offsets
                 owner, first, count = [], [], []
                 for i in range(len(offsets) - 1):
-                    starts, n = _lines(data, words, i, offsets)
-                    keep = n >= LEAST_WORDS
+                    starts, n = _blocks(data, words, i, offsets)
+                    keep = n >= SHINGLE
                     first.append(starts[keep])
                     count.append(n[keep])
                     owner.append(np.full(keep.sum(), i))
@@ -297,8 +308,8 @@ def repeated_spans(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """Repeated spans of ``docs`` (doc_id long, text string; others are ignored):
     doc_id, kind, begin, end, n_words, cluster, removed.
 
-    begin and end are byte offsets in the UTF-8 text. kind "paragraph": a line with
-    a like of Jaccard similarity num / den or more over five-word shingles, itself
+    begin and end are byte offsets in the UTF-8 text. kind "paragraph": a long line
+    or a run of short ones (five words or more) with a like of Jaccard similarity num / den or more over five-word shingles, itself
     included; cluster names the component. kind "passage": a run of words that the document
     ``cluster`` has too. removed is false for the one that stays.
 

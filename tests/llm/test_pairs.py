@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphweft.llm import linking, ngram_join, substring_dedup, vector_dedup
@@ -183,6 +184,26 @@ def test_passages_are_found_from_their_first_word_to_their_last(docs_of):
     assert spans == {d: [(p, d % 2 == 1)] for d, p in planted.items()}
 
 
+def test_short_lines_make_paragraphs(docs_of):
+    rng = random.Random(8)
+    wrap = lambda words, n: "\n".join(" ".join(words[a : a + n]) for a in range(0, len(words), n))
+    block = _text(rng, 120).split()
+    near = [w if i % 40 else "changed" for i, w in enumerate(block)]
+    rows = [(1, _text(rng, 30) + "\n" + wrap(block, 9) + "\n\n" + _text(rng, 12)), (2, wrap(near, 11) + "\n \n" + wrap(_text(rng, 50).split(), 8))]
+    rows += [(3, "five words make a paragraph\n\n" + _text(rng, 30)), (4, _text(rng, 30) + "\nFive words make\na paragraph"), (5, "not five words\n\n"), (6, "not five words")]
+    got = {(r["doc_id"], r["begin"], r["end"], r["removed"]) for r in substring_dedup.repeated_spans(docs_of(*rows)).where("kind = 'paragraph'").collect()}
+    want = {(1, wrap(block, 9), False), (2, wrap(near, 11), True), (3, "five words make a paragraph", False), (4, "Five words make\na paragraph", True)}
+    by_id = dict(rows)
+    assert {(d, by_id[d].encode()[a:b].decode(), gone) for d, a, b, gone in got} == want
+
+
+def test_blocks_leave_no_word_out():
+    text = "\n\n a b\nc\n" + "x " * 20 + "\nd e\n\t\nf\r\ng\n\n\nh"
+    for _, data, words in substring_dedup.each_text(pa.array([text, "", "\n", "one"])):
+        found = [substring_dedup._blocks(data, words, i, words.offsets) for i in range(4)]
+    assert [(a.tolist(), n.tolist()) for a, n in found] == [([0, 3, 23, 25, 27], [3, 20, 2, 2, 1]), ([], []), ([], []), ([28], [1])]
+
+
 def test_bands_reach_the_recall():
     bands, rows = substring_dedup.tuned_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.RECALL and bands * rows <= substring_dedup.MOST_HASHES
