@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphweft.llm import (
     byte_bpe,
+    divergence,
     language_id,
     lm_scoring,
     mixing,
@@ -170,3 +171,25 @@ def grades(labels: DataFrame) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality_classifier.graded(docs, grades(labels))
+
+
+@query("op13_source_divergence", sql=r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT s.*, CAST(1 + (1000000000::HUGEINT * (s.n + 5)) // (sum(s.n) OVER (PARTITION BY s.lang, s.source) + 5 * v.v) AS BIGINT) AS p,
+  CAST(1 + (1000000000::HUGEINT * (s.lang_n + 5)) // (v.total + 5 * v.v) AS BIGINT) AS q FROM s JOIN v ON v.lang = s.lang),
+a AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM (SELECT DISTINCT lang, source FROM d) a
+  JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN a f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+found AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverging(spark.read.parquet(f"{sf_dir}/documents.parquet"))
