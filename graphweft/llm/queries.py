@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.llm import (
+    alignment,
     byte_bpe,
     divergence,
     language_id,
@@ -193,3 +194,10 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.diverging(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    byte_level, pieces = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(docs, byte_level, public_tokenizers.PATTERN, pieces)

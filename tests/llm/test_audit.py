@@ -1,13 +1,17 @@
-"""Source divergence against a plain statement."""
+"""Source divergence and tokenizer alignment against plain statements."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
 
+import numpy as np
+import public_tokenizers as P
 import pytest
 
-from graphweft.llm import divergence
+from graphweft.llm import alignment, divergence
+from tests.llm.test_texts import ODD
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -71,3 +75,81 @@ def test_divergence_ties_and_pieces(docs_of, monkeypatch):
 
 def test_divergence_empty(docs_of):
     assert divergence.diverging(docs_of((1, "a")).limit(0)).collect() == []
+
+
+def plain_alignment(rows):
+    """The rows of the alignment from whole texts, with the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    letters = alignment._byte_letters()
+
+    def piece(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode()
+
+    links, found = collections.Counter(), []
+    for doc_id, text in rows:
+        want = (" " + (text or "")).encode()
+        ids = [a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)] if text else [[], []]
+        raw = [[bytes(letters[c] for c in a.id_to_token(i)) for i in ids[0]], [piece(i) for i in ids[1]]]
+        if b"".join(raw[0]) != want or b"".join(raw[1]) != want:
+            ids = raw = [[], []]
+        ends = [list(itertools.accumulate(map(len, r))) for r in raw]
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        last = [dict(zip(e, i, strict=True)) for e, i in zip(ends, ids, strict=True)]
+        pairs = [(last[0][c], last[1][c]) for c in cuts]
+        groups, low = [], 0
+        for c in cuts:
+            groups.append("|".join(",".join(str(i) for i, e in zip(ids[k], ends[k], strict=True) if low < e <= c) for k in (0, 1)))
+            low = c
+        links.update(pairs)
+        found.append((doc_id, len(ids[0]), len(ids[1]), len(cuts), pairs, ";".join(groups)))
+    best = collections.Counter()
+    for (_, y), n in links.items():
+        best[y] = max(best[y], n)
+    return [
+        (i, n_a, n_b, n, len(p), sum(links[x] == best[x[1]] for x in p), sum(links[x] for x in p), hashlib.sha256(g.encode()).hexdigest() if g else "")
+        for i, n_a, n_b, n, p, g in found
+    ]
+
+
+@pytest.mark.parametrize("blocks", [1, 9])
+def test_alignment(docs_of, blocks):
+    rng = random.Random(8)
+    noise = ["".join(chr(rng.choice((rng.randrange(1, 0xD800), rng.randrange(1, 700)))) for _ in range(150)) for _ in range(4)]
+    texts = ODD + noise + ["a\u2581b", " lead", "trail  ", "two  blanks   in\n\n  it", "<s>x</s> <unk> <0x41>", "the same words again", "the same words again", "x" * 30]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "null id"), (3, "the same words"), (3, "the same words")]
+    # a partition is a block here
+    got = alignment.aligned(docs_of(*rows).repartition(blocks), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_alignment(rows)))
+    assert got[0].__fields__ == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_alignment_empty(docs_of):
+    for docs in (docs_of((1, "a")).limit(0), docs_of((1, None), (2, ""))):
+        rows = alignment.aligned(docs, P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model")).collect()
+        assert [tuple(r)[1:] for r in rows] == [(0, 0, 0, 0, 0, 0, "")] * len(rows)
+
+
+def test_common_ends():
+    """Against set intersection, for many texts at once; some without any common end but the last, some without tokens."""
+    rng = np.random.default_rng(4)
+    a, b, a_ranges, b_ranges, base = [], [], [0], [0], 0
+    for i in range(300):
+        n = int(rng.integers(0, 400)) if i % 7 else 0
+        share = rng.choice([0.01, 0.3, 0.9])
+        x, y = (np.flatnonzero(rng.random(n) < share) + 1 for _ in range(2))
+        if i % 5 == 0 and n:
+            x, y = np.arange(1, n, 2), np.arange(2, n, 2)  # no cut inside
+        x, y = (np.union1d(v, [n]) if n else v[:0] for v in (x, y))
+        a.append(base + x), b.append(base + y)
+        a_ranges.append(a_ranges[-1] + len(x)), b_ranges.append(b_ranges[-1] + len(y))
+        base += n
+    a, b = np.concatenate(a), np.concatenate(b)
+    at, place = alignment.common_ends(a, b, np.array(a_ranges), np.array(b_ranges))
+    want = np.intersect1d(a, b)
+    assert (a[at] == want).all() and (b[place] == want).all()
