@@ -20,6 +20,7 @@ from graphweft.llm import (
     quality_rules,
     substring_dedup,
     token_counts,
+    toxicity,
     vector_dedup,
 )
 
@@ -201,3 +202,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     byte_level, pieces = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return alignment.aligned(docs, byte_level, public_tokenizers.PATTERN, pieces)
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.toxicity(docs, labels)

@@ -1,16 +1,17 @@
-"""Source divergence and tokenizer alignment against plain statements."""
+"""Source divergence and tokenizer alignment against plain statements; toxicity by distances and held-out accuracy."""
 
 import collections
 import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 
-from graphweft.llm import alignment, divergence
+from graphweft.llm import alignment, divergence, toxicity
 from tests.llm.test_texts import ODD
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -153,3 +154,113 @@ def test_common_ends():
     at, place = alignment.common_ends(a, b, np.array(a_ranges), np.array(b_ranges))
     want = np.intersect1d(a, b)
     assert (a[at] == want).all() and (b[place] == want).all()
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, last = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(row[j] + 1, last[j + 1] + 1, last[j] + (x != y)))
+    return row[-1]
+
+
+def test_misspellings_against_all_distances(monkeypatch):
+    rng = random.Random(6)
+    entries = [("scum", True, 2.0), ("moron", True, 3.0), ("morons", True, 3.5), ("idiotic", False, 2.0), ("worthless", True, 4.0), ("disgusting", True, 4.0), ("lowe", False, 1.0), ("éclatant", False, 1.5)]
+    words = [w for w, *_ in entries] + ["", "x", "lowering", "low", "idiotical", "idiotcal", "mor", "worthles", "wrothless"]
+    for w in list(words) * 30:
+        w = list(w)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choice(["", "a", "o", "é", "1"])
+        words.append("".join(w))
+    for kept in (50_000, 3):
+        monkeypatch.setattr(toxicity, "KEPT_STATES", kept)
+        lexicon = toxicity.Lexicon(entries)
+        for w in words:
+            found = []
+            for i, (text, whole, weight) in enumerate(entries):
+                # a stem is any beginning of a word
+                edits = levenshtein(text, w) if whole else min(levenshtein(text, w[:k]) for k in range(len(w) + 1))
+                if edits <= toxicity.edits_borne(len(text), whole):
+                    found.append((edits, -weight, i))
+            assert lexicon.match(w) == (lambda best: best and (best[2], best[0]))(min(found, default=None)), w
+
+
+def test_lexicon_choice():
+    rows = [("idio", False, 99, 50.0, 5.0), ("idiot", False, 99, 50.0, 5.0), ("idiot", True, 99, 50.0, 5.0), ("lowei", False, 90, 45.0, 5.0), ("loweis", False, 30, 20.0, 4.8), ("loweisp", True, 30, 20.0, 4.8), ("lowe", False, 91, 44.0, 3.0)]
+    assert toxicity._chosen(rows) == [("idiot", True, 5.0), ("lowei", False, 5.0)]
+    assert toxicity._chosen([]) == []
+
+
+def test_terms_in_context():
+    def of(text):
+        found = toxicity.tokens(text)
+        return dict(zip(toxicity.FEATURES, toxicity.features(found, [(i, 4.0, 0) for i, t in enumerate(found) if t == "idiot"]), strict=True))
+
+    abuse, quoted, reported = of("You are an IDIOT### and so on"), of('the paper has "what an idiot" on page one'), of("she said idiot again")
+    assert abuse["most"] == 4 and abuse["addressed"] > 0 and abuse["most_quoted"] == 0
+    assert quoted["most"] == 0 and quoted["most_quoted"] == 4 and reported["most_quoted"] == 4
+    assert of('a lone " idiot here')["most"] == 4  # a mark that is not closed quotes nothing
+    assert of('"a" idiot "b"')["most"] == 4 and of('"a\nidiot" b')["most"] == 4
+    w = np.array(list(toxicity.FEATURES.values()))
+    z = [np.dot(list(x.values()), w) for x in (abuse, quoted, of(""))]
+    assert z[0] > 0 > z[1] > z[2]
+
+
+def toxic_corpus(seed, n=900):
+    """Invented prose, one text in five toxic by words of its own, some of them misspelt."""
+    rng = random.Random(seed)
+    plain = ["".join(rng.choices("aeioulnrst", k=rng.randrange(2, 8))) for _ in range(400)]
+    bad, stem = ["zwarkid", "plomgust"], "vexqu"
+    rows, labels = [], []
+    for i in range(n):
+        words, toxic = rng.choices(plain, k=rng.randrange(20, 60)), int(rng.random() < 0.2)
+        for _ in range(3 * toxic):
+            w = rng.choice([*bad, stem + rng.choice(plain)])
+            words.insert(rng.randrange(len(words)), w if i % 10 else w.replace("zwarkid", "zw4rkid").replace("plomgust", "plomgusst"))
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    return rows, labels
+
+
+def test_toxicity(spark, docs_of):
+    rows, labels = toxic_corpus(2)
+    given = [(i, t) for i, t in labels] + [(None, 1), (5, None), (6, 7), (7, labels[7][1])]
+    marks = spark.createDataFrame([(i, t, "x") for i, t in given], "doc_id long, toxic int, text string")
+    odd = [(None, "no id zwarkid"), (5000, None), (5001, ""), (5002, "  \n "), (5003, "zwarkid " * 3000), (5004, "calm " * 200_000), (5003, "zwarkid " * 3000)]
+    out = toxicity.toxicity(docs_of(*rows, *odd), marks)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    want = dict(labels)
+    held = [r for r in got if r["doc_id"] in want and r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in want if zlib.crc32(str(i).encode()) % 5 == 0}
+    wrong = [r for r in held if r["predicted"] != want[r["doc_id"]]]
+    assert len(held) > 150 and len(wrong) <= 2
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[5003]["predicted"] == 1 and by_id[5004]["predicted"] == 0 and not by_id[None]["held_out"]
+    assert by_id[5000]["score"] == by_id[5001]["score"] == by_id[5002]["score"] < 0.5
+
+
+def test_toxicity_copies_teach_nothing(spark, docs_of):
+    """The own words of a toxic text do not become terms by its copies."""
+    rows, labels = toxic_corpus(3)
+    own = "quirbelnast umsprolt zwarkid herdanulo"
+    rows += [(2000 + i, own) for i in range(300)]
+    labels += [(2000 + i, 1) for i in range(300)]
+    learnt = docs_of(*rows).join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id").select("text", "toxic")
+    entries = {e[0] for e in toxicity.learn_lexicon(learnt)}
+    assert entries >= {"zwarkid", "plomgust", "vexqu"} and not entries & set(own.replace("zwarkid", "").split())
+
+
+def test_toxicity_without_labels(spark, docs_of):
+    docs = docs_of((1, "a"), (2, None))
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [(r["score"], r["predicted"]) for r in toxicity.toxicity(docs, none).collect()] == [(0.0, 0)] * 2
+    one = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
+    assert [(r["score"], r["predicted"]) for r in toxicity.toxicity(docs, one).collect()] == [(1.0, 1)] * 2
+    both = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs.limit(0), both).collect() == []
+    assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(docs_of((70, "x")), both).collect())
