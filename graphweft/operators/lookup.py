@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.operators.names import SEARCH_COLUMNS, NameIndex, name_score, search_names
 from graphweft.schema import kinds_dimension
 from graphweft.session import seek
 
-# Texts matched in one pass over the entities; longer lists take further passes.
-TEXTS_PER_PASS = 256
-
 
 def get_entity(entities: DataFrame, keys: DataFrame) -> DataFrame:
     """First entity of any kind per requested qualified name, with score 1.0.
@@ -29,61 +25,22 @@ def scan_kind(entities: DataFrame, kind: str) -> DataFrame:
     return entities.where(F.col("kind") == kind)
 
 
-def _name_score(name: Column, qualified_name: Column, text: Column) -> Column:
-    """1.0 for the whole name, 0.8 for its beginning, 0.5 for a match elsewhere
-    in the name or the qualified name, null for none. Inputs are lower-case."""
-    hit = F.coalesce(F.contains(name, text), F.lit(False)) | F.coalesce(F.contains(qualified_name, text), F.lit(False))
-    return F.when(hit, F.when(name == text, 1.0).when(F.startswith(name, text), 0.8).otherwise(0.5))
-
-
-def text_blocks(queries, columns: tuple[str, ...], per_pass: int) -> list[list[tuple]]:
-    """Query rows in blocks of about ``per_pass``. A list is sliced; a DataFrame
-    is read block by block, so the driver holds one block at a time."""
-    if isinstance(queries, DataFrame):
-        rows = queries.select(*columns)
-        blocks = max(1, -(-rows.count() // per_pass))
-        if blocks == 1:
-            return [[tuple(r) for r in rows.collect()]]
-        block = F.pmod(F.xxhash64(columns[0]), F.lit(blocks))
-        return [[tuple(r) for r in rows.where(block == i).collect()] for i in range(blocks)]
-    rows = [tuple(q) for q in queries]
-    return [rows[i : i + per_pass] for i in range(0, len(rows), per_pass)] or [[]]
-
-
-def name_search(entities: DataFrame, queries, k: int) -> DataFrame:
+def name_search(entities: DataFrame, queries, k: int, index: NameIndex | None = None) -> DataFrame:
     """Case-insensitive substring search over names and qualified names.
 
-    ``queries`` is a list or DataFrame of (query_id, text). Every pass reads the
-    entities once, tests all texts of the pass on a row and emits only hits.
-    One text is a plain filter with a bounded heap for its top ``k``.
+    ``queries`` is a DataFrame of (query_id, text), joined to the entities by
+    trigrams (``names.search_names``), or a list that the caller wrote: one text
+    is a plain filter with a bounded heap for its top ``k``.
     """
-    passes = text_blocks(queries, ("query_id", "text"), TEXTS_PER_PASS)
-    return reduce(DataFrame.unionByName, [_name_pass(entities, block, k) for block in passes])
-
-
-def _name_pass(entities: DataFrame, block: list[tuple], k: int) -> DataFrame:
-    lowered = entities.select(
-        "name", "qualified_name", "kind", F.lower("name").alias("_n"), F.lower("qualified_name").alias("_q")
-    )
-    out = ["query_id", "name", "qualified_name", "kind", "score"]
-    if len(block) == 1:
-        query_id, text = block[0]
-        score = _name_score(F.col("_n"), F.col("_q"), F.lower(F.lit(text)))
-        hits = lowered.select(F.lit(query_id).cast("bigint").alias("query_id"), *out[1:4], score.alias("score"))
-        return hits.where("score IS NOT NULL").orderBy(F.desc("score"), "qualified_name", "kind").limit(k)
-    tests = [
-        F.struct(
-            F.lit(query_id).cast("bigint").alias("query_id"),
-            _name_score(F.col("_n"), F.col("_q"), F.lower(F.lit(text))).alias("score"),
-        )
-        for query_id, text in block
-    ]
-    candidates = F.array(*tests) if tests else F.expr("CAST(array() AS array<struct<query_id:bigint,score:double>>)")
-    hits = lowered.select(
-        "name", "qualified_name", "kind", F.inline(F.filter(candidates, lambda t: t["score"].isNotNull()))
-    )
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "qualified_name", "kind")
-    return hits.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= k).select(*out)
+    if isinstance(queries, DataFrame):
+        return search_names(entities, queries, k, index)
+    rows = [tuple(q) for q in queries]
+    if len(rows) != 1:
+        return search_names(entities, entities.sparkSession.createDataFrame(rows, "query_id bigint, text string"), k, index)
+    query_id, text = rows[0]
+    score = name_score(F.lower("name"), F.lower("qualified_name"), F.lower(F.lit(text)))
+    hits = entities.select(F.lit(query_id).cast("bigint").alias("query_id"), *SEARCH_COLUMNS[1:4], score.alias("score"))
+    return hits.where("score IS NOT NULL").orderBy(F.desc("score"), "qualified_name", "kind").limit(k)
 
 
 def graph_stats(entities: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions.vectors import is_nonzero, l2_normalize
-from graphweft.operators.lookup import text_blocks
 from graphweft.schema import DEFAULT_TOP_K
 from graphweft.session import rows_within
 
@@ -171,6 +170,20 @@ def topk_overall(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
+def _query_blocks(queries, columns: tuple[str, ...], per_pass: int) -> list[list[tuple]]:
+    """Query rows in blocks of about ``per_pass``. A list is sliced; a DataFrame
+    is read block by block, so the driver holds one block at a time."""
+    if isinstance(queries, DataFrame):
+        rows = queries.select(*columns)
+        blocks = max(1, -(-rows.count() // per_pass))
+        if blocks == 1:
+            return [[tuple(r) for r in rows.collect()]]
+        block = F.pmod(F.xxhash64(columns[0]), F.lit(blocks))
+        return [[tuple(r) for r in rows.where(block == i).collect()] for i in range(blocks)]
+    rows = [tuple(q) for q in queries]
+    return [rows[i : i + per_pass] for i in range(0, len(rows), per_pass)] or [[]]
+
+
 class LshIndex:
     """Random-projection buckets over unit vectors, for approximate search.
 
@@ -202,7 +215,7 @@ class LshIndex:
     def search(self, queries: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
         """Approximate top ``k`` per query over all kinds."""
         parts = []
-        for block in text_blocks(queries, ("query_id", "vector"), QUERIES_IN_PLAN):
+        for block in _query_blocks(queries, ("query_id", "vector"), QUERIES_IN_PLAN):
             asked = queries.sparkSession.createDataFrame(block, "query_id bigint, vector array<double>")
             codes = self._coded(self._with_unit(asked, "vector")).select(F.explode("codes").alias("code")).distinct()
             wanted = [r.code for r in codes.collect()]

@@ -452,6 +452,19 @@ def _name_search_batch(spark, sf_dir):
     return lookup.name_search(tables.kg_entities(spark, sf_dir), asked, 10)
 
 
+_ALL_NAMES_SQL = """SELECT p_partkey::BIGINT AS query_id, p_name AS text FROM part
+  UNION ALL SELECT -1 - n_nationkey, left(n_name, n_nationkey % 4) FROM nation"""
+
+
+@query("name_search_all", _name_sql(_ALL_NAMES_SQL, 5))
+def _name_search_all(spark, sf_dir):
+    """Every part name at once, and the empty text and short beginnings of the nation names."""
+    parts = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("query_id"), F.col("p_name").alias("text"))
+    key = F.col("n_nationkey").cast("bigint")
+    short = tables.table(spark, sf_dir, "nation").select((-1 - key).alias("query_id"), F.expr("left(n_name, n_nationkey % 4)").alias("text"))
+    return lookup.name_search(tables.kg_entities(spark, sf_dir), parts.unionByName(short), 5)
+
+
 @query("scan_kind", f"WITH {KG_SQL} SELECT qualified_name, name FROM kg_nodes WHERE kind = 'Struct'")
 def _scan_kind(spark, sf_dir):
     return lookup.scan_kind(tables.kg_entities(spark, sf_dir), "Struct").select("qualified_name", "name")
@@ -670,7 +683,7 @@ def _hybrid_search_deep(spark, sf_dir):
 )
 def _hybrid_expansion(spark, sf_dir):
     graph = tables.kg(spark, sf_dir)
-    matches = hybrid.first_matches(graph, label_centroids(spark, sf_dir), 10)
+    matches = hybrid.first_matches(graph, label_centroids(spark, sf_dir), 10, by_name=0)
     matches, rows, _ = Scratch(spark).write_counted(matches, "matches")
     return hybrid.expansions(graph, matches, rows)
 

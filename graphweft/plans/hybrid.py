@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphweft.functions.vectors import is_nonzero
 from graphweft.operators.lookup import get_entity, name_search
 from graphweft.operators.traverse import incidences
-from graphweft.operators.vector import QUERIES_IN_PLAN, topk_overall, vector_topk
+from graphweft.operators.vector import topk_overall, vector_topk
 from graphweft.schema import (
     DEFAULT_TOP_K,
     DEPENDENCY_EDGE_TYPES,
@@ -22,7 +22,7 @@ from graphweft.schema import (
     VECTOR_WEIGHT,
     KnowledgeGraph,
 )
-from graphweft.session import Scratch, rows_within, seek_edges
+from graphweft.session import Scratch, seek_edges
 
 # A match table holds at most k rows per query and is counted when written. Up to
 # this many rows it is broadcast to the edges, beyond that it is joined.
@@ -42,20 +42,17 @@ def relevance(vector_score, distance):
     return VECTOR_WEIGHT * vector_score + GRAPH_WEIGHT / (1 + distance)
 
 
-def first_matches(graph: KnowledgeGraph, queries, k: int) -> DataFrame:
+def first_matches(graph: KnowledgeGraph, queries: DataFrame, k: int, by_vector: int = 1, by_name: int = 1) -> DataFrame:
     """Direct matches, at most ``k`` per query: by vector where the query has a
-    usable one, by name otherwise. ``queries`` is a DataFrame or a list of
-    (query_id, text, vector). Columns: query_id, name, qualified_name, kind,
-    score, rank."""
-    if isinstance(queries, DataFrame):
-        usable = is_nonzero(F.col("vector"))
-        by_vector = queries.where(usable).select("query_id", "vector")
-        by_name = queries.where(~usable).select("query_id", "text")
-    else:
-        by_vector = [(q, v) for q, _, v in queries if v is not None and any(v)]
-        by_name = [(q, t) for q, t, v in queries if v is None or not any(v)]
-    hits = [vector_topk(graph.entities, by_vector, k, SEARCHABLE_KINDS)] if by_vector else []
-    hits += [name_search(graph.entities, by_name, k)] if by_name or not hits else []
+    usable one, by name otherwise. ``queries`` holds (query_id, text, vector);
+    how many go each way can be given, so that a way that none goes is left out.
+    Columns: query_id, name, qualified_name, kind, score, rank."""
+    usable = is_nonzero(F.col("vector"))
+    hits = []
+    if by_vector:
+        hits.append(vector_topk(graph.entities, queries.where(usable).select("query_id", "vector"), k, SEARCHABLE_KINDS))
+    if by_name or not hits:
+        hits.append(name_search(graph.entities, queries.where(~usable).select("query_id", "text"), k, graph.names))
     return topk_overall(reduce(DataFrame.unionByName, hits), k)
 
 
@@ -93,13 +90,10 @@ def search(graph: KnowledgeGraph, queries: DataFrame, k: int = DEFAULT_TOP_K) ->
     """
     scratch = Scratch(graph.entities.sparkSession)
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text", "vector")
-    few = rows_within(asked, QUERIES_IN_PLAN)
-    count = len(few or ())
-    if few is None:
-        asked, count, _ = scratch.write_counted(asked, "queries")
-    matches, rows, _ = scratch.write_counted(
-        first_matches(graph, asked if few is None else [tuple(r) for r in few], k), "matches"
-    )
+    # Vectors of a few queries travel in the plan; texts are joined to the names.
+    usable = F.when(is_nonzero(F.col("vector")), 1)
+    asked, count, by_vector = scratch.write_counted(asked.withColumn("_usable", usable), "queries", "_usable")
+    matches, rows, _ = scratch.write_counted(first_matches(graph, asked.drop("_usable"), k, by_vector, count - by_vector), "matches")
 
     # An entity matched under two kinds counts once, with its lower match.
     direct = matches.groupBy("query_id", "qualified_name").agg(F.max_by(F.struct("name", "kind", "score"), "rank").alias("m"))

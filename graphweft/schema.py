@@ -135,11 +135,13 @@ DEFAULT_DIMENSION = 768
 class KnowledgeGraph:
     """A graph at rest: ``entities`` keyed by (kind, qualified_name) and
     ``relationships`` whose endpoints carry their kinds (see ``upsert.resolve``).
-    ``incoming`` holds the same relationships sorted by their target, if stored."""
+    ``incoming`` holds the same relationships sorted by their target, if stored,
+    and ``names`` the trigram lists of the entities (``names.NameIndex``)."""
 
     entities: DataFrame
     relationships: DataFrame
     incoming: DataFrame | None = None
+    names: object | None = None
 
 
 def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:

@@ -1,12 +1,14 @@
 """Set semantics, traversal and paths against plain-Python models."""
 
+import random
 from collections import Counter, deque
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphweft.operators import assembly, lookup, traverse, upsert
+from graphweft.operators import assembly, lookup, names, traverse, upsert
 from graphweft.schema import KnowledgeGraph
 
 NODE = "kind string, qualified_name string, name string"
@@ -207,17 +209,46 @@ def test_merge_last_part_wins(spark):
     assert {(r.qualified_name, r.name) for r in assembly.merge_entities([one]).collect()} == {("q", "second"), ("r", "r")}
 
 
-def test_name_search_scores_and_passes(spark, monkeypatch):
-    names = ["Parse", "parse_file", "my_parse", "other", "%"]
-    entities = spark.createDataFrame([("Function", f"m::{n}", n) for n in names], NODE)
+def test_name_search_scores(spark):
+    named = ["Parse", "parse_file", "my_parse", "other", "%"]
+    entities = spark.createDataFrame([("Function", f"m::{n}", n) for n in named], NODE)
     one = lookup.name_search(entities, [(1, "PARSE")], 2).collect()
     assert [(r.qualified_name, r.score) for r in one] == [("m::Parse", 1.0), ("m::parse_file", 0.8)]
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["parse", "%", "M::O", "absent"])], "query_id long, text string")
+    texts = [(i, t) for i, t in enumerate(["parse", "%", "M::O", "absent"])]
     want = {(0, "m::Parse", 1.0), (0, "m::parse_file", 0.8), (0, "m::my_parse", 0.5), (1, "m::%", 1.0), (2, "m::other", 0.5)}
-    for per_pass in (256, 1):
-        monkeypatch.setattr(lookup, "TEXTS_PER_PASS", per_pass)
-        got = {(r.query_id, r.qualified_name, r.score) for r in lookup.name_search(entities, texts, 10).collect()}
-        assert got == want
+    for asked in (texts, spark.createDataFrame(texts, "query_id long, text string")):
+        assert {(r.query_id, r.qualified_name, r.score) for r in lookup.name_search(entities, asked, 10).collect()} == want
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_name_search_by_trigrams(spark, tmp_path, monkeypatch, stored):
+    """Against ``in`` on all pairs: short, empty, null, repeated and unknown texts, null names, one gram in every name."""
+    rng = random.Random(9)
+    letters = "aAbÉé_:1𝒳"
+    rows = {("K" + str(rng.randrange(2)), "mod::" + "".join(rng.choices(letters, k=rng.randrange(0, 9)))) for _ in range(150)}
+    rows = [(kind, qn, None if i % 17 == 0 else qn[5:] or "x") for i, (kind, qn) in enumerate(sorted(rows))]
+    entities = spark.createDataFrame(rows, NODE)
+    asked = [None, "", "a", "É", "𝒳", "aB", "mod", "MOD::", "zzz", "mod", "od::a"] + [rng.choice(rows)[1][rng.randrange(6) :] for _ in range(40)]
+    monkeypatch.setattr(names, "PIECE", 20)
+    index = names.NameIndex.build(entities, str(tmp_path)) if stored else None
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    got = list(map(tuple, names.search_names(entities, queries, 4, index).collect()))
+    want = []
+    for i, text in enumerate(asked):
+        if text is None:
+            continue
+        t = text.lower()
+        hits = [
+            (-(1.0 if n is not None and n.lower() == t else 0.8 if n is not None and n.lower().startswith(t) else 0.5), qn.encode(), kind, n, qn)
+            for kind, qn, n in rows
+            if t in qn.lower() or (n is not None and t in n.lower())
+        ]
+        want += [(i, n, qn, kind, -s) for s, _, kind, n, qn in sorted(hits, key=lambda h: h[:3])[:4]]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    if stored:
+        assert index.counts.where("pieces > 1").count() and index.postings.where("piece > 0").count()
+    assert names.search_names(entities.limit(0), queries, 4).count() == 0
+    assert names.search_names(entities, queries.limit(0), 4).count() == 0
 
 
 def test_get_entity_takes_the_first_kind(spark):
