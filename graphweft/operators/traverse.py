@@ -88,99 +88,145 @@ def neighbors(graph: KnowledgeGraph, targets: DataFrame, depth: int = 1, directi
     )
 
 
-_GAP = "\u0001"
-
-
 def _node(qn: str, kind: str) -> Column:
     # Sorts by qualified name first; no name holds the separator.
     return F.concat(F.col(qn), F.lit("\u0000"), F.col(kind))
 
 
-def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS) -> DataFrame:
-    """One shortest undirected path per pair, whatever the edge types.
+def _adjacency(graph: KnowledgeGraph, scratch: Scratch) -> DataFrame:
+    """(near, far) of every edge both ways. A stored graph is read where it lies;
+    edges that are still to be computed are written, since every hop reads them."""
+    ends = incidences(graph.relationships, "both").select(_node("near_qn", "near_kind").alias("near"), _node("far_qn", "far_kind").alias("far"))
+    return ends if graph.incoming is not None else scratch.write(ends, "adjacency")
 
-    ``pairs`` holds (pair_id, from_qn, to_qn). The search runs from both ends at
-    once, always extending the side with fewer open nodes, and stops when every
-    pair has met or a side is exhausted. Of several shortest paths the one with
-    the smallest node sequence is kept. Returns (pair_id, hops, path) where path
-    is an array of ``struct<qualified_name, kind>``; pairs without one are absent.
 
-    Every level is written to the shared scratch folder, so a lost executor
-    repeats at most one hop and the optimizer knows how large the frontier is:
-    a small one is broadcast to the edges, a large one is shuffled.
+class _Search:
+    """A search for many pairs at once, from both ends.
+
+    Pairs are numbered; 64 of them are a block, and each is a bit of it. What one
+    side has reached after some hops is a table (block, node, bits): the pairs
+    for which the node is that far away. A hop joins it with the edges and ors
+    the bits that arrive at a node, so its rows are bounded by the nodes times
+    the blocks, not the pairs. ``levels`` keeps these tables by side. Every level
+    is written: a lost executor repeats at most one hop, and the optimizer sees
+    the size of the frontier.
     """
-    spark = graph.entities.sparkSession
-    scratch = Scratch(spark)
-    edges = incidences(graph.relationships, "both")
-    adjacency = scratch.write(
-        edges.select(_node("near_qn", "near_kind").alias("near"), _node("far_qn", "far_kind").alias("far")), "adjacency"
-    )
-    pairs, wanted, _ = scratch.write_counted(pairs.select("pair_id", "from_qn", "to_qn"), "pairs")
-    nodes = graph.entities.select("qualified_name", _node("qualified_name", "kind").alias("node"))
-    # A path is kept as one string of nodes; the separators sort below any name,
-    # so strings compare as the node sequences do.
-    gap = F.lit(_GAP)
-
-    def level_zero(end: str) -> dict:
-        start = pairs.select("pair_id", F.col(end).alias("qualified_name")).join(nodes, "qualified_name")
-        opened, size, _ = scratch.write_counted(start.select("pair_id", "node", F.col("node").alias("path")), f"start_{end}")
-        return {"open": opened, "before": None, "size": size}
-
-    def extend(side: dict, forward: bool) -> DataFrame:
-        path = F.concat("path", gap, "far") if forward else F.concat("far", gap, "path")
-        step = (
-            side["open"]
-            .join(adjacency, F.col("node") == F.col("near"))
-            .select("pair_id", F.col("far").alias("node"), path.alias("path"))
-            .groupBy("pair_id", "node")
-            .agg(F.min("path").alias("path"))
-        )
+
+    def __init__(self, graph: KnowledgeGraph, pairs: DataFrame):
+        self.scratch = Scratch(graph.entities.sparkSession)
+        self.adjacency = _adjacency(graph, self.scratch)
+        numbered = pairs.select(F.monotonically_increasing_id().alias("number"), "pair_id", "from_qn", "to_qn")
+        self.pairs, self.wanted, _ = self.scratch.write_counted(numbered, "pairs")
+        nodes = graph.entities.select("qualified_name", _node("qualified_name", "kind").alias("node"))
+        block, bit = F.shiftright("number", 6).alias("block"), F.expr("shiftleft(1L, CAST(number & 63 AS INT))")
+        self.levels: dict[str, list[DataFrame]] = {}
+        self.sizes: dict[str, int] = {}
+        for end in ("from_qn", "to_qn"):
+            start = self.pairs.select(block, bit.alias("bit"), F.col(end).alias("qualified_name")).join(nodes, "qualified_name")
+            level, size, _ = self.scratch.write_counted(start.groupBy("block", "node").agg(F.bit_or("bit").alias("bits")), end)
+            self.levels[end], self.sizes[end] = [level], size
+
+    def step(self, level: DataFrame) -> DataFrame:
+        """The nodes next to those of a level, with the bits that arrive there."""
+        arrived = level.join(self.adjacency, F.col("node") == F.col("near")).select("block", F.col("far").alias("node"), "bits")
+        return arrived.groupBy("block", "node").agg(F.bit_or("bits").alias("bits"))
+
+    def _extend(self, end: str) -> DataFrame:
+        step = self.step(self.levels[end][-1])
         # Undirected levels only touch the two before them.
-        for seen in (side["open"], side["before"]):
-            if seen is not None:
-                step = step.join(seen.select("pair_id", "node"), ["pair_id", "node"], "left_anti")
-        return step
-
-    def meeting(level: DataFrame, other: DataFrame, forward: bool) -> DataFrame:
-        """Add ``whole``: the path through a node that the other side has reached."""
-        ahead, behind = ("path", "rest") if forward else ("rest", "path")
-        whole = F.concat(ahead, F.expr(f"substring({behind}, length(node) + 1)"))
-        rest = other.select("pair_id", "node", F.col("path").alias("rest"))
-        return level.join(rest, ["pair_id", "node"], "left").select("pair_id", "node", "path", whole.alias("whole"))
-
-    sides = {True: level_zero("from_qn"), False: level_zero("to_qn")}
-    found, finished, hops, forward = [], 0, 0, True
-    level = sides[True]["open"]
-    while True:
-        other = sides[not forward]
-        level, size, meetings = scratch.write_counted(meeting(level, other["open"], forward), f"level{hops}", "whole")
-        if hops:
-            sides[forward]["before"] = sides[forward]["open"]
-        sides[forward].update(open=level.drop("whole"), size=size)
-        if meetings:
-            best = level.where("whole IS NOT NULL").groupBy("pair_id").agg(F.min("whole").alias("path"))
-            part, size, _ = scratch.write_counted(best.select("pair_id", F.lit(hops).alias("hops"), "path"), "met")
-            found.append(part)
-            finished += size
-        if finished == wanted or hops == max_hops or not all(side["size"] for side in sides.values()):
-            break
-        if meetings:
-            for side in sides.values():
-                rest = side["open"].join(part.select("pair_id"), "pair_id", "left_anti")
-                side["open"], side["size"], _ = scratch.write_counted(rest, "open")
-        hops += 1
-        forward = sides[True]["size"] <= sides[False]["size"]
-        level = extend(sides[forward], forward)
+        for seen in self.levels[end][-2:]:
+            step = step.join(seen.withColumnRenamed("bits", "_seen"), ["block", "node"], "left").select(
+                "block", "node", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long")))).alias("bits")
+            )
+        return step.where("bits <> 0")
+
+    def meetings(self, max_hops: int):
+        """(hops, levels of the one side, of the other, table of the bits that met)
+        for each number of hops at which pairs meet, always extending the side
+        with fewer open nodes, until all have met or a side is exhausted."""
+        level, end, hops, finished = self.levels["from_qn"].pop(), "from_qn", 0, 0
+        while True:
+            other = "to_qn" if end == "from_qn" else "from_qn"
+            opposite = self.levels[other][-1].withColumnRenamed("bits", "_other")
+            both = level.join(opposite, ["block", "node"], "left").withColumn("met", F.col("bits").bitwiseAND(F.col("_other")))
+            made, size, here = self.scratch.write_counted(both.select("block", "node", "bits", F.expr("nullif(met, 0L)").alias("met")), f"level{hops}", "met")
+            self.levels[end].append(made.drop("met"))
+            self.sizes[end] = size
+            if here:
+                met = made.where("met IS NOT NULL").select("block", "node", F.col("met").alias("bits"))
+                done = self.scratch.write(met.groupBy("block").agg(F.bit_or("bits").alias("_done")), "done")
+                yield hops, list(self.levels["from_qn"]), list(self.levels["to_qn"]), met
+                finished += done.agg(F.sum(F.bit_count("_done"))).first()[0]
+            if finished == self.wanted or hops == max_hops or not all(self.sizes.values()):
+                return
+            if here:
+                for side in self.levels:
+                    left = self.levels[side][-1].join(done, "block", "left")
+                    left = left.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_done", F.lit(0).cast("long")))))
+                    self.levels[side][-1], self.sizes[side], _ = self.scratch.write_counted(left.where("bits <> 0").drop("_done"), "open")
+            hops += 1
+            end = "from_qn" if self.sizes["from_qn"] <= self.sizes["to_qn"] else "to_qn"
+            level = self._extend(end)
+
+    def numbers(self, level: DataFrame) -> DataFrame:
+        """(number, node): a row for each pair of each node."""
+        held = F.expr("explode(filter(sequence(0, 63), b -> (shiftright(bits, b) & 1L) = 1L))")
+        return level.select("block", "node", held.alias("_bit")).select((F.col("block") * 64 + F.col("_bit")).alias("number"), "node")
+
+
+def path_lengths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS) -> DataFrame:
+    """(pair_id, hops) of a shortest undirected path per pair, of pairs that have one."""
+    search = _Search(graph, pairs)
+    found = [search.numbers(met).select("number").distinct().withColumn("hops", F.lit(hops)) for hops, _, _, met in search.meetings(max_hops)]
+    if not found:
+        return pairs.sparkSession.createDataFrame([], "pair_id long, hops int")
+    return reduce(DataFrame.unionByName, found).join(search.pairs, "number").select("pair_id", "hops")
+
+
+def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS) -> DataFrame:
+    """One shortest undirected path per pair, whatever the edge types.
 
+    ``pairs`` holds (pair_id, from_qn, to_qn). Of several shortest paths the one
+    with the smallest node sequence is kept. Returns (pair_id, hops, path) where
+    path is an array of ``struct<qualified_name, kind>``; pairs without one are
+    absent.
+
+    Where pairs meet, the nodes on any of their shortest paths are marked from
+    the meeting points back to both ends, again with 64 pairs a row. The path
+    then takes the smallest marked node next to its last one, hop by hop.
+    """
+    search = _Search(graph, pairs)
+    found = [_walked(search, *meeting) for meeting in search.meetings(max_hops)]
     if not found:
-        return spark.createDataFrame([], "pair_id long, hops int, path array<struct<qualified_name:string,kind:string>>")
+        return pairs.sparkSession.createDataFrame([], "pair_id long, hops int, path array<struct<qualified_name:string,kind:string>>")
     as_struct = F.transform(
-        F.split("path", _GAP),
-        lambda n: F.struct(
-            F.substring_index(n, "\u0000", 1).alias("qualified_name"), F.substring_index(n, "\u0000", -1).alias("kind")
-        ),
+        "path", lambda n: F.struct(F.substring_index(n, "\u0000", 1).alias("qualified_name"), F.substring_index(n, "\u0000", -1).alias("kind"))
     )
-    return reduce(DataFrame.unionByName, found).select("pair_id", "hops", as_struct.alias("path"))
+    return reduce(DataFrame.unionByName, found).join(search.pairs, "number").select("pair_id", "hops", as_struct.alias("path"))
+
+
+def _walked(search: _Search, hops: int, ahead: list[DataFrame], behind: list[DataFrame], met: DataFrame) -> DataFrame:
+    """(number, hops, path) of the pairs that meet after some hops; ``ahead`` and
+    ``behind`` are the levels from either end."""
+
+    def marked(near: DataFrame, level: DataFrame) -> DataFrame:
+        on = search.step(near).join(level.withColumnRenamed("bits", "_level"), ["block", "node"])
+        on = on.withColumn("bits", F.col("bits").bitwiseAND(F.col("_level"))).where("bits <> 0").drop("_level")
+        return search.scratch.write(on, "marked")
+
+    marks = [met]
+    for level in reversed(ahead[:-1]):
+        marks.insert(0, marked(marks[0], level))
+    for level in reversed(behind[:-1]):
+        marks.append(marked(marks[-1], level))
+    path = search.numbers(marks[0]).groupBy("number").agg(F.array(F.min("node")).alias("path"))
+    for i, mark in enumerate(marks[1:]):
+        choices = path.join(search.numbers(mark), "number")
+        linked = choices.join(search.adjacency, (F.element_at("path", -1) == F.col("near")) & (F.col("node") == F.col("far")), "left_semi")
+        path = linked.groupBy("number").agg(F.array_append(F.any_value("path"), F.min("node")).alias("path"))
+        if i % 4 == 3:  # short plans
+            path = search.scratch.write(path, "walked")
+    return search.scratch.write(path, "paths").select("number", F.lit(hops).alias("hops"), "path")
 
 
 def path_nodes(graph: KnowledgeGraph, paths: DataFrame) -> DataFrame:

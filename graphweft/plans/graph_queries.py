@@ -533,8 +533,7 @@ SELECT s_suppkey - 1 AS pair_id, min(hops)::INTEGER AS hops
 FROM supplier JOIN reach ON pair_id = s_suppkey - 1 AND node = 'supplier::' || s_suppkey GROUP BY ALL""",
 )
 def _path_hops(spark, sf_dir):
-    paths = traverse.shortest_paths(tables.kg(spark, sf_dir), successive_pairs(spark, sf_dir, "supplier", "s_suppkey"))
-    return paths.select("pair_id", (F.size("path") - 1).alias("hops"))
+    return traverse.path_lengths(tables.kg(spark, sf_dir), successive_pairs(spark, sf_dir, "supplier", "s_suppkey"))
 
 
 # ---- vectors -----------------------------------------------------------------

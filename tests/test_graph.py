@@ -112,6 +112,7 @@ def check_paths(spark, nodes, edges, pairs):
     want = {i: p for i, (a, b) in enumerate(pairs) if (p := shortest(edges, a, b)) is not None}
     assert got == want
     assert all(r.hops == len(r.path) - 1 for r in rows)
+    return graph
 
 
 def test_path_of_fifteen_hops_is_found_and_sixteen_is_not(spark):
@@ -132,6 +133,19 @@ def test_paths_of_random_graphs(spark, edges):
     check_paths(spark, list("abcdef"), sorted(edges), pairs)
 
 
+def test_paths_of_more_pairs_than_bits(spark):
+    """Several blocks of pairs, all 64 bits of a block, pairs that end after different hops or never, repeated pairs."""
+    rng = random.Random(12)
+    nodes = [f"n{i:02d}" for i in range(40)]
+    edges = sorted({(rng.choice(nodes[:36]), rng.choice(nodes[:36]), "CALLS") for _ in range(48)})
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(150)] + [("n00", "n01")] * 3
+    graph = check_paths(spark, nodes, edges, pairs)
+    asked = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair_id long, from_qn string, to_qn string").coalesce(1)
+    got = {r.pair_id: r.hops for r in traverse.path_lengths(graph, asked).collect()}
+    assert got == {i: len(p) - 1 for i, (a, b) in enumerate(pairs) if (p := shortest(edges, a, b)) is not None}
+    assert len(set(got.values())) > 3
+
+
 def test_path_nodes_are_rows(spark):
     graph = make_graph(spark, ["a", "b"], [("b", "a", "CALLS")])
     asked = spark.createDataFrame([(7, "a", "b")], "pair_id long, from_qn string, to_qn string")
