@@ -228,5 +228,5 @@ def calls(condition: Column, pattern: str, keywords: tuple[str, ...], body: str
 
 
 def facts(rows: DataFrame, entities: Column, relationships: list[Column]) -> DataFrame:
-    """What a declaration row contributes: (entities, edges), both arrays."""
-    return rows.select(entities.alias("entities"), F.concat(*relationships).alias("edges"))
+    """What a declaration row contributes: (path, entities, edges), the last two arrays."""
+    return rows.select(F.col("file_path").alias("path"), entities.alias("entities"), F.concat(*relationships).alias("edges"))

@@ -31,7 +31,7 @@ def facts(
     languages: tuple[str, ...] | None = None,
     read: Callable[[DataFrame], DataFrame] = lambda files: files,
 ) -> DataFrame:
-    """(entities, edges) rows of all routed files, File entities included.
+    """(path, entities, edges) rows of all routed files, File entities included.
 
     ``read`` adds the column source to paths. Paths are routed first, so a file is
     only opened for its own language and for its File entity.
@@ -39,7 +39,7 @@ def facts(
     routed = route(files)
     whole = file_entities(read(routed))
     parts = [
-        whole.select(F.array(F.struct(*whole.columns).cast(core.ENTITIES)).alias("entities"), core.empty(core.EDGES).alias("edges"))
+        whole.select(F.col("file_path").alias("path"), F.array(F.struct(*whole.columns).cast(core.ENTITIES)).alias("entities"), core.empty(core.EDGES).alias("edges"))
     ]
     for names, extractor in EXTRACTORS.items():
         if languages is None or set(names) & set(languages):
@@ -53,7 +53,8 @@ def extract(
     with_text: bool = True,
     read: Callable[[DataFrame], DataFrame] = lambda files: files,
 ) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of all routed files of (path, source).
+    """(entities, relationships) of all routed files of (path, source); the
+    relationships carry the path of their file.
 
     Each file is scanned once: what it holds is written to the scratch folder,
     and both tables are read from there. Entities with one qualified name
@@ -64,4 +65,4 @@ def extract(
     """
     found = Scratch(files.sparkSession).write(facts(files, languages, read), "facts")
     entities = found.select(F.inline("entities"))
-    return merge_entities([entities if with_text else entities.drop("source_text")]), found.select(F.inline("edges"))
+    return merge_entities([entities if with_text else entities.drop("source_text")]), found.select("path", F.inline("edges"))

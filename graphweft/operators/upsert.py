@@ -65,9 +65,12 @@ def resolve(relationships: DataFrame, entities: DataFrame) -> DataFrame:
 
 def upsert_relationships(stored: DataFrame, batch: DataFrame, entities: DataFrame) -> DataFrame:
     """MERGE of an edge bag into the stored edges; properties are overwritten."""
-    new = resolve(batch, entities).select(
-        *EDGE_KEY, F.struct(*STORED_EDGE_PROPERTIES).alias("_new"), F.lit(True).alias("_hit")
-    )
+    return merge_edges(stored, resolve(batch, entities))
+
+
+def merge_edges(stored: DataFrame, edges: DataFrame) -> DataFrame:
+    """MERGE of resolved edges, one per key, into the stored ones."""
+    new = edges.select(*EDGE_KEY, F.struct(*STORED_EDGE_PROPERTIES).alias("_new"), F.lit(True).alias("_hit"))
     return stored.join(new, EDGE_KEY, "full_outer").select(
         *EDGE_KEY,
         *[F.when(F.col("_hit"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in STORED_EDGE_PROPERTIES],

@@ -49,7 +49,7 @@ def is_listed(path: Column, excludes: tuple[str, ...] | list[str]) -> Column:
     return listed
 
 
-_LISTED = "path string, is_dir boolean"
+_LISTED = "path string, is_dir boolean, size long, modified long"
 
 
 def _lister(root: str):
@@ -63,14 +63,15 @@ def _lister(root: str):
                 found = source.get_file_info(fs.FileSelector(below))
                 if isinstance(source, fs.LocalFileSystem):  # links are not followed
                     found = [f for f in found if not os.path.islink(f.path)]
-                found = [(f.path[len(base) :].lstrip("/"), f.type == fs.FileType.Directory) for f in found]
-                yield pd.DataFrame(found, columns=["path", "is_dir"]).astype({"path": object, "is_dir": bool})
+                found = [(f.path[len(base) :].lstrip("/"), f.type == fs.FileType.Directory, f.size or 0, f.mtime_ns or 0) for f in found]
+                yield pd.DataFrame(found, columns=["path", "is_dir", "size", "modified"]).astype({"path": object, "is_dir": bool, "size": "int64", "modified": "int64"})
 
     return run
 
 
 def list_tree(spark: SparkSession, root: str, excludes: tuple[str, ...] | list[str] = DEFAULT_EXCLUDES) -> DataFrame:
-    """(path) of every listed file below ``root``, one job per directory level.
+    """(path, size, modified) of every listed file below ``root``, one job per
+    directory level; modified is in nanoseconds, 0 where the store has no times.
 
     Spark's own file sources pass over empty files and names that begin with an
     underscore, both of which count here, so directories are listed by tasks. An
@@ -84,7 +85,7 @@ def list_tree(spark: SparkSession, root: str, excludes: tuple[str, ...] | list[s
         found, _, directories = scratch.write_counted(
             found.withColumn("dir", F.when(F.col("is_dir"), 1)), "listing", "dir"
         )
-        files.append(found.where(~F.col("is_dir")).select("path"))
+        files.append(found.where(~F.col("is_dir")).select("path", "size", "modified"))
         if not directories:
             return reduce(DataFrame.unionByName, files)
         # Few and small rows, each of them a directory to list.
