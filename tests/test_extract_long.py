@@ -22,7 +22,7 @@ FILES = {
     "deep.js": f"function f({DEEP}) {{ call(); }}\nclass C {{ m({DEEP}) {{}} }}\nconst g = ({DEEP}) => 1;\n",
     "tabs.js": "let a = 1" + "\t" * 200 + "\nlet b = 2" + " " * 200 + "\nconst c = 3\n",
     "deep.ts": f"function f({DEEP}): Out {{ return 1; }}\n",
-    "attr.html": '<div id="x" title="' + "t" * LONG + '"><p id="y">z</p></div>',
+    "attr.html": '<section id="x" title="' + "t" * LONG + '"><form id="y">z</form></section>',
     "long.css": "/* " + "x" * LONG + " */\n.a { color: red; }\n",
 }
 
