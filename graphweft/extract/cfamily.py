@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.extract import core
@@ -18,12 +18,15 @@ LEAD = r"^(?:\s++|(?:public|private|protected)\s*+:(?!:)|template\s*+<[^{};]*?>(
 _NOT = r"(?!(?:if|for|while|switch|else|do|return|catch|goto|case|typedef|using|namespace|new|delete|throw)\b)"
 _TAIL = r"(?:const|noexcept|override|final|->[^{}]*+|:[^{}]*+|\s++)*+$"
 _RETURN = r"[\w:<>,&*~\s\[\]]*?"
+# An overloaded operator goes by the word and its sign.
+_OPERATOR = r"operator\s*(?:\(\s*\)|\[\s*\]|(?:new|delete)\b(?:\s*\[\s*\])?|[-+*/%^&|~!=<>,]{1,3})"
+_NAME = rf"(?:\w+::)*(?:{_OPERATOR}|~?\w+)"
 
 # A function that returns a plain type goes by its name; one that returns a
 # pointer goes by its whole declarator.
-_FUNCTION = rf"^{_NOT}(?:{_RETURN}[\w>&\s])?(?<![*\w~])((?:\w+::)*~?\w+)\s*\([^{{}};]*\)\s*{_TAIL}"
-_POINTER = rf"^{_NOT}[\w:<>,\s]*?(\*+\s*\w+\s*\([^{{}};]*\))\s*$"
-_PROTOTYPE = rf"^{_NOT}(?!\w+\s*\()[\w:<>,&\s]*?[\w>&]\s+&?((?:\w+::)*~?\w+)\s*\([^{{}};]*\)\s*(?:const|noexcept|override|final|\s)*(?:=\s*\w+\s*)?$"
+_FUNCTION = rf"^{_NOT}(?:{_RETURN}[\w>&\s])?(?<![*\w~])({_NAME})\s*\([^{{}};]*\)\s*{_TAIL}"
+_POINTER = rf"^{_NOT}[\w:<>,\s]*?(\*+\s*(?:{_OPERATOR}|\w+)\s*\([^{{}};]*\))\s*$"
+_PROTOTYPE = rf"^{_NOT}(?!\w+\s*\()[\w:<>,&\s]*?[\w>&]\s+&?({_NAME})\s*\([^{{}};]*\)\s*(?:const|noexcept|override|final|\s)*(?:=\s*\w+\s*)?$"
 _TYPE_WORD = r"(?:struct|union|class|enum)"
 _GLOBAL = rf"^{_NOT}(?!{_TYPE_WORD}\s+\w+\s*$)(?!extern\s*$)[\w:<>,\s]*?[\w>]\s+(\w+)\s*(?:=(?!=).*|,.*)?$"
 
@@ -63,11 +66,7 @@ CALL = r"(?<![\w.>:~])([A-Za-z_]\w*(?:(?:\.|->|::)~?[A-Za-z_]\w*)*)\s*\("
 
 
 def declarations(files: DataFrame, cpp: bool) -> DataFrame:
-    masked = core.mask(F.col("source"), HIDDEN, KEPT)
-    for word in ("public", "private", "protected"):  # any number of labels may stand before a member
-        masked = F.regexp_replace(masked, rf"\b{word}:(?!:)", " " * (len(word) + 1))
-    found = scan(F.col("masked"), F.col("path"), rules(cpp), LEAD, transparent=r'^extern\s+"?\s*"?$')
-    rows = core.declarations(files, found, masked, {"Typedef": "^[^;{}]*;"})
+    rows = core.declarations(files, _scanned("masked", cpp), _masked(F.col("source")), {"Typedef": "^[^;{}]*;"})
     # A typedef goes by its last word, unless that word is a parameter list.
     alias = F.regexp_extract(core.flat(F.col("masked_text")), r"(?s)([A-Za-z_]\w*)\s*(?:\[\s*\]\s*)*;\s*$", 1)
     constant = (F.col("kind") == "Variable") & F.contains(F.col("source_text"), F.lit("const "))
@@ -76,19 +75,47 @@ def declarations(files: DataFrame, cpp: bool) -> DataFrame:
     return rows.withColumn("qualified_name", F.concat_ws("::", "module_path", "name"))
 
 
-def directives(files: DataFrame) -> DataFrame:
-    """``#include`` and ``#define`` lines outside comments, with the file as parent."""
+def _scanned(masked: str, cpp: bool) -> Column:
+    return scan(F.col(masked), F.col("path"), rules(cpp), LEAD, transparent=r'^extern\s+"?\s*"?$')
+
+
+def _masked(source: Column) -> Column:
+    masked = core.mask(source, HIDDEN, KEPT)
+    for word in ("public", "private", "protected"):  # any number of labels may stand before a member
+        masked = F.regexp_replace(masked, rf"\b{word}:(?!:)", " " * (len(word) + 1))
+    return masked
+
+
+def directives(files: DataFrame, cpp: bool = False) -> DataFrame:
+    """``#include`` and ``#define`` lines outside comments. Their parent is the
+    innermost namespace around them, else the file."""
     visible = core.mask(F.col("source"), r"/\*.*?\*/|//[^\n]*", r"[^/]++")
     lines = F.transform(F.split(visible, "\n"), lambda text, i: F.struct((i + 1).alias("line_start"), text.alias("text")))
-    found = files.select("path", F.inline(F.filter(lines, lambda d: d["text"].rlike(r"^\s*#\s*(?:include|define)\b"))))
-    return found.select(
-        F.col("path").alias("module_path"),
+    lines = F.filter(lines, lambda d: d["text"].rlike(r"^\s*#\s*(?:include|define)\b"))
+    spaces = core.empty(core.DECLARATION)
+    if cpp:  # only a file with a directive behind a namespace is scanned for it
+        inside = F.col("source").rlike(r"(?s)\bnamespace\b.*\n[ \t]*#[ \t]*(?:include|define)\b")
+        spaces = F.when(inside, F.filter(_scanned("masked", cpp), lambda d: d["kind"] == "Namespace")).otherwise(spaces)
+
+    def parent(line: Column, held: Column) -> Column:
+        around = F.filter(held, lambda d: (d["line_start"] < line) & (d["line_end"] > line))
+        deepest = F.array_max(F.transform(around, lambda d: F.struct(d["line_start"].alias("at"), F.concat_ws("::", d["parent"], d["name"]).alias("qn"))))
+        return F.coalesce(deepest["qn"], F.col("path"))
+
+    found = files.select("path", lines.alias("lines"), *(["source"] if cpp else []))
+    if cpp:
+        found = found.withColumn("masked", F.when(inside, _masked(F.col("source")))).withColumn("spaces", spaces)
+    else:
+        found = found.withColumn("spaces", spaces)
+    placed = F.transform("lines", lambda d: F.struct(d["line_start"].alias("line_start"), d["text"].alias("text"), parent(d["line_start"], F.col("spaces")).alias("module_path")))
+    return found.select("path", F.inline(placed)).select(
+        "module_path",
         F.col("path").alias("file_path"),
         "line_start",
         F.trim("text").alias("source_text"),
         F.regexp_extract("text", r"^\s*#\s*define\s+(\w+)", 1).alias("name"),
         F.col("line_start").alias("line_end"),
-        F.concat_ws("::", "path", F.regexp_extract("text", r"^\s*#\s*define\s+(\w+)", 1)).alias("qualified_name"),
+        F.concat_ws("::", "module_path", F.regexp_extract("text", r"^\s*#\s*define\s+(\w+)", 1)).alias("qualified_name"),
         F.regexp_extract("text", r'^\s*#\s*include\s*("[^"]*"|<[^>]*>)', 1).alias("target"),
     )
 
@@ -125,15 +152,15 @@ def _declaration_facts(files: DataFrame, cpp: bool) -> DataFrame:
     )
 
 
-def _directive_facts(files: DataFrame) -> DataFrame:
+def _directive_facts(files: DataFrame, cpp: bool) -> DataFrame:
     macro, include = F.col("name") != "", F.col("target") != ""
     import_edge = core.edge("IMPORTS", F.col("module_path"), F.col("target"), line=F.col("line_start"))
     return core.facts(
-        directives(files),
+        directives(files, cpp),
         core.only(macro, F.array(core.entity(kind=F.lit("Preprocessor"))), core.ENTITIES),
         [core.only(macro, F.array(core.contains()), core.EDGES), core.only(include, F.array(import_edge), core.EDGES)],
     )
 
 
 def facts(files: DataFrame, cpp: bool) -> DataFrame:
-    return _declaration_facts(files, cpp).unionByName(_directive_facts(files))
+    return _declaration_facts(files, cpp).unionByName(_directive_facts(files, cpp))

@@ -75,6 +75,51 @@ def mask(text: Column, hidden: str, kept: str) -> Column:
     return F.array_join(blank, "")
 
 
+#: A block comment that opens another before it ends.
+NESTS = r"(?s)/\*(?:[^*/]|\*(?!/)|/(?!\*))*+/\*"
+_LEXED = r"""(?s)\br#*+"|"#*+|'(?:\\[^'\n*/]*+|[^'\\\n])'|[^\\/*"'r\n]++|."""
+
+
+def mask_nested(text: Column) -> Column:
+    """The same for a language whose block comments nest: a finite-state lexer
+    with a counter, as a fold over delimiters. Modes: 0 code, 1 line comment,
+    2 string, 3 raw string, which ends at a quote with as many ``#`` as ``n``,
+    4 block comment ``n`` deep. ``last`` is the token before where it may be half
+    of a delimiter; in code such a slash is only written with the next token."""
+    tokens = F.concat(F.regexp_extract_all(text, F.lit(_LEXED), F.lit(0)), F.array(F.lit("\n")))
+    state = lambda mode, n, last: F.struct(*(F.lit(v).alias(c) if isinstance(v, (int, str)) else v.alias(c) for c, v in (("mode", mode), ("n", n), ("last", last))))
+
+    def step(s: Column, t: Column) -> Column:
+        mode, n, last = s["mode"], s["n"], s["last"]
+        marks = F.length(t) - F.length(F.replace(t, F.lit("#"), F.lit("")))
+        quote, pending = F.startswith(t, F.lit('"')), (mode == 0) & (last == "/")
+        depth = n + F.when((last == "/") & (t == "*"), 1).when((last == "*") & (t == "/"), -1).otherwise(0)
+        half = F.when(depth == n, F.when(t.isin("/", "*"), t).otherwise("")).otherwise("")
+        after = (
+            F.when(pending & (t == "*"), state(4, 1, ""))
+            .when(pending & (t == "/"), state(1, 0, ""))
+            .when((mode == 0) & t.rlike('^r#*"$'), state(3, marks, ""))
+            .when((mode == 0) & quote, state(2, 0, ""))
+            .when(mode == 0, state(0, 0, F.when(t == "/", t).otherwise("")))
+            .when((mode == 1) & (t == "\n"), state(0, 0, ""))
+            .when((mode == 2) & quote & (last != "\\"), state(0, 0, ""))
+            .when(mode == 2, state(2, 0, F.when((t == "\\") & (last != "\\"), t).otherwise("")))
+            .when((mode == 3) & quote & (marks >= n), state(0, 0, ""))
+            .when((mode == 4) & (depth == 0), state(0, 0, ""))
+            .when(mode == 4, state(4, depth, half))
+            .otherwise(state(mode, n, ""))
+        )
+        blank = F.regexp_replace(t, r"[^\n]", " ")
+        hidden = (mode != 0) | quote | t.rlike("(?s)^(?:r#*\"|'.+')$")
+        out = F.when(pending & t.isin("*", "/"), "  ").otherwise(
+            F.concat(F.when(pending, "/").otherwise(""), F.when(hidden, blank).when(t == "/", "").otherwise(t))
+        )
+        return F.struct(after.alias("s"), F.array(out).alias("out"))
+
+    whole = F.array_join(fold(tokens, state(0, 0, ""), step, "string")["out"], "")
+    return F.substring(whole, F.lit(1), F.length(whole) - 1)
+
+
 def squeezed(text: Column) -> Column:
     """The text with long runs of blanks, as hidden comments leave them, as one
     blank: patterns that try every length of a run would be quadratic in it."""

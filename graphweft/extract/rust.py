@@ -9,7 +9,7 @@ from graphweft.extract import core
 from graphweft.extract.braces import Rule, scan
 from graphweft.functions.text import qualified
 
-# Comments (nested block comments are not followed), strings and characters.
+# Comments, strings and characters; a text whose block comments nest is lexed.
 HIDDEN = (
     r'/\*.*?\*/|//[^\n]*|\br"[^"]*+"|\br#+".*?"#+|"[^"\\]*+(?:\\.[^"\\]*+)*+"|' r"'(?:\\[^'\n]*+|[^'\\\n])'"
 )
@@ -50,8 +50,9 @@ CALL = r"(?<!fn )(?<![\w!])((?:[A-Za-z_]\w*::)*[A-Za-z_]\w*)\s*\("
 
 
 def _masked(text: Column) -> Column:
+    hidden = F.when(text.rlike(core.NESTS), core.mask_nested(text)).otherwise(core.mask(text, HIDDEN, KEPT))
     # Semicolons in array types would end a statement.
-    return F.regexp_replace(core.mask(text, HIDDEN, KEPT), r"(\[[^\[\]{}();]*);(?=[^\[\]{}();]*\])", "$1,")
+    return F.regexp_replace(hidden, r"(\[[^\[\]{}();]*);(?=[^\[\]{}();]*\])", "$1,")
 
 
 def _visibility(text: Column) -> Column:

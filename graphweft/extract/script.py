@@ -9,8 +9,12 @@ from graphweft.extract import core
 from graphweft.extract.braces import Rule, scan
 from graphweft.functions.text import qualified
 
+# What stands before a slash tells a regular expression from a division. ``<``,
+# ``>`` and ``}`` are left to markup and blocks, of ``=>`` the arrow counts.
+_BEFORE = r"(?<=^|(?:[(,=:\[!&|?{;%~^]|=>|(?<!\+)\+|(?<!-)-|\*|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|await|yield))\s{0,16})"
+_REGEX = rf"{_BEFORE}/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
 HIDDEN = (
-    r'/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'" r"|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
+    r'/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'" rf"|`[^`\\]*+(?:\\.[^`\\]*+)*+`|{_REGEX}"
 )
 KEPT = r"""[^/"'`]++"""
 LEAD = r"^\s*+(?:@[\w.]++(?:\([^)]*+\))?+\s*+)*+(?:export\s++(?:default\s++)?)?(?:declare\s++)?"

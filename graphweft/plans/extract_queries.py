@@ -59,17 +59,18 @@ def _edges_sql(language: str, expected: list[tuple]) -> str:
     return "\nUNION ALL ".join(selects)
 
 
-def _register(language: str, entities: list[tuple], edges: list[tuple]) -> None:
+def _register(files: str, entities: list[tuple], edges: list[tuple]) -> None:
+    language = files.split("_")[0]
     contained = [(e[2] or "", f"::{e[1]}", "CONTAINS") for e in entities]
 
-    @query(f"declaration_scan_{language}", _entities_sql(language, entities))
+    @query(f"declaration_scan_{files}", _entities_sql(files, entities))
     def _entities(spark, sf_dir) -> DataFrame:
-        found, _ = corpus.extract(tables.code_files(spark, sf_dir, language), (language,), with_text=False)
+        found, _ = corpus.extract(tables.code_files(spark, sf_dir, files), (language,), with_text=False)
         return found.select(*ENTITY_FIELDS)
 
-    @query(f"relationships_{language}", _edges_sql(language, contained + edges))
+    @query(f"relationships_{files}", _edges_sql(files, contained + edges))
     def _edges(spark, sf_dir) -> DataFrame:
-        _, bag = corpus.extract(tables.code_files(spark, sf_dir, language), (language,))
+        _, bag = corpus.extract(tables.code_files(spark, sf_dir, files), (language,))
         return bag.select(*EDGE_FIELDS)
 
 
@@ -106,6 +107,18 @@ _register(
     ],
 )
 
+_register(
+    "rust_nested",
+    [
+        ("Function", "after_{s_suppkey}", "", "private", 2, 2, None, "fn after_{s_suppkey}()", False, _lines("rust_nested", 2, 2)),
+        ("Function", "text", "", "private", 3, 3, None, "fn text()", False, _lines("rust_nested", 3, 3)),
+    ],
+    [
+        ("text", "show", "CALLS", 3),
+        ("text", "after_{s_suppkey}", "CALLS", 3),
+    ],
+)
+
 _register(
     "cpp",
     [
@@ -116,6 +129,11 @@ _register(
         ("Enum", "n{s_nationkey}::State", "n{s_nationkey}", "pub", 12, 12, None, None, False, _lines("cpp", 12, 12, 0, 1)),
         ("Constant", "KEY", "", "pub", 14, 14, None, None, False, _lines("cpp", 14, 14)),
         ("Function", "lookup_{s_suppkey}", "", "pub", 15, 17, None, "int lookup_{s_suppkey}(int key)", False, _lines("cpp", 15, 17)),
+        ("Namespace", "extra", "", "pub", 18, 25, None, None, False, _lines("cpp", 18, 25)),
+        ("Preprocessor", "extra::EXTRA", "extra", "pub", 20, 20, None, None, False, _lines("cpp", 20, 20)),
+        ("Struct", "extra::Index", "extra", "pub", 21, 24, None, None, False, _lines("cpp", 21, 24, 0, 1)),
+        ("Method", "extra::Index::operator[]", "extra::Index", "pub", 22, 22, None, "int& operator[](int i)", False, _lines("cpp", 22, 22, 2)),
+        ("Method", "extra::Index::operator==", "extra::Index", "pub", 23, 23, None, None, False, _lines("cpp", 23, 23, 2)),
     ],
     [
         ("", "<vector>", "IMPORTS", 1),
@@ -127,6 +145,8 @@ _register(
         ("n{s_nationkey}::State", "::n{s_nationkey}::State::Active", "HAS_VARIANT", None, None, None, "Active"),
         ("n{s_nationkey}::State", "::n{s_nationkey}::State::Closed", "HAS_VARIANT", None, None, None, "Closed"),
         ("lookup_{s_suppkey}", "table.find", "CALLS", 16),
+        ("extra", '"extra_{s_nationkey}.hpp"', "IMPORTS", 19),
+        ("extra::Index::operator[]", "at", "CALLS", 22),
     ],
 )
 
@@ -166,6 +186,8 @@ _register(
         ("Function", "double_{c_custkey}", "", "pub", 12, 12, None, "const double_{c_custkey} = (a, b)", False, "double_{c_custkey} = (a, b) => a + plus(b)"),
         ("Function", "main", "", "pub", 13, 15, None, "function main(x)", True, _lines("javascript", 13, 15)),
         ("Variable", "counter", "", "pub", 16, 16, None, None, False, "counter = {c_nationkey}"),
+        ("Function", "clean_{c_custkey}", "", "pub", 17, 17, None, "const clean_{c_custkey} = (s)", False, 'clean_{c_custkey} = (s) => s.replace(/[{{"/]+/g, strip(s))'),
+        ("Function", "last", "", "pub", 18, 18, None, "function last(y)", False, _lines("javascript", 18, 18)),
     ],
     [
         ("", "./nation_{c_nationkey}.js", "IMPORTS", 1),
@@ -174,6 +196,9 @@ _register(
         (f"{_C}::load", "fetch", "CALLS", 9),
         ("double_{c_custkey}", "plus", "CALLS", 12),
         ("main", "run", "CALLS", 14),
+        ("clean_{c_custkey}", "s.replace", "CALLS", 17),
+        ("clean_{c_custkey}", "strip", "CALLS", 17),
+        ("last", "half", "CALLS", 18),
     ],
 )
 
@@ -331,18 +356,25 @@ def _html_references(spark, sf_dir):
     return html.references(rows).select("from_qn", "to_qn", "rel_type", "line")
 
 
+def style_blocks(pages):
+    """All style blocks of pages (path, source) as files of their own: the first
+    is ``x.css`` for a page ``x.html``, a further one ``x_<number>.css``."""
+    blocks = F.posexplode(F.regexp_extract_all("source", F.lit(r"(?s)<style[^>]*>(.*?)</style>"), F.lit(1))).alias("block", "source")
+    number = F.when(F.col("block") > 0, F.concat(F.lit("_"), (F.col("block") + 1).cast("string"))).otherwise("")
+    return pages.select("path", blocks).select(F.concat(F.regexp_replace("path", r"\.html$", ""), number, F.lit(".css")).alias("path"), "source")
+
+
 def _page_styles(spark, sf_dir):
-    """Style blocks of the pages as files of their own."""
-    text = F.regexp_extract("source", r"(?s)<style[^>]*>(.*?)</style>", 1)
-    return tables.page_files(spark, sf_dir).select(F.replace("path", F.lit(".html"), F.lit(".css")).alias("path"), text.alias("source"))
+    return style_blocks(tables.page_files(spark, sf_dir))
 
 
 @query(
     "css_rules",
     """
-SELECT 'page/' || page_id || '.css::' || trim(split_part(style, '{', 1)) AS qualified_name, trim(split_part(style, '{', 1)) AS name,
-       'CssRule' AS kind, sha256(style) AS source_hash
-FROM (SELECT page_id, regexp_extract(html, '<style[^>]*>(.*?)</style>', 1) AS style FROM pages)""",
+SELECT 'page/' || page_id || CASE WHEN block > 1 THEN '_' || block ELSE '' END || '.css::' || trim(split_part(style, '{', 1)) AS qualified_name,
+       trim(split_part(style, '{', 1)) AS name, 'CssRule' AS kind, sha256(style) AS source_hash
+FROM (SELECT page_id, unnest(s) AS style, unnest(range(1, len(s) + 1)) AS block
+      FROM (SELECT page_id, regexp_extract_all(html, '<style[^>]*>(.*?)</style>', 1) AS s FROM pages))""",
 )
 def _css_rules(spark, sf_dir):
     found, _ = corpus.extract(_page_styles(spark, sf_dir), ("css",))

@@ -200,6 +200,10 @@ mod inner {{
     const LIMIT: u32 = {p_size};
 }}
 """
+NESTED_FILE = """/* outer /* inner */ fn hidden_{s_nationkey}() {{ }} */
+fn after_{s_suppkey}() {{ }}
+fn text() {{ show("/* no /* comment", /* a /* b */ c */ after_{s_suppkey}()) }}
+"""
 CPP_FILE = """#include <vector>
 #include "nation_{s_nationkey}.hpp"
 #define SUPPLIER {s_suppkey}
@@ -217,6 +221,14 @@ static const int KEY = {s_suppkey};
 int lookup_{s_suppkey}(int key) {{
     return table.find(key);
 }}
+namespace extra {{
+#include "extra_{s_nationkey}.hpp"
+#define EXTRA {s_suppkey}
+struct Index {{
+  int& operator[](int i) {{ return at(i); }}
+  bool operator==(const Index& o) const;
+}};
+}}
 """
 C_FILE = """#include <stdio.h>
 #define NATION {s_nationkey}
@@ -274,6 +286,8 @@ async function main(x) {{
   run(x); // skip(x)
 }}
 let counter = {c_nationkey};
+const clean_{c_custkey} = (s) => s.replace(/[{{"/]+/g, strip(s));
+function last(y) {{ return y / 2 / half(y); }}
 """
 TYPESCRIPT_FILE = """export interface Customer{c_custkey} extends Nation{c_nationkey} {{
   name: string;
@@ -297,6 +311,7 @@ CSS_FILE = """@import "base_{s_nationkey}.css";
 # Table, path and text of each kind of file.
 CODE_FILES = {
     "rust": ("part", "src/part_{p_partkey}.rs", RUST_FILE),
+    "rust_nested": ("supplier", "nest/supplier_{s_suppkey}.rs", NESTED_FILE),
     "c": ("supplier", "lib/supplier_{s_suppkey}.c", C_FILE),
     "cpp": ("supplier", "lib/supplier_{s_suppkey}.cpp", CPP_FILE),
     "python": ("customer", "app/customer_{c_custkey}.py", PYTHON_FILE),

@@ -1,8 +1,13 @@
 """Facts that each language's extraction must show, on snippets of our own."""
 
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from graphweft.extract import extract
+from graphweft.extract import core, corpus, extract
+from graphweft.plans.extract_queries import style_blocks
 
 FILES = {
     "src/m.rs": '''//! crate doc
@@ -403,3 +408,93 @@ def test_long_file_folds_in_chunks(spark):
     last = entities.where("name = 'f1499'").first()
     assert last.line_start == 1500
     assert relationships.where("rel_type = 'CALLS'").count() == 1500
+
+
+def nested_mask(text):
+    """A character-wise lexer for Rust: hidden text as blanks."""
+    out, i, n = [], 0, len(text)
+
+    def hide(j):
+        nonlocal i
+        out.append(re.sub(r"[^\n]", " ", text[i:j]))
+        i = j
+
+    while i < n:
+        if text.startswith("//", i):
+            j = text.find("\n", i)
+            hide(n if j < 0 else j)
+        elif text.startswith("/*", i):
+            depth, j = 0, i
+            while j < n:
+                step = text[j : j + 2]
+                depth += (step == "/*") - (step == "*/")
+                j += 2 if step in ("/*", "*/") else 1
+                if not depth:
+                    break
+            hide(j)
+        elif m := re.compile(r'\br(#*)"').match(text, i):
+            j = text.find('"' + m[1], m.end())
+            hide(n if j < 0 else j + 1 + len(m[1]))
+        elif m := re.compile(r'(?s)"(?:[^"\\]|\\.)*"?').match(text, i):
+            hide(m.end())
+        elif m := re.compile(r"'(?:\\[^'\n]*|[^'\\\n])'").match(text, i):
+            hide(m.end())
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+NESTED = [
+    "/* a /* b */ c */ fn after() {}",
+    "/*/* x */*/y /* z */",
+    '/* "open /* \' */ \\*/ // */ still\n*/ w',
+    "/* //* deep */ */ v /* a /**/ b */ u",
+    'let s = "/* no /* comment"; /* /* yes */ */ t',
+    "let s = r#\"/* \" /* \"#; 'a' '\\'' &'a x // /* /* \n/* 1 /* 2 /* 3 */ */ */ end",
+    'r"\\" /* /* */ */ "a\\"/*" b "\\\\" /* /**/',
+    "a / b /* /* */ */ * c // d \\\n e /* /* */ */ f",
+    "/* never /* closed */ fn gone() {}",
+]
+
+
+def test_nested_comments(spark):
+    rng = random.Random(2)
+    parts = ["/*", "*/", "//", "\n", '"', "\\", "'", "x", " ", "r#\"", '"#', "/", "*", "'a'", "fn"]
+    texts = NESTED + ["/* " + "".join(rng.choices(parts[:2] + ["x", "\n", " ", "'", "\\"], k=12)) + " /* y" for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "source string").select("source", core.mask_nested(F.col("source")).alias("masked")).collect()
+    assert {r.source: r.masked for r in rows} == {t: nested_mask(t) for t in texts}
+    nests = spark.createDataFrame([(t,) for t in ["/* a */ /* b */", "/* a", "x */ /*", "/***/ y", *NESTED[:4]]], "t string")
+    assert [r[0] for r in nests.select(F.col("t").rlike(core.NESTS)).collect()] == [False] * 4 + [True] * 4
+
+
+FORMS = {
+    "nest.rs": "/* a /* b */ c */\nfn after() {}\nfn more() { after(); }\n",
+    "re.js": "const a = /[{\"]/;\nfunction f(x) { return /'{/.test(x) && x / 2 / g(x); }\nlet d = h / i / j;\nconst k = [1, /}/g, (/\\/{/)];\nfunction last() {}\n",
+    "op.cpp": "struct V {\n  V& operator+=(const V& o) { return add(o); }\n  int operator()(int x) const { return call(x); }\n  V* operator->();\n  void* operator new(size_t n);\n};\nbool V::operator==(const V& o) { return eq(o); }\n",
+    "dir.cpp": "#define TOP 1\nnamespace a {\nnamespace b {\n#define IN 2\n#include <x>\n}\n#define MID 3\n}\n#define END 4\nnamespace {\n#define ANON 5\n}\n",
+    "dir.c": "int namespace_like;\n#define ONE 1\n",
+}
+
+
+def test_forms(spark):
+    entities, edges = corpus.extract(spark.createDataFrame(list(FORMS.items()), "path string, source string"))
+    names = {r.qualified_name: r.kind for r in entities.collect()}
+    calls = {(r.from_qn, r.to_qn) for r in edges.where("rel_type = 'CALLS'").collect()}
+    assert names["nest.rs::after"] == "Function" and ("nest.rs::more", "after") in calls
+    assert {n for n in names if n.startswith("re.js::")} == {f"re.js::{n}" for n in ("a", "f", "d", "k", "last")}
+    assert ("re.js::f", "g") in calls
+    for name in ("operator+=", "operator()"):
+        assert names[f"op.cpp::V::{name}"] == "Method"
+    assert ("op.cpp::V::operator+=", "add") in calls and ("op.cpp::V::operator()", "call") in calls
+    assert names["op.cpp::V::operator=="] == "Function"
+    assert {n for n, k in names.items() if k == "Preprocessor"} == {"dir.cpp::TOP", "dir.cpp::a::b::IN", "dir.cpp::a::MID", "dir.cpp::END", "dir.cpp::anonymous::ANON", "dir.c::ONE"}
+    contained = {(r.from_qn, r.to_qn) for r in edges.where("rel_type = 'CONTAINS'").collect()}
+    assert ("dir.cpp::a::b", "dir.cpp::a::b::IN") in contained
+    assert {(r.from_qn, r.to_qn) for r in edges.where("rel_type = 'IMPORTS'").collect()} == {("dir.cpp::a::b", "<x>")}
+
+
+def test_all_style_blocks(spark):
+    page = "<style>a{}</style><p><style media=x>\n.b{}\n</style>"
+    rows = style_blocks(spark.createDataFrame([("p.html", page), ("q.html", "none"), ("r.html", None)], "path string, source string")).collect()
+    assert sorted(map(tuple, rows)) == [("p.css", "a{}"), ("p_2.css", "\n.b{}\n")]
