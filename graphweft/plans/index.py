@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.extract import extract
+from graphweft.extract.corpus import extract_or_list, languages_of
 from graphweft.operators.assembly import source_hashes
 from graphweft.operators.embed import embed_entities
 from graphweft.operators.upsert import duplicate_keys
@@ -27,7 +28,7 @@ def index_files(
     named, upsert both tables and drop what no file holds any more. ``files`` are
     all there are; they may hold paths only if ``read`` adds their source."""
     # Texts are only read for embeddings; the stored graph has none.
-    entities, relationships = extract(files, with_text=provider is not None, read=read)
+    entities, relationships = extract(files, languages_of(files), with_text=provider is not None, read=read)
     if provider is not None:
         entities = embed_entities(entities, provider, dimension)
     return store.apply(entities, relationships.drop("path"), source_hashes(entities))
@@ -42,7 +43,9 @@ def index_changes(
     those that ``index_files`` over all files would give: an entity goes if no
     file holds its text any more, and edges of files that are not read again
     are taken from their stored facts where a changed file brings their target.
-    A file with the size and time it had is taken to be unchanged."""
+    A file with the size and time it had is taken to be unchanged. A file that makes
+    extraction fail is left out, as one that cannot be read, and listed in
+    ``store.failed()`` until it changes."""
     scratch = Scratch(store.spark)
     listing = scratch.write(route(listing).select("path", "size", "modified"), "listing")
     known = store.files()
@@ -51,7 +54,8 @@ def index_changes(
     scope, files_touched, _ = scratch.write_counted(changed.select("path").unionByName(gone), "scope")
     if not files_touched:
         return store.load()
-    entities, relationships = extract(changed.select("path"), with_text=provider is not None, read=read)
+    entities, relationships, bad = extract_or_list(changed.select("path"), with_text=provider is not None, read=read)
+    failed = store.spark.createDataFrame(bad, "path string, error string")
     entities = entities if provider is None else embed_entities(entities, provider, dimension)
     entities = scratch.write(entities.drop("source_text"), "entities")
 
@@ -60,7 +64,7 @@ def index_changes(
     hashes = source_hashes(entities).unionByName(source_hashes(rest)).distinct()
     own = entities.where("kind = 'File'").select(F.col("qualified_name").alias("path"), "source_hash")
     files = changed.join(own, "path", "left").select("path", "size", "modified", "source_hash")
-    return store.apply(entities, relationships.drop("path"), hashes, scope, files, relationships)
+    return store.apply(entities, relationships.drop("path"), hashes, scope, files=files, facts=relationships, failed=failed)
 
 
 def index_tree(

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -44,8 +45,9 @@ class ContractViolation(ValueError):
 
 class GraphStore:
     """Tables below ``root``: ``entities``, ``relationships``, ``incoming``, and
-    for incremental indexing ``files`` (path, size, modified, source_hash) and
-    ``facts`` (path and the edges found in it, also those that lead nowhere).
+    for incremental indexing ``files`` (path, size, modified, source_hash),
+    ``facts`` (path and the edges found in it, also those that lead nowhere) and
+    ``failed`` (path, error).
 
     ``data/<table>/txn=<batch>/b=<bucket>/`` holds a bucket as a batch wrote it,
     below that the first two tables are in folders by kind or type, so a scan of
@@ -155,13 +157,14 @@ class GraphStore:
             found |= {r[0] for r in df.select(self._bucket(manifest, F.col(df.columns[0])).alias("b")).distinct().collect()}
         return sorted(found)
 
-    _KEYS = {"entities": "qualified_name", "relationships": "from_qn", "incoming": "to_qn", "files": "path", "facts": "path"}
-    _FOLDERS = {"entities": ["kind"], "relationships": ["rel_type"], "incoming": ["rel_type"], "files": [], "facts": []}
+    _KEYS = {"entities": "qualified_name", "relationships": "from_qn", "incoming": "to_qn", "files": "path", "facts": "path", "failed": "path"}
+    _FOLDERS = {"entities": ["kind"], "relationships": ["rel_type"], "incoming": ["rel_type"], "files": [], "facts": [], "failed": []}
     _SCHEMAS = {
         "entities": T.StructType([f for f in ENTITY_SCHEMA.fields if f.name != "source_text"]),
         "relationships": _EDGE_DDL,
         "incoming": _EDGE_DDL,
         "files": "path string, size long, modified long, source_hash string",
+        "failed": "path string, error string",
         "facts": T.StructType([T.StructField("path", T.StringType()), *RELATIONSHIP_SCHEMA.fields]),
     }
 
@@ -231,6 +234,10 @@ class GraphStore:
     def facts(self) -> DataFrame:
         return self._read(self._current(), "facts")
 
+    def failed(self) -> DataFrame:
+        """(path, error) of the files that could not be extracted as they are."""
+        return self._read(self._current(), "failed")
+
     def index_names(self) -> NameIndex:
         """Write the trigram lists of the current version, which ``load`` then finds."""
         return NameIndex.build(self.load().entities, f"{self.root}/names/v={self.current_version()}")
@@ -252,7 +259,7 @@ class GraphStore:
 
     def apply(
         self, entities: DataFrame, relationships: DataFrame, current_hashes: DataFrame | None = None,
-        scope: DataFrame | None = None, files: DataFrame | None = None, facts: DataFrame | None = None,
+        scope: DataFrame | None = None, **by_path: DataFrame,
     ) -> KnowledgeGraph:
         """Upsert entities, drop what is stale, then upsert edges, as the next version.
 
@@ -260,9 +267,9 @@ class GraphStore:
         entity would not outlive the stale deletion, so none is made. Stale are
         entities with a hash that is not among ``current_hashes`` (an empty set
         drops nothing), where ``scope`` is given only those of its files (path).
-        ``files`` and ``facts`` replace what is stored of the files in ``scope``;
-        stored facts of other files take part where the batch brings an entity
-        that they name.
+        ``by_path`` (``files``, ``facts``, ``failed``) replace what is stored of
+        the files in ``scope``, which holds all their paths; stored facts of other files take part where the
+        batch brings an entity that they name.
         """
         base = self._current()
         scratch = Scratch(self.spark)
@@ -286,7 +293,7 @@ class GraphStore:
         removed, n_removed, _ = scratch.write_counted(before.select(*upsert.NODE_KEY).join(fresh, upsert.NODE_KEY, "left_anti"), "removed")
 
         bag = relationships.select(*(f.name for f in RELATIONSHIP_SCHEMA.fields if f.name in relationships.columns))
-        if facts is not None and scope is not None:
+        if "facts" in by_path:
             added = scratch.write(fresh.join(before.select(*upsert.NODE_KEY), upsert.NODE_KEY, "left_anti").select("qualified_name").distinct(), "added")
             others = self._read(base, "facts").join(scope.select("path"), "path", "left_anti")
             named = others.join(added.toDF("to_qn"), "to_qn", "left_semi").unionByName(
@@ -302,15 +309,22 @@ class GraphStore:
             out = self._read(base, "relationships", at).join(removed.toDF("from_kind", "from_qn"), ["from_kind", "from_qn"], "left_semi")
             into = self._read(base, "incoming", at).join(removed.toDF("to_kind", "to_qn"), ["to_kind", "to_qn"], "left_semi")
             lost = scratch.write(out.select(*upsert.EDGE_COLUMNS).unionByName(into.select(*upsert.EDGE_COLUMNS)), "lost")
-        for name, end in (("relationships", "from_qn"), ("incoming", "to_qn")):
+        def rewrite_edges(name: str) -> dict[int, str]:
+            end = self._KEYS[name]
             at = self._of(base, new.select(end), lost.select(end))
             held = self._read(base, name, at).join(lost.select(*upsert.EDGE_KEY).distinct(), upsert.EDGE_KEY, "left_anti")
-            written[name] = self._write(base, upsert.merge_edges(held.select(*upsert.EDGE_COLUMNS), new), name, at)
-        for name, rows in (("files", files), ("facts", facts)):
-            if rows is not None:
-                at = self._of(base, scope.select("path"), rows.select("path"))
-                others = self._read(base, name, at).join(scope.select("path"), "path", "left_anti")
-                written[name] = self._write(base, others.unionByName(rows.select(*others.columns)), name, at)
+            return self._write(base, upsert.merge_edges(held.select(*upsert.EDGE_COLUMNS), new), name, at)
+
+        def rewrite_rows(name: str) -> dict[int, str]:
+            rows = by_path[name]
+            others = self._read(base, name, in_scope).join(scope.select("path"), "path", "left_anti")
+            return self._write(base, others.unionByName(rows.select(*others.columns)), name, in_scope)
+
+        in_scope = self._of(base, scope.select("path")) if by_path else []
+        jobs = {name: rewrite_edges for name in ("relationships", "incoming")} | {name: rewrite_rows for name in by_path}
+        # the tables do not depend on each other: their jobs run side by side
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            written |= dict(zip(jobs, pool.map(lambda name: jobs[name](name), jobs), strict=True))
         self._commit(base, written)
         return self.load()
 

