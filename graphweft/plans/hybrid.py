@@ -188,8 +188,10 @@ def explain_heads(graph: KnowledgeGraph, targets: DataFrame) -> DataFrame:
     wanted = targets.select("qualified_name").distinct()
     found = get_entity(graph.entities, wanted).select("qualified_name", F.col("kind").alias("own"))
     missing = wanted.join(found, "qualified_name", "left_anti")
+    # A few unknown targets are looked up where the edges are sorted by either end.
+    edges = seek_edges(graph.relationships, graph.incoming, ["from_qn", "to_qn"], missing)
     around = (
-        incidences(graph.relationships, "both")
+        incidences(edges, "both")
         .join(missing.withColumnRenamed("qualified_name", "near_qn"), "near_qn", "left_semi")
         .groupBy(F.col("near_qn").alias("qualified_name"))
         .agg(F.min("far_kind").alias("around"))
