@@ -258,9 +258,11 @@ def _passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, doc_id, begin, end, n_words, cluster, removed) of runs of words that a smaller document has too."""
     anchors = docs.mapInArrow(_anchors, "anchor long, doc_id long, doc long, at long, gap long")
     anchors = scratch.write(anchors, "anchors")
-    first, last = F.min(F.struct("doc_id", "doc", "at", "gap")), F.max(F.struct("doc_id", "doc"))
-    shared = anchors.groupBy("anchor").agg(first.alias("first"), last.alias("last")).where("first.doc <> last.doc")
-    found = anchors.join(shared.select("anchor", "first"), "anchor").where("doc <> first.doc").select(
+    # few anchors are shared: they are found from narrow rows, and only their rows are looked at whole
+    held = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("anchor")
+    shared = scratch.write(anchors.join(scratch.write(held, "held"), "anchor", "left_semi"), "shared")
+    first = shared.groupBy("anchor").agg(F.min(F.struct("doc_id", "doc", "at", "gap")).alias("first"))
+    found = shared.join(first, "anchor").where("doc <> first.doc").select(
         "doc", "at", F.col("first.doc").alias("owner"), F.col("first.doc_id").alias("owner_id"), F.col("first.at").alias("owner_at"),
         F.expr("shiftright(gap, 32) <> shiftright(first.gap, 32)").alias("left_open"),
         F.expr("(gap & 4294967295) <> (first.gap & 4294967295)").alias("right_open"),
