@@ -261,7 +261,8 @@ def _passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # few anchors are shared: they are found from narrow rows, and only their rows are looked at whole
     held = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("anchor")
     shared = scratch.write(anchors.join(scratch.write(held, "held"), "anchor", "left_semi"), "shared")
-    first = shared.groupBy("anchor").agg(F.min(F.struct("doc_id", "doc", "at", "gap")).alias("first"))
+    # written, so that the join has an exchange of its own and a hot anchor's rows can be split
+    first = scratch.write(shared.groupBy("anchor").agg(F.min(F.struct("doc_id", "doc", "at", "gap")).alias("first")), "first")
     found = shared.join(first, "anchor").where("doc <> first.doc").select(
         "doc", "at", F.col("first.doc").alias("owner"), F.col("first.doc_id").alias("owner_id"), F.col("first.at").alias("owner_at"),
         F.expr("shiftright(gap, 32) <> shiftright(first.gap, 32)").alias("left_open"),
