@@ -88,18 +88,38 @@ def neighbors(graph: KnowledgeGraph, targets: DataFrame, depth: int = 1, directi
     )
 
 
-def _node(qn: str, kind: str) -> Column:
-    # Sorts by qualified name first; no name holds the separator.
-    return F.concat(F.col(qn), F.lit("\u0000"), F.col(kind))
+def _node(qn: str, kind: str, seed: int) -> Column:
+    """A node as a number; null where a part of its key is."""
+    return F.when(F.col(qn).isNotNull() & F.col(kind).isNotNull(), F.xxhash64(F.lit(seed), F.col(qn), F.col(kind)))
 
 
-def _adjacency(graph: KnowledgeGraph, scratch: Scratch) -> DataFrame:
+def _numbered(graph: KnowledgeGraph, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(qualified_name, kind, node) of all entities, and the seed under which no two have one number."""
+    for seed in range(8):
+        nodes = graph.entities.select("qualified_name", "kind", _node("qualified_name", "kind", seed).alias("node"))
+        if graph.incoming is None:  # still to be computed, read many times
+            nodes = scratch.write(nodes, "nodes")
+        check = F.xxhash64("kind", "qualified_name")
+        twins = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(check).alias("least"), F.max(check).alias("most")).where("least <> most")
+        if twins.isEmpty():
+            return nodes, seed
+    raise RuntimeError("nodes share a number under every seed")
+
+
+def _adjacency(graph: KnowledgeGraph, scratch: Scratch, seed: int) -> DataFrame:
     """(near, far) of every edge both ways. A stored graph is read where it lies;
     edges that are still to be computed are written, since every hop reads them."""
-    ends = incidences(graph.relationships, "both").select(_node("near_qn", "near_kind").alias("near"), _node("far_qn", "far_kind").alias("far"))
+    ends = incidences(graph.relationships, "both").select(_node("near_qn", "near_kind", seed).alias("near"), _node("far_qn", "far_kind", seed).alias("far"))
+    ends = ends.where("near IS NOT NULL AND far IS NOT NULL")
     return ends if graph.incoming is not None else scratch.write(ends, "adjacency")
 
 
+#: The bit of a numbered pair.
+_BIT = "shiftleft(1L, CAST(number & 63 AS INT))"
+#: From so many pairs on the distances to hubs pay, which cost as much as one block of pairs.
+HUB_PAIRS = 65
+
+
 class _Search:
     """A search for many pairs at once, from both ends.
 
@@ -114,59 +134,83 @@ class _Search:
 
     def __init__(self, graph: KnowledgeGraph, pairs: DataFrame):
         self.scratch = Scratch(graph.entities.sparkSession)
-        self.adjacency = _adjacency(graph, self.scratch)
+        self.nodes, seed = _numbered(graph, self.scratch)
+        self.adjacency = _adjacency(graph, self.scratch, seed)
         numbered = pairs.select(F.monotonically_increasing_id().alias("number"), "pair_id", "from_qn", "to_qn")
         self.pairs, self.wanted, _ = self.scratch.write_counted(numbered, "pairs")
-        nodes = graph.entities.select("qualified_name", _node("qualified_name", "kind").alias("node"))
-        block, bit = F.shiftright("number", 6).alias("block"), F.expr("shiftleft(1L, CAST(number & 63 AS INT))")
+        nodes = self.nodes.where("node IS NOT NULL").select("qualified_name", "node")
+        block, bit = F.shiftright("number", 6).alias("block"), F.expr(_BIT)
         self.levels: dict[str, list[DataFrame]] = {}
         self.sizes: dict[str, int] = {}
         for end in ("from_qn", "to_qn"):
             start = self.pairs.select(block, bit.alias("bit"), F.col(end).alias("qualified_name")).join(nodes, "qualified_name")
             level, size, _ = self.scratch.write_counted(start.groupBy("block", "node").agg(F.bit_or("bit").alias("bits")), end)
             self.levels[end], self.sizes[end] = [level], size
+        self.hubs: dict[int, int] = {}
+
+    def cost(self, level: DataFrame, rows: int) -> int:
+        """What extending a level takes: its rows, and the edges of the hubs in it, where these are known."""
+        if not self.hubs or not rows:
+            return rows
+        edges = F.element_at(F.create_map(*[F.lit(v).cast("long") for pair in self.hubs.items() for v in pair]), F.col("node"))
+        return rows + (level.where(F.col("node").isin(*self.hubs)).agg(F.sum(edges)).first()[0] or 0)
 
     def step(self, level: DataFrame) -> DataFrame:
         """The nodes next to those of a level, with the bits that arrive there."""
         arrived = level.join(self.adjacency, F.col("node") == F.col("near")).select("block", F.col("far").alias("node"), "bits")
         return arrived.groupBy("block", "node").agg(F.bit_or("bits").alias("bits"))
 
-    def _extend(self, end: str) -> DataFrame:
-        step = self.step(self.levels[end][-1])
+    def extend(self, levels: list[DataFrame]) -> DataFrame:
+        """The level after some levels."""
+        step = self.step(levels[-1])
         # Undirected levels only touch the two before them.
-        for seen in self.levels[end][-2:]:
+        for seen in levels[-2:]:
             step = step.join(seen.withColumnRenamed("bits", "_seen"), ["block", "node"], "left").select(
                 "block", "node", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long")))).alias("bits")
             )
         return step.where("bits <> 0")
 
-    def meetings(self, max_hops: int):
+    def meetings(self, max_hops: int, settled: DataFrame | None = None):
         """(hops, levels of the one side, of the other, table of the bits that met)
         for each number of hops at which pairs meet, always extending the side
-        with fewer open nodes, until all have met or a side is exhausted."""
-        level, end, hops, finished = self.levels["from_qn"].pop(), "from_qn", 0, 0
+        that costs less, until all have met or a side is exhausted.
+        ``settled`` (number, at) are pairs that need no search beyond ``at`` hops."""
+        level, end, hops, closed = self.levels["from_qn"].pop(), "from_qn", 0, []
         while True:
             other = "to_qn" if end == "from_qn" else "from_qn"
             opposite = self.levels[other][-1].withColumnRenamed("bits", "_other")
             both = level.join(opposite, ["block", "node"], "left").withColumn("met", F.col("bits").bitwiseAND(F.col("_other")))
             made, size, here = self.scratch.write_counted(both.select("block", "node", "bits", F.expr("nullif(met, 0L)").alias("met")), f"level{hops}", "met")
             self.levels[end].append(made.drop("met"))
-            self.sizes[end] = size
+            self.sizes[end] = self.cost(made, size)
+            done = []
             if here:
                 met = made.where("met IS NOT NULL").select("block", "node", F.col("met").alias("bits"))
-                done = self.scratch.write(met.groupBy("block").agg(F.bit_or("bits").alias("_done")), "done")
                 yield hops, list(self.levels["from_qn"]), list(self.levels["to_qn"]), met
-                finished += done.agg(F.sum(F.bit_count("_done"))).first()[0]
-            if finished == self.wanted or hops == max_hops or not all(self.sizes.values()):
+                done.append(met.select("block", "bits"))
+            if settled is not None:
+                done.append(settled.where(F.col("at") == hops).select(F.shiftright("number", 6).alias("block"), F.expr(_BIT).alias("bits")))
+            if done:
+                done = reduce(DataFrame.unionByName, done).groupBy("block").agg(F.bit_or("bits").alias("_done"))
+                done, blocks, _ = self.scratch.write_counted(done, "done")
+                closed += [done] if blocks else []
+            if closed:
+                every = reduce(DataFrame.unionByName, closed).groupBy("block").agg(F.bit_or("_done").alias("_done"))
+                if every.agg(F.sum(F.bit_count("_done"))).first()[0] == self.wanted:
+                    return
+            if self.wanted == 0 or hops == max_hops or not all(self.sizes.values()):
                 return
-            if here:
+            if closed and closed[-1] is done:
                 for side in self.levels:
                     left = self.levels[side][-1].join(done, "block", "left")
                     left = left.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_done", F.lit(0).cast("long")))))
-                    self.levels[side][-1], self.sizes[side], _ = self.scratch.write_counted(left.where("bits <> 0").drop("_done"), "open")
+                    self.levels[side][-1], size, _ = self.scratch.write_counted(left.where("bits <> 0").drop("_done"), "open")
+                    self.sizes[side] = self.cost(self.levels[side][-1], size)
+                if not all(self.sizes.values()):
+                    return
             hops += 1
             end = "from_qn" if self.sizes["from_qn"] <= self.sizes["to_qn"] else "to_qn"
-            level = self._extend(end)
+            level = self.extend(self.levels[end])
 
     def numbers(self, level: DataFrame) -> DataFrame:
         """(number, node): a row for each pair of each node."""
@@ -174,13 +218,69 @@ class _Search:
         return level.select("block", "node", held.alias("_bit")).select((F.col("block") * 64 + F.col("_bit")).alias("number"), "node")
 
 
+def _hub_bounds(search: _Search, max_hops: int) -> DataFrame:
+    """(number, upper, at) of the pairs whose ends both reach one of the 64 nodes
+    with most edges: a path over such a hub has ``upper`` hops, and once ``at``
+    hops are searched none can be shorter.
+
+    In a component without an odd cycle all paths between two nodes are even or
+    all are odd, so after ``upper - 2`` hops only ``upper`` is left; else after
+    ``upper - 1``. A hub's component has an odd cycle if and only if an edge joins
+    two nodes equally far from the hub. One block of bits stands for all hubs.
+    """
+    scratch = search.scratch
+    degree = search.adjacency.groupBy("near").agg(F.count(F.lit(1)).alias("n"))
+    search.hubs = {r[0]: r[1] for r in degree.orderBy(F.desc("n"), "near").limit(64).collect()}
+    hubs = list(search.hubs)
+    for end, (first,) in search.levels.items():
+        search.sizes[end] = search.cost(first, search.sizes[end])
+    bits = [1 << i if i < 63 else -(1 << 63) for i in range(len(hubs))]
+    levels = [scratch.write(scratch.spark.createDataFrame(list(zip([0] * len(hubs), hubs, bits)), "block long, node long, bits long"), "hubs")]
+    odd, whole = 0, not hubs
+    while not whole and len(levels) <= max_hops:
+        # an edge inside the level closes an odd cycle
+        arrived = search.step(levels[-1]).withColumnRenamed("bits", "_all")
+        own = levels[-1].withColumnRenamed("bits", "_own")
+        step = arrived.join(own, ["block", "node"], "left").withColumn("odd", F.expr("nullif(_all & _own, 0L)"))
+        step = step.select("block", "node", F.expr("_all & ~coalesce(_own, 0L)").alias("bits"), "odd")
+        if len(levels) > 1:
+            before = levels[-2].withColumnRenamed("bits", "_seen")
+            step = step.join(before, ["block", "node"], "left").select("block", "node", F.expr("bits & ~coalesce(_seen, 0L)").alias("bits"), "odd")
+        made, _, odds = scratch.write_counted(step.where("bits <> 0 OR odd IS NOT NULL"), "hubs", "odd")
+        if odds:
+            odd |= made.agg(F.bit_or("odd")).first()[0]
+        made = made.where("bits <> 0").drop("odd")
+        whole = made.isEmpty()
+        levels.append(made)
+    far = reduce(DataFrame.unionByName, [made.select("node", "bits", F.lit(d).alias("d")) for d, made in enumerate(levels)])
+    ends = {}
+    for end in ("from_qn", "to_qn"):
+        node = search.numbers(search.levels[end][0])
+        only = node.groupBy("number").agg(F.min("node").alias("node"), (F.count(F.lit(1)) == 1).alias("only"))
+        ends[end] = scratch.write(only.where("only").drop("only").join(far, "node").select("number", "bits", "d"), "to_hubs")
+    both = ends["from_qn"].join(ends["to_qn"].toDF("number", "_bits", "_d"), "number").withColumn("bits", F.expr("bits & _bits")).where("bits <> 0")
+    even = F.max(F.col("bits").bitwiseAND(F.lit(~odd).cast("long")) != 0) if whole else F.lit(False)
+    upper = both.groupBy("number").agg(F.min(F.expr("d + _d")).alias("upper"), even.alias("_even")).where(F.col("upper") <= max_hops)
+    at = F.greatest(F.lit(0), F.col("upper") - F.when(F.col("_even"), 2).otherwise(1))
+    return scratch.write(upper.select("number", "upper", at.alias("at")), "bounds")
+
+
 def path_lengths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS) -> DataFrame:
-    """(pair_id, hops) of a shortest undirected path per pair, of pairs that have one."""
+    """(pair_id, hops) of a shortest undirected path per pair, of pairs that have one.
+
+    Many pairs are first bounded by their distances to hubs: a pair is searched
+    only until no path can be shorter than the one over a hub, so that what lies
+    around the hubs is not spread out again for every block of pairs.
+    """
     search = _Search(graph, pairs)
-    found = [search.numbers(met).select("number").distinct().withColumn("hops", F.lit(hops)) for hops, _, _, met in search.meetings(max_hops)]
+    bounds = _hub_bounds(search, max_hops) if search.wanted >= HUB_PAIRS else None
+    found = [search.numbers(met).select("number").distinct().withColumn("hops", F.lit(hops)) for hops, _, _, met in search.meetings(max_hops, bounds)]
+    if bounds is not None:
+        found.append(bounds.select("number", F.col("upper").alias("hops")))
     if not found:
         return pairs.sparkSession.createDataFrame([], "pair_id long, hops int")
-    return reduce(DataFrame.unionByName, found).join(search.pairs, "number").select("pair_id", "hops")
+    least = reduce(DataFrame.unionByName, found).groupBy("number").agg(F.min("hops").alias("hops"))
+    return least.join(search.pairs, "number").select("pair_id", "hops")
 
 
 def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS) -> DataFrame:
@@ -199,9 +299,7 @@ def shortest_paths(graph: KnowledgeGraph, pairs: DataFrame, max_hops: int = MAX_
     found = [_walked(search, *meeting) for meeting in search.meetings(max_hops)]
     if not found:
         return pairs.sparkSession.createDataFrame([], "pair_id long, hops int, path array<struct<qualified_name:string,kind:string>>")
-    as_struct = F.transform(
-        "path", lambda n: F.struct(F.substring_index(n, "\u0000", 1).alias("qualified_name"), F.substring_index(n, "\u0000", -1).alias("kind"))
-    )
+    as_struct = F.transform("path", lambda n: F.struct(n["qualified_name"].alias("qualified_name"), n["kind"].alias("kind")))
     return reduce(DataFrame.unionByName, found).join(search.pairs, "number").select("pair_id", "hops", as_struct.alias("path"))
 
 
@@ -219,14 +317,21 @@ def _walked(search: _Search, hops: int, ahead: list[DataFrame], behind: list[Dat
         marks.insert(0, marked(marks[0], level))
     for level in reversed(behind[:-1]):
         marks.append(marked(marks[-1], level))
-    path = search.numbers(marks[0]).groupBy("number").agg(F.array(F.min("node")).alias("path"))
-    for i, mark in enumerate(marks[1:]):
-        choices = path.join(search.numbers(mark), "number")
-        linked = choices.join(search.adjacency, (F.element_at("path", -1) == F.col("near")) & (F.col("node") == F.col("far")), "left_semi")
-        path = linked.groupBy("number").agg(F.array_append(F.any_value("path"), F.min("node")).alias("path"))
-        if i % 4 == 3:  # short plans
-            path = search.scratch.write(path, "walked")
-    return search.scratch.write(path, "paths").select("number", F.lit(hops).alias("hops"), "path")
+    scratch = search.scratch
+
+    def smallest(choices: DataFrame) -> DataFrame:
+        """(number, n) with the smallest of the nodes (number, node)."""
+        named = scratch.write(choices, "choices").join(search.nodes, "node")
+        return named.groupBy("number").agg(F.min(F.struct("qualified_name", "kind", "node")).alias("n"))
+
+    path = scratch.write(smallest(search.numbers(marks[0])).select("number", F.array("n").alias("path")), "walked")
+    for mark in marks[1:]:
+        # from the last node along its edges: never all marked nodes of a pair
+        heads = path.select("number", F.element_at("path", -1)["node"].alias("near"))
+        far = heads.join(search.adjacency, "near").select("number", F.shiftright("number", 6).alias("block"), F.col("far").alias("node"))
+        choices = far.join(mark, ["block", "node"]).where(F.col("bits").bitwiseAND(F.expr(_BIT)) != 0).select("number", "node")
+        path = scratch.write(path.join(smallest(choices), "number").select("number", F.array_append("path", F.col("n")).alias("path")), "walked")
+    return path.select("number", F.lit(hops).alias("hops"), "path")
 
 
 def path_nodes(graph: KnowledgeGraph, paths: DataFrame) -> DataFrame:

@@ -146,6 +146,29 @@ def test_paths_of_more_pairs_than_bits(spark):
     assert len(set(got.values())) > 3
 
 
+def test_hubs_are_not_spread_out_for_every_block_of_pairs(spark, monkeypatch):
+    """Two components with two hubs each below a root; in the second the hubs are joined, which closes an odd cycle."""
+    leaves = [(f"{c}h{i % 2}", f"{c}leaf{i:03d}") for c in "ab" for i in range(200)]
+    edges = [(f"{c}root", f"{c}h{i}", "CALLS") for c in "ab" for i in range(2)] + [(h, leaf, "CALLS") for h, leaf in leaves]
+    edges += [("bh0", "bh1", "CALLS")]
+    pairs = [(f"{c}leaf{i:03d}", f"{c}leaf{(i * 7 + 1) % 200:03d}") for c in "ab" for i in range(90)]
+    pairs += [("lone", "aroot"), ("ah1", "ah1"), ("broot", "bleaf000"), ("aleaf000", "bleaf000"), ("aleaf000", "aleaf002")]
+    graph = make_graph(spark, ["lone", *sorted({n for e in edges for n in e[:2]})], edges)
+    written = Counter()
+    write_counted = traverse.Scratch.write_counted
+
+    def counted(self, df, name, of=None):
+        made = write_counted(self, df, name, of)
+        written[name.rstrip("0123456789")] += made[1]
+        return made
+
+    monkeypatch.setattr(traverse.Scratch, "write_counted", counted)
+    asked = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair_id long, from_qn string, to_qn string").coalesce(1)
+    got = {r.pair_id: r.hops for r in traverse.path_lengths(graph, asked).collect()}
+    assert got == {i: len(p) - 1 for i, (a, b) in enumerate(pairs) if (p := shortest(edges, a, b)) is not None}
+    assert written["level"] < 3 * len(pairs)
+
+
 def test_path_nodes_are_rows(spark):
     graph = make_graph(spark, ["a", "b"], [("b", "a", "CALLS")])
     asked = spark.createDataFrame([(7, "a", "b")], "pair_id long, from_qn string, to_qn string")
