@@ -37,21 +37,22 @@ def _written(option: Column, line: Column) -> Column:
 
 
 def _classify(head: Column, rules: list[Rule]) -> Column:
-    """The rules that give a name, as structs, in order."""
+    """The first rule that gives a name, as a struct; null if none does. Rules
+    behind it are not tried."""
 
     def option(rule: Rule) -> Column:
         name = F.regexp_extract(head, rule.pattern, 1)
-        return F.struct(
+        found = F.struct(
             F.lit(rule.kind).alias("kind"),
             name.alias("name"),
             F.lit(rule.scope).alias("scope"),
-            F.lit(rule.block).alias("block"),
-            F.lit(rule.bare).alias("bare"),
             F.lit(rule.name if rule.name != "{name}" else "").alias("written"),
             (F.regexp_extract(head, rule.base, 1) if rule.base else F.lit(None).cast("string")).alias("base"),
         )
+        return F.when(name != "", found)
 
-    return F.filter(F.array(*[option(r) for r in rules]), lambda o: o["name"] != "")
+    none = F.lit(None).cast("struct<kind:string,name:string,scope:string,written:string,base:string>")
+    return F.when(head != "", F.coalesce(*[option(r) for r in rules], none))
 
 
 def scan(
@@ -67,8 +68,10 @@ def scan(
 
     def event(piece: Column) -> Column:
         last = F.right(piece, F.lit(1))
-        delim = F.when(last.isin("{", "}", ";", "\n"), last).otherwise("")
-        before = F.regexp_extract(piece, lead, 0)
+        ends = F.when(last.isin("{", "}", ";", "\n"), last).otherwise("")
+        return let(F.struct(F.regexp_extract(piece, lead, 0).alias("before"), ends.alias("delim")), lambda p: parted(piece, p["before"], p["delim"]))
+
+    def parted(piece: Column, before: Column, delim: Column) -> Column:
         inner = F.substring(piece, F.length(before) + 1, F.length(piece) - F.length(before) - F.length(delim))
         # A lead that swallows the delimiter leaves no head.
         head = F.when(F.length(before) + F.length(delim) <= F.length(piece), inner).otherwise("")
@@ -100,14 +103,14 @@ def scan(
 
     def step(s: Column, e: Column) -> Column:
         def decide(top: Column) -> Column:
-            # Only the rules of the scope are tried, and none inside a body.
-            options = F.lit(None)
+            # Only the rules of the scope that may end so are tried, and none inside a body.
+            fits = F.lit(None)
             for scope in sorted({name for rule in rules for name in rule.inside}):
-                tried = _classify(e["head"], [rule for rule in rules if scope in rule.inside])
-                options = F.when(top["scope"] == scope, tried).otherwise(options)
-            fits = F.filter(options, lambda o: F.when(e["delim"] == "{", o["block"]).otherwise(o["bare"]))
+                here = [rule for rule in rules if scope in rule.inside]
+                block, bare = (_classify(e["head"], [r for r in here if wanted(r)]) for wanted in (lambda r: r.block, lambda r: r.bare))
+                fits = F.when(top["scope"] == scope, F.when(e["delim"] == "{", block).otherwise(bare)).otherwise(fits)
             line = s["line"] + e["lead_lines"]
-            return let(F.get(fits, 0), lambda d: let(d.withField("name", _written(d, line)), lambda named: apply(top, named)))
+            return let(fits, lambda d: let(d.withField("name", _written(d, line)), lambda named: apply(top, named)))
 
         def apply(top: Column, d: Column) -> Column:
             start, first_line = s["pos"] + e["lead"], s["line"] + e["lead_lines"]
@@ -156,9 +159,12 @@ def scan(
                 .when(closes & (F.size(s["stack"]) > 1), F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1))
                 .otherwise(s["stack"])
             )
-            out = F.concat(
-                F.when(named & ~opens, F.array(bare)).otherwise(none),
-                F.when(closes & (top["kind"] != ""), F.array(closed)).otherwise(none),
+            ended = closes & (top["kind"] != "")
+            out = (
+                F.when(named & ~opens & ended, F.array(bare, closed))
+                .when(named & ~opens, F.array(bare))
+                .when(ended, F.array(closed))
+                .otherwise(none)
             )
             state = F.struct(after.cast("int").alias("pos"), after_line.cast("int").alias("line"), stack.alias("stack"))
             return F.struct(state.alias("s"), out.alias("out"))

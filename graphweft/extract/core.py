@@ -48,16 +48,19 @@ def fold(
     """
 
     def advance(acc: Column, event: Column) -> Column:
-        return let(step(acc["s"], event), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], r["out"]).alias("out")))
+        grown = lambda out: F.when(F.size(out) > 0, F.concat(acc["out"], out)).otherwise(acc["out"])
+        return let(step(acc["s"], event), lambda r: F.struct(r["s"].alias("s"), grown(r["out"]).alias("out")))
 
     def run_chunk(acc: Column, part: Column) -> Column:
         inner = F.aggregate(part, F.struct(acc["s"].alias("s"), empty(out_type).alias("out")), advance)
         return let(inner, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
-    count = F.greatest(F.lit(1), F.ceil(F.size(events) / F.lit(chunk)).cast("int"))
-    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(events, i * chunk + 1, F.lit(chunk)))
+    def parts(all_events: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil(F.size(all_events) / F.lit(chunk)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(all_events, i * chunk + 1, F.lit(chunk)))
+
     return F.aggregate(
-        chunks,
+        let(events, parts),
         F.struct(state.alias("s"), empty(f"array<{out_type}>").alias("out")),
         run_chunk,
         lambda acc: F.struct(acc["s"].alias("s"), F.flatten(acc["out"]).alias("out")),
@@ -123,7 +126,7 @@ def mask_nested(text: Column) -> Column:
 def squeezed(text: Column) -> Column:
     """The text with long runs of blanks, as hidden comments leave them, as one
     blank: patterns that try every length of a run would be quadratic in it."""
-    return F.regexp_replace(text, r"\s{64,}+", " ")
+    return F.when(F.length(text) >= 64, F.regexp_replace(text, r"\s{64,}+", " ")).otherwise(text)
 
 
 def cut(text: Column, start: Column, stop: Column) -> Column:

@@ -42,7 +42,9 @@ def _scan(source: Column, masked: Column, path: Column) -> Column:
     raw_lines, lines = F.split(source, "\n"), F.split(masked, "\n")
 
     def event(line: Column, raw: Column) -> Column:
-        code = F.regexp_replace(line, r"\s+$", "")
+        return core.let(F.regexp_replace(line, r"\s+$", ""), lambda code: described(line, raw, code))
+
+    def described(line: Column, raw: Column, code: Column) -> Column:
         depth = F.length(F.regexp_replace(code, r"[^(\[{]", "")) - F.length(F.regexp_replace(code, r"[^)\]}]", ""))
         decorator = F.regexp_extract(raw, r"^\s*@\s*(.*?)\s*(?:#.*)?$", 1)
         return F.struct(
@@ -70,8 +72,7 @@ def _scan(source: Column, masked: Column, path: Column) -> Column:
             (F.regexp_extract(code, _IMPORT, 1), "Import"),
             (F.when(assigned.isin(*KEYWORDS), "").otherwise(assigned), "Variable"),
         ]
-        named = F.array(*[F.struct(n.alias("name"), F.lit(k).alias("kind")) for n, k in option])
-        return F.try_element_at(F.filter(named, lambda o: o["name"] != ""), F.lit(1))
+        return F.coalesce(*[F.when(n != "", F.struct(n.alias("name"), F.lit(k).alias("kind"))) for n, k in option])
 
     def ended(block: Column, stop: Column, line: Column) -> Column:
         return F.struct(

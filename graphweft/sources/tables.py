@@ -158,10 +158,11 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows that each stand for much work, over all cores. Only a table with
-    fewer splits than cores is moved; a large one has splits enough."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows that each stand for much work, over all cores, in several tasks a
+    core so that a slow one does not hold up the rest. Only a table with
+    fewer splits is moved; a large one has splits enough."""
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from graphweft.extract import core, corpus, extract
+from graphweft.extract import braces, core, corpus, extract, rust
 from graphweft.plans.extract_queries import style_blocks
 
 FILES = {
@@ -498,3 +498,17 @@ def test_all_style_blocks(spark):
     page = "<style>a{}</style><p><style media=x>\n.b{}\n</style>"
     rows = style_blocks(spark.createDataFrame([("p.html", page), ("q.html", "none"), ("r.html", None)], "path string, source string")).collect()
     assert sorted(map(tuple, rows)) == [("p.css", "a{}"), ("p_2.css", "\n.b{}\n")]
+
+
+def test_lead_of_a_piece_is_matched_once(spark):
+    rows = spark.createDataFrame([("p", "a")], "path string, masked string")
+    plan = rows.select(braces.scan(F.col("masked"), F.col("path"), rust.RULES, rust.LEAD).alias("found"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(rust.LEAD) == 1
+
+
+def test_first_rule_that_fits_the_end_of_a_piece_counts(spark):
+    """A head that two rules name: the first one that may end as the piece does; an empty head names nothing."""
+    rules = [braces.Rule("Block", r"^(\w+)"), braces.Rule("Bare", r"^(\w+)", block=False, bare=True), braces.Rule("Late", r"^(\w+)", bare=True)]
+    rows = spark.createDataFrame([("p", "a { } b; ; { }")], "path string, masked string")
+    found = rows.select(F.inline(braces.scan(F.col("masked"), F.col("path"), rules, r"^\s*+"))).collect()
+    assert [(r.kind, r.name) for r in found] == [("Block", "a"), ("Bare", "b")]
