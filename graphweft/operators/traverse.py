@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.schema import MAX_PATH_HOPS, KnowledgeGraph
-from graphweft.session import Scratch, seek_edges
+from graphweft.session import SEEK_KEYS, Scratch, rows_within, seek_edges
 
 DIRECTIONS = ("in", "out", "both")
 
@@ -47,47 +47,85 @@ def neighbors(graph: KnowledgeGraph, targets: DataFrame, depth: int = 1, directi
     other than ``in`` and ``out`` means both.
     """
     direction = direction if direction in DIRECTIONS else "both"
-    steps = incidences(graph.relationships, direction)
     wanted = targets.select(F.col("qualified_name").alias("near_qn"))
     ends = {"in": ["to_qn"], "out": ["from_qn"], "both": ["from_qn", "to_qn"]}[direction]
-    first = incidences(seek_edges(graph.relationships, graph.incoming, ends, wanted), direction)
-    trails = first.join(wanted, "near_qn", "left_semi").select(
+    scratch, relationships = Scratch(graph.entities.sparkSession), graph.relationships
+    many = depth > 1 and rows_within(wanted, SEEK_KEYS) is None
+    if depth > 1 and not many and graph.incoming is None:  # still to be computed, read several times
+        relationships = scratch.write(relationships.select("from_kind", "from_qn", "to_kind", "to_qn", "rel_type"), "edges")
+    names = graph.entities.select(F.col("kind").alias("far_kind"), F.col("qualified_name").alias("far_qn"), "name", F.lit(True).alias("known"))
+    steps = incidences(relationships, direction)
+    if many:
+        # From many targets an edge ends many trails: it is named once, not once per trail.
+        asked = wanted.distinct().withColumn("asked", F.lit(True))
+        steps = scratch.write(steps.join(names, ["far_kind", "far_qn"], "left").join(asked, "near_qn", "left"), "steps")
+        first = steps.where("asked")
+    else:
+        first = incidences(seek_edges(relationships, graph.incoming, ends, wanted), direction).join(wanted, "near_qn", "left_semi")
+    far = ["name", "known"] if many else []
+    trails = first.select(
         F.col("near_qn").alias("target"),
         F.col("far_kind").alias("kind"),
         F.col("far_qn").alias("qualified_name"),
         F.array("eid").alias("eids"),
         F.array("rel_type").alias("types"),
+        *far,
     )
-    levels = [trails]
+    levels, arriving = [trails], first
     for _ in range(depth - 1):
-        step = steps.toDF("kind", "qualified_name", "_far_kind", "_far_qn", "_type", "_eid")
+        middles, coming_rows, onward_rows = _middles(arriving, steps, direction, scratch)
+        if not coming_rows:
+            break
+        near = ["near_kind", "near_qn"]
+        onward = steps.join(middles.select(*near), near, "left_semi")
+        # The fewer rows are written, so that the optimizer sees that they are few.
+        coming = trails.drop(*far).join(middles.select(*near).toDF("kind", "qualified_name"), ["kind", "qualified_name"], "left_semi")
+        if onward_rows < coming_rows:
+            onward = met = scratch.write(onward, "onward")
+        else:
+            coming, met = scratch.write(coming, "coming"), steps
+        step = met.select("near_kind", "near_qn", F.col("far_kind").alias("_kind"), F.col("far_qn").alias("_qn"), "rel_type", "eid", *far)
         trails = (
-            trails.join(step, ["kind", "qualified_name"])
-            .where(~F.array_contains("eids", F.col("_eid")))
+            coming.join(step, (F.col("kind") == F.col("near_kind")) & (F.col("qualified_name") == F.col("near_qn")))
+            .where(~F.array_contains("eids", F.col("eid")))
             .select(
                 "target",
-                F.col("_far_kind").alias("kind"),
-                F.col("_far_qn").alias("qualified_name"),
-                F.array_append("eids", F.col("_eid")).alias("eids"),
-                F.array_append("types", F.col("_type")).alias("types"),
+                F.col("_kind").alias("kind"),
+                F.col("_qn").alias("qualified_name"),
+                F.array_append("eids", F.col("eid")).alias("eids"),
+                F.array_append("types", F.col("rel_type")).alias("types"),
+                *far,
             )
         )
         levels.append(trails)
-    reached = levels[0]
-    for level in levels[1:]:
-        reached = reached.unionByName(level)
-    # The name is joined on before the edge lists are unrolled: one probe per
-    # trail, not one per row.
-    names = graph.entities.select("kind", "qualified_name", "name")
-    return (
-        reached.select("target", "kind", "qualified_name", "types")
-        .join(names, ["kind", "qualified_name"])
-        .select(
-            "target", "name", "qualified_name", "kind", F.explode("types").alias("rel_type"), F.lit(direction).alias("direction")
-        )
+        arriving = onward
+    reached = reduce(DataFrame.unionByName, levels).drop("eids")
+    # The name is there before the edge lists are unrolled: one probe per
+    # trail at most, not one per row.
+    if not far:
+        reached = reached.join(names.withColumnsRenamed({"far_kind": "kind", "far_qn": "qualified_name"}), ["kind", "qualified_name"])
+    return reached.where("known").select(
+        "target", "name", "qualified_name", "kind", F.explode("types").alias("rel_type"), F.lit(direction).alias("direction")
     )
 
 
+def _middles(arriving: DataFrame, steps: DataFrame, direction: str, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """(near_kind, near_qn) of the nodes where edges arrive and a further step
+    begins, and how many edges arrive there and how many steps begin. Where an
+    edge shows from both ends, the one that arrives is itself such a step and
+    cannot be used again, so a second is asked for. Nodes of kinds that stand on
+    one side only are left out before anything is counted."""
+    kinds = [rows_within(df.select(kind).distinct(), SEEK_KEYS) for df, kind in ((arriving, "far_kind"), (steps, "near_kind"))]
+    if None not in kinds:
+        both = sorted({r[0] for r in kinds[0]} & {r[0] for r in kinds[1]} - {None})
+        arriving, steps = arriving.where(F.col("far_kind").isin(*both)), steps.where(F.col("near_kind").isin(*both))
+    came = arriving.groupBy(F.col("far_kind").alias("near_kind"), F.col("far_qn").alias("near_qn")).agg(F.count(F.lit(1)).alias("came"))
+    goes = steps.groupBy("near_kind", "near_qn").agg(F.count(F.lit(1)).alias("goes")).where(F.col("goes") > (1 if direction == "both" else 0))
+    middles = scratch.write(came.join(goes, ["near_kind", "near_qn"]), "middles")
+    rows = middles.agg(F.sum("came"), F.sum("goes")).first()
+    return middles, rows[0] or 0, rows[1] or 0
+
+
 def _node(qn: str, kind: str, seed: int) -> Column:
     """A node as a number; null where a part of its key is."""
     return F.when(F.col(qn).isNotNull() & F.col(kind).isNotNull(), F.xxhash64(F.lit(seed), F.col(qn), F.col(kind)))

@@ -78,6 +78,19 @@ def test_trails_of_random_graphs(spark, edges):
     check_trails(spark, list("abcd"), sorted(edges), 2)
 
 
+def test_trails_from_many_targets(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "SEEK_KEYS", 1)
+    check_trails(spark, ["a", "b", "c", "d"], [*FIXTURE, ("c", "d", "CALLS"), ("d", "a", "CALLS")], 3)
+
+
+def test_only_nodes_that_trails_pass_are_joined_again(spark):
+    edges = [("hub", f"leaf{i}", "CALLS") for i in range(20)] + [("root", "hub", "CALLS")]
+    steps = {d: traverse.incidences(make_graph(spark, ["root", "hub"], edges).relationships, d) for d in traverse.DIRECTIONS}
+    for direction, came, goes in (("out", 1, 20), ("in", 20, 1), ("both", 21, 21)):
+        middles, *rows = traverse._middles(steps[direction], steps[direction], direction, traverse.Scratch(spark))
+        assert [r.near_qn for r in middles.collect()] == ["hub"] and rows == [came, goes]
+
+
 def test_unknown_direction_means_both(spark):
     graph = make_graph(spark, ["a", "b"], [("a", "b", "CALLS")])
     assert {r.direction for r in traverse.neighbors(graph, graph.entities, 1, "sideways").collect()} == {"both"}
