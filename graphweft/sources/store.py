@@ -303,17 +303,18 @@ class GraphStore:
         bag = scratch.write(bag, "bag")
         ends = self._read(after, "entities", self._of(base, bag.select("from_qn"), bag.select("to_qn")))
         new = scratch.write(upsert.resolve(bag, ends), "edges")
-        lost = new.limit(0).select(*upsert.EDGE_COLUMNS)
-        if n_removed:
-            at = self._of(base, removed.select("qualified_name"))
-            out = self._read(base, "relationships", at).join(removed.toDF("from_kind", "from_qn"), ["from_kind", "from_qn"], "left_semi")
-            into = self._read(base, "incoming", at).join(removed.toDF("to_kind", "to_qn"), ["to_kind", "to_qn"], "left_semi")
-            lost = scratch.write(out.select(*upsert.EDGE_COLUMNS).unionByName(into.select(*upsert.EDGE_COLUMNS)), "lost")
+        gone = self._of(base, removed.select("qualified_name")) if n_removed else []
+
         def rewrite_edges(name: str) -> dict[int, str]:
             end = self._KEYS[name]
-            at = self._of(base, new.select(end), lost.select(end))
-            held = self._read(base, name, at).join(lost.select(*upsert.EDGE_KEY).distinct(), upsert.EDGE_KEY, "left_anti")
-            return self._write(base, upsert.merge_edges(held.select(*upsert.EDGE_COLUMNS), new), name, at)
+            lost = []  # with either end; each end is looked up where the buckets go by it
+            for held, side in (("relationships", "from"), ("incoming", "to")) if n_removed else ():
+                key = [f"{side}_kind", f"{side}_qn"]
+                lost.append(self._read(base, held, gone).join(removed.toDF(*key), key, "left_semi").select(end))
+            at = self._of(base, new.select(end), *lost)
+            held = self._read(base, name, at)
+            held = upsert.detach(held, removed) if n_removed else held
+            return self._write(base, upsert.merge_edges(held, new), name, at)
 
         def rewrite_rows(name: str) -> dict[int, str]:
             rows = by_path[name]

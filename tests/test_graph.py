@@ -78,6 +78,17 @@ def test_trails_of_random_graphs(spark, edges):
     check_trails(spark, list("abcd"), sorted(edges), 2)
 
 
+def test_few_new_edges_do_not_shuffle_the_stored_ones(spark, tmp_path):
+    stored = make_graph(spark, [], [("a", "b", "CALLS"), ("b", "c", "CALLS")]).relationships
+    new = make_graph(spark, [], [("a", "b", "CALLS"), ("c", "a", "CALLS")]).relationships.withColumn("line", F.lit(7))
+    for name, df in (("stored", stored), ("new", new)):
+        df.select(*upsert.EDGE_COLUMNS).write.parquet(f"{tmp_path}/{name}")
+    merged = upsert.merge_edges(*(spark.read.schema(EDGE).parquet(f"{tmp_path}/{n}") for n in ("stored", "new")))
+    assert {(r.from_qn, r.to_qn, r.line) for r in merged.collect()} == {("a", "b", 7), ("b", "c", None), ("c", "a", 7)}
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
 def test_trails_from_many_targets(spark, monkeypatch):
     monkeypatch.setattr(traverse, "SEEK_KEYS", 1)
     check_trails(spark, ["a", "b", "c", "d"], [*FIXTURE, ("c", "d", "CALLS"), ("d", "a", "CALLS")], 3)
