@@ -3,10 +3,15 @@
 A candidate method puts sets into cells so that similar sets meet in at least
 one. Here the pairs that meet are verified, without emitting the pairs of a cell:
 
-1. Each set is compared with the smallest member of its cells (one pair a set),
-   then in further rounds with a member of another component of a cell of its.
-   In a group of copies this already joins nearly all.
-2. Cells whose members are still in more than one component are searched in
+1. Cells are shuffled once, as blocks of *words*: the upper bits of a word name the
+   cell, the lower ``SKETCH_BITS`` are a sketch by which a method may tell members
+   of a cell apart (see ``ngram_join``). A set stays in a cell with a member whose
+   sketch is near its own.
+2. Each set is compared with the smallest such member (one pair a set), then in
+   further rounds with a member of another component of a cell of its. In a group
+   of copies this already joins nearly all. Pairs are bounded by the parities of
+   their sets, where these are given, before the sets themselves are fetched.
+3. Cells whose members are still in more than one component are searched in
    blocks of at most ``BLOCK`` members by a packed R-tree over group counts.
    Only pairs of different components whose overlap bound, the sum of coordinate
    minima, reaches the threshold come out; they are verified exactly.
@@ -40,6 +45,15 @@ LEAST_GROUPS = 64
 BROADCAST_ROWS = 250_000
 #: Entries of a leaf of the packed tree.
 LEAF = 32
+#: Lower bits of a word, and how many of them differ at most in members of a cell that are compared.
+SKETCH_BITS, MOST_APART = 24, 4
+#: Members of a cell whose sketches are compared with one another; in a larger cell all members stay.
+SKETCHED = 2048
+#: Words in a bucket, on average, and in the rows that a task holds before it sends them.
+BUCKET_WORDS, SENT_WORDS = 1 << 20, 1 << 20
+LEAST_BITS, MOST_BITS = 6, 16
+#: Bits of the parities of a set at least.
+LEAST_PARITIES = 64
 
 
 def point(items: np.ndarray) -> np.ndarray:
@@ -52,6 +66,28 @@ def point(items: np.ndarray) -> np.ndarray:
     return np.full(groups, 255, np.uint8) if counts.max(initial=0) > 255 else counts.astype(np.uint8)
 
 
+def parities(items: np.ndarray) -> bytes:
+    """Whether the members of a set in each group are odd in number, as bits. There are as many
+    groups as members or more, a power of two. Two sets differ in as many members as bits, or more."""
+    groups = max(LEAST_PARITIES, 1 << max(0, len(items) - 1).bit_length())
+    at = (mix(items ^ np.uint64(0x3C79AC492BA7B653)) & np.uint64(groups - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=groups).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """The least number of members in one of two sets only, from their parities."""
+    groups = min(len(x), len(y)) * 8
+
+    def fewer(p: bytes) -> int:
+        bits, n = int.from_bytes(p, "little"), len(p) * 8
+        while n > groups:
+            n //= 2
+            bits = (bits >> n) ^ (bits & ((1 << n) - 1))
+        return bits
+
+    return (fewer(x) ^ fewer(y)).bit_count()
+
+
 def folded(points: list[bytes], groups: int) -> np.ndarray:
     """Points of as many coordinates or more, brought to ``groups`` by adding up."""
     rows = (np.frombuffer(p, np.uint8) for p in points)
@@ -105,6 +141,103 @@ def _small_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, start
     return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
+def _sent(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words and the sets that hold them, a row for each bucket: words with the same upper bits."""
+
+    def rows(uids: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
+        words, uids = np.concatenate(words), np.concatenate(uids)
+        bucket = (words >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        names, first = np.unique(bucket[order], return_index=True)
+        parts = np.split(order, first[1:])
+        # the bytes of the ids by their place: most are equal, which compresses well
+        ids = [uids[p].view(np.uint8).reshape(-1, 8).T.tobytes() for p in parts]
+        columns = [pa.array(names.astype(np.int32)), pa.array([words[p].tobytes() for p in parts], pa.binary()), pa.array(ids, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "words", "uids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids, words, held = [], [], 0
+        for batch in batches:
+            own = batch["words"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = batch["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            uids.append(np.repeat(batch["uid"].to_numpy(zero_copy_only=False), sizes))
+            words.append(own)
+            held += len(own)
+            if held >= SENT_WORDS:
+                yield rows(uids, words)
+                uids, words, held = [], [], 0
+        if held:
+            yield rows(uids, words)
+
+    return run
+
+
+def sharing(words: np.ndarray, uids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, set, smallest other set with a sketch near its own, whether there are more of
+    these) for the words of whole cells. Members of a very large cell are all taken as near."""
+    mask, top = np.uint64((1 << SKETCH_BITS) - 1), np.iinfo(np.int64).max
+    order = np.argsort(words)
+    words, uids = words[order], uids[order]
+    cell = words >> np.uint64(SKETCH_BITS)
+    n = np.diff(np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))) if len(cell) else np.empty(0, np.int64)
+    held = np.repeat(n > 1, n)
+    cell, words, uids, n = cell[held], words[held] & mask, uids[held], n[n > 1]
+    starts = np.cumsum(n) - n
+    after = np.repeat(starts + n, n) - np.arange(len(uids)) - 1
+    least, times = np.full(len(uids), top), np.zeros(len(uids), np.int64)
+    whole = (n > SKETCHED) | (words[starts] == words[starts + n - 1])  # also where all sketches are equal
+    rows, step = np.flatnonzero((after > 0) & ~np.repeat(whole, n)), 1
+    while len(rows):  # each row with the one ``step`` places on
+        near = (np.bitwise_count(words[rows] ^ words[rows + step]) <= MOST_APART) & (uids[rows] != uids[rows + step])
+        for a, b in ((rows[near], rows[near] + step), (rows[near] + step, rows[near])):
+            least[a] = np.minimum(least[a], uids[b])
+            times[a] += 1
+        step += 1
+        rows = rows[after[rows] >= step]
+    if whole.any():
+        own, size = np.repeat(whole, n), n[whole]
+        ids, begin = uids[own], np.cumsum(size) - size
+        low = np.repeat(np.minimum.reduceat(ids, begin), size)
+        second = np.repeat(np.minimum.reduceat(np.where(ids == low, top, ids), begin), size)
+        least[own] = np.where(ids == low, second, low)
+        times[own] = np.where(second < top, np.repeat(np.minimum(size - 1, 2), size), 0)
+    keep = times > 0
+    return cell[keep].view(np.int64), uids[keep], least[keep], times[keep] > 1
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; one bucket is held."""
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        found = sharing(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (*[pa.int64()] * 3, pa.bool_()), strict=True)], ["cell", "uid", "pivot", "more"])
+
+    bucket, held = None, []
+    for batch in batches:
+        for own, words, uids in zip(batch["bucket"].to_pylist(), batch["words"], batch["uids"], strict=True):
+            if own != bucket and held:
+                yield rows(held)
+                held = []
+            bucket = own
+            ids = np.frombuffer(uids.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+            held.append((np.frombuffer(words.as_buffer(), np.uint64).copy(), ids))
+    if held:
+        yield rows(held)
+
+
+def _within(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose parities allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch["n"].to_numpy() + batch["m"].to_numpy()
+            apart = np.array([least_apart(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)], np.int64)
+            keep = pa.array(apart <= total - 2 * least_overlap(total, num, den))
+            yield pa.RecordBatch.from_arrays([batch["uid"], batch["head"]], ["uid", "head"]).filter(keep)
+
+    return run
+
+
 def _search(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by cell and block pair; a group, at most two blocks, is kept until it is whole."""
 
@@ -185,16 +318,41 @@ def _pairs(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(id, component) of the sets that are linked with another, from a row (cell, uid;
+    longs) for each cell of each set. See ``link_words``."""
+    mask = ~((1 << SKETCH_BITS) - 1)
+    words = cells.select("uid", F.array(F.xxhash64("cell").bitwiseAND(F.lit(mask).cast("long"))).alias("words"))
+    return link_words(words, cells.count(), fetch, num, den, scratch)
+
+
+def link_words(
+    words: DataFrame, total: int, fetch: Callable[[DataFrame, bool], DataFrame], num: int, den: int, scratch: Scratch, bounds: DataFrame | None = None
+) -> DataFrame:
     """(id, component) of the sets that are linked with another.
 
-    cells: (cell, uid) longs, a row for each cell of each set. fetch: adds to a
-    table with columns uid, head and salt the column items, the set's members as
-    sorted 64-bit hashes; repeated rows do no harm; its second argument says that
-    the table has at most ``BROADCAST_ROWS`` rows, by count. Sets x and y are linked when
-    den * |x and y| >= num * |x or y|.
+    words: (uid, words), a long and an array of longs; two linked sets have a cell in
+    common in which their sketches differ in ``MOST_APART`` bits at most. total: about
+    how many words there are. fetch: adds to a table with columns uid, head and salt the
+    column items, the set's members as sorted 64-bit hashes; repeated rows do no harm; its
+    second argument says that the table has at most ``BROADCAST_ROWS`` rows, by count.
+    bounds: (uid, n, parities) of the sets, if there are such. Sets x and y are linked
+    when den * |x and y| >= num * |x or y|.
     """
-    crowd = cells.groupBy("cell").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = scratch.write(cells.join(crowd.drop("size"), "cell"), "met")
+    bits = min(MOST_BITS, max(LEAST_BITS, (total // BUCKET_WORDS).bit_length()))
+    sent = words.mapInArrow(_sent(bits), "bucket int, words binary, uids binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = scratch.write(sent.mapInArrow(_met, "cell long, uid long, pivot long, more boolean"), "met")
+
+    def bounded(asked: DataFrame) -> DataFrame:
+        if bounds is None:
+            return asked
+        both = asked.join(bounds.toDF("uid", "n", "x"), "uid").join(bounds.toDF("head", "m", "y"), "head")
+        return both.mapInArrow(_within(num, den), "uid long, head long")
+
+    near = met.select("uid", F.col("pivot").alias("head")).distinct()
+    if bounds is not None:
+        near = scratch.write(bounded(near), "near")
+        held = met.join(near.select("uid", F.col("head").alias("pivot"), F.lit(True).alias("near")), ["uid", "pivot"], "left")
+        met = scratch.write(held.where("more or near").select("cell", "uid"), "met")
 
     def fetched(roles: DataFrame) -> DataFrame:
         roles, rows, _ = scratch.write_counted(roles.select("uid", "head", "salt"), "roles")
@@ -202,7 +360,7 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: i
 
     def star(asked: DataFrame) -> DataFrame:
         """Links found by comparing each set with one head; a head of many is copied to several tasks."""
-        asked = scratch.write(asked.where("uid <> head"), "asked")
+        asked = scratch.write(asked, "asked")
         heads = scratch.write(asked.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HEAD_ROWS).alias("salts")), "heads")
         members = asked.join(heads, "head").withColumn("salt", F.pmod(F.xxhash64("uid"), "salts"))
         copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
@@ -212,7 +370,7 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: i
         dealt = dealt.sortWithinPartitions("head", "salt", F.col("uid") != F.col("head")).select("uid", "head", "items")
         return scratch.write(dealt.mapInArrow(_from_heads(num, den), "a long, b long"), "links")
 
-    links = star(met.groupBy("uid").agg(F.min("pivot").alias("head")))
+    links = star(near.groupBy("uid").agg(F.min("head").alias("head")))
     for turn in range(STARS):
         parts = scratch.write(components(links, scratch), "parts")
         seen = met.select("cell", "uid").join(parts.toDF("uid", "part"), "uid", "left")
@@ -229,7 +387,7 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: i
             F.max_by("uid", F.struct("part", F.xxhash64("uid", F.lit(turn)))).alias("last"),
         )
         asked = left.join(ends, "cell").withColumn("head", F.when(F.col("part") == F.col("hi"), F.col("first")).otherwise(F.col("last")))
-        links = links.unionByName(star(asked.groupBy("uid").agg(F.min("head").alias("head"))))
+        links = links.unionByName(star(bounded(asked.groupBy("uid").agg(F.min("head").alias("head")).where("uid <> head"))))
     parts = parts.toDF("id", "component")
     if not rows:
         return parts

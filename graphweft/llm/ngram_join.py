@@ -12,10 +12,16 @@ class, range and the counts in it. Cells are long integers and are joined by
 equality, which needs no pairs and no broadcast. Members of a cell are searched
 by boxes and points with the bound, then verified exactly (``linking``).
 
+With D differences in D + 1 ranges, one of the ranges two texts agree in also begins
+a run of ``CHAIN`` ranges, the last followed by the first, with less than CHAIN
+differences (else the runs that follow one another from there would count more than
+D in all). So a cell carries the parities of its run in ``SKETCH_BITS`` groups, and
+two members whose parities differ in more than ``MOST_APART`` bits need not meet there.
+
 A range that is empty in both points says nothing and would gather unlike
 texts; a text with an empty range takes part in a further grouping, drawn
 anew, instead (``FAMILIES`` of them; one is enough for ``MANY_RANGES``). A pair is lost only if all ranges it
-agrees in are empty in each grouping: under 10^-8 for the shortest texts.
+agrees in, with such a run, are empty in each grouping: under 10^-8 for the shortest texts.
 
 Texts with equal sets are one class from the start and never compared.
 """
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.linking import link
+from graphweft.llm.linking import SKETCH_BITS, link_words, parities
 from graphweft.llm.words import each_text, mix, shingles
 from graphweft.session import Scratch
 
@@ -39,6 +45,8 @@ CLASS_RATIO = 1.4
 #: Coordinates in a range of the point.
 RANGE = 64
 FAMILIES = 7
+#: Ranges whose parities stand beside a cell; ``MOST_APART`` is CHAIN - 1 or more.
+CHAIN = 4
 #: With so many ranges a pair agrees in ten or more, and not all of them are empty.
 MANY_RANGES = 64
 
@@ -57,8 +65,20 @@ def _differences(most: int, num: int, den: int) -> int:
     return max(0, *(total - 2 * -(-num * total // (num + den)) for total in (2 * most - 1, 2 * most)))
 
 
+def _runs(bits: np.ndarray) -> np.ndarray:
+    """The parities of CHAIN ranges from each on; of all, if there are fewer."""
+    if len(bits) <= CHAIN:
+        return np.full(len(bits), np.bitwise_xor.reduce(bits))
+    return np.bitwise_xor.reduce([np.roll(bits, -i) for i in range(CHAIN)])
+
+
 def set_cells(items: np.ndarray, num: int, den: int) -> np.ndarray:
     """The cells of one set of distinct 64-bit hashes."""
+    return set_words(items, num, den) >> np.uint64(SKETCH_BITS)
+
+
+def set_words(items: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The cells of one set of distinct 64-bit hashes, each above the sketch of its run."""
     n = len(items)
     if n == 0:
         return np.empty(0, np.uint64)
@@ -78,7 +98,10 @@ def set_cells(items: np.ndarray, num: int, den: int) -> np.ndarray:
             np.add.at(counts, at, group)
             filled = np.bincount(at, minlength=ranges) > 0
             key = (np.uint64(c) << np.uint64(40)) + (np.arange(ranges, dtype=np.uint64) << np.uint64(4)) + np.uint64(family)
-            out.append(mix(counts ^ mix(key))[filled])
+            bits = np.zeros(ranges, np.uint64)
+            np.bitwise_xor.at(bits, at, np.uint64(1) << ((place >> np.uint64(8)) % np.uint64(1 << 32) * np.uint64(SKETCH_BITS) >> np.uint64(32)))
+            cells = mix(counts ^ mix(key)) >> np.uint64(SKETCH_BITS) << np.uint64(SKETCH_BITS)
+            out.append((cells | _runs(bits))[filled])
             if filled.all() or ranges >= MANY_RANGES:
                 break
     return np.concatenate(out)
@@ -88,16 +111,17 @@ def _features(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, words in each_text(batch["text"]):
-                sizes, keys, cells = [], [], []
+                sizes, keys, cells, bits = [], [], [], []
                 for i in range(len(words.ranges) - 1):
                     items = np.unique(shingles(words.of(i), k))
                     sizes.append(len(items))
                     keys.append(_key(items.tobytes()) if len(items) else None)
-                    cells.append(set_cells(items, num, den).view(np.int64))
+                    cells.append(set_words(items, num, den).view(np.int64))
+                    bits.append(parities(items))
                 ids, marks = batch["doc_id"].slice(at, len(sizes)), batch["mark"].slice(at, len(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, marks, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64()))],
-                    ["doc_id", "mark", "n_shingles", "set_key", "cells"],
+                    [ids, marks, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["doc_id", "mark", "n_shingles", "set_key", "words", "parities"],
                 )
 
     return run
@@ -140,18 +164,19 @@ def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_features(k, num, den), "doc_id long, mark long, n_shingles long, set_key binary, cells array<long>")
+    made = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_features(k, num, den), "doc_id long, mark long, n_shingles long, set_key binary, words array<long>, parities binary")
     texts = scratch.write(made.withColumn("uid", F.monotonically_increasing_id()), "texts")
     kinds = texts.where("set_key is not null").groupBy("set_key")
     kinds = scratch.write(kinds.agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "kinds")
-    cells = texts.join(kinds.select("uid"), "uid", "left_semi").select(F.explode("cells").alias("cell"), "uid")
+    words = texts.join(kinds.select("uid"), "uid", "left_semi").select("uid", "words")
+    total = texts.agg(F.sum(F.size("words"))).first()[0] or 0
 
     def fetch(uids: DataFrame, few: bool) -> DataFrame:
         wanted = uids.join(texts.select("uid", F.col("doc_id").alias("of"), "set_key"), "uid")
         found = docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["of"])).drop("doc_id", "of")
         return found.mapInArrow(_items(k), "uid long, head long, salt long, items binary")
 
-    parts = link(cells, fetch, num, den, scratch).toDF("uid", "part")
+    parts = link_words(words, total, fetch, num, den, scratch, texts.select("uid", "n_shingles", "parities")).toDF("uid", "part")
     whole = kinds.join(parts, "uid", "left").select("set_key", "least", F.coalesce("part", "uid").alias("part"))
     least = whole.groupBy("part").agg(F.min("least").alias("component_id"))
     named = whole.join(least, "part").select("set_key", "component_id", "part")

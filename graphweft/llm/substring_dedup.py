@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.linking import link
+from graphweft.llm.linking import SKETCH_BITS, link_words
 from graphweft.llm.words import Words, _powers, each_text, mix, shingles
 from graphweft.session import Scratch
 
@@ -103,6 +103,7 @@ def _paragraphs(bands: int, rows: int):
                     least = np.minimum.reduceat((grams ^ plus[h]) * times[h], begin)
                     cells[:, h // rows] = mix(cells[:, h // rows] ^ least + np.uint64(h))
                 keys = [hashlib.blake2b(words.hashes[a : a + n].tobytes(), digest_size=16).digest() for a, n in zip(first, count, strict=True)]
+                cells = cells >> np.uint64(SKETCH_BITS) << np.uint64(SKETCH_BITS)
                 pick = pa.array(owner + at)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -110,7 +111,7 @@ def _paragraphs(bands: int, rows: int):
                         pa.array(words.ends[first + count - 1] - offsets[owner], pa.int64()), pa.array(count), pa.array(keys, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * bands, pa.int32()), pa.array(cells.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "doc", "begin", "end", "n_words", "key", "cells"],
+                    ["doc_id", "doc", "begin", "end", "n_words", "key", "words"],
                 )
 
     return run
@@ -285,13 +286,14 @@ def _passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _clusters(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(doc, doc_id, begin, end, n_words, cluster, removed) of paragraphs that have a like."""
-    schema = "doc_id long, doc long, begin long, end long, n_words long, key binary, cells array<long>"
-    made = docs.mapInArrow(_paragraphs(*tuned_bands(num / den)), schema)
-    lines = scratch.write(made.withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
+    schema = "doc_id long, doc long, begin long, end long, n_words long, key binary, words array<long>"
+    bands, rows = tuned_bands(num / den)
+    made = docs.mapInArrow(_paragraphs(bands, rows), schema)
+    lines, n, _ = scratch.write_counted(made.withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
     place: Column = F.struct("doc_id", "doc", "begin")
     kinds = lines.groupBy("key").agg(F.min("uid").alias("uid"), F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     kinds = scratch.write(kinds, "kinds")
-    cells = lines.join(kinds.select("uid"), "uid", "left_semi").select(F.explode("cells").alias("cell"), "uid")
+    words = lines.join(kinds.select("uid"), "uid", "left_semi").select("uid", "words")
 
     def fetch(uids: DataFrame, few: bool) -> DataFrame:
         wanted = uids.join(lines.select("uid", "doc", "begin", "end"), "uid")
@@ -299,11 +301,11 @@ def _clusters(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
         found = docs.select("doc", "text").join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc")
         return found.select("text", "wanted").mapInArrow(_sets, "uid long, head long, salt long, items binary")
 
-    parts = link(cells, fetch, num, den, scratch).toDF("uid", "part")
+    parts = link_words(words, n * bands, fetch, num, den, scratch).toDF("uid", "part")
     whole = kinds.join(parts, "uid", "left").where("part is not null or times > 1").withColumn("part", F.coalesce("part", "uid"))
     kept = whole.groupBy("part").agg(F.min("first").alias("kept"))
     named = scratch.write(whole.join(kept, "part").select("key", "part", "kept"), "named")
-    out = lines.drop("cells", "uid").join(named, "key")
+    out = lines.drop("words", "uid").join(named, "key")
     return out.select("doc", "doc_id", "begin", "end", "n_words", F.col("part").alias("cluster"), (place != F.col("kept")).alias("removed"))
 
 

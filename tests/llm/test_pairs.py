@@ -81,6 +81,44 @@ def test_more_ranges_than_differences(num):
             assert ngram_join._differences(most, num, 100) >= (total - 2 * need).max()
 
 
+@pytest.mark.parametrize(("num", "sizes"), [(80, (5, 12, 30, 90, 200, 400)), (90, (10, 20, 60, 150, 400, 700))])
+def test_pairs_at_the_threshold_meet_with_near_sketches(num, sizes):
+    rng = np.random.default_rng(num)
+    for n in sizes:
+        for _ in range(150):
+            more = int(rng.integers(0, 100 * n // num - n + 1))  # the larger set has so many members more
+            total = 2 * n + more
+            both = linking.least_overlap(np.array(total), num, 100)
+            items = rng.integers(0, 2**62, total - both).astype(np.uint64)
+            x, y = np.sort(items[:n]), np.sort(items[n - both :])
+            words = np.concatenate([ngram_join.set_words(v, num, 100) for v in (x, y)])
+            uids = np.repeat([1, 2], [len(ngram_join.set_words(v, num, 100)) for v in (x, y)])
+            assert set(linking.sharing(words, uids)[1].tolist()) == {1, 2}, (n, more)
+            assert linking.least_apart(linking.parities(x), linking.parities(y)) <= total - 2 * both
+
+
+def test_unlike_members_of_a_cell_do_not_stay():
+    cell = np.uint64(77 << linking.SKETCH_BITS)
+    words = cell | np.array([0b1, 0b11, 0xFFFF00, 0x0FF000, 0x3], np.uint64)
+    cells, uids, least, more = linking.sharing(np.append(words, np.uint64(1 << 40)), np.array([5, 3, 8, 9, 4, 1]))
+    assert sorted(zip(uids.tolist(), least.tolist(), more.tolist())) == [(3, 4, True), (4, 3, True), (5, 3, True)] and set(cells.tolist()) == {77}
+    same = linking.sharing(np.full(4000, cell), np.arange(4000)[::-1])
+    assert dict(zip(same[1].tolist(), same[2].tolist())) == {0: 1} | {i: 0 for i in range(1, 4000)} and same[3].all()
+    assert len(linking.sharing(np.full(3, cell), np.full(3, 6))[1]) == 0 and len(linking.sharing(words[:0], np.arange(0))[1]) == 0
+
+
+def test_few_of_unlike_texts_are_taken_for_candidates():
+    # texts of the same few common passages and else unlike: nearly all used to stay in cells
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2**62, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**62, 300).astype(np.uint64)])) for _ in range(200)]
+    words = [ngram_join.set_words(s, 80, 100) for s in sets]
+    flat, uids = np.concatenate(words), np.repeat(np.arange(200), [len(w) for w in words])
+    _, at, n = np.unique(flat >> np.uint64(linking.SKETCH_BITS), return_inverse=True, return_counts=True)
+    shared = int((n[at] > 1).sum())
+    assert shared > 500 and len(linking.sharing(flat, uids)[1]) < shared / 20
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert ngram_join.similar_texts(docs_of().limit(0)).count() == 0
 
