@@ -43,6 +43,8 @@ MOST_HASHES = 48
 #: Words of an anchor, and how many runs of so many words in a row have one anchor at least: a
 #: repeated passage of ANCHOR + SPREAD - 1 words or more holds one that is the same in each copy.
 ANCHOR, SPREAD = 10, 21
+#: Buckets of anchors, and anchors that a task holds before it sends them.
+ANCHOR_BUCKETS, SENT_ANCHORS = 1024, 1 << 19
 #: Words to either side of an anchor that are compared; the next anchor is not further away.
 CONTEXT = 24
 
@@ -179,6 +181,78 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "doc", "at", "gap"])
 
 
+_ANCHOR = ["anchor", "doc_id", "doc", "at", "gap"]
+
+
+def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the rows by anchor, the group in it of each row), rows of anchors of
+    one document left out."""
+    anchor, doc = table["anchor"].to_numpy(), table["doc"].to_numpy()
+    order = np.lexsort((doc, anchor))
+    anchor, doc = anchor[order], doc[order]
+    starts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    n = np.diff(np.append(starts, len(anchor)))
+    many = doc[starts] != doc[starts + n - 1]
+    return order[np.repeat(many, n)], np.repeat(np.arange(many.sum()), n[many])
+
+
+def _sent_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors, a row for each bucket of them. Of an anchor that two documents of this task
+    share, two rows go to its bucket; the others, known to be shared, go to a bucket below 0
+    that is drawn by place, so that a hot anchor is dealt over many tasks."""
+
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        bucket = (table["anchor"].to_numpy().view(np.uint64) % np.uint64(ANCHOR_BUCKETS)).astype(np.int32)
+        order, group = _shared(table)
+        ends = np.append(True, group[1:] != group[:-1]) | np.append(group[1:] != group[:-1], True)
+        rest = order[~ends] if len(order) else order
+        bucket[rest] = -1 - np.arange(len(rest)) // 256 % ANCHOR_BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        names, first = np.unique(bucket[order], return_index=True)
+        stops = pa.array(np.append(first, len(order)), pa.int32())
+        table = table.take(pa.array(order)).combine_chunks()
+        lists = [pa.ListArray.from_arrays(stops, table[c].chunk(0)) for c in _ANCHOR]
+        return pa.RecordBatch.from_arrays([pa.array(names), *lists], ["bucket", *_ANCHOR])
+
+    held, n = [], 0
+    for batch in _anchors(batches):
+        held.append(batch)
+        n += batch.num_rows
+        if n >= SENT_ANCHORS:
+            yield rows(held)
+            held, n = [], 0
+    if n:
+        yield rows(held)
+
+
+def _met_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; the anchors of one bucket are held, and those that are in
+    several documents come out."""
+
+    def rows(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        table = pa.concat_tables(held).combine_chunks()
+        return table.take(pa.array(_shared(table)[0])).combine_chunks().to_batches()
+
+    bucket, held = None, []
+    for batch in batches:
+        names = batch["bucket"].to_numpy()
+        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
+        for a, z in zip(starts, np.append(starts, len(names))[1:], strict=True):
+            part = batch.slice(int(a), int(z - a))
+            table = pa.table({c: part[c].flatten() for c in _ANCHOR})
+            if names[a] < 0:
+                yield from table.to_batches()
+                continue
+            if names[a] != bucket and held:
+                yield from rows(held)
+                held = []
+            bucket = names[a]
+            held.append(table)
+    if held:
+        yield from rows(held)
+
+
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the anchors that stand wanted beside a text: where their run begins and ends
     if it is that of ``at``; where an end is open, the words there and their bytes, outwards."""
@@ -257,11 +331,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, doc_id, begin, end, n_words, cluster, removed) of runs of words that a smaller document has too."""
-    anchors = docs.mapInArrow(_anchors, "anchor long, doc_id long, doc long, at long, gap long")
-    anchors = scratch.write(anchors, "anchors")
-    # few anchors are shared: they are found from narrow rows, and only their rows are looked at whole
-    held = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("anchor")
-    shared = scratch.write(anchors.join(scratch.write(held, "held"), "anchor", "left_semi"), "shared")
+    # few anchors are shared; all are shuffled once, as blocks
+    lists = ", ".join(f"{c} array<long>" for c in _ANCHOR)
+    sent = docs.mapInArrow(_sent_anchors, f"bucket int, {lists}").repartition("bucket").sortWithinPartitions("bucket")
+    shared = scratch.write(sent.mapInArrow(_met_anchors, ", ".join(f"{c} long" for c in _ANCHOR)), "shared")
     # written, so that the join has an exchange of its own and a hot anchor's rows can be split
     first = scratch.write(shared.groupBy("anchor").agg(F.min(F.struct("doc_id", "doc", "at", "gap")).alias("first")), "first")
     found = shared.join(first, "anchor").where("doc <> first.doc").select(
