@@ -24,10 +24,10 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def _matching(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of ``docs`` for each (doc_id, mark), the hash of its text, in ``kept``."""
-    held = docs.withColumn("mark", F.xxhash64(F.col("text").cast("string")))
-    kept = kept.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))
-    return held.join(kept, same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    # keys without nulls: rows are told apart and joined in one shuffle of the texts
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("none"), "mark"]
+    held = docs.withColumn("mark", F.xxhash64(F.col("text").cast("string"))).select("*", *keys[:2]).dropDuplicates(["id", "none", "mark"])
+    return held.join(kept.select(*keys), ["id", "none", "mark"], "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids, and whether the ids decode to the text's bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), path, public_tokenizers.PATTERN), path)
+    coded = byte_bpe.encode_decode(docs.select(*COLUMNS), path, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -163,6 +163,14 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.mapInArrow(_encoding(ranks, tokens, pattern), schema)
 
 
+def _table(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens by rank."""
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 def _decoding(table: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +190,14 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     Null ids decode to null, an empty array to no bytes; an id that is not in
     the vocabulary is an error."""
     ranks, _ = vocabulary(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
     coded = coded.drop("decoded")
-    return coded.mapInArrow(_decoding(table), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
+    return coded.mapInArrow(_decoding(_table(ranks)), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``decode(encode(docs, path, pattern), path)`` in one pass, so that a task needs one Python worker."""
+    ranks, tokens = vocabulary(path)
+    docs = docs.drop("ids", "decoded").withColumn("text", F.col("text").cast("string"))
+    code, back = _encoding(ranks, tokens, pattern), _decoding(_table(ranks))
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    return docs.mapInArrow(lambda batches: back(code(batches)), schema)

@@ -326,7 +326,7 @@ def link(cells: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], num: i
 
 
 def link_words(
-    words: DataFrame, total: int, fetch: Callable[[DataFrame, bool], DataFrame], num: int, den: int, scratch: Scratch, bounds: DataFrame | None = None
+    words: DataFrame, total: int, fetch: Callable[..., DataFrame], num: int, den: int, scratch: Scratch, bounds: DataFrame | None = None, whole: bool = False
 ) -> DataFrame:
     """(id, component) of the sets that are linked with another.
 
@@ -335,6 +335,8 @@ def link_words(
     how many words there are. fetch: adds to a table with columns uid, head and salt the
     column items, the set's members as sorted 64-bit hashes; repeated rows do no harm; its
     second argument says that the table has at most ``BROADCAST_ROWS`` rows, by count.
+    whole: fetch takes a third argument, a function of the batches it makes and their
+    columns, and returns its rows instead; a task then needs one Python worker, not two.
     bounds: (uid, n, parities) of the sets, if there are such. Sets x and y are linked
     when den * |x and y| >= num * |x or y|.
     """
@@ -354,9 +356,9 @@ def link_words(
         held = met.join(near.select("uid", F.col("head").alias("pivot"), F.lit(True).alias("near")), ["uid", "pivot"], "left")
         met = scratch.write(held.where("more or near").select("cell", "uid"), "met")
 
-    def fetched(roles: DataFrame) -> DataFrame:
+    def fetched(roles: DataFrame, *then: tuple[Callable, str]) -> DataFrame:
         roles, rows, _ = scratch.write_counted(roles.select("uid", "head", "salt"), "roles")
-        return fetch(roles, rows <= BROADCAST_ROWS)
+        return fetch(roles, rows <= BROADCAST_ROWS, *then)
 
     def star(asked: DataFrame) -> DataFrame:
         """Links found by comparing each set with one head; a head of many is copied to several tasks."""
@@ -393,9 +395,9 @@ def link_words(
         return parts
 
     alone = lambda uids: uids.select("uid", F.col("uid").alias("head"), F.lit(0).cast("long").alias("salt"))
-    points = fetched(alone(left.select("uid").distinct())).select("uid", "items")
-    points = points.mapInArrow(_points, "uid long, n long, point binary").dropDuplicates(["uid"])
-    points = scratch.write(points, "points")
+    asked = alone(left.select("uid").distinct())
+    points = fetched(asked, (_points, _POINT)) if whole else fetched(asked).select("uid", "items").mapInArrow(_points, _POINT)
+    points = scratch.write(points.dropDuplicates(["uid"]), "points")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     salted = left.withColumn("mine", F.pmod(F.xxhash64("uid"), "blocks")).withColumn("with", blocks)
     salted = salted.select(
@@ -414,6 +416,28 @@ def link_words(
     return components(links.unionByName(more), scratch).toDF("id", "component")
 
 
+_POINT = "uid long, n long, point binary"
+ITEMS = "uid long, head long, salt long, items binary"
+
+
+def in_one_pass(found: DataFrame, make: Callable, then: tuple[Callable, str] | None) -> DataFrame:
+    """``found`` through ``make``, whose columns are ITEMS, and through ``then`` in the same Python worker."""
+    if then is None:
+        return found.mapInArrow(make, ITEMS)
+    after, columns = then
+    return found.mapInArrow(lambda batches: after(make(batches)), columns)
+
+
+def without_copies(rows: DataFrame, kinds: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``rows`` that are the first of their kind (``key``, uid). The others are few as a
+    rule and go to the rows by broadcast, so that the rows are not shuffled."""
+    first = kinds.select(key, F.col("uid").alias("first"))
+    copies = rows.select(key, "uid").join(first, key).where("uid <> first").select("uid")
+    copies, n, _ = scratch.write_counted(copies, "copies")
+    copies = copies.hint("broadcast" if n <= BROADCAST_ROWS else "shuffle_hash")
+    return rows.where(F.col(key).isNotNull()).join(copies, "uid", "left_anti")
+
+
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["items"]]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.linking import SKETCH_BITS, link_words, parities
+from graphweft.llm.linking import SKETCH_BITS, in_one_pass, link_words, parities, without_copies
 from graphweft.llm.words import each_text, mix, shingles
 from graphweft.session import Scratch
 
@@ -168,15 +168,15 @@ def similar_texts(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     texts = scratch.write(made.withColumn("uid", F.monotonically_increasing_id()), "texts")
     kinds = texts.where("set_key is not null").groupBy("set_key")
     kinds = scratch.write(kinds.agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "kinds")
-    words = texts.join(kinds.select("uid"), "uid", "left_semi").select("uid", "words")
+    words = without_copies(texts, kinds, "set_key", scratch).select("uid", "words")
     total = texts.agg(F.sum(F.size("words"))).first()[0] or 0
 
-    def fetch(uids: DataFrame, few: bool) -> DataFrame:
+    def fetch(uids: DataFrame, few: bool, then=None) -> DataFrame:
         wanted = uids.join(texts.select("uid", F.col("doc_id").alias("of"), "set_key"), "uid")
         found = docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["of"])).drop("doc_id", "of")
-        return found.mapInArrow(_items(k), "uid long, head long, salt long, items binary")
+        return in_one_pass(found, _items(k), then)
 
-    parts = link_words(words, total, fetch, num, den, scratch, texts.select("uid", "n_shingles", "parities")).toDF("uid", "part")
+    parts = link_words(words, total, fetch, num, den, scratch, texts.select("uid", "n_shingles", "parities"), whole=True).toDF("uid", "part")
     whole = kinds.join(parts, "uid", "left").select("set_key", "least", F.coalesce("part", "uid").alias("part"))
     least = whole.groupBy("part").agg(F.min("least").alias("component_id"))
     named = whole.join(least, "part").select("set_key", "component_id", "part")

@@ -5,7 +5,7 @@ import random
 import public_tokenizers as P
 
 import corpus_pipeline
-from graphweft.llm import mixing
+from graphweft.llm import byte_bpe, mixing
 from tests.llm import brute
 
 
@@ -77,3 +77,28 @@ def test_stages(spark, tmp_path):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in kept["byte_bpe"])
     assert sorted((r["doc_id"], r["ids"]) for r in kept["byte_bpe"]) == sorted((r["doc_id"], library.encode_ordinary(r["text"])) for r in kept["source_mix"])
+
+
+def test_ids_are_made_and_decoded_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "one Two"), (2, None), (3, "ß\n x")], "doc_id long, text string")
+    path = P.path("byte_bpe_50k.tiktoken")
+    both = byte_bpe.encode_decode(docs, path, P.PATTERN)
+    assert both.collect() == byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path).collect()
+    coded = corpus_pipeline.encode_texts(spark, docs.selectExpr("*", "'' AS lang", "'' AS source", "1L AS n_chars"), "")
+    assert coded._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_texts_are_matched_in_one_shuffle(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (0, "c"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = docs.where("text = 'a' OR doc_id IS NULL OR text IS NULL").selectExpr("doc_id", "xxhash64(text) AS mark").distinct()
+    out = corpus_pipeline._matching(docs, kept)
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == [(1, "a"), (2, None), (None, "c")]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus_pipeline._matching(docs, kept)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # one of the texts, and two of ``kept``: that of its distinct() and that of the join
+    assert plan.count("Exchange hashpartitioning") == 3
