@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.linking import SKETCH_BITS, link_words
+from graphweft.llm.linking import SKETCH_BITS, in_one_pass, link_words, without_copies
 from graphweft.llm.words import Words, _powers, each_text, mix, shingles
 from graphweft.session import Scratch
 
@@ -120,19 +120,15 @@ def _paragraphs(bands: int, rows: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the paragraphs that stand wanted beside their text."""
+    """Shingle sets of the paragraphs that stand wanted beside their text. Only these are split into words."""
     for batch in batches:
-        for at, data, words in each_text(batch["text"]):
-            uid, head, salt, items = [], [], [], []
-            offsets = words.offsets
-            for i, wanted in enumerate(batch["wanted"].slice(at, len(offsets) - 1).to_pylist()):
-                for w in wanted:
-                    a, b = np.searchsorted(words.starts, [w["begin"] + offsets[i], w["end"] + offsets[i]])
-                    uid.append(w["uid"])
-                    head.append(w["head"])
-                    salt.append(w["salt"])
-                    items.append(np.unique(shingles(words.hashes[a:b], SHINGLE)).tobytes())
-            columns = [pa.array(uid, pa.int64()), pa.array(head, pa.int64()), pa.array(salt, pa.int64()), pa.array(items, pa.binary())]
+        raw, flat, owner = batch["text"].cast(pa.binary()), batch["wanted"].flatten(), batch["wanted"].value_parent_indices().to_pylist()
+        spans = zip(owner, flat.field("begin").to_pylist(), flat.field("end").to_pylist(), strict=True)
+        pieces = pa.array([memoryview(raw[i].as_buffer())[a:z].tobytes() for i, a, z in spans], pa.binary())
+        for at, _, words in each_text(pieces):
+            n = len(words.ranges) - 1
+            items = [np.unique(shingles(words.of(i), SHINGLE)).tobytes() for i in range(n)]
+            columns = [*(flat.field(c).slice(at, n) for c in ("uid", "head", "salt")), pa.array(items, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["uid", "head", "salt", "items"])
 
 
@@ -366,15 +362,15 @@ def _clusters(docs: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
     place: Column = F.struct("doc_id", "doc", "begin")
     kinds = lines.groupBy("key").agg(F.min("uid").alias("uid"), F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     kinds = scratch.write(kinds, "kinds")
-    words = lines.join(kinds.select("uid"), "uid", "left_semi").select("uid", "words")
+    words = without_copies(lines, kinds, "key", scratch).select("uid", "words")
 
-    def fetch(uids: DataFrame, few: bool) -> DataFrame:
+    def fetch(uids: DataFrame, few: bool, then=None) -> DataFrame:
         wanted = uids.join(lines.select("uid", "doc", "begin", "end"), "uid")
         wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("uid", "head", "salt", "begin", "end")).alias("wanted"))
         found = docs.select("doc", "text").join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc")
-        return found.select("text", "wanted").mapInArrow(_sets, "uid long, head long, salt long, items binary")
+        return in_one_pass(found.select("text", "wanted"), _sets, then)
 
-    parts = link_words(words, n * bands, fetch, num, den, scratch).toDF("uid", "part")
+    parts = link_words(words, n * bands, fetch, num, den, scratch, whole=True).toDF("uid", "part")
     whole = kinds.join(parts, "uid", "left").where("part is not null or times > 1").withColumn("part", F.coalesce("part", "uid"))
     kept = whole.groupBy("part").agg(F.min("first").alias("kept"))
     named = scratch.write(whole.join(kept, "part").select("key", "part", "kept"), "named")

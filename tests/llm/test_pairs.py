@@ -1,6 +1,7 @@
 """Operators on pairs against brute force: vectors, texts, paragraphs, components."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -277,3 +278,55 @@ def test_a_set_that_heads_no_star_is_still_compared(spark):
     fetch = lambda uids, few: uids.join(held, "uid").select("uid", "head", "salt", "items")
     got = {r["id"]: r["component"] for r in linking.link(cells, fetch, 90, 100, Scratch(spark)).collect()}
     assert got[5] == got[7] and got.get(1, 1) != got[5]
+
+
+def _workers_of_a_task(plan):
+    """The most Python steps that follow one another in an optimized plan without a shuffle between."""
+    most = now = 0
+    for line in plan.splitlines():
+        if re.search(r"Repartition|Aggregate|Join|Union|Relation|LogicalRDD|LocalRelation", line):
+            now = 0
+        now += "MapInArrow" in line
+        most = max(most, now)
+    return most
+
+
+def test_a_task_of_a_join_needs_one_python_worker(docs_of, monkeypatch):
+    # two Python steps in a task are four workers of an executor of two cores, which stay and keep their memory
+    plans, write = [], Scratch.write_counted
+
+    def seen(self, df, name, of=None):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(self, df, name, of)
+
+    monkeypatch.setattr(Scratch, "write_counted", seen)
+    monkeypatch.setattr(linking, "STARS", 1)
+    rng = random.Random(3)
+    base = _text(rng, 300).split()
+    rows = []
+    for i in range(12):  # some unlike enough to stay in other components of a cell
+        words = list(base)
+        for at in rng.sample(range(300), 2 * i):
+            words[at] = "changed"
+        rows.append((i, " ".join(words)))
+    df = docs_of(*rows)
+    substring_dedup.repeated_spans(df).collect()
+    assert "points" in {name for name, _ in plans}
+    ngram_join.similar_texts(df, k=5, num=80).collect()
+    assert {name: _workers_of_a_task(plan) for name, plan in plans if _workers_of_a_task(plan) > 1} == {}
+
+
+def test_only_wanted_paragraphs_are_split(monkeypatch):
+    text = "one two three four five six\n\nein zwei drei vier fünf sechs sieben\n\nlast line of five words"
+    raw, split = text.encode(), []
+    a, z = raw.index(b"ein"), raw.index(b"sieben") + 6
+    wanted = [{"uid": 7, "head": 3, "salt": 0, "begin": a, "end": z}]
+    kind = pa.list_(pa.struct({"uid": pa.int64(), "head": pa.int64(), "salt": pa.int64(), "begin": pa.int64(), "end": pa.int64()}))
+    batch = pa.record_batch({"text": pa.array(["x y z", text]), "wanted": pa.array([[], wanted], kind)})
+    of_all = substring_dedup.each_text
+    monkeypatch.setattr(substring_dedup, "each_text", lambda column: (split.append(column.to_pylist()), of_all(column))[1])
+    (row,) = [r for b in substring_dedup._sets(iter([batch])) for r in b.to_pylist()]
+    _, _, words = next(of_all(pa.array([raw[a:z].decode()])))
+    assert (row["uid"], row["head"], row["salt"]) == (7, 3, 0)
+    assert row["items"] == np.unique(shingles(words.hashes, substring_dedup.SHINGLE)).tobytes()
+    assert split == [[raw[a:z]]]
