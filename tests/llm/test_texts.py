@@ -271,6 +271,88 @@ def test_lm_learns_from_all_texts_to_their_end(docs_of, monkeypatch):
     assert all(seen[i] == 1 for i in zebra) and all(seen[i] == 3000 for i in the) and seen[50_500] == len(texts)
 
 
+def _slow_loss(model, x, wanted, seen, goal):
+    """Mean natural-log loss of the targets of some windows, by loops in double precision."""
+    m = {n: getattr(model, n).astype(float) for n in ("embed", *attention.DENSE)}
+    total = 0.0
+    for w, j in zip(*np.nonzero(goal), strict=True):
+        t = attention.WINDOW - attention.STRIDE + j
+        places = [p for p in range(t + 1) if seen[w, p]]
+        e = m["embed"][x[w]]
+        s = np.array([e[t] @ m["query"] @ (e[p] @ m["key"]) / math.sqrt(attention.WIDTH) + m["near"][t - p] for p in places])
+        a = np.exp(s - s.max())
+        mixed = (a / a.sum()) @ e[places] @ m["value"]
+        logits = (e[t] + mixed) @ m["out"] + m["bias"]
+        total += logits.max() + math.log(np.exp(logits - logits.max()).sum()) - logits[model.group[wanted[w, j]]]
+    return total / goal.sum()
+
+
+@pytest.mark.parametrize("scale", [1, 40])  # 40: scores too large for exp as they are
+def test_attention_gradients_are_those_of_the_loss(scale, monkeypatch):
+    rng = np.random.default_rng(8)
+    model = attention.Model.start(rng.integers(0, 50, 60))
+    model.query *= scale
+    model.near[:] = rng.standard_normal(attention.WINDOW)
+    sizes = np.array([5, 30, 1])
+    ids = rng.integers(0, 60, sizes.sum()).astype(np.int32)
+    before = lm_scoring._before(ids, sizes, 59)
+    sees, seen, goal = attention.windows(sizes)
+    x, wanted = before[sees], ids[sees[:, attention.WINDOW - attention.STRIDE :]]
+    given = []
+    monkeypatch.setattr(attention.Fit, "_move", lambda self, m, s, grad, steps: given.append(grad.copy()) or np.zeros_like(grad))
+    attention.Fit(model)._step(x, wanted, seen, goal)
+    dense, by_id = given
+    own = np.unique(x)
+    got = attention._parts(model, dense) | {"embed": np.zeros_like(model.embed)}
+    got["embed"][own] = by_id
+    for n, grad in got.items():
+        weights = getattr(model, n).astype(float)
+        for at in rng.choice(own if n == "embed" else len(weights), 4):
+            at = (at, *(rng.integers(k) for k in weights.shape[1:]))
+            sides = []
+            for step in (1e-5, -1e-5):
+                other = weights.copy()
+                other[at] += step
+                sides.append(_slow_loss(attention.replace(model, **{n: other}), x, wanted, seen, goal))
+            assert grad[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=2e-2, abs=2e-5 * scale), (n, at)
+
+
+def test_lm_words_encoded_together_are_as_alone():
+    ranks = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    words = ["a", "don't", "'s", "x\u00a0", "\u00a0y", "\u2003", "1st", "\u0085", "—…", "🙂", "zé", "x\x1cy", "'", "last\u3000", "end"]
+    encode = lm_scoring._encoder(ranks, P.PATTERN).encode_ordinary
+    for some in (words, words[::-1], words[3:4], [], ["plain", "words"]):
+        ids, sizes = lm_scoring.Speller(ranks, P.PATTERN).ids(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][: len(some)] == [encode(" " + w) for w in some]
+
+
+def test_lm_learns_and_scores_from_ids_kept_once(docs_of, monkeypatch):
+    table = lm_scoring.Subwords(np.empty(0, np.int64), np.empty(0, np.int64), [], open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN, 50_256)
+    texts = ["One two", None, "", "é\u00a0 x", "w " * 1_200_000, *(f"text {i}" for i in range(40))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    # one batch, as it is read again
+    parts = list(lm_scoring._coded(table, 3)([batch]))
+    kept = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    assert len(parts) > 1 and kept.num_rows == len(texts)
+    for (a, b), (c, d) in zip(lm_scoring._kept_ids(table, kept), lm_scoring._kept_ids(table, batch), strict=True):
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+
+    def fitted(table, model, real=lm_scoring._fitted):
+        def run(batches):
+            def checked():
+                for batch in batches:
+                    assert "ids" in batch.schema.names and "text" not in batch.schema.names
+                    yield batch
+
+            yield from real(table, model)(checked())
+
+        return run
+
+    monkeypatch.setattr(lm_scoring, "_fitted", fitted)
+    got = lm_scoring.score(docs_of(*enumerate(texts[:4] + texts[5:])), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert len(got) == len(texts) - 1 and all(r["score"] < 0 for r in got)
+
+
 def test_averaged_weights():
     model = attention.Model.start(np.ones(50, np.int64))
     rng, rows, want = np.random.default_rng(4), [], []
